@@ -2,7 +2,11 @@
 
 # --- characters -----------------------------------------------------------------------------
 # White space as str.split / str.strip see it, once as a regex class body and once as text.
-WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Java tests the Latin-1 part with one bit set; the nested range keeps other text off the long list.
+WS = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -11,9 +15,9 @@ WS_CHARS = (
 SENTENCE_END = ".!?;:¿¡。！？；："
 LOOKBACK_PUNCT = "。！？；：.!?;:¿¡"
 # CJK code-point ranges: unified ideographs, extensions A to F, symbols, full-width forms.
-CJK = (
-    r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
-    r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
+CJK_RANGES = (
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+    r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 )
 
 # --- text quality thresholds ----------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed as K
-from .text import WORD, squeeze, strip
+from .text import squeeze, strip, word_count
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<[!?][^>]*>"
 TAG = r"<[^>]*>"
@@ -168,7 +168,7 @@ def valid_chapter(html: Column, text: Column) -> Column:
     """Enough prose to be a chapter; ``text`` is the page's visible text."""
     low = F.lower(text)
     listing = looks_like_toc(html, low) & (link_text_length(html) >= F.length(text) * 0.6)
-    n_words = F.regexp_count(low, F.lit(WORD))
+    n_words = word_count(low)
     cjk_listing = (n_words > 0) & (
         cjk_headings(low) > F.greatest(F.lit(3), F.floor(n_words / 50)))
     rights_page = looks_like_copyright(low) & (F.length(text) < 300)
@@ -237,7 +237,6 @@ def title_strategies(html: Column) -> dict[str, Column]:
         F.lit(0)), 1, 10), "")
     strong = F.regexp_extract_all(
         blocks, F.lit(r"(?is)<(strong|b|em)\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
-    n_words = lambda t: F.regexp_count(t, F.lit(WORD))
     return {
         "heading": F.coalesce(F.nullif(heading, F.lit("")), F.nullif(head_title, F.lit(""))),
         "attribute": _first_text(named, lambda t: F.lit(True)),
@@ -246,7 +245,7 @@ def title_strategies(html: Column) -> dict[str, Column]:
         "pattern": _first_text(_leaves(body, "p|div|span", 10),
                                lambda t: heading_class(t) != "none"),
         "short_line": _first_text(_leaves(body, "p|div", 5), lambda t: (
-            (F.length(t) < 80) & ~t.rlike(r"[.!?,;:]\z") & (n_words(t) <= 12))),
+            (F.length(t) < 80) & ~t.rlike(r"[.!?,;:]\z") & (word_count(t) <= 12))),
     }
 
 

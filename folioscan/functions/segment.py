@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as K
-from .text import WORD, clean_speech, strip, word_count, words
+from .text import CJK, clean_speech, let, squeeze, strip, word_count, words
 
 NO_STRINGS = "array<string>"
 
@@ -51,18 +51,17 @@ def sentences(c: Column) -> Column:
 
 
 def contains_cjk(c: Column) -> Column:
-    return c.rlike(K.CJK)
+    return c.rlike(CJK)
 
 
 def unspaced_cjk(c: Column) -> Column:
     """CJK text with too few spaces to be cut at words."""
     spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return contains_cjk(c) & (spaces < F.length(c) / 50)
+    return (spaces < F.length(c) / 50) & contains_cjk(c)
 
 
 def split_at_words(c: Column, limit: int) -> Column:
     """Cut an over-long sentence at words; white space inside becomes single spaces."""
-    flat = F.array_join(words(c), " ")
     start = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, word: Column) -> Column:
@@ -74,9 +73,12 @@ def split_at_words(c: Column, limit: int) -> Column:
             F.concat(F.when(over, F.lit("")).otherwise(acc["cur"]), word, F.lit(" ")).alias("cur"),
         )
 
-    cut = F.aggregate(F.split(flat, " "), start, step,
-                      lambda acc: F.concat(acc["done"], F.array(F.trim(acc["cur"]))))
-    return F.when(F.length(flat) <= limit, F.array(flat)).otherwise(cut)
+    def cut(flat: Column) -> Column:
+        return F.aggregate(F.split(flat, " "), start, step,
+                           lambda acc: F.concat(acc["done"], F.array(F.trim(acc["cur"]))))
+
+    return let(squeeze(c), lambda flat: F.when(
+        F.length(flat) <= limit, F.array(flat)).otherwise(cut(flat)))
 
 
 def split_at_chars(c: Column, limit: int) -> Column:
@@ -201,10 +203,12 @@ def batches(parts: Column, limit: Column | int, unit: Column | str = "chars") ->
 
 def chunk_fixed(c: Column, n: int = K.CHUNK_WORDS) -> Column:
     """Consecutive chunks of ``n`` words."""
-    w = words(c)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))
-                    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))
+                        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    return let(words(c), cut)
 
 
 def chunk_paragraphs(c: Column, n: int = K.CHUNK_WORDS, blank_line: str = "\n\n") -> Column:
@@ -216,24 +220,24 @@ def chunk_paragraphs(c: Column, n: int = K.CHUNK_WORDS, blank_line: str = "\n\n"
         return F.when(F.size(acc["cur"]) > 0, F.concat(
             acc["done"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["done"])
 
-    def step(acc: Column, p: Column) -> Column:
-        k = F.regexp_count(p, F.lit(WORD))
-        flat = F.array(F.array_join(words(p), " "))
+    def add(acc: Column, flat: Column, k: Column) -> Column:
         over = acc["count"] + k > n
         return (
             F.when(k > n, F.struct(
-                F.concat(flush(acc), chunk_fixed(p, n)).alias("done"),
+                F.concat(flush(acc), chunk_fixed(flat, n)).alias("done"),
                 _empty().alias("cur"), F.lit(0).alias("count")))
             .when(over, F.struct(
-                flush(acc).alias("done"), flat.alias("cur"), k.alias("count")))
+                flush(acc).alias("done"), F.array(flat).alias("cur"), k.alias("count")))
             .otherwise(F.struct(
-                acc["done"].alias("done"), F.concat(acc["cur"], flat).alias("cur"),
+                acc["done"].alias("done"), F.concat(acc["cur"], F.array(flat)).alias("cur"),
                 (acc["count"] + k).alias("count")))
         )
 
-    cut = F.aggregate(paragraphs, start, step, flush)
-    return F.when(word_count(c) <= n, F.array(c)).when(
-        F.size(cut) > 0, cut).otherwise(F.array(c))
+    counted = F.transform(paragraphs, lambda p: let(squeeze(p), lambda flat: F.struct(
+        flat.alias("flat"), F.size(F.split(flat, " ")).alias("k"))))
+    cut = F.aggregate(counted, start, lambda acc, p: add(acc, p["flat"], p["k"]), flush)
+    return F.when(word_count(c) <= n, F.array(c)).otherwise(
+        let(cut, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(c))))
 
 
 def token_overflow(chunk: Column, num_ctx: int = K.NUM_CTX, num_predict: int = K.NUM_PREDICT

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as K
 
-WORD = f"[^{K.WS}]+"
+CJK = rf"[\x{{3000}}-\x{{2EBEF}}&&[{K.CJK_RANGES}]]"
 # A comparable word: letters, digits, underscore; apostrophes only inside.
 SPOKEN_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 
@@ -37,12 +39,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{K.WS}]+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it as often as ``body`` likes."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(squeeze(c), " "), "")
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(WORD)).cast("bigint")
+    return F.size(words(c)).cast("bigint")
 
 
 def spoken_words(c: Column) -> Column:

@@ -18,7 +18,7 @@ DOCS = "FROM documents"
 
 
 def _docs(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    return V.spread(V.read(spark, d, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def _per_doc(name: str, column, sql: str, out: str = "result"):
@@ -106,8 +106,8 @@ def min_content(spark, d):
 
 
 @query("contains_cjk", rf"""
-    SELECT doc_id, regexp_matches(text, '{K.CJK}') AS plain,
-      regexp_matches(translate(text, 'ae', '一。'), '{K.CJK}') AS folded {DOCS}""")
+    SELECT doc_id, regexp_matches(text, '[{K.CJK_RANGES}]') AS plain,
+      regexp_matches(translate(text, 'ae', '一。'), '[{K.CJK_RANGES}]') AS folded {DOCS}""")
 def contains_cjk(spark, d):
     return _docs(spark, d).select(
         "doc_id", G.contains_cjk(F.col("text")).alias("plain"),

@@ -13,15 +13,23 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few files. Inputs with more splits than cores stay put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """One row per chapter: book, document, language, whole text."""
-    return read(spark, folder, "documents").select(
-        F.col("source").alias("book_id"), "doc_id", "lang", "text")
+    return spread(read(spark, folder, "documents").select(
+        F.col("source").alias("book_id"), "doc_id", "lang", "text"))
 
 
 def chapter_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Narrow chapter rows: title, words and characters, without the text."""
-    return read(spark, folder, "documents").select(
+    docs = spread(read(spark, folder, "documents").select(
+        "source", "doc_id", "lang", "text", "n_chars"))
+    return docs.select(
         F.col("source").alias("book_id"), "doc_id", "lang",
         X.first_sentence_title(F.col("text")).alias("title"),
         X.word_count(F.col("text")).alias("n_words"),
@@ -41,7 +49,8 @@ def produced(spark: SparkSession, folder: str, facts: DataFrame) -> DataFrame:
 
 def spine_items(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as spine items: ten consecutive pages make a book, the url path is the item name."""
-    return read(spark, folder, "pages").select(
+    pages = spread(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select(
         F.floor(F.col("page_id") / 10).cast("bigint").alias("book_id"),
         F.col("page_id").alias("ordinal"),
         F.lower(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1)).alias("item_name"),
