@@ -70,7 +70,7 @@ def without_scripts(c: Column) -> Column:
     """Second extraction rung: scripts and styles dropped, remaining text kept as it stands."""
     bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
-    return strip(F.regexp_replace(bare, TAG, ""))
+    return strip(decode_references(F.regexp_replace(bare, TAG, "")))
 
 
 def without_tags(c: Column) -> Column:
@@ -97,14 +97,14 @@ def body_element(c: Column) -> Column:
 
 # --- links and page kinds -------------------------------------------------------------------
 
-_HREF = r"""(?i)<a\b[^>]*\bhref\s*=\s*(?:"[^"{0}]{1}[^"]*"|'[^'{0}]{1}[^']*')"""
+ANY_HREF = r"""(?i)<a\b[^>]*\bhref\s*=\s*(?:"[^"]+"|'[^']+')"""
+INSIDE_HREF = r"""(?i)<a\b[^>]*\bhref\s*=\s*(?:"[^"]*#[^"]*"|'[^']*#[^']*')"""
 
 
 def link_stats(c: Column) -> dict[str, Column]:
     """Counts of links, list items, links inside the document and to other documents."""
-    hrefs = F.regexp_count(c, F.lit(_HREF.format("", "+").replace("[^\"]+[^\"]*", "[^\"]+")
-                                    .replace("[^']+[^']*", "[^']+")))
-    inside = F.regexp_count(c, F.lit(_HREF.format("#", "*#")))
+    hrefs = F.regexp_count(c, F.lit(ANY_HREF))
+    inside = F.regexp_count(c, F.lit(INSIDE_HREF))
     return {
         "links": F.regexp_count(c, F.lit(r"(?i)<a\b")).cast("bigint"),
         "list_items": F.regexp_count(c, F.lit(r"(?i)<(?:li|dt|dd)\b")).cast("bigint"),
@@ -257,3 +257,14 @@ def infer_title(html: Column) -> tuple[Column, Column]:
         strategy = F.when(col.isNotNull(), name) if strategy is None \
             else strategy.when(col.isNotNull(), name)
     return F.coalesce(*found.values(), F.lit("Unknown")), strategy.otherwise("none")
+
+
+def metadata(given: Column, declared: Column, wanted: Column, detected: Column
+             ) -> tuple[Column, Column, Column]:
+    """(title, language, error) with the usual fallbacks; no language at all is an error."""
+    blank = F.lit("")
+    language = F.coalesce(F.nullif(wanted, blank), F.nullif(detected, blank))
+    error = F.when(language.isNull(), F.lit(
+        "Language must be provided or detectable from the file metadata."))
+    return (F.coalesce(F.nullif(given, blank), F.nullif(declared, blank), F.lit("missing title")),
+            language, error)
