@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -140,3 +140,32 @@ def offsets(episodes: DataFrame, order: list[str]) -> DataFrame:
     run = ordered(rows, ["book_id"], order).running(
         Running("episode_no", "count"), Running("end_ms", "sum", F.col("ms"))).result()
     return run.withColumn("start_ms", F.col("end_ms") - F.col("ms"))
+
+
+def titles_by_ordinal(episodes: DataFrame, titles: DataFrame) -> DataFrame:
+    """Title by number within the book, ``Episode n`` where there is none."""
+    out = episodes.join(titles, ["book_id", "number"], "left")
+    fallback = F.concat(F.lit("Episode "), "number")
+    return out.select("book_id", "number", F.coalesce(
+        F.nullif("title", F.lit("")), fallback).alias("title"))
+
+
+def limit_per_book(chapters: DataFrame, order: list[str], n: int) -> DataFrame:
+    """First ``n`` chapters of each book. Tasks cut to ``n`` per book before the shuffle."""
+    w = Window.partitionBy("book_id").orderBy(*order)
+    return chapters.withColumn("number", F.row_number().over(w)).filter(
+        F.col("number") <= n).withColumn("number", F.col("number").cast("bigint"))
+
+
+def first_per_book(rows: DataFrame, order: list[str], n: int, text: str) -> DataFrame:
+    """The first ``n`` texts of each book on one line; only those leave a task."""
+    top = limit_per_book(rows, order, n)
+    listed = F.array_sort(F.collect_list(F.struct("number", text)))
+    return top.groupBy("book_id").agg(F.array_join(
+        F.transform(listed, lambda r: r[text]), ", ").alias(f"{text}s"))
+
+
+def checkable(wanted: DataFrame, scripts: DataFrame, audio: DataFrame) -> DataFrame:
+    """Episodes that have both a script (by number) and audio (by document)."""
+    return wanted.join(scripts, ["book_id", "number"], "left_semi").join(
+        audio, "doc_id", "left_semi")

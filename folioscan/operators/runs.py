@@ -164,3 +164,10 @@ def match_summary(reports: DataFrame, *by: str) -> DataFrame:
 def worst(reports: DataFrame, n: int = 5) -> DataFrame:
     return reports.filter("ratio is not null").orderBy("ratio", "book_id").limit(n)
 
+
+
+def select_books(df: DataFrame, languages: tuple[str, ...], name_part: str, name: str
+                 ) -> DataFrame:
+    """Books of some languages whose name contains a text, ignoring case."""
+    return df.filter(F.col("lang").isin(*languages)).filter(
+        F.lower(name).contains(name_part.lower()))
