@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as K
-from .text import spoken_words
+from .text import let, spoken_words
 
 # One code point per distinct word, from the first supplementary plane on: a million symbols.
 _FIRST_SYMBOL = 0x10000
@@ -14,8 +14,7 @@ _FIRST_SYMBOL = 0x10000
 
 def boundary_words(reference: Column, hypothesis: Column, side: Column | str) -> Column:
     """As many reference words as the hypothesis has, from the head or the tail."""
-    n = F.size(hypothesis)
-    size = F.size(reference)
+    n, size = F.size(hypothesis), F.size(reference)
     s = F.lit(side) if isinstance(side, str) else side
     take = F.least(n, size)
     first = F.when(s == "head", F.lit(1)).otherwise(size - take + 1)
@@ -33,20 +32,24 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
 
     Every distinct word becomes one symbol, so the built-in character distance applies.
     """
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    symbols = F.map_from_arrays(vocabulary, F.transform(vocabulary, lambda w, i: _symbol(i)))
-
-    def encode(ws: Column) -> Column:
+    def encoded(ws: Column, symbols: Column) -> Column:
         return F.array_join(F.transform(ws, lambda w: F.element_at(symbols, w)), "")
 
-    return F.levenshtein(encode(reference), encode(hypothesis)).cast("bigint")
+    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
+    table = let(vocabulary, lambda v: F.map_from_arrays(
+        v, F.transform(v, lambda w, i: _symbol(i))))
+    return let(table, lambda m: F.levenshtein(
+        encoded(reference, m), encoded(hypothesis, m))).cast("bigint")
 
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Distance over reference words, at most 1; an empty reference fits only an empty text."""
-    n = F.size(reference)
-    return F.when(n == 0, F.when(F.size(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(
-        F.least(word_distance(reference, hypothesis) / n, F.lit(1.0)))
+    def rate(ref: Column, hyp: Column) -> Column:
+        n = F.size(ref)
+        return F.when(n == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(
+            F.least(word_distance(ref, hyp) / n, F.lit(1.0)))
+
+    return let(reference, lambda ref: let(hypothesis, lambda hyp: rate(ref, hyp)))
 
 
 def text_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import fixed_digits, spoken_words, word_count
+from ..functions.text import fixed_digits, let, spoken_words, word_count
 from ..functions.words import boundary_words, error_rate, expected_seconds
 
 
 def window_wer(script: Column, hypothesis: Column, side: str) -> Column:
     """Word error rate of a transcript window against the matching end of the script."""
-    spoken = spoken_words(hypothesis)
-    return error_rate(boundary_words(spoken_words(script), spoken, side), spoken)
+    return let(spoken_words(script), lambda ref: let(
+        spoken_words(hypothesis), lambda hyp: error_rate(boundary_words(ref, hyp, side), hyp)))
 
 
 def fidelity_check(df: DataFrame, wer_max: float = K.WER_MAX,

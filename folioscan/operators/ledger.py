@@ -202,3 +202,9 @@ def error_class(script: Column) -> Column:
         .when(script.contains("API key issue"), "api_key")
         .when(script.contains("Unable to generate"), "empty")
         .otherwise("other"))
+
+
+def short_scripts(df: DataFrame) -> DataFrame:
+    """Status by word count: scripts under the limit are suspiciously short."""
+    return df.withColumn("status", F.when(
+        F.col("n_words") < K.SHORT_SCRIPT_WORDS, "SHORT").otherwise("OK"))

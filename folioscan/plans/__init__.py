@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import book_queries, page_queries, text_queries  # noqa: F401
+from . import attempt_queries, book_queries, page_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -499,7 +499,7 @@ def emit_chapter_markers(spark, d):
 
 @query("pack_parts_14h", """
     WITH RECURSIVE e AS (SELECT l_suppkey AS book_id,
-        CAST(floor(l_extendedprice * 1000) AS BIGINT) AS ms,
+        CAST(floor(l_extendedprice / 20 * 1000) AS BIGINT) AS ms,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey,
           l_extendedprice) AS n FROM lineitem),
     p AS (SELECT book_id, n, ms AS cur, 1 AS part_no, ms FROM e WHERE n = 1
@@ -510,7 +510,9 @@ def emit_chapter_markers(spark, d):
     SELECT book_id, CAST(part_no AS BIGINT) AS part_no, count(*) AS n_episodes,
       CAST(sum(ms) AS BIGINT) AS total_ms FROM p GROUP BY 1, 2""")
 def pack_parts_14h(spark, d):
-    parts = pack_parts(_episodes(spark, d), ["book_id"], _ORDER, "duration_s")
+    # A twentieth of the price: three quarters of an hour on average, some twenty to a part.
+    episodes = _episodes(spark, d).withColumn("duration_s", F.col("duration_s") / 20)
+    parts = pack_parts(episodes, ["book_id"], _ORDER, "duration_s")
     return parts.groupBy("book_id", "part_no").agg(
         F.count(F.lit(1)).alias("n_episodes"),
         F.sum(F.floor(F.col("duration_s") * 1000).cast("bigint")).alias("total_ms"))
