@@ -44,12 +44,13 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Distance over reference words, at most 1; an empty reference fits only an empty text."""
-    def rate(ref: Column, hyp: Column) -> Column:
-        n = F.size(ref)
-        return F.when(n == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(
-            F.least(word_distance(ref, hyp) / n, F.lit(1.0)))
+    return let(reference, lambda ref: let(hypothesis, lambda hyp: rate_of(
+        word_distance(ref, hyp), F.size(ref), F.size(hyp))))
 
-    return let(reference, lambda ref: let(hypothesis, lambda hyp: rate(ref, hyp)))
+
+def rate_of(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
+    return F.when(n_ref == 0, F.when(n_hyp == 0, 0.0).otherwise(1.0)).otherwise(
+        F.least(distance / n_ref, F.lit(1.0)))
 
 
 def text_error_rate(reference: Column, hypothesis: Column) -> Column:

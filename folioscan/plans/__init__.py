@@ -1,6 +1,13 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import attempt_queries, book_queries, page_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    attempt_queries,
+    book_queries,
+    call_queries,
+    file_queries,
+    page_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -347,12 +347,15 @@ _WER = ("CASE WHEN len(rw) = 0 THEN CASE WHEN len(hw) = 0 THEN 0.0 ELSE 1.0 END
     SELECT conv_id, turn, CAST(len(rw) AS BIGINT) AS ref_words, CAST(d AS BIGINT) AS distance,
       {_WER} AS wer FROM dist""")
 def wer(spark, d):
-    pairs = V.spread(V.turn_pairs(spark, d)).withColumns(
-        {"rw": spoken_words(F.col("ref")), "hw": spoken_words(F.col("hyp"))})
-    return pairs.select(
+    pairs = V.spread(V.turn_pairs(spark, d)).select(
+        "conv_id", "turn", spoken_words(F.col("ref")).alias("rw"),
+        spoken_words(F.col("hyp")).alias("hw"))
+    rows = pairs.select(
         "conv_id", "turn", F.size("rw").cast("bigint").alias("ref_words"),
-        W.word_distance(F.col("rw"), F.col("hw")).alias("distance"),
-        W.error_rate(F.col("rw"), F.col("hw")).alias("wer"))
+        F.size("hw").alias("n_hyp"),
+        W.word_distance(F.col("rw"), F.col("hw")).alias("distance"))
+    return rows.select("conv_id", "turn", "ref_words", "distance", W.rate_of(
+        F.col("distance"), F.col("ref_words"), F.col("n_hyp")).alias("wer"))
 
 
 _HALF = "ceil(len({w}) / 2)"
