@@ -85,6 +85,31 @@ TITLE_TOKENS = (
     "|book-title|section-title|calibre_heading|sgc-toc-level"
 )
 
+# First that fits names the kind of heading.
+HEADING_PATTERNS = {
+    "chapter": rf"(chapter|ch\.?)\s+([\divxlcdm]+|{NUMBER_WORDS})[\s.:—\-]*.*",
+    "part": rf"(part|section|book)\s+([\divxlcdm]+|{NUMBER_WORDS})[\s.:—\-]*.*",
+    "roman": r"[IVXLCDM]+\s*[.:—\-]\s*\S.*",
+    "number": r"\d+[\s.:—\-]+\S.*",
+    "named": rf"({NAMED_SECTIONS})[\s.:—\-]*.*",
+}
+CASELESS_HEADINGS = ("chapter", "part", "named")
+
+# --- citations, links, reference lists and captions -------------------------------------------
+CITATIONS = {
+    "footnote": r"\[\d+(?:[,\-\s]\d+)*\]",
+    "author_year": r"\([A-Z][a-z]+(?:\.?\s+(?:et\s+al\.?)?)?,?\s*\d{4}[^)]*\)",
+    "et_al": r"\b[A-Z][a-z]+\s+et\s+al\.\s*\(\d{4}\)",
+    "pages": r"\(pp?\.\s*\d+(?:\-\d+)?\)",
+    "doi": r"doi:\s*[\d\.\w/\-]+",
+    "url": r"http[s]?://[\w\.\-/\?\=&%]+",
+    "www": r"www\.[\w\.\-/\?\=&%]+",
+}
+REFERENCE_HEADS = (r"references?", r"bibliography", r"(?:works?\s+)?cited")
+REFERENCE_TAIL = r"\s*:?\s*\n(?!\s*$)(?:.{0,200}?\n){0,3}(?=(?:\n|$))"
+REFERENCE_MARK = "\n[Reference section starts here]"
+CAPTION = r"^\s*(?:figure|fig|table|tab)\s*\.?\s*\d+[\s.:\-].*"
+
 # --- marker files ---------------------------------------------------------------------------
 MARKER_HEADER = (
     ";FFMETADATA1\nmajor_brand=M4A\nminor_version=512\n"
@@ -131,7 +156,26 @@ LANGUAGES = (
     ("ko", "Korean"), ("ja", "Japanese"), ("hi", "Hindi"),
 )
 
+# --- judge request: the leading characters of source and script -------------------------------
+JUDGE_SOURCE_CHARS = 8000
+JUDGE_SCRIPT_CHARS = 4000
+JUDGE_FORMAT = ("<source>\n", "\n</source>\n\n<script>\n", "\n</script>\n")
+
+# --- how scripts that are really model errors begin or read -------------------------------------
+ERROR_PREFIX = "Error: "
+ERROR_MARKS = {
+    "connection": "Could not connect",
+    "timeout": "timed out",
+    "api_key": "API key issue",
+    "empty": "Unable to generate",
+}
+
 # --- messages -------------------------------------------------------------------------------
+PROMPT_EMPTY = "Prompt cannot be empty."
+PROMPT_SHORT = "Prompt is too short. Minimum 10 characters required."
+PROMPT_OK = "Prompt is valid."
+MIN_PROMPT_CHARS = 10
+NO_LANGUAGE = "Language must be provided or detectable from the file metadata."
 EMPTY_CHAPTER_SCRIPT = "This chapter contains no readable text content."
 DURATION_CLASSES = {
     "much_shorter": "AUDIO MUCH SHORTER than expected based on source text. "

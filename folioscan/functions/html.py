@@ -191,22 +191,14 @@ def toc_name(href: Column) -> Column:
 
 # --- titles ---------------------------------------------------------------------------------
 
-_SEP = r"[\s.:—\-]*.*"
-HEADING_PATTERNS = {
-    "chapter": rf"(?isU)\A(?:chapter|ch\.?)\s+(?:[\divxlcdm]+|{K.NUMBER_WORDS}){_SEP}",
-    "part": rf"(?isU)\A(?:part|section|book)\s+(?:[\divxlcdm]+|{K.NUMBER_WORDS}){_SEP}",
-    "roman": r"(?sU)\A[IVXLCDM]+\s*[.:—\-]\s*\S.*",
-    "number": r"(?sU)\A\d+[\s.:—\-]+\S.*",
-    "named": rf"(?isU)\A(?:{K.NAMED_SECTIONS}){_SEP}",
-}
-
-
 def heading_class(c: Column) -> Column:
     """Which heading form a line has, or ``none``."""
-    out = None
-    for name, pattern in HEADING_PATTERNS.items():
-        out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
-    return out.otherwise("none")
+    kinds = None
+    for name, pattern in K.HEADING_PATTERNS.items():
+        case = "i" if name in K.CASELESS_HEADINGS else ""
+        hit = c.rlike(rf"(?{case}sU)\A(?:{pattern})")
+        kinds = F.when(hit, name) if kinds is None else kinds.when(hit, name)
+    return kinds.otherwise("none")
 
 
 def _first_text(fragments: Column, keep) -> Column:
@@ -264,7 +256,6 @@ def metadata(given: Column, declared: Column, wanted: Column, detected: Column
     """(title, language, error) with the usual fallbacks; no language at all is an error."""
     blank = F.lit("")
     language = F.coalesce(F.nullif(wanted, blank), F.nullif(detected, blank))
-    error = F.when(language.isNull(), F.lit(
-        "Language must be provided or detectable from the file metadata."))
+    error = F.when(language.isNull(), F.lit(K.NO_LANGUAGE))
     return (F.coalesce(F.nullif(given, blank), F.nullif(declared, blank), F.lit("missing title")),
             language, error)

@@ -13,20 +13,10 @@ CJK = rf"[\x{{3000}}-\x{{2EBEF}}&&[{K.CJK_RANGES}]]"
 # A comparable word: letters, digits, underscore; apostrophes only inside.
 SPOKEN_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 
-# Citation patterns by name. The digit-list form avoids a repeated group, which Java matches by
-# recursion, so a very long list of note numbers cannot exhaust the stack.
-CITATIONS = {
-    "footnote": r"\[(?=\d)(?![\d,\-\s]*[,\-\s]{2})[\d,\-\s]*\d\]",
-    "author_year": r"\([A-Z][a-z]+(?:\.?\s+(?:et\s+al\.?)?)?,?\s*\d{4}[^)]*\)",
-    "et_al": r"\b[A-Z][a-z]+\s+et\s+al\.\s*\(\d{4}\)",
-    "pages": r"\(pp?\.\s*\d+(?:\-\d+)?\)",
-    "doi": r"doi:\s*[\d\.\w/\-]+",
-    "url": r"http[s]?://[\w\.\-/\?\=&%]+",
-    "www": r"www\.[\w\.\-/\?\=&%]+",
-}
-REFERENCE_HEADS = (r"references?", r"bibliography", r"(?:works?\s+)?cited")
-REFERENCE_MARK = "\n[Reference section starts here]"
-CAPTION = r"(?mid)^\s*(?:figure|fig|table|tab)\s*\.?\s*\d+[\s.:\-].*"
+# A list of note numbers, written without a repeated group: Java matches those by recursion, and a
+# very long list would exhaust the stack.
+_NOTES = r"\[(?=\d)(?![\d,\-\s]*[,\-\s]{2})[\d,\-\s]*\d\]"
+_CITATIONS = {**K.CITATIONS, "footnote": _NOTES}
 
 
 def strip(c: Column) -> Column:
@@ -81,17 +71,16 @@ def drop_markup(c: Column) -> Column:
 def clean_citations(c: Column) -> Column:
     """Remove notes, citations, links and captions; mark where a reference list starts."""
     c = drop_markup(c)
-    for pattern in CITATIONS.values():
+    for pattern in _CITATIONS.values():
         c = F.regexp_replace(c, f"(?U){pattern}", "")
-    for head in REFERENCE_HEADS:
-        section = rf"(?isUd)\n{head}\s*:?\s*\n(?!\s*$)(?:.{{0,200}}?\n){{0,3}}(?=(?:\n|$))"
-        c = F.regexp_replace(c, section, REFERENCE_MARK)
-    return squeeze(F.regexp_replace(c, CAPTION, ""))
+    for head in K.REFERENCE_HEADS:
+        c = F.regexp_replace(c, rf"(?isUd)\n{head}{K.REFERENCE_TAIL}", K.REFERENCE_MARK)
+    return squeeze(F.regexp_replace(c, f"(?miUd){K.CAPTION}", ""))
 
 
 def citation_counts(c: Column) -> dict[str, Column]:
     return {name: F.regexp_count(c, F.lit(f"(?U){p}")).cast("bigint")
-            for name, p in CITATIONS.items()}
+            for name, p in _CITATIONS.items()}
 
 
 def slug(c: Column) -> Column:

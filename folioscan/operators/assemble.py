@@ -21,14 +21,16 @@ def _glue(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], text: st
 
 
 def assemble(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str,
-             part_chars: int = PART_CHARS) -> DataFrame:
+             size: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
     """Join each group's pieces in order: one row per group and ``part``.
 
     Sizes are summed first. Groups that fit one value (all, as a rule) are joined directly with
     ``part`` 0. A bigger group is cut along its running length, so no task or value has to hold
-    it whole and nothing of it is lost.
+    it whole and nothing of it is lost. ``size`` names a column with the pieces' lengths; with it
+    the size check reads no text that was joined in.
     """
-    sized = df.select(*keys, *order, F.length(text).cast("bigint").alias("_len"))
+    length = F.col(size) if size else F.length(text)
+    sized = df.select(*keys, *order, length.cast("bigint").alias("_len"))
     big = sized.groupBy(*keys).agg(F.sum("_len").alias("_total")).filter(
         F.col("_total") > part_chars).select(*keys)
     parted = [*keys, "part"]

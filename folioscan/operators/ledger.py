@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..functions.text import strip
 from .ordered import Running, ordered
 
 ATTEMPT_KEYS = ("book_id", "chapter_id", "cycle")
@@ -170,7 +171,6 @@ def best_attempt(attempts: DataFrame, *by: str) -> DataFrame:
 
 def judge_verdict(reply: Column) -> tuple[Column, Column]:
     """(verdict, reason) of a judge's JSON reply; whatever cannot be read passes."""
-    from ..functions.text import strip
     bare = strip(reply)
     fenced = F.regexp_extract(bare, r"(?s)\A```[^\n]*\n(.*)```", 1)
     body = F.when(bare.startswith("```"), fenced).otherwise(bare)
@@ -182,9 +182,9 @@ def judge_verdict(reply: Column) -> tuple[Column, Column]:
 
 def judge_prompt(source: Column, script: Column) -> Column:
     """Request text for the judge: the leading part of source and script, as the judge reads it."""
-    return F.concat(F.lit("<source>\n"), F.left(source, F.lit(8000)),
-                    F.lit("\n</source>\n\n<script>\n"), F.left(script, F.lit(4000)),
-                    F.lit("\n</script>\n"))
+    head, middle, end = map(F.lit, K.JUDGE_FORMAT)
+    return F.concat(head, F.left(source, F.lit(K.JUDGE_SOURCE_CHARS)), middle,
+                    F.left(script, F.lit(K.JUDGE_SCRIPT_CHARS)), end)
 
 
 def script_decision(n_words: Column, verdict: Column, remaining: Column) -> Column:
@@ -196,12 +196,10 @@ def script_decision(n_words: Column, verdict: Column, remaining: Column) -> Colu
 
 def error_class(script: Column) -> Column:
     """Kind of model error a script carries instead of text; null for real scripts."""
-    return F.when(script.startswith("Error: "), F.when(
-        script.contains("Could not connect"), "connection")
-        .when(script.contains("timed out"), "timeout")
-        .when(script.contains("API key issue"), "api_key")
-        .when(script.contains("Unable to generate"), "empty")
-        .otherwise("other"))
+    kind = F.lit("other")
+    for name, mark in reversed(K.ERROR_MARKS.items()):
+        kind = F.when(script.contains(mark), name).otherwise(kind)
+    return F.when(script.startswith(K.ERROR_PREFIX), kind)
 
 
 def short_scripts(df: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from ..functions import fixed as K
 from .ordered import BLOCK, Ordered, ordered
 
+# Rows one pandas call may hold.
+BLOCK_ROWS = 1_000_000
+
 
 def _cuts(ms: np.ndarray, limit: int, carry: int) -> tuple[np.ndarray, int]:
     """Part number of each row relative to the open part, and the time left in the last part.
@@ -53,7 +56,7 @@ def pack_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     limit = int(max_hours * 3600 * 1000)
     ms = F.floor(F.coalesce(F.greatest(F.col(duration), F.lit(0.0)), F.lit(0.0)) * 1000
                  ).cast("bigint")
-    sheet = ordered(df.withColumn("_ms", ms), keys, order)
+    sheet = ordered(df.withColumn("_ms", ms), keys, order, max_rows=BLOCK_ROWS)
     carries = _settle(sheet, limit) if not sheet.single else None
     rows, names = sheet.rows, list(sheet.keys)
     if carries is None:

@@ -11,6 +11,11 @@ from ..functions.words import expected_seconds
 from .ordered import Running, ordered
 
 
+def titles(side: DataFrame) -> DataFrame:
+    """Distinct titles of a side, ignoring case; a title's copies are merged before the shuffle."""
+    return side.select("book_id", F.lower("title").alias("key")).distinct()
+
+
 def last_source(source: DataFrame) -> DataFrame:
     """One row per (book, title ignoring case); of equal titles the last one stands."""
     last = F.max(F.struct("number", "title"))

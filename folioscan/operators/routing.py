@@ -34,10 +34,9 @@ def route_tasks(requests: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def validate_prompt(prompt: Column) -> tuple[Column, Column]:
     n = F.length(strip(F.coalesce(prompt, F.lit(""))))
-    message = (F.when(n == 0, "Prompt cannot be empty.")
-               .when(n < 10, "Prompt is too short. Minimum 10 characters required.")
-               .otherwise("Prompt is valid."))
-    return n >= 10, message
+    message = F.when(n == 0, K.PROMPT_EMPTY).when(
+        n < K.MIN_PROMPT_CHARS, K.PROMPT_SHORT).otherwise(K.PROMPT_OK)
+    return n >= K.MIN_PROMPT_CHARS, message
 
 
 def language_names(df: DataFrame, languages: DataFrame, code: str) -> DataFrame:

@@ -149,8 +149,7 @@ def order_violations(spark, d):
     EXCEPT SELECT book_id, lower(title) AS key FROM audio""")
 def title_except(spark, d):
     _, source, audio = sides(spark, d)
-    key = ["book_id", F.lower("title").alias("key")]
-    return source.select(*key).subtract(audio.select(*key))
+    return R.titles(source).subtract(R.titles(audio))
 
 
 @query("title_intersect", f"""
@@ -158,8 +157,7 @@ def title_except(spark, d):
     INTERSECT SELECT book_id, lower(title) AS key FROM audio""")
 def title_intersect(spark, d):
     _, source, audio = sides(spark, d)
-    key = ["book_id", F.lower("title").alias("key")]
-    return source.select(*key).intersect(audio.select(*key))
+    return R.titles(source).intersect(R.titles(audio))
 
 
 @query("titles_by_ordinal", f"""

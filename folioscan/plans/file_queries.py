@@ -9,7 +9,7 @@ from ..session import fresh_path
 from ..sources import files as FS
 from ..sources import tables as V
 from ..streaming.audit import audit_stream, stream_documents
-from ..streaming.retries import ledger_stream
+from ..streaming.retries import ledger_stream, time_slices
 from . import sql as S
 from .attempt_queries import LEDGER_COLUMNS, LEDGER_SQL
 from .book_queries import FULL, reports
@@ -146,9 +146,12 @@ def stream_text_quality(spark, d):
 
 @query("stream_retry_ledger", LEDGER_SQL)
 def stream_retry_ledger(spark, d):
-    events, out = fresh_path(spark, "events"), fresh_path(spark, "ledger")
+    """Attempts arrive slice by slice; each run of the stream takes the new slice."""
+    folder, out = fresh_path(spark, "attempts"), fresh_path(spark, "ledger")
+    state = fresh_path(spark, "ledger-state")
     attempts = V.attempts(spark, d)
-    attempts.write.parquet(events)
-    stream = spark.readStream.schema(attempts.schema).parquet(events)
-    ledger_stream(stream, out, fresh_path(spark, "ledger-state")).awaitTermination()
+    for part in time_slices(attempts, "ts"):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(attempts.schema).parquet(folder)
+        ledger_stream(stream, out, state).awaitTermination()
     return spark.read.parquet(out).select(*LEDGER_COLUMNS)

@@ -41,26 +41,13 @@ def clean_speech(x: str) -> str:
     return rf"trim(regexp_replace({c}, '([.,!?;:¿¡]){{2,}}', '\1', 'g'))"
 
 
-def citations(x: str) -> dict[str, str]:
-    return {
-        "footnote": r"\[\d+(?:[,\-\s]\d+)*\]",
-        "author_year": r"\([A-Z][a-z]+(?:\.?\s+(?:et\s+al\.?)?)?,?\s*\d{4}[^)]*\)",
-        "et_al": r"\b[A-Z][a-z]+\s+et\s+al\.\s*\(\d{4}\)",
-        "pages": r"\(pp?\.\s*\d+(?:\-\d+)?\)",
-        "doi": r"doi:\s*[\d\.\w/\-]+",
-        "url": r"http[s]?://[\w\.\-/\?\=&%]+",
-        "www": r"www\.[\w\.\-/\?\=&%]+",
-    }
-
-
 def clean_citations(x: str) -> str:
     """Without the three reference-list patterns: RE2 has no look-ahead, and no document holds
     such a heading on a line of its own."""
     c = x
-    for p in citations(x).values():
+    for p in K.CITATIONS.values():
         c = f"regexp_replace({c}, '{p}', '', 'g')"
-    caption = r"(?mi)^\s*(?:figure|fig|table|tab)\s*\.?\s*\d+[\s.:\-].*"
-    return squeeze(f"regexp_replace({c}, '{caption}', '', 'g')")
+    return squeeze(f"regexp_replace({c}, '(?mi){K.CAPTION}', '', 'g')")
 
 
 def title(x: str) -> str:

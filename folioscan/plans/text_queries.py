@@ -41,7 +41,7 @@ _per_doc("nonword_ratio", X.nonword_ratio, S.ratio("text", S.NONWORD), "ratio")
 
 @query("citation_counts", "SELECT doc_id, " + ", ".join(
     f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {n}"
-    for n, p in S.citations("text").items()) + f" {DOCS}")
+    for n, p in K.CITATIONS.items()) + f" {DOCS}")
 def citation_counts(spark, d):
     counts = X.citation_counts(F.col("text"))
     return _docs(spark, d).select("doc_id", *[c.alias(n) for n, c in counts.items()])
@@ -318,6 +318,9 @@ def reassemble_chunks(spark, d):
     return assemble(chunks, ["doc_id"], ["pos"], "text", " ")
 
 
+_HEADING_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(line, '(?{'i' if n in K.CASELESS_HEADINGS else ''}s)\\A(?:{p})') "
+    f"THEN '{n}'" for n, p in K.HEADING_PATTERNS.items()) + " ELSE 'none' END"
 _HEAD = ("list_extract(['Chapter ', 'PART ', 'IX. ', 'Prologue: ', 'The ', 'Chapter Two - '], "
          "CAST(doc_id % 6 AS INT) + 1) || ")
 
@@ -327,15 +330,7 @@ _HEAD = ("list_extract(['Chapter ', 'PART ', 'IX. ', 'Prologue: ', 'The ', 'Chap
         CASE WHEN doc_id % 6 < 2 THEN CAST(doc_id AS VARCHAR) || ': ' ELSE '' END ||
         {S.title('text')} AS line {DOCS}
       UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '. ' || {S.title('text')} {DOCS})
-    SELECT doc_id, line, CASE
-      WHEN regexp_matches(line, '(?is)\A(?:chapter|ch\.?)\s+(?:[\divxlcdm]+|{K.NUMBER_WORDS})')
-        THEN 'chapter'
-      WHEN regexp_matches(line, '(?is)\A(?:part|section|book)\s+(?:[\divxlcdm]+|{K.NUMBER_WORDS})')
-        THEN 'part'
-      WHEN regexp_matches(line, '(?s)\A[IVXLCDM]+\s*[.:—\-]\s*\S') THEN 'roman'
-      WHEN regexp_matches(line, '(?s)\A\d+[\s.:—\-]+\S') THEN 'number'
-      WHEN regexp_matches(line, '(?is)\A(?:{K.NAMED_SECTIONS})') THEN 'named'
-      ELSE 'none' END AS heading FROM h""")
+    SELECT doc_id, line, {_HEADING_CASE} AS heading FROM h""")
 def heading(spark, d):
     title = X.first_sentence_title(F.col("text"))
     lead = F.element_at(F.array(*[F.lit(x) for x in (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +18,8 @@ OUTPUT = (
     "book_id long, chapter_id long, cycle string, ts timestamp, event_id long, attempt_no long, "
     "failed boolean, wer double, attempts_used long, remaining long, action string, "
     "best_wer double")
+# Rows of a backlog one run of the stream should take.
+SLICE_ROWS = 5_000_000
 STATE = "attempts long, failures long, passed long, best double"
 
 
@@ -56,3 +60,19 @@ def ledger_stream(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return (ledger.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
+
+
+def time_slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, least: int = 3
+                ) -> Iterator[DataFrame]:
+    """Consecutive time ranges of a backlog, about ``rows`` rows each.
+
+    A run of the stream holds a chapter's rows of one slice in memory; slices bound that.
+    """
+    n = max(least, math.ceil(df.count() / rows))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.select(micros.alias("t")).approxQuantile(
+        "t", [i / n for i in range(1, n)], 0.5 / n)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df if low is None else df.filter(micros > F.lit(int(low)))
+        yield part if high is None else part.filter(micros <= F.lit(int(high)))

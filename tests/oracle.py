@@ -1,4 +1,4 @@
-"""Run queries next to their SQL and compare rows. Usage: python -m tests.oracle SF_DIR [names]."""
+"""Run queries next to their SQL and compare rows. Usage: python -m tests.oracle [--blocks] SF_DIR [names]."""
 
 from __future__ import annotations
 
@@ -59,10 +59,13 @@ def main() -> None:
     import __spark_entry__ as entry
     from folioscan.session import build_session
 
-    folder, only = sys.argv[1], sys.argv[2:]
+    # --blocks keeps tiny partitions apart, so that groups span several blocks.
+    blocks = "--blocks" in sys.argv
+    folder, *only = [a for a in sys.argv[1:] if a != "--blocks"]
     spark = build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false"})
+        "spark.ui.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.enabled": str(not blocks).lower()})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
