@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import html as H
 from ..functions import text as X
+from ..session import durable
 from .assemble import assemble
 from .ordered import Running, ordered
 
@@ -30,7 +31,7 @@ def group_items(items: DataFrame, toc: DataFrame) -> DataFrame:
     """Narrow rows (book, ordinal, boundary, group): a group starts at every boundary."""
     body = items.filter(~H.skip_by_name(F.col("item_name"))).select(
         "book_id", "ordinal", "item_name")
-    marked = mark_boundaries(body, toc).select("book_id", "ordinal", "boundary")
+    marked = durable(mark_boundaries(body, toc).select("book_id", "ordinal", "boundary"))
     return ordered(marked, ["book_id"], ["ordinal"]).running(
         Running("group_no", "sum", F.col("boundary").cast("int"))).result().withColumn(
         "group_no", F.col("group_no").cast("bigint"))

@@ -9,7 +9,6 @@ the offsets have at most one row per partition, which is what makes broadcasting
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -91,12 +90,11 @@ class Ordered:
         return self.rows.drop(BLOCK, _WHOLE)
 
 
-def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-            max_rows: int | None = None) -> Ordered:
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> Ordered:
     """Cut ``df`` into durable blocks along (keys, order).
 
-    The session's shuffle partitions decide how many blocks there are. ``max_rows`` asks for
-    more where blocks would be larger, for steps that hold a block in memory.
+    Range partitioning reads its input twice (once to sample); pass a durable frame where the
+    input is more than a scan.
 
     Pass narrow rows: they are shuffled and written once. The written block number stays the same
     when a lost executor forces a stage to run again.
@@ -104,12 +102,7 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     order_cols = tuple(F.col(c) if isinstance(c, str) else c for c in order)
     if not keys:
         df, keys = df.withColumn(_WHOLE, F.lit(0)), (_WHOLE,)
-    cut = [*[F.col(k) for k in keys], *order_cols]
-    if max_rows:
-        wanted = math.ceil(df.count() / max_rows)
-        if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-            cut.insert(0, wanted)
-    ranged = df.repartitionByRange(*cut)
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order_cols)
     blocks = durable(ranged.withColumn(BLOCK, F.spark_partition_id()))
     single = blocks.rdd.getNumPartitions() <= 1
     return Ordered(blocks, tuple(keys), order_cols, single)

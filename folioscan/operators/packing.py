@@ -9,20 +9,17 @@ or three rounds are usual; the result is exact after any number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed as K
 from .ordered import BLOCK, Ordered, ordered
 
-# Rows one pandas call may hold.
-BLOCK_ROWS = 1_000_000
-
 
 def _cuts(ms: np.ndarray, limit: int, carry: int) -> tuple[np.ndarray, int]:
     """Part number of each row relative to the open part, and the time left in the last part.
@@ -47,6 +44,13 @@ def _cuts(ms: np.ndarray, limit: int, carry: int) -> tuple[np.ndarray, int]:
     return part, max(carry, 0)
 
 
+def _runs(keys: pd.DataFrame) -> list[tuple[int, int]]:
+    """Start and end of each stretch of equal keys in consecutive rows."""
+    changed = (keys != keys.shift()).any(axis=1).to_numpy()
+    starts = np.flatnonzero(changed).tolist()
+    return list(zip(starts, [*starts[1:], len(keys)]))
+
+
 def pack_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], duration: str,
                max_hours: float = K.PART_HOURS) -> DataFrame:
     """Add ``part_no`` (from 1): an episode opens a new part when it would overflow this one.
@@ -56,34 +60,42 @@ def pack_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     limit = int(max_hours * 3600 * 1000)
     ms = F.floor(F.coalesce(F.greatest(F.col(duration), F.lit(0.0)), F.lit(0.0)) * 1000
                  ).cast("bigint")
-    sheet = ordered(df.withColumn("_ms", ms), keys, order, max_rows=BLOCK_ROWS)
-    carries = _settle(sheet, limit) if not sheet.single else None
-    rows, names = sheet.rows, list(sheet.keys)
+    sheet = ordered(df.withColumn("_ms", ms), keys, order)
+    rows, names = sheet.rows, [*sheet.keys, BLOCK]
+    carries = None if sheet.single else _settle(sheet, limit)
     if carries is None:
-        rows = rows.withColumn("_carry", F.lit(-1).cast("bigint")).withColumn(
-            "_parts_before", F.lit(0).cast("bigint"))
+        rows = rows.withColumns({"_carry": F.lit(-1).cast("bigint"),
+                                 "_before": F.lit(0).cast("bigint")})
     else:
-        rows = rows.join(F.broadcast(carries), [*names, BLOCK], "left").withColumns({
-            "_carry": F.coalesce("_carry", F.lit(-1)),
-            "_parts_before": F.coalesce("_parts_before", F.lit(0))})
-    # Order values become plain sortable columns for the pandas step.
-    rows = rows.withColumn("_seq", F.row_number().over(_block_order(sheet)))
-    kept = [c for c in rows.columns if c not in ("_ms", "_carry", "_parts_before", "_seq")]
+        rows = rows.join(F.broadcast(carries), names, "left").withColumns({
+            "_carry": F.coalesce("_carry", F.lit(-1)), "_before": F.coalesce(
+                "_before", F.lit(0))})
+    kept = [c for c in sheet.rows.columns if c not in ("_ms", BLOCK, "_whole")]
     schema = T.StructType([rows.schema[c] for c in kept] + [
         T.StructField("part_no", T.LongType())])
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq")
-        part, _ = _cuts(pdf["_ms"].to_numpy(), limit, int(pdf["_carry"].iloc[0]))
-        out = pdf[kept].copy()
-        out["part_no"] = part + int(pdf["_parts_before"].iloc[0]) + 1
-        return out
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Groups lie one after another; one that goes on in the next batch keeps its open part.
+        last, carry, number = None, -1, 1
+        for pdf in batches:
+            out = np.empty(len(pdf), dtype=np.int64)
+            for start, end in _runs(pdf[names]):
+                head = pdf.iloc[start]
+                key = tuple(head[n] for n in names)
+                if key != last:
+                    last, carry, number = key, int(head["_carry"]), int(head["_before"]) + 1
+                part, carry = _cuts(pdf["_ms"].to_numpy()[start:end], limit, carry)
+                out[start:end] = number + part
+                number = int(out[end - 1])
+            yield pdf[kept].assign(part_no=out)
 
-    return rows.groupBy(*names, BLOCK).applyInPandas(fill, schema).drop(BLOCK, "_whole")
+    return _in_order(rows, sheet).mapInPandas(fill, schema)
 
 
-def _block_order(sheet: Ordered) -> WindowSpec:
-    return Window.partitionBy(*sheet.keys, BLOCK).orderBy(*sheet.order)
+def _in_order(rows: DataFrame, sheet: Ordered) -> DataFrame:
+    """Every block in one task, its rows in order; tasks hold many blocks but one batch at a time."""
+    names = [*sheet.keys, BLOCK]
+    return rows.repartition(*names).sortWithinPartitions(*names, *sheet.order)
 
 
 def _settle(sheet: Ordered, limit: int) -> DataFrame | None:
@@ -92,53 +104,59 @@ def _settle(sheet: Ordered, limit: int) -> DataFrame | None:
     Works only on books that span blocks. What reaches the driver is one short row per
     (book, block) of those: at most twice the number of partitions.
     """
-    spark, names = sheet.rows.sparkSession, list(sheet.keys)
-    totals = sheet.rows.groupBy(*names, BLOCK).agg(F.sum("_ms").alias("total"))
-    spans = totals.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    chain = totals.join(F.broadcast(spans), names).orderBy(*names, BLOCK).collect()
+    spark, names = sheet.rows.sparkSession, [*sheet.keys, BLOCK]
+    totals = sheet.rows.groupBy(*names).agg(F.sum("_ms").alias("total"))
+    spans = totals.groupBy(*sheet.keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    chain = totals.join(F.broadcast(spans), list(sheet.keys)).orderBy(*names).collect()
     if not chain:
         return None
-    blocks = sheet.rows.withColumn("_seq", F.row_number().over(_block_order(sheet)))
-    key_fields = [sheet.rows.schema[k] for k in names] + [sheet.rows.schema[BLOCK]]
-    ask = T.StructType(key_fields + [T.StructField("_carry", T.LongType())])
-    reply = T.StructType(key_fields + [T.StructField("_carry", T.LongType()),
-                                       T.StructField("left", T.LongType()),
-                                       T.StructField("cuts", T.LongType())])
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq")
-        carry = int(pdf["_carry"].iloc[0])
-        part, left = _cuts(pdf["_ms"].to_numpy(), limit, carry)
-        head = pdf[names + [BLOCK]].iloc[:1].copy()
-        head["_carry"], head["left"], head["cuts"] = carry, left, int(part[-1])
-        return head
+    fields = [sheet.rows.schema[n] for n in names]
+    asks = T.StructType([*fields, T.StructField("_carry", T.LongType())])
+    replies = T.StructType([*asks.fields, T.StructField("left", T.LongType()),
+                            T.StructField("cuts", T.LongType())])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_group: dict | None = None
+        for pdf in batches:
+            done = []
+            for start, end in _runs(pdf[names]):
+                head = pdf.iloc[start]
+                key = {n: head[n] for n in names}
+                if open_group is None or any(open_group[n] != key[n] for n in names):
+                    if open_group:
+                        done.append(open_group)
+                    open_group = {**key, "_carry": int(head["_carry"]),
+                                  "left": int(head["_carry"]), "cuts": 0}
+                part, left = _cuts(pdf["_ms"].to_numpy()[start:end], limit, open_group["left"])
+                open_group["left"] = left
+                open_group["cuts"] += int(part[-1])
+            yield pd.DataFrame(done, columns=replies.names)
+        if open_group:
+            yield pd.DataFrame([open_group], columns=replies.names)
 
     known: dict[tuple, tuple[int, int]] = {}
     while True:
         asked, walk, last, carry, before = [], [], None, -1, 0
         for row in chain:
-            key, block = tuple(row[n] for n in names), row[BLOCK]
-            if key != last:
-                last, carry, before = key, -1, 0
-            walk.append((*key, block, carry, before))
+            block = tuple(row[n] for n in names)
+            if block[:-1] != last:
+                last, carry, before = block[:-1], -1, 0
+            walk.append((*block, carry, before))
             if carry >= 0 and carry + row["total"] <= limit:
                 carry += row["total"]
                 continue
-            hit = known.get((*key, block, carry))
+            hit = known.get((block, carry))
             if hit is None:
-                asked.append((*key, block, carry))
+                asked.append((*block, carry))
                 # Any earlier answer for the block is the best guess of what it leaves.
-                hit = known.get((*key, block), (carry if carry >= 0 else 0, 0))
+                hit = known.get((block, None), (max(carry, 0), 0))
             carry, before = hit[0], before + hit[1]
         if not asked:
             break
-        wanted = spark.createDataFrame(asked, ask)
-        answers = blocks.join(F.broadcast(wanted), [*names, BLOCK]).groupBy(
-            *names, BLOCK, "_carry").applyInPandas(measure, reply).collect()
-        for a in answers:
-            key = (*(a[n] for n in names), a[BLOCK])
-            known[(*key, a["_carry"])] = (a["left"], a["cuts"])
-            known[key] = (a["left"], a["cuts"])
-    schema = T.StructType(key_fields + [T.StructField("_carry", T.LongType()),
-                                        T.StructField("_parts_before", T.LongType())])
+        wanted = F.broadcast(spark.createDataFrame(asked, asks))
+        answers = _in_order(sheet.rows.join(wanted, names), sheet).mapInPandas(measure, replies)
+        for a in answers.collect():
+            block = tuple(a[n] for n in names)
+            known[block, a["_carry"]] = known[block, None] = (a["left"], a["cuts"])
+    schema = T.StructType([*asks.fields, T.StructField("_before", T.LongType())])
     return spark.createDataFrame(walk, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions.text import half_up
 from ..functions.words import expected_seconds
+from ..session import durable
 from .ordered import Running, ordered
 
 
@@ -66,8 +67,8 @@ def match_percent(matched: Column, total: Column) -> Column:
 
 def verify_report(source: DataFrame, audio: DataFrame) -> DataFrame:
     """Counts and match percentage per book; all partial sums happen before the shuffle."""
-    aligned = align(source, audio)
-    titles = aligned.groupBy("book_id").agg(
+    aligned = durable(align(source, audio))
+    found = aligned.groupBy("book_id").agg(
         F.count_if(F.col("number").isNotNull() & F.col("position").isNotNull()).alias("matched"),
         F.count_if(F.col("position").isNull()).alias("missing"),
         F.count_if(F.col("number").isNull()).alias("extra"))
@@ -78,7 +79,7 @@ def verify_report(source: DataFrame, audio: DataFrame) -> DataFrame:
     late = order_violations(aligned).groupBy("book_id").agg(
         F.count(F.lit(1)).alias("order_violations"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return counts.join(titles, "book_id", "left").join(late, "book_id", "left").select(
+    return counts.join(found, "book_id", "left").join(late, "book_id", "left").select(
         "book_id", "total_source", "total_audio", zero("matched"), zero("missing"),
         zero("extra"), zero("order_violations")).withColumns({
             "matched_in_order": F.col("matched") - F.col("order_violations"),

@@ -22,18 +22,26 @@ from .registry import query
 
 # --- shared pieces ----------------------------------------------------------------------------
 
+def chapter_facts(spark: SparkSession, d: str, parity: int | None = None) -> DataFrame:
+    """Narrow chapter rows, written once so that texts are read only once."""
+    facts = V.chapter_facts(spark, d)
+    return durable(facts if parity is None else facts.filter(F.col("doc_id") % 2 == parity))
+
+
+def source_titles(facts: DataFrame) -> DataFrame:
+    return numbered(facts.select("book_id", "doc_id", "title"), ["book_id"], ["doc_id"], "number")
+
+
+def audio_titles(spark: SparkSession, d: str, facts: DataFrame) -> DataFrame:
+    return numbered(durable(V.produced(spark, d, facts)), ["book_id"],
+                    [F.col("quality").desc(), F.col("doc_id")], "position", start=0)
+
+
 def sides(spark: SparkSession, d: str, parity: int | None = None
           ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, source titles, audio titles); facts are written once, narrow, then reused."""
-    facts = V.chapter_facts(spark, d)
-    if parity is not None:
-        facts = facts.filter(F.col("doc_id") % 2 == parity)
-    facts = durable(facts)
-    source = numbered(facts.select("book_id", "doc_id", "title"), ["book_id"], ["doc_id"],
-                      "number")
-    audio = numbered(V.produced(spark, d, facts), ["book_id"],
-                     [F.col("quality").desc(), F.col("doc_id")], "position", start=0)
-    return facts, source, audio
+    """(facts, source titles, audio titles)."""
+    facts = chapter_facts(spark, d, parity)
+    return facts, source_titles(facts), audio_titles(spark, d, facts)
 
 
 def reports(spark: SparkSession, d: str, parity: int | None = None) -> DataFrame:
@@ -111,7 +119,7 @@ def chapter_numbering(spark, d):
 
 @query("title_lookup", f"WITH {cte()} SELECT book_id, key, number, title FROM src")
 def title_lookup(spark, d):
-    return R.last_source(sides(spark, d)[1])
+    return R.last_source(source_titles(chapter_facts(spark, d)))
 
 
 @query("missing_chapters", f"""
@@ -141,14 +149,15 @@ def matched_chapters(spark, d):
       position AS actual_position FROM late""")
 def order_violations(spark, d):
     _, source, audio = sides(spark, d)
-    return R.order_violations(R.align(source, audio))
+    return R.order_violations(durable(R.align(source, audio)))
 
 
 @query("title_except", f"""
     WITH {cte()} SELECT book_id, lower(title) AS key FROM facts
     EXCEPT SELECT book_id, lower(title) AS key FROM audio""")
 def title_except(spark, d):
-    _, source, audio = sides(spark, d)
+    facts = chapter_facts(spark, d)
+    source, audio = facts, V.produced(spark, d, facts)
     return R.titles(source).subtract(R.titles(audio))
 
 
@@ -156,7 +165,8 @@ def title_except(spark, d):
     WITH {cte()} SELECT book_id, lower(title) AS key FROM facts
     INTERSECT SELECT book_id, lower(title) AS key FROM audio""")
 def title_intersect(spark, d):
-    _, source, audio = sides(spark, d)
+    facts = chapter_facts(spark, d)
+    source, audio = facts, V.produced(spark, d, facts)
     return R.titles(source).intersect(R.titles(audio))
 
 
@@ -185,7 +195,7 @@ def verify_report(spark, d):
 @query("duration_hint", f"""
     WITH {FULL} SELECT book_id, word_count, actual_s, expected_s, ratio FROM rep""")
 def duration_hint(spark, d):
-    facts = durable(V.chapter_facts(spark, d))
+    facts = chapter_facts(spark, d)
     return R.duration_hints(facts, V.produced(spark, d, facts)).select(
         "book_id", "word_count", "actual_s", "expected_s", "ratio")
 
@@ -216,7 +226,7 @@ def duration_class(spark, d):
     SELECT book_id, doc_id, n_words, duration_s, expected_s, duration_s / expected_s AS ratio,
       duration_s / expected_s >= 0.7 AS is_ok FROM c""")
 def chapter_duration_check(spark, d):
-    facts = durable(V.chapter_facts(spark, d))
+    facts = chapter_facts(spark, d)
     audio = V.produced(spark, d, facts).select("doc_id", "duration_s")
     rows = facts.select("book_id", "doc_id", "n_words").join(audio, "doc_id")
     return R.chapter_duration_check(rows, "n_words", "duration_s")
@@ -296,7 +306,7 @@ def match_summary_rollup(spark, d):
     WITH {FULL} SELECT book_id, ratio, row_number() OVER (ORDER BY ratio, book_id) AS rank
     FROM rep""")
 def rank_worst(spark, d):
-    facts = durable(V.chapter_facts(spark, d))
+    facts = chapter_facts(spark, d)
     ratios = R.duration_hints(facts, V.produced(spark, d, facts)).select("book_id", "ratio")
     return numbered(ratios, [], ["ratio", "book_id"], "rank")
 
@@ -306,7 +316,7 @@ def rank_worst(spark, d):
       WHEN ratio < 0.45 THEN 'POOR' WHEN ratio < 0.60 THEN 'ACCEPTABLE' ELSE 'GOOD' END AS band
     FROM rep ORDER BY ratio, book_id LIMIT 5""")
 def top_worst(spark, d):
-    facts = durable(V.chapter_facts(spark, d))
+    facts = chapter_facts(spark, d)
     ratios = R.duration_hints(facts, V.produced(spark, d, facts))
     return L.worst(ratios.select("book_id", "ratio")).withColumn(
         "band", L.ratio_band(F.col("ratio")))
@@ -323,12 +333,19 @@ def limit_per_book(spark, d):
 
 # --- runs -------------------------------------------------------------------------------------
 
+def run_names(spark, d, parity):
+    """Books of one run in name order, which is the order its file lists them in."""
+    docs = V.read(spark, d, "documents").filter(F.col("doc_id") % 2 == parity)
+    names = docs.select(F.col("source").alias("name")).distinct()
+    return numbered(names, [], ["name"], "pos")
+
+
 def run_rows(spark, d, parity):
-    """Report rows of one run in name order, which is the order its file lists them in."""
+    """Report rows of one run with their place in its file."""
     rows = reports(spark, d, parity).select(
         F.col("book_id").alias("source"), "status", "ratio", "matched", "total_source",
         "issues_count")
-    return numbered(durable(rows), [], ["source"], "pos")
+    return rows.join(run_names(spark, d, parity).withColumnRenamed("name", "source"), "source")
 
 
 _RUNS = f"""{cte(0, 'a_')}, {report_cte('a_')}, {cte(1, 'b_')}, {report_cte('b_')},
@@ -352,16 +369,12 @@ _RUNS = f"""{cte(0, 'a_')}, {report_cte('a_')}, {cte(1, 'b_')}, {report_cte('b_'
 @query("fuzzy_match_runs", f"""
     WITH {_RUNS} SELECT book_id AS name, bpos AS pos FROM hit""")
 def fuzzy_match_runs(spark, d):
-    def names(parity):
-        docs = V.read(spark, d, "documents").filter(F.col("doc_id") % 2 == parity)
-        return docs.select(F.col("source").alias("name")).distinct()
-
-    return L.fuzzy_match(names(0), numbered(names(1), [], ["name"], "pos"))
+    return L.fuzzy_match(run_names(spark, d, 0).select("name"), run_names(spark, d, 1))
 
 
 @query("compare_runs", f"WITH {_RUNS} SELECT * FROM cmp")
 def compare_runs(spark, d):
-    return L.compare_runs(run_rows(spark, d, 0), run_rows(spark, d, 1)).orderBy(
+    return L.compare_runs(durable(run_rows(spark, d, 0)), durable(run_rows(spark, d, 1))).orderBy(
         F.col("ratio_improvement_percent").desc(), "pos")
 
 
@@ -383,7 +396,8 @@ def compare_runs(spark, d):
       (SELECT source FROM cmp ORDER BY ratio_improvement_percent, pos LIMIT 1)
         AS worst_regression_book FROM cmp""")
 def compare_summary(spark, d):
-    return L.compare_summary(L.compare_runs(run_rows(spark, d, 0), run_rows(spark, d, 1)))
+    return L.compare_summary(L.compare_runs(
+        durable(run_rows(spark, d, 0)), durable(run_rows(spark, d, 1))))
 
 
 # --- scripts against sources --------------------------------------------------------------------

@@ -49,16 +49,18 @@ def _script_store(spark, d) -> str:
         F.concat(F.lit("notes_"), number, F.lit(".txt")))
     path = fresh_path(spark, "scripts")
     rows = V.turns(spark, d).filter("role in ('assistant', 'system')").select(
-        F.col("conv_id").alias("book"), name.alias("file"), F.col("text").alias("value"))
+        F.concat(F.lit("book"), "conv_id", F.lit("_"), name).alias("file"),
+        F.col("text").alias("value"))
     # Rows of a file meet in one task, so every file is written once.
-    rows.repartition("book", "file").write.partitionBy("book", "file").text(path)
+    rows.repartition("file").write.partitionBy("file").text(path)
     return path
 
 
 def _saved(spark, d):
     texts = FS.read_texts(spark, _script_store(spark, d), "part-*")
     return texts.select(
-        F.regexp_extract("path", r"book=(\d+)/", 1).cast("bigint").alias("book_id"),
+        F.regexp_extract("path", r"file=book(\d+)_", 1).cast("bigint").alias("book_id"),
+        F.regexp_extract("path", r"file=book\d+_([^/]*)/", 1).alias("name"),
         "path", F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
@@ -69,7 +71,7 @@ def _saved(spark, d):
     FROM conversations WHERE role IN ('assistant', 'system')""")
 def scan_text_files(spark, d):
     return _saved(spark, d).select(
-        "book_id", F.regexp_extract("path", "file=([^/]*)/", 1).alias("name"), "text")
+        "book_id", "name", "text")
 
 
 @query("scan_scripts", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,30 +27,29 @@ STATE = "attempts long, failures long, passed long, best double"
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
     """One chapter and cycle: attempts of a micro-batch in time order after those before it."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-    n0, fail0, pass0, best0 = state.get if state.exists else (0, 0, 0, float("inf"))
-    failed = rows["failed"].astype("int64")
-    after = fail0 + failed.cumsum()
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    at = np.lexsort((rows["event_id"].to_numpy(), rows["ts"].to_numpy()))
+    column = {c: rows[c].to_numpy()[at] for c in ("ts", "event_id", "failed", "wer")}
+    n0, fail0, pass0, best0 = state.get if state.exists else (0, 0, 0, np.inf)
+    failed = column["failed"].astype(bool)
+    after = fail0 + np.cumsum(failed)
     before = after - failed
-    good_again = ((failed == 0) & (before > 0)).astype("int64")
-    passed_before = pass0 + good_again.cumsum() - good_again
-    once = key[2] == K.CYCLES[2]
-    resolved = (good_again == 1) & (
-        ((before <= K.BUDGET) & (passed_before == 0)) if once else True)
-
-    action = pd.Series("pass", index=rows.index)
-    action[resolved] = "resolved"
-    action[(failed == 1) & (before < K.BUDGET)] = "retry"
-    action[(failed == 1) & (before == K.BUDGET)] = "exhausted"
-    action[(failed == 1) & (before > K.BUDGET)] = "beyond_budget"
-    best = rows["wer"].cummin().clip(upper=best0)
-    used = after.clip(upper=K.BUDGET)
-    state.update((int(n0 + len(rows)), int(after.iloc[-1]),
-                  int(pass0 + good_again.sum()), float(best.iloc[-1])))
+    good_again = ~failed & (before > 0)
+    passed = pass0 + np.cumsum(good_again)
+    resolved = good_again
+    if key[2] == K.CYCLES[2]:
+        resolved = good_again & (before <= K.BUDGET) & (passed - good_again == 0)
+    action = np.select(
+        [failed & (before < K.BUDGET), failed & (before == K.BUDGET), failed, resolved],
+        ["retry", "exhausted", "beyond_budget", "resolved"], "pass")
+    best = np.minimum(np.minimum.accumulate(column["wer"]), best0)
+    used = np.minimum(after, K.BUDGET)
+    state.update((int(n0 + len(at)), int(after[-1]), int(passed[-1]), float(best[-1])))
     yield pd.DataFrame({
-        "book_id": key[0], "chapter_id": key[1], "cycle": key[2], "ts": rows["ts"],
-        "event_id": rows["event_id"], "attempt_no": n0 + rows.index + 1,
-        "failed": rows["failed"], "wer": rows["wer"], "attempts_used": used,
+        "book_id": key[0], "chapter_id": key[1], "cycle": key[2], "ts": column["ts"],
+        "event_id": column["event_id"], "attempt_no": n0 + 1 + np.arange(len(at)),
+        "failed": failed, "wer": column["wer"], "attempts_used": used,
         "remaining": K.BUDGET - used, "action": action, "best_wer": best})
 
 
