@@ -33,9 +33,8 @@ def _cuts(ms: np.ndarray, limit: int, carry: int) -> tuple[np.ndarray, int]:
     opened = carry >= 0
     while at < n:
         end = int(np.searchsorted(total, total[at] + room, side="right")) - 1
-        if not opened:
-            end = max(end, at + 1)
-        end = min(end, n)
+        # A new part takes its first row whatever its size; an overfull open part takes none.
+        end = min(max(end, at if opened else at + 1), n)
         part[at:end] = number
         if end == n:
             base = (limit - room) + int(total[n] - total[at])

@@ -93,9 +93,11 @@ def marker_rows(offsets: DataFrame, title: Column) -> DataFrame:
 
 
 def write_markers(rows: DataFrame, path: str) -> None:
-    rows.repartitionByRange("book_id", "block_no").sortWithinPartitions(
-        "book_id", "block_no").write.mode("overwrite").partitionBy("book_id").option(
-        "lineSep", "").text(path)
+    """One folder per book; its files in name order, line after line, are the marker file."""
+    lines = rows.withColumn("block", F.regexp_replace("block", r"\n\z", ""))
+    lines.repartitionByRange("book_id", "block_no").sortWithinPartitions(
+        "book_id", "block_no").select("book_id", "block").write.mode("overwrite").partitionBy(
+        "book_id").text(path)
 
 
 def write_reports(reports: DataFrame, path: str, by: str | None = None) -> None:

@@ -1,4 +1,4 @@
-"""Run queries next to their SQL and compare rows. Usage: python -m tests.oracle [--blocks] SF_DIR [names]."""
+"""Run queries next to their SQL and compare rows. Usage: python -m tests.oracle [--blocks | --plain] SF_DIR [names]."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import time
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -60,9 +61,11 @@ def main() -> None:
     from folioscan.session import build_session
 
     # --blocks keeps tiny partitions apart, so that groups span several blocks.
-    blocks = "--blocks" in sys.argv
-    folder, *only = [a for a in sys.argv[1:] if a != "--blocks"]
-    spark = build_session("oracle", "local[8]", **{
+    # --plain takes the session as Spark makes it.
+    blocks, bare = "--blocks" in sys.argv, "--plain" in sys.argv
+    folder, *only = [a for a in sys.argv[1:] if not a.startswith("--")]
+    spark = SparkSession.builder.master("local[8]").config(
+        "spark.ui.enabled", "false").getOrCreate() if bare else build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.sql.adaptive.coalescePartitions.enabled": str(not blocks).lower()})
