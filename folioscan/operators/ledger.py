@@ -113,7 +113,7 @@ def flag_details(cycles: Column) -> Column:
 
 
 def quality_report(chapters: DataFrame) -> DataFrame:
-    """Report documents: one JSON per chapter and one summary per book (``chapter_id`` null).
+    """Report documents per book: entry ``chapter_n`` for each chapter and one ``summary``.
 
     A book's report is a set of rows, not one value, so a book may have any number of chapters.
     """
@@ -127,7 +127,8 @@ def quality_report(chapters: DataFrame) -> DataFrame:
                  F.lit(False).alias("exhausted"), e["resolved"].alias("times"))),
         lambda f: f["times"] > 0)))
     flags = F.transform(flags, lambda f: f.dropFields("times"))
-    chapter_rows = chapters.select("book_id", "chapter_id", F.to_json(F.struct(
+    chapter_rows = chapters.select("book_id", F.concat(
+        F.lit("chapter_"), "chapter_id").alias("entry"), F.to_json(F.struct(
         "verdict", used.alias("attempts_used"),
         F.floor(F.col("best_wer") * 10000 + 0.5).cast("bigint").alias("best_wer_e4"),
         flags.alias("flags"))).alias("report"))
@@ -136,10 +137,9 @@ def quality_report(chapters: DataFrame) -> DataFrame:
         F.count_if(F.col("verdict") == "clean").alias("clean"),
         F.count_if(F.col("verdict") == "flagged").alias("flagged"),
         F.count_if(F.col("verdict") == "unrecoverable").alias("unrecoverable"),
-    ).select("book_id", F.lit(None).cast(chapters.schema["chapter_id"].dataType)
-             .alias("chapter_id"),
-             F.to_json(F.struct("chapters_expected", F.struct(
-                 "clean", "flagged", "unrecoverable").alias("verdict_counts"))).alias("report"))
+    ).select("book_id", F.lit("summary").alias("entry"), F.to_json(F.struct(
+        "chapters_expected", F.struct("clean", "flagged", "unrecoverable")
+        .alias("verdict_counts"))).alias("report"))
     return chapter_rows.unionByName(book_rows)
 
 

@@ -157,11 +157,11 @@ def flag_details(spark, d):
           '","reason":"passed after retry","exhausted":false}}' ELSE '' END])),
         lambda f: length(f) > 0), ','), '') AS flags
       FROM ver LEFT JOIN lst USING (book_id, chapter_id))
-    SELECT book_id, chapter_id, '{{"verdict":"' || verdict || '","attempts_used":{{' || used || '}}'
+    SELECT book_id, 'chapter_' || chapter_id AS entry, '{{"verdict":"' || verdict || '","attempts_used":{{' || used || '}}'
       || CASE WHEN best_wer IS NULL THEN '' ELSE ',"best_wer_e4":' ||
         CAST(floor(best_wer * 10000 + 0.5) AS BIGINT) END || ',"flags":[' || flags || ']}}'
       AS report FROM j
-    UNION ALL SELECT book_id, NULL, '{{"chapters_expected":' || count(*) ||
+    UNION ALL SELECT book_id, 'summary', '{{"chapters_expected":' || count(*) ||
       ',"verdict_counts":{{"clean":' || count(*) FILTER (WHERE verdict = 'clean') ||
       ',"flagged":' || count(*) FILTER (WHERE verdict = 'flagged') ||
       ',"unrecoverable":' || count(*) FILTER (WHERE verdict = 'unrecoverable') || '}}}}'

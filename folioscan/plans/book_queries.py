@@ -554,9 +554,10 @@ def multipart_index(spark, d):
         END AS name, o_orderkey FROM orders),
     g AS (SELECT dir, name, TRY_CAST(nullif(regexp_extract(name, '(?i)_part(\d+)\.[^.]*$', 1), '')
         AS BIGINT) AS part_no FROM f)
-    SELECT dir, name, part_no, CASE WHEN part_no IS NULL THEN name ELSE 'book.m4b' END AS grp,
-      row_number() OVER (PARTITION BY dir, CASE WHEN part_no IS NULL THEN name ELSE 'book.m4b' END
-        ORDER BY part_no, name) AS part_index FROM g""")
+    SELECT dir, name, coalesce(part_no, 0) AS part_no, part_no IS NOT NULL AS multipart,
+      CASE WHEN part_no IS NULL THEN name ELSE 'book.m4b' END AS grp,
+      row_number() OVER (PARTITION BY dir, CASE WHEN part_no IS NULL THEN name ELSE 'book.m4b' END,
+        part_no IS NULL ORDER BY part_no, name) AS part_index FROM g""")
 def multipart_group(spark, d):
     return FS.multipart_files(V.output_files(spark, d))
 

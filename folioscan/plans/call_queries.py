@@ -31,7 +31,7 @@ _DIM = "(VALUES " + ", ".join(
     WITH q AS (SELECT conv_id, turn, {_TASK_SQL.format('conv_id')} AS task,
         CASE turn % 4 WHEN 1 THEN text WHEN 3 THEN CASE WHEN conv_id % 9 = 0 THEN '  ' END END
         AS prompt_file FROM conversations)
-    SELECT conv_id, turn, task, requires_llm, CAST(temperature AS DOUBLE) AS temperature,
+    SELECT conv_id, turn, task, coalesce(requires_llm, false) AS requires_llm, CAST(temperature AS DOUBLE) AS temperature,
       coalesce(nullif({S.strip('prompt_file')}, ''), prompt) AS resolved_prompt,
       CASE WHEN prompt_file IS NOT NULL AND nullif({S.strip('prompt_file')}, '') IS NULL
           THEN 'empty prompt file'
@@ -45,7 +45,7 @@ def task_routing(spark, d):
         F.when(turn == 1, F.col("text")).when(
             (turn == 3) & (F.col("conv_id") % 9 == 0), "  ").alias("prompt_file"))
     return R.route_tasks(asked, V.tasks(spark)).select(
-        "conv_id", "turn", "task", "requires_llm",
+        "conv_id", "turn", "task", F.coalesce("requires_llm", F.lit(False)).alias("requires_llm"),
         F.try_element_at("llm_params", F.lit("temperature")).alias("temperature"),
         "resolved_prompt", "error")
 

@@ -118,12 +118,13 @@ def decode_bytes(raw: Column) -> tuple[Column, Column]:
 
 
 def multipart_files(files: DataFrame) -> DataFrame:
-    """Files (dir, name) with their part group, part number and index in the group."""
+    """Files (dir, name) with their part group, part number (0: not a part) and index in it."""
     stem = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
     part = F.regexp_extract("name", r"(?i)_part(\d+)\.[^.]*$", 1).try_cast("bigint")
     marked = files.withColumns({
-        "part_no": part,
+        "part_no": F.coalesce(part, F.lit(0).cast("bigint")),
+        "multipart": part.isNotNull(),
         "grp": F.when(part.isNotNull(), F.lower(F.concat(
             F.regexp_replace(stem, r"(?i)_part\d+$", ""),
             F.regexp_extract("name", r"(\.[^.]*)$", 1)))).otherwise(F.col("name"))})
-    return numbered(marked, ["dir", "grp"], ["part_no", "name"], "part_index")
+    return numbered(marked, ["dir", "grp", "multipart"], ["part_no", "name"], "part_index")

@@ -62,7 +62,7 @@ def ledger_stream(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQu
             .trigger(availableNow=True).start())
 
 
-def time_slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, least: int = 3
+def time_slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, least: int = 2
                 ) -> Iterator[DataFrame]:
     """Consecutive time ranges of a backlog, about ``rows`` rows each.
 

@@ -111,12 +111,12 @@ def test_quality_report(spark):
     df = attempts(spark, {(1, L.K.CYCLES[0]): [True, False], (1, L.K.CYCLES[2]): [True] * 4,
                           (2, L.K.CYCLES[1]): [False]})
     rows = L.quality_report(L.per_chapter(L.cycle_summary(L.retry_ledger(df)))).collect()
-    docs = {r.chapter_id: json.loads(r.report) for r in rows}
-    assert docs[None] == {"chapters_expected": 2, "verdict_counts": {
+    docs = {r.entry: json.loads(r.report) for r in rows}
+    assert docs["summary"] == {"chapters_expected": 2, "verdict_counts": {
         "clean": 1, "flagged": 0, "unrecoverable": 1}}
-    assert list(docs[1]["attempts_used"].items()) == [(L.K.CYCLES[0], 1), (L.K.CYCLES[2], 3)]
-    assert [f["exhausted"] for f in docs[1]["flags"]] == [False, True]
-    assert docs[2]["flags"] == [] and docs[2]["attempts_used"] == {}
+    assert list(docs["chapter_1"]["attempts_used"].items()) == [(L.K.CYCLES[0], 1), (L.K.CYCLES[2], 3)]
+    assert [f["exhausted"] for f in docs["chapter_1"]["flags"]] == [False, True]
+    assert docs["chapter_2"]["flags"] == [] and docs["chapter_2"]["attempts_used"] == {}
 
 
 def test_failure_streaks(spark):
