@@ -24,16 +24,18 @@ def retry_ledger(attempts: DataFrame, keys: Sequence[str] = ATTEMPT_KEYS,
     two cycles at every such pass.
     """
     failed, before = F.col("failed"), F.col("failed_before")
+    place = F.struct(*order)
     run = ordered(attempts, keys, order).running(
         Running("attempt_no", "count"),
         Running("failed_before", "sum", failed.cast("int"), before=True),
         Running("best_wer", "min", F.col("wer")),
-    ).running(
-        Running("passed_before", "sum", (~failed & (before > 0)).cast("int"), before=True),
+        Running("first_failure", "min", F.when(failed, place)),
+        Running("last_pass", "max", F.when(~failed, place), before=True),
     ).result()
+    # No pass yet since the first failure.
+    first_return = F.coalesce(F.col("last_pass") < F.col("first_failure"), F.lit(True))
     once = F.col("cycle") == K.CYCLES[2]
-    resolved = ~failed & (before > 0) & (
-        ~once | ((before <= budget) & (F.col("passed_before") == 0)))
+    resolved = ~failed & (before > 0) & (~once | ((before <= budget) & first_return))
     action = (
         F.when(failed & (before < budget), "retry")
         .when(failed & (before == budget), "exhausted")
