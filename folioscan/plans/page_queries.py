@@ -26,7 +26,8 @@ SKIPPED = "regexp_matches({}, '" + "|".join(K.SKIP_NAME_TOKENS) + "')"
 def _entities(x: str) -> str:
     """Decode the references that occur in the pages, "&amp;" last."""
     c = f"replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
-    return rf"replace(regexp_replace({c}, '&amp\z', '&'), '&amp;', '&')"
+    # A reference cut off before its semicolon still counts.
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
 
 
 def _nodes(x: str) -> str:
