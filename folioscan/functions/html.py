@@ -1,42 +1,86 @@
 """Column expressions over chapter HTML: visible text, links, titles, page kinds.
 
-Tags are handled by regular expressions inside the JVM. Only the distinct character references
-of a page ("&eacute;", "&#8212;") travel to Python, never the page itself.
+Tags and character references ("&eacute;", "&#8212;") are handled by expressions inside the JVM.
 """
 
 from __future__ import annotations
 
-import html as _html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixed as K
-from .text import squeeze, strip, word_count
+from .text import let, squeeze, strip, word_count
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<[!?][^>]*>"
 TAG = r"<[^>]*>"
 NO_TAG_NAME = r"[^<]*(?:<(?!/?(?:{names})\b)[^<]*)*"
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _decode_references(found: pd.Series) -> pd.Series:
-    # Longest first, and those that yield "&" last, so no replacement feeds another one.
-    def decode(tokens):
-        pairs = [(t, _html.unescape(t)) for t in (() if tokens is None else tokens)]
-        pairs = [(t, d) for t, d in pairs if t != d]
-        return dict(sorted(pairs, key=lambda p: ("&" in p[1], -len(p[0]))))
-
-    return found.map(decode)
+def _table(entries: dict) -> Column:
+    """A lookup table as one constant."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _misused_codes() -> dict[str, str]:
+    """Numbers that stand for another character: null, and the Windows-1252 block."""
+    table = {"0": "\ufffd", "13": "\r"}
+    for code in range(0x80, 0xA0):
+        try:
+            table[str(code)] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            table[str(code)] = chr(code)
+    return table
+
+
+def _numbered(name: Column) -> Column:
+    """Text of a numeric reference (``#65;`` or ``#x41;``) and whatever follows its digits."""
+    form = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
+    hexadecimal, decimal = (F.regexp_extract(name, form, i) for i in (1, 2))
+    code = F.when(hexadecimal != "", F.conv(F.right(hexadecimal, F.lit(8)), 16, 10)).otherwise(
+        F.right(decimal, F.lit(18))).try_cast("bigint")
+    huge = (F.length(F.ltrim(hexadecimal, F.lit("0"))) > 8) | (
+        F.length(F.ltrim(decimal, F.lit("0"))) > 18) | (code > 0x10FFFF)
+    no_text = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+               | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE))
+    char = (F.when(huge | code.between(0xD800, 0xDFFF), "\ufffd")
+            .when(F.map_contains_key(_table(_misused_codes()), code.cast("string")),
+                  F.try_element_at(_table(_misused_codes()), code.cast("string")))
+            .when(no_text, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    return F.concat(char, F.regexp_replace(name, form, ""))
+
+
+def _named(name: Column) -> Column:
+    """Text of a named reference; an unknown name may still begin with a known short one."""
+    known = _table(html5)
+    sizes = F.sequence(F.length(name), F.lit(1), F.lit(-1))
+    hits = F.filter(sizes, lambda k: F.map_contains_key(known, F.left(name, k)))
+    longest = F.try_element_at(hits, F.lit(1))
+    return F.concat(F.try_element_at(known, F.left(name, longest)),
+                    F.substring(name, longest + 1, F.length(name)))
 
 
 def decode_references(c: Column) -> Column:
     """Replace HTML character references by the characters they stand for."""
-    tokens = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&[#\w]+;?"), F.lit(0)))
-    table = F.map_entries(_decode_references(tokens))
-    return F.aggregate(table, c, lambda text, e: F.replace(text, e["key"], e["value"]))
+    def decoded(token: Column) -> Column:
+        name = F.substring(token, F.lit(2), F.length(token))
+        value = F.coalesce(F.when(name.rlike(r"^#[xX]?[0-9a-fA-F]"), _numbered(name)),
+                           F.when(~name.startswith("#"), _named(name)), token)
+        # Longest first, and those that yield "&" last, so no replacement feeds another one.
+        return let(value, lambda v: F.struct(
+            v.contains("&").alias("late"), (-F.length(token)).alias("size"),
+            token.alias("token"), v.alias("value")))
+
+    def replaced(text: Column) -> Column:
+        tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&[#\w]+;?"), F.lit(0)))
+        table = F.filter(F.transform(tokens, decoded), lambda e: e["token"] != e["value"])
+        return F.aggregate(F.array_sort(table), text,
+                           lambda t, e: F.replace(t, e["token"], e["value"]))
+
+    return let(c, lambda text: F.when(text.contains("&"), replaced(text)).otherwise(text))
 
 
 def _nodes(c: Column) -> Column:

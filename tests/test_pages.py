@@ -1,3 +1,7 @@
+import html
+import random
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +22,16 @@ def test_visible_text(many):
         "T A & B x y", "<b> stays &lt; and — é&unknown;", "plain", ""]
 
 
+def test_references_as_the_standard_has_them(many):
+    rnd = random.Random(2)
+    names = rnd.sample(sorted(html5), 300)
+    samples = [f"a &{n} b" for n in names] + [f"&{n}x1;" for n in names[:60]] + [
+        f"&#{c};&#x{c:x}; &#{c}z" for c in (0, 1, 9, 10, 13, 65, 128, 150, 129, 0xD800, 0xFDD0,
+                                            0xFFFF, 0x1F600, 0x110000, 10 ** 30)] + [
+        "&&amp;&amp;lt; & &; &#; &#x; &notit; &copy2026 &AMP", "no reference"]
+    assert many(H.decode_references, samples) == [html.unescape(t) for t in samples]
+
+
 def test_other_rungs(one):
     page = "<style>x</style><p>a&amp;b</p><script>no</script><p>c</p>"
     assert one(H.without_scripts, h=page) == "a&bc"
