@@ -16,7 +16,8 @@ from .text import let, squeeze, strip, word_count
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<[!?][^>]*>"
 TAG = r"<[^>]*>"
-NO_TAG_NAME = r"[^<]*(?:<(?!/?(?:{names})\b)[^<]*)*"
+# Possessive, which Java matches in a loop: a leaf may hold any number of inline tags.
+NO_TAG_NAME = r"[^<]*+(?:<(?!/?(?:{names})\b)[^<]*+)*+"
 
 
 def _table(entries: dict) -> Column:

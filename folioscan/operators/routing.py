@@ -11,6 +11,7 @@ from ..functions import fixed as K
 from ..functions.segment import batches, sentence_pipeline
 from ..functions.text import strip
 from .ordered import numbered
+from .skew import lookup
 
 
 def source_type(path: Column) -> Column:
@@ -55,7 +56,7 @@ def distinct_calls(requests: DataFrame) -> DataFrame:
 
 def answer_calls(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers back on every request; the prompt itself where none is needed or none came."""
-    out = requests.join(answers, ["prompt", "language"], "left")
+    out = lookup(requests, answers, ["prompt", "language"])
     return out.withColumn("translated", F.coalesce(
         F.nullif(F.col("answer"), F.lit("")), F.col("prompt"))).drop("answer")
 

@@ -12,6 +12,7 @@ from ..functions.text import spoken_words
 from ..operators import fidelity as Fi
 from ..operators import ledger as L
 from ..operators.ordered import Running, numbered, ordered
+from ..operators.skew import lookup
 from ..sources import tables as V
 from . import sql as S
 from .book_queries import _SCRIPTS, numbered_scripts
@@ -251,8 +252,9 @@ def judge_verdict(spark, d):
     FROM sc LEFT JOIN ch ON sc.book_id = ch.book_id AND sc.number = ch.number""")
 def judge_prompt(spark, d):
     docs = V.chapters(spark, d)
+    # The judge sees the beginning only, so only that is shuffled.
     source = numbered(docs.select("book_id", "doc_id"), ["book_id"], ["doc_id"], "number").join(
-        docs.select("doc_id", "text"), "doc_id")
+        docs.select("doc_id", F.left("text", F.lit(K.JUDGE_SOURCE_CHARS)).alias("text")), "doc_id")
     scripts = numbered_scripts(spark, d).join(V.turns(spark, d, "assistant").select(
         "conv_id", "turn", F.col("text").alias("script")), ["conv_id", "turn"])
     return scripts.join(source, ["book_id", "number"], "left").select(
@@ -272,11 +274,12 @@ def script_validity(spark, d):
     left = _cycles(spark, d).filter(F.col("cycle") == K.CYCLES[1]).select(
         F.col("chapter_id").alias("conv_id"), (F.lit(K.BUDGET) - F.col("attempts_used"))
         .alias("remaining"))
-    scripts = V.turns(spark, d, "assistant").join(left, "conv_id", "left").withColumns({
-        "n_words": X.word_count(F.col("text")),
-        "remaining": F.coalesce("remaining", F.lit(K.BUDGET)).cast("bigint"),
-        "verdict": L.judge_verdict(_reply())[0]})
-    return scripts.select("conv_id", "turn", "n_words", "remaining", L.script_decision(
+    scripts = V.turns(spark, d, "assistant").select(
+        "conv_id", "turn", X.word_count(F.col("text")).alias("n_words"),
+        L.judge_verdict(_reply())[0].alias("verdict"))
+    judged = lookup(scripts, left, ["conv_id"]).withColumn(
+        "remaining", F.coalesce("remaining", F.lit(K.BUDGET)).cast("bigint"))
+    return judged.select("conv_id", "turn", "n_words", "remaining", L.script_decision(
         F.col("n_words"), F.col("verdict"), F.col("remaining")).alias("decision"))
 
 

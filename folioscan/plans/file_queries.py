@@ -97,7 +97,8 @@ def chapter_titles_json(spark, d):
 
 
 @query("save_chapter_titles", """
-    SELECT doc_id, to_json(string_split(text, chr(10))) AS titles FROM documents""")
+    SELECT doc_id, CAST(to_json(string_split(text, chr(10))) AS VARCHAR) AS titles
+    FROM documents""")
 def save_chapter_titles(spark, d):
     lines = V.chapters(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias(
         "pos", "title"))

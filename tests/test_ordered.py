@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioscan.operators.assemble import assemble
 from folioscan.operators.ordered import BLOCK, Running, numbered, ordered
 from folioscan.operators.packing import pack_parts
+from folioscan.operators.skew import lookup
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +126,14 @@ def test_assemble_cuts_what_one_value_cannot_hold(spark):
     assert "-".join(r.t for r in big) == "-".join(f"piece{i:03d}" for i in range(200))
     whole = assemble(df, ["k"], ["n"], "t", "-").collect()
     assert {r.k: r.n_pieces for r in whole} == {"big": 200, "small": 2}
+
+
+def test_lookup_takes_hot_keys_aside(spark):
+    rows = [("hot" if i % 3 else f"k{i}", i) for i in range(6000)] + [(None, -1)]
+    left = spark.createDataFrame(rows, "k string, n int").repartition(4)
+    right = spark.createDataFrame([(k, k + "!") for k in ["hot", "k0", "k3", "zz"]],
+                                  "k string, v string")
+    split = lookup(left, right, ["k"], plain_rows=0)
+    assert sorted(split.collect(), key=lambda r: r.n) == sorted(
+        left.join(right, "k", "left").collect(), key=lambda r: r.n)
+    assert "Union" in split._jdf.queryExecution().optimizedPlan().toString()

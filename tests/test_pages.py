@@ -54,6 +54,11 @@ def test_title(one, page, title, how):
     assert one(lambda h: F.struct(*H.infer_title(h)), h=page)[:] == (title, how)
 
 
+def test_title_after_very_many_inline_tags(one):
+    page = "<body><p>" + "x<br>" * 50_000 + ".</p><p>A quiet house</p></body>"
+    assert one(lambda h: H.infer_title(h)[0], h=page) == "A quiet house"
+
+
 def test_headings(many):
     lines = ["Chapter One: x", "ch. 7", "PART iv", "I wore a hat", "IV. The Storm", "12 - Twelve",
              "Prologue", "The end", "12"]
