@@ -1,7 +1,7 @@
 """Greedy packing of ordered episodes into parts of bounded duration, for books of any size.
 
-Where a part starts depends on everything before it in the book. Books inside one block are
-packed in one go. A book over several blocks is packed block by block in parallel from a guessed
+Where a part starts depends on everything before it in the book. Ordinary books are packed in one
+go, batch after batch. A hot book, cut into blocks, is packed block by block in parallel from a guessed
 carry (time already in the open part); guesses are corrected until every block's carry equals
 what the block before it really leaves. Most blocks forget their carry at the first cut, so two
 or three rounds are usual; the result is exact after any number.
@@ -60,8 +60,8 @@ def pack_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     ms = F.floor(F.coalesce(F.greatest(F.col(duration), F.lit(0.0)), F.lit(0.0)) * 1000
                  ).cast("bigint")
     sheet = ordered(df.withColumn("_ms", ms), keys, order)
-    rows, names = sheet.rows, [*sheet.keys, BLOCK]
-    carries = None if sheet.single else _settle(sheet, limit)
+    rows, names = sheet.rows(), [*sheet.keys, BLOCK]
+    carries = None if sheet.blocks is None else _settle(sheet, limit)
     if carries is None:
         rows = rows.withColumns({"_carry": F.lit(-1).cast("bigint"),
                                  "_before": F.lit(0).cast("bigint")})
@@ -69,7 +69,7 @@ def pack_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
         rows = rows.join(F.broadcast(carries), names, "left").withColumns({
             "_carry": F.coalesce("_carry", F.lit(-1)), "_before": F.coalesce(
                 "_before", F.lit(0))})
-    kept = [c for c in sheet.rows.columns if c not in ("_ms", BLOCK, "_whole")]
+    kept = [c for c in df.columns if c != "_ms"]
     schema = T.StructType([rows.schema[c] for c in kept] + [
         T.StructField("part_no", T.LongType())])
 
@@ -103,13 +103,13 @@ def _settle(sheet: Ordered, limit: int) -> DataFrame | None:
     Works only on books that span blocks. What reaches the driver is one short row per
     (book, block) of those: at most twice the number of partitions.
     """
-    spark, names = sheet.rows.sparkSession, [*sheet.keys, BLOCK]
-    totals = sheet.rows.groupBy(*names).agg(F.sum("_ms").alias("total"))
+    spark, names = sheet.blocks.sparkSession, [*sheet.keys, BLOCK]
+    totals = sheet.blocks.groupBy(*names).agg(F.sum("_ms").alias("total"))
     spans = totals.groupBy(*sheet.keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     chain = totals.join(F.broadcast(spans), list(sheet.keys)).orderBy(*names).collect()
     if not chain:
         return None
-    fields = [sheet.rows.schema[n] for n in names]
+    fields = [sheet.blocks.schema[n] for n in names]
     asks = T.StructType([*fields, T.StructField("_carry", T.LongType())])
     replies = T.StructType([*asks.fields, T.StructField("left", T.LongType()),
                             T.StructField("cuts", T.LongType())])
@@ -153,7 +153,7 @@ def _settle(sheet: Ordered, limit: int) -> DataFrame | None:
         if not asked:
             break
         wanted = F.broadcast(spark.createDataFrame(asked, asks))
-        answers = _in_order(sheet.rows.join(wanted, names), sheet).mapInPandas(measure, replies)
+        answers = _in_order(sheet.blocks.join(wanted, names), sheet).mapInPandas(measure, replies)
         for a in answers.collect():
             block = tuple(a[n] for n in names)
             known[block, a["_carry"]] = known[block, None] = (a["left"], a["cuts"])

@@ -8,7 +8,8 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        # Keeps tiny partitions apart, so that groups span several blocks as they would at scale.
+        # Groups of this size count as hot, and tiny partitions stay apart: both ways are used.
+        "spark.folioscan.hotRows": "20",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")

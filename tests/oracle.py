@@ -60,7 +60,7 @@ def main() -> None:
     import __spark_entry__ as entry
     from folioscan.session import build_session
 
-    # --blocks keeps tiny partitions apart, so that groups span several blocks.
+    # --blocks treats groups of over 20 rows as hot and keeps tiny partitions apart.
     # --plain takes the session as Spark makes it.
     blocks, bare = "--blocks" in sys.argv, "--plain" in sys.argv
     folder, *only = [a for a in sys.argv[1:] if not a.startswith("--")]
@@ -68,6 +68,7 @@ def main() -> None:
         "spark.ui.enabled", "false").getOrCreate() if bare else build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.folioscan.hotRows": "20" if blocks else "2000000",
         "spark.sql.adaptive.coalescePartitions.enabled": str(not blocks).lower()})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

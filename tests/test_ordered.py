@@ -15,18 +15,17 @@ from folioscan.operators.skew import lookup
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(3)
-    rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(40)}", i, rnd.randrange(-50, 50))
+    rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(200)}", i, rnd.randrange(-50, 50))
             for i in range(4000)]
     return spark.createDataFrame(rows, "k string, n int, v int").repartition(6)
 
 
 def test_hot_group_spans_blocks(skewed):
-    blocks = ordered(skewed, ["k"], ["n"]).rows
-    spans = {r.k: r.c for r in blocks.groupBy("k").agg(
-        F.countDistinct(BLOCK).alias("c")).collect()}
-    assert spans["hot"] >= 4
-    biggest = blocks.groupBy("k", BLOCK).count().agg(F.max("count")).first()[0]
-    assert biggest < 1200
+    sheet = ordered(skewed, ["k"], ["n"])
+    assert {r.k for r in sheet.blocks.select("k").distinct().collect()} == {"hot"}
+    assert sheet.plain.filter("k = 'hot'").isEmpty() and not sheet.plain.isEmpty()
+    sizes = [r["count"] for r in sheet.blocks.groupBy(BLOCK).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1200
 
 
 @pytest.mark.parametrize("before", [False, True])
