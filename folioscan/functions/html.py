@@ -183,18 +183,20 @@ def declared_kind(c: Column) -> Column:
 def looks_like_toc(html: Column, lower_text: Column) -> Column:
     """Is the page a list of links to other documents rather than prose?"""
     n = link_stats(html)
-    hints = count_present(lower_text, K.TOC_INDICATORS)
-    guess = (
-        F.when((n["links"] == 0) & (n["list_items"] == 0), False)
-        .when((n["outside_links"] > 5) & (n["outside_links"] > n["inside_links"]), hints > 1)
-        .when((n["inside_links"] > n["outside_links"]) & (F.length(lower_text) > 5000), False)
-        .otherwise(((n["links"] > 5) | (n["list_items"] > 5)) & (hints > 1))
-    )
-    return F.coalesce(declared_kind(html), guess)
+
+    def guess(low: Column) -> Column:
+        hints = count_present(low, K.TOC_INDICATORS)
+        return (
+            F.when((n["links"] == 0) & (n["list_items"] == 0), False)
+            .when((n["outside_links"] > 5) & (n["outside_links"] > n["inside_links"]), hints > 1)
+            .when((n["inside_links"] > n["outside_links"]) & (F.length(low) > 5000), False)
+            .otherwise(((n["links"] > 5) | (n["list_items"] > 5)) & (hints > 1)))
+
+    return F.coalesce(declared_kind(html), let(lower_text, guess))
 
 
 def looks_like_copyright(lower_text: Column) -> Column:
-    return count_present(lower_text, K.COPYRIGHT_INDICATORS) > 2
+    return let(lower_text, lambda low: count_present(low, K.COPYRIGHT_INDICATORS) > 2)
 
 
 def cjk_headings(c: Column) -> Column:
@@ -211,17 +213,18 @@ def link_text_length(c: Column) -> Column:
 
 def valid_chapter(html: Column, text: Column) -> Column:
     """Enough prose to be a chapter; ``text`` is the page's visible text."""
-    low = F.lower(text)
-    listing = looks_like_toc(html, low) & (link_text_length(html) >= F.length(text) * 0.6)
-    n_words = word_count(low)
-    cjk_listing = (n_words > 0) & (
-        cjk_headings(low) > F.greatest(F.lit(3), F.floor(n_words / 50)))
-    rights_page = looks_like_copyright(low) & (F.length(text) < 300)
+    def prose(low: Column) -> Column:
+        listing = looks_like_toc(html, low) & (link_text_length(html) >= F.length(text) * 0.6)
+        n_words = word_count(low)
+        cjk_listing = (n_words > 0) & (
+            cjk_headings(low) > F.greatest(F.lit(3), F.floor(n_words / 50)))
+        rights_page = (F.length(text) < 300) & looks_like_copyright(low)
+        return ~listing & ~cjk_listing & ~rights_page
+
     return (
         F.when(F.length(strip(html)) < 100, False)
         .when(F.length(text) < 60, False)
-        .otherwise(~listing & ~cjk_listing & ~rights_page)
-    )
+        .otherwise(let(F.lower(text), prose)))
 
 
 def skip_by_name(name: Column) -> Column:

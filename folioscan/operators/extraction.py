@@ -75,11 +75,9 @@ def filter_with_fallback(items: DataFrame) -> DataFrame:
 
     Only a flag per book is shuffled, not the pages.
     """
-    low = F.lower("visible")
-    strict = (
-        (F.length(X.strip(F.col("html"))) >= 100) & (F.length("visible") >= 80)
-        & ~H.looks_like_toc(F.col("html"), low) & (H.cjk_headings(low) <= 2)
-        & ~H.looks_like_copyright(low))
+    strict = (F.length(X.strip(F.col("html"))) >= 100) & (F.length("visible") >= 80) & X.let(
+        F.lower("visible"), lambda low: ~H.looks_like_toc(F.col("html"), low)
+        & (H.cjk_headings(low) <= 2) & ~H.looks_like_copyright(low))
     named = with_visible(items.filter(~H.skip_by_name(F.col("item_name")))).withColumns(
         {"strict": strict, "loose": F.length("visible") >= 20})
     any_strict = named.groupBy("book_id").agg(F.bool_or("strict").alias("has_strict"))
