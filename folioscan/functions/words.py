@@ -57,10 +57,6 @@ def text_error_rate(reference: Column, hypothesis: Column) -> Column:
     return error_rate(spoken_words(reference), spoken_words(hypothesis))
 
 
-def duration_ratio(actual_s: Column, words: Column, least_minutes: float = 1.0) -> Column:
-    return actual_s / expected_seconds(words, least_minutes)
-
-
 def expected_seconds(words: Column, least_minutes: float = 1.0) -> Column:
     """Narration time of a text, with a floor in minutes."""
     return F.greatest(words / K.WORDS_PER_MINUTE, F.lit(least_minutes)) * 60

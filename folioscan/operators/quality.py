@@ -23,14 +23,21 @@ def quality_summary(df: DataFrame, *by: str) -> DataFrame:
 
 
 def script_route(df: DataFrame, requires_llm: str, text: str = "text") -> DataFrame:
-    """How a chapter becomes a script: fixed sentence, its own text, one call, or many."""
-    n = X.word_count(X.clean_citations(F.col(text)))
-    return df.withColumn("clean_words", n).withColumn("route", (
+    """How a chapter becomes a script: fixed sentence, its own text, one call, or many.
+
+    ``script`` is the finished script of the first two kinds; the others wait for their calls.
+    """
+    cleaned = df.withColumn("_clean", X.clean_citations(F.col(text))).withColumn(
+        "clean_words", X.word_count(F.col("_clean")))
+    route = (
         F.when(F.length(X.strip(F.col(text))) == 0, "fixed_sentence")
         .when(~F.col(requires_llm), "no_model")
         .when(F.col("clean_words") < K.SHORT_SCRIPT_WORDS, "too_short")
         .when(F.col("clean_words") <= K.CHUNK_WORDS, "one_call")
-        .otherwise("chunked")))
+        .otherwise("chunked"))
+    return cleaned.withColumn("route", route).withColumn(
+        "script", F.when(F.col("route") == "fixed_sentence", K.EMPTY_CHAPTER_SCRIPT)
+        .when(F.col("route").isin("no_model", "too_short"), F.col("_clean"))).drop("_clean")
 
 
 def preservation(pairs: DataFrame, *by: str) -> DataFrame:

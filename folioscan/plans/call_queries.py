@@ -54,11 +54,14 @@ def task_routing(spark, d):
     WITH q AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE text END AS text,
         {_TASK_SQL.format('doc_id')} AS task FROM documents),
     c AS (SELECT doc_id, text, coalesce(requires_llm, true) AS needs,
-        len({S.words(S.clean_citations('text'))}) AS n FROM q LEFT JOIN {_DIM} USING (task))
-    SELECT doc_id, CAST(n AS BIGINT) AS clean_words, CASE
+        {S.clean_citations('text')} AS clean FROM q LEFT JOIN {_DIM} USING (task)),
+    r AS (SELECT doc_id, clean, {S.n_words('clean')} AS clean_words, CASE
       WHEN length({S.strip('text')}) = 0 THEN 'fixed_sentence' WHEN NOT needs THEN 'no_model'
-      WHEN n < 200 THEN 'too_short' WHEN n <= 2500 THEN 'one_call' ELSE 'chunked' END AS route
-    FROM c""")
+      WHEN len({S.words('clean')}) < 200 THEN 'too_short'
+      WHEN len({S.words('clean')}) <= 2500 THEN 'one_call' ELSE 'chunked' END AS route FROM c)
+    SELECT doc_id, clean_words, route, CASE WHEN route = 'fixed_sentence'
+      THEN '{K.EMPTY_CHAPTER_SCRIPT}' WHEN route IN ('no_model', 'too_short') THEN clean END
+      AS script FROM r""")
 def script_route(spark, d):
     docs = V.chapters(spark, d).select(
         "doc_id", F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.col("text")).alias("text"),
@@ -66,7 +69,7 @@ def script_route(spark, d):
     routed = docs.join(F.broadcast(V.tasks(spark).select("task", "requires_llm")), "task", "left")
     return Q.script_route(routed.withColumn(
         "needs", F.coalesce("requires_llm", F.lit(True))), "needs").select(
-        "doc_id", "clean_words", "route")
+        "doc_id", "clean_words", "route", "script")
 
 
 @query("validate_prompts", f"""
