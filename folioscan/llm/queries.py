@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, pieces, token_files, toxicity, warc
+from . import binary_packing, hamming_search, metric_join, pieces, setsketch, token_files, toxicity, warc
 from .chunks import ByteLevel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op5_metric_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.range_join(table(spark, folder, "embeddings"), 0.9)
+
+
+@query("op6_setsketch")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return setsketch.groups(table(spark, folder, "documents"), setsketch.Settings(width=2))
+
+
 @query("op7_binary_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     packed = binary_packing.pack(table(spark, folder, "documents"), word_bpe, end_id=2)
@@ -59,6 +69,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
                          "sequence_id", "offset", "bucket")
 
 
+@query("op8_hamming_search")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
