@@ -18,10 +18,11 @@ import pyarrow.compute as pc
 
 from .common import ragged_take
 
-KEEP = 1_500_000
-# White space of any definition; where it touches a plain space within a longer run, a text is encoded whole.
+KEEP = 1_000_000
+# White space of any definition; texts in which some touches other are encoded whole where white space makes tokens.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_RUNS = f"{_WS} (?:{_WS}|\\z)"
+_RUNS = _WS + _WS
+_MARKED = r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]\z"
 _WORDS = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 
 
@@ -102,6 +103,10 @@ class ByteLevel:
         self.spaced = spaced
         self.letters = dict(enumerate(byte_letters()))
         self.table = ChunkTable(self._encode, keep)
+        self.marks = np.zeros(256, np.uint32)
+        for mark in ".,;:!?":
+            self.marks[ord(mark)] = self._library([mark])[0][0]
+        self.line = self._library(["\n"])[0] if spaced else []
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,39 +134,69 @@ class ByteLevel:
             return self._pieces(pc.ascii_split_whitespace(texts))
         runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False).astype(bool)
         if not runs.any():
-            return self._pieces(pc.split_pattern(texts, " "))
-        plain = self._pieces(pc.split_pattern(texts.filter(pa.array(~runs)), " "))
+            return self._lines(texts)
+        flat, count = self._lines(texts.filter(pa.array(~runs)))
         whole = self._library(texts.filter(pa.array(runs)).to_pylist())
         sizes = np.zeros(len(texts), np.int64)
-        sizes[~runs], sizes[runs] = plain[1], [len(x) for x in whole]
-        flat = np.concatenate([plain[0], *[np.asarray(x, np.uint32) for x in whole]])
+        sizes[~runs], sizes[runs] = count, [len(x) for x in whole]
+        flat = np.concatenate([flat, *[np.asarray(x, np.uint32) for x in whole]])
         began = np.concatenate([[0], np.cumsum(np.concatenate([sizes[~runs], sizes[runs]]))])
         order = np.concatenate([np.flatnonzero(~runs), np.flatnonzero(runs)])
         row = np.empty(len(texts), np.int64)
         row[order] = np.arange(len(texts))
         return ragged_take(flat, began, row)[0], sizes
 
+    def _lines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A line break between other characters is a token, and the next line begins like a text."""
+        lists = pc.split_pattern(texts, "\n")
+        ends = _ends(lists)
+        ids, sizes = self._pieces(pc.split_pattern(lists.flatten(), " "))
+        if len(sizes) == len(texts):
+            return ids, sizes
+        last = np.zeros(len(sizes), bool)
+        last[ends[1:] - 1] = True
+        total = np.cumsum(sizes)
+        ids = np.insert(ids, total[~last], self.line[0])
+        total = np.concatenate([[0], np.cumsum(sizes + ~last)])
+        return ids, total[ends[1:]] - total[ends[:-1]]
+
     def _pieces(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        ends = lists.offsets.to_numpy()
-        ends = (ends - ends[0]).astype(np.int64)
+        ends = _ends(lists)
         names, at = distinct(lists.flatten())
+        # A mark behind a letter at the end of a word is a token of its own.
+        marked = pc.match_substring_regex(names, _MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(names, 0, -1), names)
+        marked = marked.to_numpy(zero_copy_only=False).astype(bool)
+        tail = np.frombuffer(names.buffers()[2] or b"", np.uint8)[
+            np.frombuffer(names.buffers()[1], np.int32)[1 + names.offset:][: len(names)][marked] - 1]
         if self.spaced:
-            # The first piece of a text has no space before it.
+            # The first piece of a line has no space before it.
             first = ends[:-1]
-            start, place = distinct(names.take(pa.array(at[first])))
-            named = pc.binary_join_element_wise("", names, " ")
-            both, where = distinct(pa.concat_arrays([named, start]))
-            flat, offsets, row = self.table.rows(both)
-            at = row[where[:len(names)]][at]
-            at[first] = row[where[len(names):]][place]
+            heads, place = np.unique(at[first], return_inverse=True)
+            stems = pa.concat_arrays([pc.binary_join_element_wise("", stems, " "), stems.take(pa.array(heads))])
+            marks = np.concatenate([marked, marked[heads]])
+            code = np.zeros(len(names), np.uint32)
+            code[marked] = self.marks[tail]
+            code = np.concatenate([code, code[heads]])[marks]
+            at = at.astype(np.int64)
+            at[first] = len(names) + place
         else:
-            flat, offsets, row = self.table.rows(names)
-            at = row[at]
+            marks, code = marked, self.marks[tail]
+        chunks, where = distinct(stems)
+        flat, offsets, row = self.table.rows(chunks)
+        flat, sizes = ragged_take(flat, offsets, row[where])
+        flat = np.insert(flat, np.cumsum(sizes)[marks], code)
+        offsets = np.concatenate([[0], np.cumsum(sizes + marks)])
         ids, sizes = ragged_take(flat, offsets, at)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[ends[1:]] - total[ends[:-1]]
 
 
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    ends = lists.offsets.to_numpy()
+    return (ends - ends[0]).astype(np.int64)
+
+
 def _objects(lists: list) -> np.ndarray:
     out = np.empty(len(lists), object)
     out[:] = lists
