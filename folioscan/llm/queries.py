@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, hamming_search, metric_join, pieces, setsketch, token_files, toxicity, warc
+from . import binary_packing, hamming_search, metric_join, pieces, pii, setsketch, token_files, toxicity, warc
 from .chunks import ByteLevel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op2_skip_chain")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     coded = pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
