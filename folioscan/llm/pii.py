@@ -56,9 +56,9 @@ class Settings:
     buckets: int = 1 << 12
     l2: float = 0.02
     outside: float = 3.0
-    steps: int = 300
+    steps: int = 600
     rounds: int = 12
-    sure: float = 0.9
+    sure: float = 0.75
 
 
 def luhn(digits: str) -> bool:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, hamming_search, metric_join, pieces, pii, setsketch, token_files, toxicity, warc
+from . import binary_packing, hamming_search, metric_join, pieces, pii, setsketch, token_files, toxicity, warc, wrappers
 from .chunks import ByteLevel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,10 +30,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# A worker keeps its tables of chunks from task to task.
+@cache
 def byte_bpe() -> ByteLevel:
     return ByteLevel(public_tokenizers.path("byte_bpe_50k.json"), spaced=True)
 
 
+@cache
 def word_bpe() -> ByteLevel:
     return ByteLevel(public_tokenizers.path("word_bpe_49k.json"), spaced=False)
 
@@ -53,6 +57,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
                         pii.joined(F.col("spans")).alias("spans"))
 
 
+@query("op3_wrappers")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     coded = pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
