@@ -114,10 +114,10 @@ def marker_title(c: Column) -> Column:
     return F.translate(c, "\n\r", " ")
 
 
-def first_sentence_title(c: Column, limit: int = 60) -> Column:
-    """A chapter's working title: its first sentence on one line, cut to ``limit``."""
+def first_sentence_title(c: Column) -> Column:
+    """A chapter's working title: its whole first sentence on one line."""
     first = F.regexp_extract(c, rf"(?s)\A(.*?(?:[{K.SENTENCE_END}]|\z))", 1)
-    return F.left(squeeze(first), F.lit(limit))
+    return squeeze(first)
 
 
 def ratio_of(c: Column, keep_class: str) -> Column:

@@ -7,44 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Running, ordered
 
-# Longest text one value should hold, in characters. Longer groups come out as numbered parts.
-PART_CHARS = 64 * 1024 * 1024
+def assemble(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str
+             ) -> DataFrame:
+    """Join each group's pieces in order: one row per group, whatever its size.
 
-
-def _glue(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str
-          ) -> DataFrame:
+    A value holds up to 2 GB. Where a group may be longer, work on the ordered pieces themselves.
+    """
     rows = F.array_sort(F.collect_list(F.struct(*order, text)))
     glued = F.array_join(F.transform(rows, lambda r: r[text]), sep)
-    return pieces.groupBy(*keys).agg(glued.alias(text), F.count(F.lit(1)).alias("n_pieces"))
-
-
-def assemble(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str,
-             size: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
-    """Join each group's pieces in order: one row per group and ``part``.
-
-    Sizes are summed first. Groups that fit one value (all, as a rule) are joined directly with
-    ``part`` 0. A bigger group is cut along its running length, so no task or value has to hold
-    it whole and nothing of it is lost. ``size`` names a column with the pieces' lengths; with it
-    the size check reads no text that was joined in.
-    """
-    length = F.col(size) if size else F.length(text)
-    sized = df.select(*keys, *order, length.cast("bigint").alias("_len"))
-    big = sized.groupBy(*keys).agg(F.sum("_len").alias("_total")).filter(
-        F.col("_total") > part_chars).select(*keys)
-    parted = [*keys, "part"]
-    if big.isEmpty():
-        return _glue(df.withColumn("part", F.lit(0).cast("bigint")), parted, order, text, sep)
-
-    small = df.join(big, list(keys), "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    cuts = ordered(sized.join(big, list(keys), "left_semi"), keys, order).running(
-        Running("_before", "sum", F.col("_len"), before=True)).result()
-    cuts = cuts.select(*keys, *order, F.floor(F.col("_before") / part_chars).cast("bigint")
-                       .alias("part"))
-    large = df.join(cuts, [*keys, *order])
-    cols = [*parted, *order, text]
-    return _glue(small.select(cols).unionByName(large.select(cols)), parted, order, text, sep)
+    return df.groupBy(*keys).agg(glued.alias(text), F.count(F.lit(1)).alias("n_pieces"))
 
 
 def split_rows(df: DataFrame, pieces: Column, name: str, *keep: str) -> DataFrame:

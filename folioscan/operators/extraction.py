@@ -42,10 +42,10 @@ def merge_items(items: DataFrame, groups: DataFrame) -> DataFrame:
     keys = ["book_id", "group_no"]
     counted = groups.join(groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys).select(
         "book_id", "ordinal", "group_no", "_n")
-    pages = items.select("book_id", "ordinal", "html", F.length("html").alias("_size"))
+    pages = items.select("book_id", "ordinal", "html")
     bodies = pages.join(counted, ["book_id", "ordinal"]).withColumn("html", F.when(
         F.col("_n") > 1, H.body_element(F.col("html"))).otherwise(F.col("html")))
-    merged = assemble(bodies, keys, ["ordinal"], "html", "\n", size="_size")
+    merged = assemble(bodies, keys, ["ordinal"], "html", "\n")
     return merged.withColumnRenamed("n_pieces", "n_items").withColumn(
         "html", F.when(F.col("n_items") > 1, F.concat(
             F.lit("<html><body>"), "html", F.lit("</body></html>"))).otherwise(F.col("html")))
@@ -102,5 +102,5 @@ def extract_ladder(items: DataFrame) -> DataFrame:
 def realign(items: DataFrame, extracted: DataFrame, toc: DataFrame) -> DataFrame:
     """Re-extracted texts back on the spine by (book, ordinal), joined to chapters."""
     groups = group_items(items, toc).select("book_id", "ordinal", "group_no")
-    texts = groups.join(extracted.withColumn("_size", F.length("text")), ["book_id", "ordinal"])
-    return assemble(texts, ["book_id", "group_no"], ["ordinal"], "text", "\n\n", size="_size")
+    texts = groups.join(extracted, ["book_id", "ordinal"])
+    return assemble(texts, ["book_id", "group_no"], ["ordinal"], "text", "\n\n")

@@ -284,12 +284,12 @@ def script_validity(spark, d):
 
 
 @query("short_scripts", f"""
-    WITH {_SCRIPTS} SELECT book_id, number, left(replace(script, chr(10), ' '), 60) AS title,
+    WITH {_SCRIPTS} SELECT book_id, number, replace(script, chr(10), ' ') AS title,
       {S.n_words('script')} AS n_words, CASE WHEN len({S.words('script')}) < 200 THEN 'SHORT'
         ELSE 'OK' END AS status FROM sc""")
 def short_scripts(spark, d):
     texts = V.turns(spark, d, "assistant").select(
-        "conv_id", "turn", F.left(X.marker_title(F.col("text")), F.lit(60)).alias("title"),
+        "conv_id", "turn", X.marker_title(F.col("text")).alias("title"),
         X.word_count(F.col("text")).alias("n_words"))
     return L.short_scripts(numbered_scripts(spark, d).join(texts, ["conv_id", "turn"])).select(
         "book_id", "number", "title", "n_words", "status")

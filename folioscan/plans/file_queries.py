@@ -42,13 +42,13 @@ def scan_inputs(spark, d):
 
 
 def _script_store(spark, d) -> str:
-    """Scripts as saved files, one each; what the system said is saved under another name."""
+    """Turns as saved files, one each; only what the assistant said is saved under a script's name."""
     number = F.lpad(F.col("turn").cast("string"), 3, "0")
     name = F.when(F.col("role") == "assistant", F.concat(
         F.lit("episode_"), number, F.lit("_script.txt"))).otherwise(
         F.concat(F.lit("notes_"), number, F.lit(".txt")))
     path = fresh_path(spark, "scripts")
-    rows = V.turns(spark, d).filter("role in ('assistant', 'system')").select(
+    rows = V.turns(spark, d).select(
         F.concat(F.lit("book"), "conv_id", F.lit("_"), name).alias("file"),
         F.col("text").alias("value"))
     # Rows of a file meet in one task, so every file is written once.
@@ -68,7 +68,7 @@ def _saved(spark, d):
     SELECT conv_id AS book_id, CASE WHEN role = 'assistant' THEN 'episode_' ||
       lpad(CAST(turn AS VARCHAR), 3, '0') || '_script.txt'
       ELSE 'notes_' || lpad(CAST(turn AS VARCHAR), 3, '0') || '.txt' END AS name, text
-    FROM conversations WHERE role IN ('assistant', 'system')""")
+    FROM conversations""")
 def scan_text_files(spark, d):
     return _saved(spark, d).select(
         "book_id", "name", "text")
@@ -142,7 +142,7 @@ def scan_run_reports(spark, d):
 def stream_text_quality(spark, d):
     docs = V.read(spark, d, "documents")
     out, state = fresh_path(spark, "audit"), fresh_path(spark, "audit-state")
-    stream = stream_documents(spark, d, "documents.parquet", docs.schema)
+    stream = stream_documents(spark, f"{d}/documents.parquet", docs.schema)
     audit_stream(stream, out, state).awaitTermination()
     return spark.read.parquet(out)
 

@@ -211,7 +211,7 @@ _MERGED = f"""{_GROUPS},
 
 
 @query("merge_items", f"""
-    WITH {_MERGED} SELECT book_id, group_no, CAST(0 AS BIGINT) AS part, html, n_items
+    WITH {_MERGED} SELECT book_id, group_no, html, n_items
     FROM merged""")
 def merge_items(spark, d):
     items = V.spine_items(spark, d)
@@ -241,7 +241,7 @@ def toc_grouping(spark, d):
 
 @query("realign_reextract", f"""
     WITH {_GROUPS}
-    SELECT book_id, group_no, CAST(0 AS BIGINT) AS part, count(*) AS n_pieces,
+    SELECT book_id, group_no, count(*) AS n_pieces,
       array_to_string(list({rung3('html')} ORDER BY ordinal), chr(10) || chr(10)) AS text
     FROM g GROUP BY book_id, group_no""")
 def realign_reextract(spark, d):

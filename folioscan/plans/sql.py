@@ -52,7 +52,7 @@ def clean_citations(x: str) -> str:
 
 def title(x: str) -> str:
     first = rf"regexp_extract({x}, '(?s)\A(.*?(?:{ENDS}|\z))', 1)"
-    return f"left({squeeze(first)}, 60)"
+    return squeeze(first)
 
 
 def slug(x: str) -> str:

@@ -311,7 +311,7 @@ def chunk_token_overflow(spark, d):
 
 
 @query("reassemble_chunks", f"""
-    SELECT doc_id, CAST(0 AS BIGINT) AS part, {S.joined(S.words('text'))} AS text,
+    SELECT doc_id, {S.joined(S.words('text'))} AS text,
       CAST(ceil(len({S.words('text')}) / 50) AS BIGINT) AS n_pieces {DOCS}""")
 def reassemble_chunks(spark, d):
     chunks = split_rows(_docs(spark, d), G.chunk_fixed(F.col("text"), 50), "text", "doc_id")

@@ -8,10 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.quality import text_quality
 
 
-def stream_documents(spark: SparkSession, folder: str, glob: str, schema,
-                     files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def stream_documents(spark: SparkSession, path: str, schema, files_per_batch: int = 1000
+                     ) -> DataFrame:
+    """The files of a table, be it one file or a folder of them."""
+    # Written as a pattern, which may stand for a single file as well.
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def audit_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

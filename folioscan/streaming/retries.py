@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as K
 from ..operators.ledger import ATTEMPT_KEYS
+from ..session import fresh_path
 
 OUTPUT = (
     "book_id long, chapter_id long, cycle string, ts timestamp, event_id long, attempt_no long, "
@@ -43,14 +45,16 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     action = np.select(
         [failed & (before < K.BUDGET), failed & (before == K.BUDGET), failed, resolved],
         ["retry", "exhausted", "beyond_budget", "resolved"], "pass")
-    best = np.minimum(np.minimum.accumulate(column["wer"]), best0)
+    # A missing rate is passed over, as in the batch ledger.
+    best = np.fmin(np.fmin.accumulate(column["wer"].astype(float)), best0)
     used = np.minimum(after, K.BUDGET)
     state.update((int(n0 + len(at)), int(after[-1]), int(passed[-1]), float(best[-1])))
     yield pd.DataFrame({
         "book_id": key[0], "chapter_id": key[1], "cycle": key[2], "ts": column["ts"],
         "event_id": column["event_id"], "attempt_no": n0 + 1 + np.arange(len(at)),
         "failed": failed, "wer": column["wer"], "attempts_used": used,
-        "remaining": K.BUDGET - used, "action": action, "best_wer": best})
+        "remaining": K.BUDGET - used, "action": action,
+        "best_wer": np.where(np.isinf(best), np.nan, best)})
 
 
 def ledger_stream(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -66,13 +70,14 @@ def time_slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, least: int = 2
                 ) -> Iterator[DataFrame]:
     """Consecutive time ranges of a backlog, about ``rows`` rows each.
 
-    A run of the stream holds a chapter's rows of one slice in memory; slices bound that.
+    A run of the stream holds a chapter's rows of one slice in memory; slices bound that. The
+    backlog is dealt into slices once; each is then read from its own files.
     """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "slices")
     n = max(least, math.ceil(df.count() / rows))
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = df.select(micros.alias("t")).approxQuantile(
-        "t", [i / n for i in range(1, n)], 0.5 / n)
-    bounds = [None, *sorted(set(cuts)), None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = df if low is None else df.filter(micros > F.lit(int(low)))
-        yield part if high is None else part.filter(micros <= F.lit(int(high)))
+    df.repartitionByRange(n, ts).withColumn("_slice", F.spark_partition_id()).write.partitionBy(
+        "_slice").parquet(path)
+    staged = spark.read.schema(T.StructType(
+        [*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(path)
+    for i in range(n):
+        yield staged.filter(F.col("_slice") == i).drop("_slice")
