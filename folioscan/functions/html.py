@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from . import fixed as K
 from .text import let, squeeze, strip, word_count
 
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<[!?][^>]*>"
-TAG = r"<[^>]*>"
+# What is left open hides the rest of the page.
+HIDDEN = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+          r"|<[!?][^>]*>")
+# A letter follows the sign, and quoted values may hold ">". Anything else is text.
+TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+GAP = "<x>"
 # Possessive, which Java matches in a loop: a leaf may hold any number of inline tags.
 NO_TAG_NAME = r"[^<]*+(?:<(?!/?(?:{names})\b)[^<]*+)*+"
 
@@ -91,13 +95,13 @@ def _nodes(c: Column) -> Column:
 
 def visible_text(c: Column) -> Column:
     """All visible text nodes joined by single spaces."""
-    bare = F.regexp_replace(c, HIDDEN, "<>")
-    return F.array_join(_nodes(decode_markup(bare)), " ")
+    return F.array_join(_nodes(decode_markup(F.regexp_replace(c, HIDDEN, GAP))), " ")
 
 
 def decode_markup(c: Column) -> Column:
     """Decode references but keep a decoded "<" or ">" from looking like a tag."""
-    guarded = F.regexp_replace(c, r"&(?:lt|LT|#60|#x3[cC]);?", "\u0001")
+    guarded = F.translate(c, "\u0001\u0002", "")
+    guarded = F.regexp_replace(guarded, r"&(?:lt|LT|#60|#x3[cC]);?", "\u0001")
     guarded = F.regexp_replace(guarded, r"&(?:gt|GT|#62|#x3[eE]);?", "\u0002")
     return decode_references(guarded)
 
@@ -112,20 +116,19 @@ def page_text(c: Column) -> Column:
 
 
 def without_scripts(c: Column) -> Column:
-    """Second extraction rung: scripts and styles dropped, remaining text kept as it stands."""
-    bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
-    return strip(decode_references(F.regexp_replace(bare, TAG, "")))
+    """Second extraction rung: the body without scripts and styles, other text as it stands."""
+    return strip(tagless(body_of(c)))
 
 
-def without_tags(c: Column) -> Column:
-    """Last extraction rung: every tag becomes a space, white space squeezed."""
-    return squeeze(F.regexp_replace(c, "<[^>]+>", " "))
+def tagless(c: Column) -> Column:
+    """Text nodes run together, references decoded."""
+    bare = F.regexp_replace(c, HIDDEN, "")
+    return decode_references(F.regexp_replace(bare, TAG, ""))
 
 
-def fragment_text(c: Column) -> Column:
-    """Visible text of a small fragment, without decoding references."""
-    return F.array_join(_nodes(F.regexp_replace(c, HIDDEN, "<>")), " ")
+def without_tags(c: Column) -> Column:
+    """Last extraction rung: every tag of the body becomes a space, white space squeezed."""
+    return squeeze(F.regexp_replace(body_of(c), "<[^>]+>", " "))
 
 
 def body_of(c: Column) -> Column:
@@ -207,7 +210,7 @@ def link_text_length(c: Column) -> Column:
     """Characters of text that sit inside links."""
     labels = F.regexp_extract_all(c, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1))
     sizes = F.transform(labels, lambda a: F.aggregate(
-        _nodes(a), F.lit(0), lambda n, t: n + F.length(t)))
+        _nodes(decode_markup(a)), F.lit(0), lambda n, t: n + F.length(t)))
     return F.aggregate(sizes, F.lit(0), lambda n, k: n + k).cast("bigint")
 
 
@@ -250,11 +253,43 @@ def heading_class(c: Column) -> Column:
 
 
 def _first_text(fragments: Column, keep) -> Column:
-    texts = F.filter(F.transform(fragments, fragment_text), lambda t: F.length(t) > 0)
+    texts = F.filter(F.transform(fragments, page_text), lambda t: F.length(t) > 0)
     hits = F.filter(texts, keep)
     return F.when(F.size(hits) > 0, F.element_at(hits, 1))
 
 
+def _element_text(tail: Column) -> Column:
+    """Text of the element whose start tag opens ``tail``: up to the end tag that closes it."""
+    name = F.regexp_extract(tail, r"\A<([A-Za-z][A-Za-z0-9]*)", 1)
+    rest = F.regexp_replace(tail, rf"\A{TAG}", "")
+    # Every part but the first begins with a start or end tag of the same name.
+    parts = F.split(rest, F.concat(F.lit(r"(?i)(?=</?"), name, F.lit(r"[\s/>])")))
+
+    def step(state: Column, part: Column) -> Column:
+        own = F.lower(F.left(part, F.length(name) + 2))
+        depth = state["depth"] + F.when(own == F.lower(F.concat(F.lit("</"), name)), -1).when(
+            F.startswith(own, F.lower(F.concat(F.lit("<"), name))), 1).otherwise(0)
+        return F.when(state["depth"] <= 0, state).otherwise(F.struct(
+            depth.cast("int").alias("depth"),
+            F.when(depth > 0, F.concat(state["text"], part)).otherwise(state["text"]).alias("text")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    return page_text(F.aggregate(parts, start, step)["text"])
+
+
+def _named_text(html: Column) -> Column:
+    """Text of the first element with a class or id that speaks of a title, if it has any."""
+    start = (r"(?is)<[a-z][a-z0-9]*\b[^>]*?\b(?:class|id)\s*=\s*[\"'](?:[^\"'>]*[\s_\-.])?"
+             rf"(?:{K.TITLE_TOKENS})(?:[\s_\-.][^\"'>]*)?[\"']")
+    parts = F.split(html, rf"(?={start})")
+    count = F.size(parts)
+    # Once a text is found, later elements are not looked at.
+    numbers = F.when(count > 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.when(html.rlike(start), F.aggregate(numbers, F.lit(""), lambda found, i: F.when(
+        (found != "") | ~F.get(parts, i - 1).rlike(rf"\A{start}"), found).otherwise(
+        _element_text(F.array_join(F.slice(parts, i, count), ""))))).otherwise("")
+
+
 def _leaves(body: Column, names: str, limit: int) -> Column:
     """Inner HTML of the first ``limit`` named elements; empty for those that nest others."""
     inner = NO_TAG_NAME.format(names="p|div|span")
@@ -265,13 +300,10 @@ def _leaves(body: Column, names: str, limit: int) -> Column:
 def title_strategies(html: Column) -> dict[str, Column]:
     """Title found by each strategy, in order of trust; null where a strategy finds none."""
     body = body_of(html)
-    heading = fragment_text(
+    heading = page_text(
         F.regexp_extract(body, r"(?is)<(h[1-6]|hgroup|header)\b[^>]*>(.*?)</\1\s*>", 2))
-    head_title = fragment_text(
+    head_title = page_text(
         F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-    named = F.regexp_extract_all(html, F.lit(
-        r"(?is)<([a-z][a-z0-9]*)\b[^>]*?\b(?:class|id)\s*=\s*[\"'](?:[^\"']*[\s_\-.])?"
-        rf"(?:{K.TITLE_TOKENS})(?:[\s_\-.][^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"), F.lit(2))
     blocks = F.array_join(F.slice(F.regexp_extract_all(
         body, F.lit(r"(?is)<(p|div|section|article|blockquote)\b[^>]*>(.*?)</\1\s*>"),
         F.lit(0)), 1, 10), "")
@@ -279,7 +311,7 @@ def title_strategies(html: Column) -> dict[str, Column]:
         blocks, F.lit(r"(?is)<(strong|b|em)\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
     return {
         "heading": F.coalesce(F.nullif(heading, F.lit("")), F.nullif(head_title, F.lit(""))),
-        "attribute": _first_text(named, lambda t: F.lit(True)),
+        "attribute": F.nullif(_named_text(html), F.lit("")),
         "emphasis": _first_text(strong, lambda t: (
             (F.length(t) < 150) & ~t.endswith(".") & (heading_class(t) != "none"))),
         "pattern": _first_text(_leaves(body, "p|div|span", 10),

@@ -13,11 +13,6 @@ CJK = rf"[\x{{3000}}-\x{{2EBEF}}&&[{K.CJK_RANGES}]]"
 # A comparable word: letters, digits, underscore; apostrophes only inside.
 SPOKEN_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 
-# A list of note numbers, written without a repeated group: Java matches those by recursion, and a
-# very long list would exhaust the stack.
-_NOTES = r"\[(?=\d)(?![\d,\-\s]*[,\-\s]{2})[\d,\-\s]*\d\]"
-_CITATIONS = {**K.CITATIONS, "footnote": _NOTES}
-
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
@@ -61,28 +56,6 @@ def clean_speech(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{punct}+({punct})", "$1"))
 
 
-def drop_markup(c: Column) -> Column:
-    """Text of a fragment that still carries tags; untouched when it has none."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", ""),
-                            "<[^>]+>", "")
-    return F.when(c.rlike("<[^>]+>"), bare).otherwise(c)
-
-
-def clean_citations(c: Column) -> Column:
-    """Remove notes, citations, links and captions; mark where a reference list starts."""
-    c = drop_markup(c)
-    for pattern in _CITATIONS.values():
-        c = F.regexp_replace(c, f"(?U){pattern}", "")
-    for head in K.REFERENCE_HEADS:
-        c = F.regexp_replace(c, rf"(?isUd)\n{head}{K.REFERENCE_TAIL}", K.REFERENCE_MARK)
-    return squeeze(F.regexp_replace(c, f"(?miUd){K.CAPTION}", ""))
-
-
-def citation_counts(c: Column) -> dict[str, Column]:
-    return {name: F.regexp_count(c, F.lit(f"(?U){p}")).cast("bigint")
-            for name, p in _CITATIONS.items()}
-
-
 def slug(c: Column) -> Column:
     """File-safe snake case with accents folded."""
     c = F.regexp_replace(F.translate(F.lower(c), " ", "_"), "_+", "_")

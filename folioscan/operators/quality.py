@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as X
+from ..functions.citations import clean_citations
 
 
 def text_quality(df: DataFrame, text: str = "text", mojibake_max=None, nonword_max=None
@@ -27,7 +28,7 @@ def script_route(df: DataFrame, requires_llm: str, text: str = "text") -> DataFr
 
     ``script`` is the finished script of the first two kinds; the others wait for their calls.
     """
-    cleaned = df.withColumn("_clean", X.clean_citations(F.col(text))).withColumn(
+    cleaned = df.withColumn("_clean", clean_citations(F.col(text))).withColumn(
         "clean_words", X.word_count(F.col("_clean")))
     route = (
         F.when(F.length(X.strip(F.col(text))) == 0, "fixed_sentence")

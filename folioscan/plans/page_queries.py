@@ -23,34 +23,26 @@ NAMES = ("SELECT DISTINCT book_id, lower(ltrim(split_part(href, '#', 1), './'))
 SKIPPED = "regexp_matches({}, '" + "|".join(K.SKIP_NAME_TOKENS) + "')"
 
 
-def _entities(x: str) -> str:
-    """Decode the references that occur in the pages, "&amp;" last."""
-    c = f"replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
-    # A reference cut off before its semicolon still counts.
-    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
-
-
 def _nodes(x: str) -> str:
-    return (f"array_to_string(list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), "
+    return (f"array_to_string(list_filter(list_transform(string_split_regex({x}, '{S.TAG}'), "
             f"lambda n: {S.strip('n')}), lambda n: length(n) > 0), ' ')")
 
 
-_HIDDEN = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-           r"|<template\b.*?</template\s*>|<[!?][^>]*>")
+def visible(x: str) -> str:
+    return _nodes(S.entities(f"regexp_replace({x}, '{S.HIDDEN}', '<x>', 'g')"))
 
 
-def visible(x: str) -> str:
-    return _nodes(_entities(f"regexp_replace({x}, '{_HIDDEN}', '<>', 'g')"))
+def inner_body(x: str) -> str:
+    found = rf"regexp_extract({x}, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1)"
+    return rf"CASE WHEN regexp_matches({x}, '(?i)<body\b') THEN {found} ELSE {x} END"
 
 
 def rung2(x: str) -> str:
-    c = rf"regexp_replace({x}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
-    c = f"regexp_replace({c}, '(?s)<!--.*?-->', '', 'g')"
-    return S.strip(_entities(f"regexp_replace({c}, '<[^>]*>', '', 'g')"))
+    return S.strip(S.tagless(f"({inner_body(x)})"))
 
 
 def rung3(x: str) -> str:
-    return S.squeeze(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
+    return S.squeeze(f"regexp_replace({inner_body(x)}, '<[^>]+>', ' ', 'g')")
 
 
 def _per_page(name: str, column, sql: str, out: str = "text"):
@@ -118,7 +110,7 @@ _STATS = rf"""
         regexp_extract(html, '(?is)<body\b[^>]*epub:type="([^"]*)"', 1) AS kind,
         {_count('第[一二三四五六七八九十' + chr(92) + 'd]+章', 'low')} AS cjk,
         list_sum(list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1),
-          lambda a: length(replace({_nodes('a')}, '  ', ' ')))) AS link_text FROM v),
+          lambda a: length(replace({_nodes(S.entities('a'))}, '  ', ' ')))) AS link_text FROM v),
     t AS (SELECT *, CASE WHEN kind = 'x toc' THEN true WHEN kind = 'bodymatter' THEN false
         WHEN links = 0 AND lis = 0 THEN false
         WHEN hrefs - inside > 5 AND hrefs - inside > inside THEN hints > 1
@@ -250,37 +242,52 @@ def realign_reextract(spark, d):
     return E.realign(items, texts, V.toc(spark, d))
 
 
-# Pages whose heading became a titled block, or a plain chapter line, in two thirds of the cases.
+# Pages whose heading became a titled block with an element of its kind inside, an emphasised chapter
+# line, a plain chapter line, or a short line: one strategy each, by page number.
 _H1 = "<h1>(.*?)</h1>"
-_RETITLED = rf"""CASE ordinal % 3 WHEN 0 THEN html
-    WHEN 1 THEN regexp_replace(regexp_replace(html, '{_H1}',
-      '<div class="big chapter-title">\1</div>'), '<title>.*?</title>', '')
-    ELSE regexp_replace(regexp_replace(html, '{_H1}',
-      '<p>Chapter ' || ordinal || ': \1</p>'), '<title>.*?</title>', '') END"""
+_NO_TITLE = "regexp_replace({}, '<title>.*?</title>', '')"
+_RETITLED = rf"""CASE ordinal % 5 WHEN 0 THEN html
+    WHEN 1 THEN {_NO_TITLE.format(f"regexp_replace(html, '{_H1}', '<div class=~big chapter-title~>"
+                                  + "\\1 <div>in</div> on</div>')").replace('~', '"')}
+    WHEN 2 THEN {_NO_TITLE.format(f"regexp_replace(html, '{_H1}', '<p><b>Chapter ' || ordinal || "
+                                  + "': \\1</b> began.</p>')")}
+    WHEN 3 THEN {_NO_TITLE.format(f"regexp_replace(html, '{_H1}', '<p>Chapter ' || ordinal || "
+                                  + "': \\1</p>')")}
+    ELSE {_NO_TITLE.format(f"regexp_replace(html, '{_H1}', '<p>A quiet house</p>')")} END"""
 
 
 def _fragment(pattern: str, x: str = "html") -> str:
-    return f"nullif({_nodes(f'regexp_extract({x}, {chr(39)}{pattern}{chr(39)}, 1)')}, '')"
+    found = f"regexp_extract({x}, '{pattern}', 1)"
+    return f"nullif({_nodes(S.entities(found))}, '')"
 
 
 @query("infer_title", rf"""
     WITH p AS (SELECT ordinal, {_RETITLED} AS html FROM ({SPINE})),
     f AS (SELECT ordinal, coalesce({_fragment('(?is)<h1>(.*?)</h1>')},
             {_fragment('(?is)<title>(.*?)</title>')}) AS s1,
-          {_fragment('(?is)<div class="big chapter-title">(.*?)</div>')} AS s2,
-          {_fragment('(?is)<p>(Chapter [0-9]+: [^<]*)</p>')} AS s4 FROM p)
-    SELECT ordinal, coalesce(s1, s2, s4, 'Unknown') AS title,
+          {_fragment('(?is)<div class="big chapter-title">(.*? on)</div>')} AS s2,
+          {_fragment('(?is)<p><b>(Chapter [0-9]+: [^<]*)</b> began.</p>')} AS bold,
+          {_fragment('(?is)(<p><b>Chapter [0-9]+: [^<]*</b> began.</p>)')} AS line,
+          {_fragment('(?is)<p>(Chapter [0-9]+: [^<]*)</p>')} AS s4,
+          {_fragment('(?is)<p>(A quiet house)</p>')} AS s5 FROM p),
+    g AS (SELECT *, CASE WHEN length(bold) < 150 AND NOT ends_with(bold, '.') THEN bold END AS s3
+          FROM f)
+    SELECT ordinal, coalesce(s1, s2, s3, line, s4, s5, 'Unknown') AS title,
       CASE WHEN s1 IS NOT NULL THEN 'heading' WHEN s2 IS NOT NULL THEN 'attribute'
-        WHEN s4 IS NOT NULL THEN 'pattern' ELSE 'none' END AS strategy FROM f""")
+        WHEN s3 IS NOT NULL THEN 'emphasis' WHEN coalesce(line, s4) IS NOT NULL THEN 'pattern'
+        WHEN s5 IS NOT NULL THEN 'short_line' ELSE 'none' END AS strategy FROM g""")
 def infer_title(spark, d):
-    no_title = lambda c: F.regexp_replace(c, "<title>.*?</title>", "")
-    block = no_title(F.regexp_replace(
-        "html", _H1, '<div class="big chapter-title">$1</div>'))
-    line = no_title(F.regexp_replace("html", F.lit(_H1), F.concat(
-        F.lit("<p>Chapter "), F.col("ordinal").cast("string"), F.lit(": $1</p>"))))
-    third = F.col("ordinal") % 3
-    pages = V.spine_items(spark, d).withColumn(
-        "html", F.when(third == 0, F.col("html")).when(third == 1, block).otherwise(line))
+    def instead(heading):
+        return F.regexp_replace(F.regexp_replace("html", F.lit(_H1), heading),
+                                "<title>.*?</title>", "")
+
+    number = F.col("ordinal").cast("string")
+    case = F.col("ordinal") % 5
+    pages = V.spine_items(spark, d).withColumn("html", F.when(case == 0, F.col("html")).when(
+        case == 1, instead(F.lit('<div class="big chapter-title">$1 <div>in</div> on</div>'))).when(
+        case == 2, instead(F.concat(F.lit("<p><b>Chapter "), number, F.lit(": $1</b> began.</p>")))
+    ).when(case == 3, instead(F.concat(F.lit("<p>Chapter "), number, F.lit(": $1</p>")))).otherwise(
+        instead(F.lit("<p>A quiet house</p>"))))
     title, strategy = H.infer_title(F.col("html"))
     return pages.select("ordinal", title.alias("title"), strategy.alias("strategy"))
 

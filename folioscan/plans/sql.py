@@ -41,10 +41,28 @@ def clean_speech(x: str) -> str:
     return rf"trim(regexp_replace({c}, '([.,!?;:¿¡]){{2,}}', '\1', 'g'))"
 
 
+# A tag: the sign and a letter; quoted values may hold ">".
+TAG = """</?[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "".join(
+    rf"<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)|" for n in ("script", "style", "template")) + "<[!?][^>]*>"
+
+
+def entities(x: str) -> str:
+    """Decode the references that occur in the tables, "&amp;" last."""
+    c = f"replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+    # A reference cut off before its semicolon still counts.
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
+def tagless(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace({x}, '{HIDDEN}', '', 'g'), '{TAG}', '', 'g')"
+    return entities(bare)
+
+
 def clean_citations(x: str) -> str:
     """Without the three reference-list patterns: RE2 has no look-ahead, and no document holds
     such a heading on a line of its own."""
-    c = x
+    c = f"CASE WHEN regexp_matches({x}, '<[^>]+>') THEN {tagless(x)} ELSE {x} END"
     for p in K.CITATIONS.values():
         c = f"regexp_replace({c}, '{p}', '', 'g')"
     return squeeze(f"regexp_replace({c}, '(?mi){K.CAPTION}', '', 'g')")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import segment as G
+from ..functions import citations as C
 from ..functions import text as X
 from ..functions.html import heading_class
 from ..operators import quality as Q
@@ -29,7 +30,7 @@ def _per_doc(name: str, column, sql: str, out: str = "result"):
 
 
 _per_doc("clean_text", X.clean_speech, S.clean_speech("text"), "cleaned")
-_per_doc("clean_citations", X.clean_citations, S.clean_citations("text"), "cleaned")
+_per_doc("clean_citations", C.clean_citations, S.clean_citations("text"), "cleaned")
 _per_doc("snippet_words", X.snippet, S.joined(f"list_slice({S.words('text')}, 1, 100)"),
          "snippet")
 _per_doc("normalize_words", lambda c: F.array_join(X.spoken_words(c), " "),
@@ -43,7 +44,7 @@ _per_doc("nonword_ratio", X.nonword_ratio, S.ratio("text", S.NONWORD), "ratio")
     f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {n}"
     for n, p in K.CITATIONS.items()) + f" {DOCS}")
 def citation_counts(spark, d):
-    counts = X.citation_counts(F.col("text"))
+    counts = C.citation_counts(F.col("text"))
     return _docs(spark, d).select("doc_id", *[c.alias(n) for n, c in counts.items()])
 
 

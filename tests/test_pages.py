@@ -1,4 +1,5 @@
 import html
+import html.parser
 import random
 from html.entities import html5
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import html as H
+from folioscan.functions.citations import clean_citations
 from folioscan.operators import extraction as E
 from folioscan.operators.quality import text_quality
 
@@ -22,6 +24,63 @@ def test_visible_text(many):
         "T A & B x y", "<b> stays &lt; and — é&unknown;", "plain", ""]
 
 
+def test_only_tags_are_tags(many):
+    pages = ["<p>if x < 5 and y > 3 then</p>", '<a title="a > b" href="x">go</a>',
+             "<p>a</p><script>var t = 1;", "a\u0001b<!-- open", "<p>a <3 b</p>", "x<?pi?>y<!doctype z>w"]
+    assert many(H.page_text, pages) == [
+        "if x < 5 and y > 3 then", "go", "a", "ab", "a <3 b", "x y w"]
+
+
+class Reader(html.parser.HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.parts.append("\0")
+        self.hidden += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.parts.append("\0")
+        self.hidden -= tag in ("script", "style")
+
+    def handle_comment(self, data):
+        self.parts.append("\0")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_random_pages_as_a_parser_reads_them(many):
+    rnd = random.Random(5)
+    bits = ["word", " ", "a < b", "5 > 3", "&amp;", "&lt;i&gt;", "&eacute;", "<p>", "</p>", "<b class='x>y'>",
+            "</b>", '<a href="q?a=1&b=2" title="1 > 0">', "</a>", "<br/>", "<!-- n > m -->", "\n",
+            "<script>if (a < b) x('<p>');</script>", "<style>p > b {}</style>", "<h1>", "</h1>", "é"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))) for _ in range(400)]
+
+    def read(page):
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        return " ".join(t for t in (p.strip() for p in "".join(reader.parts).split("\0")) if t)
+
+    assert many(H.page_text, pages) == [read(p) for p in pages]
+
+
+def test_markup_around_citations(one):
+    got = one(clean_citations, t="Tom &amp; Jerry <b>run</b> <!-- a > b --> end")
+    assert got == "Tom & Jerry run end"
+    assert one(clean_citations, t="no tags &amp; so on") == "no tags &amp; so on"
+
+
+def test_lower_rungs_read_the_body(one):
+    page = ("<html><head><title>T</title><style>x</style></head><body class='c'><p>a &amp; b</p>"
+            "<script>no()</script></body></html>")
+    assert one(H.without_scripts, h=page) == "a & b"
+    assert one(H.without_tags, h=page) == "a &amp; b no()"
+
+
 def test_references_as_the_standard_has_them(many):
     rnd = random.Random(2)
     names = rnd.sample(sorted(html5), 300)
@@ -42,6 +101,10 @@ def test_other_rungs(one):
     ("<body><h2>The <i>Road</i></h2><h1>Later</h1></body>", "The Road", "heading"),
     ("<head><title>Head</title></head><body><p>x.</p></body>", "Head", "heading"),
     ('<body><p class="x chapter-title">Named</p></body>', "Named", "attribute"),
+    ('<body><div class="chapter"><div class="title">T &amp; U</div><p>x</p></div>y</body>',
+     "T & U x", "attribute"),
+    ('<body><p class="chapter"> </p><p id="title">Named</p></body>', "Named", "attribute"),
+    ("<h1>A &amp; B</h1>", "A & B", "heading"),
     ('<body><p class="section-content">This is prose, long enough to end with a stop.</p>'
      "<p><b>Chapter 4: Night</b> began.</p></body>", "Chapter 4: Night", "emphasis"),
     ("<body><p>It was late and he said so.</p><p>XIV. The Storm</p></body>",

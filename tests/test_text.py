@@ -1,6 +1,7 @@
 import pytest
 
 from folioscan.functions import text as X
+from folioscan.functions.citations import clean_citations
 
 
 def test_clean_speech(one):
@@ -40,17 +41,17 @@ def test_words_see_every_kind_of_space(many):
 def test_citations(one):
     raw = ("Body [1] text [2,3] more [4-6].\nFigure 1: a caption\nSmith et al. (2020) say so "
            "(Jones, 1999, p. 3) at https://x.org/a?b=1 and doi:10.1/x (pp. 1-9).")
-    out = one(X.clean_citations, t=raw)
+    out = one(clean_citations, t=raw)
     for gone in ("[1]", "[2,3]", "[4-6]", "caption", "2020", "1999", "http", "doi", "pp."):
         assert gone not in out
     assert out.startswith("Body text more")
-    listed = one(X.clean_citations, t="Text.\nReferences:\n[A] one\n[B] two\n\nAfter")
+    listed = one(clean_citations, t="Text.\nReferences:\n[A] one\n[B] two\n\nAfter")
     assert "[Reference section starts here]" in listed and "After" in listed
 
 
 def test_citation_list_of_many_notes(one):
     notes = "[" + ",".join(map(str, range(20_000))) + "]"
-    assert one(X.clean_citations, t=f"a {notes} b [1,,2]") == "a b [1,,2]"
+    assert one(clean_citations, t=f"a {notes} b [1,,2]") == "a b [1,,2]"
 
 
 def test_quality(many):
