@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import strip
+from ..functions.text import fixed_digits, half_up, let, strip
 from .ordered import Running, ordered
 
 ATTEMPT_KEYS = ("book_id", "chapter_id", "cycle")
@@ -93,58 +93,89 @@ def pipeline_status(expected: Column, produced: Column) -> Column:
             .when(produced == 0, "failed").otherwise("partial"))
 
 
-def per_chapter(cycles: DataFrame) -> DataFrame:
-    """Chapter rows with their cycles as an ordered array (three entries at most)."""
-    rank = F.array_position(F.array(*map(F.lit, K.CYCLES)), F.col("cycle"))
-    entry = F.struct(rank.alias("rank"), "cycle", "attempts_used", "exhausted", "resolved")
-    listed = cycles.filter("attempts_used > 0 or exhausted > 0 or resolved > 0").groupBy(
-        "book_id", "chapter_id").agg(F.array_sort(F.collect_list(entry)).alias("cycles"))
-    return chapter_verdicts(cycles).join(listed, ["book_id", "chapter_id"], "left")
-
-
-def flag_details(cycles: Column) -> Column:
-    """Readable summary of a chapter's flags, cycle by cycle."""
-    def line(e: Column) -> Column:
-        gone = F.concat(e["cycle"], F.lit(" ("), e["attempts_used"].cast("string"),
-                        F.lit(f"/{K.BUDGET} attempts exhausted)"))
-        back = F.concat(e["cycle"], F.lit(" (resolved)"))
-        return F.concat_ws("; ", F.when(e["exhausted"] > 0, gone), F.when(e["resolved"] > 0, back))
-
-    flagged = F.filter(cycles, lambda e: (e["exhausted"] > 0) | (e["resolved"] > 0))
-    return F.coalesce(F.array_join(F.transform(flagged, line), "; "), F.lit(""))
+def flag_entries(ledger: DataFrame) -> DataFrame:
+    """One row per flag: the attempt that raised it, why, and whether the budget was spent."""
+    exhausted = F.col("action") == "exhausted"
+    rate = F.concat(F.lit("WER "), fixed_digits(F.col("wer")))
+    reason = F.when(F.col("cycle") == K.CYCLES[2], rate).when(
+        exhausted, "verdict garbage").otherwise("verdict clean")
+    return ledger.filter(F.col("action").isin("exhausted", "resolved")).select(
+        *ATTEMPT_KEYS, *ATTEMPT_ORDER, reason.alias("reason"), exhausted.alias("exhausted"))
 
 
-def quality_report(chapters: DataFrame) -> DataFrame:
-    """Report documents per book: entry ``chapter_n`` for each chapter and one ``summary``.
-
-    A book's report is a set of rows, not one value, so a book may have any number of chapters.
+def per_chapter(cycles: DataFrame, flags: DataFrame) -> DataFrame:
+    """Chapter rows with tries per cycle and flags as ordered arrays."""
+    keys = ["book_id", "chapter_id"]
+    rank = F.array_position(F.array(*map(F.lit, K.CYCLES)), F.col("cycle"))
+    tries = F.struct(rank.alias("rank"), "cycle", "attempts_used")
+    used = cycles.filter("attempts_used > 0 or exhausted > 0 or resolved > 0").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(tries)).alias("cycles"))
+    raised = F.struct(rank.alias("rank"), *ATTEMPT_ORDER, "cycle", "reason", "exhausted")
+    listed = flags.groupBy(*keys).agg(F.array_sort(F.collect_list(raised)).alias("flags"))
+    return chapter_verdicts(cycles).join(used, keys, "left").join(listed, keys, "left").withColumns({
+        "cycles": F.coalesce("cycles", F.array().cast(used.schema["cycles"].dataType)),
+        "flags": F.coalesce("flags", F.array().cast(listed.schema["flags"].dataType))})
+
+
+def _used(cycles: Column) -> Column:
+    return F.map_from_entries(F.transform(
+        cycles, lambda e: F.struct(e["cycle"], e["attempts_used"])))
+
+
+def flag_details(flags: Column, cycles: Column, best_wer: Column) -> Column:
+    """Readable summary of a chapter's flags, one after the other."""
+    def line(used: Column):
+        def text(e: Column) -> Column:
+            tries = F.coalesce(F.try_element_at(used, e["cycle"]), F.lit(0)).cast("string")
+            tail = F.when(e["exhausted"], F.concat(
+                tries, F.lit(f"/{K.BUDGET} attempts exhausted"))).otherwise("resolved")
+            best = F.when(e["cycle"] == K.CYCLES[2], F.concat(
+                F.lit(", best WER "), fixed_digits(best_wer)))
+            return F.concat(e["cycle"], F.lit(" ("), tail, F.coalesce(best, F.lit("")), F.lit(")"),
+                            F.coalesce(F.concat(F.lit(" — "), e["reason"]), F.lit("")))
+        return text
+
+    return let(_used(cycles), lambda used: F.array_join(F.transform(flags, line(used)), "; "))
+
+
+def quality_report(chapters: DataFrame, title: Column, synthesised: Column) -> DataFrame:
+    """Report rows per book: entry ``chapter_n`` for each chapter and one ``summary``.
+
+    A book's report is a set of rows, so a book may have any number of chapters. ``synthesised``
+    says which chapters have an episode.
     """
-    entries = F.coalesce("cycles", F.array().cast(chapters.schema["cycles"].dataType))
-    used = F.map_from_entries(F.transform(
-        entries, lambda e: F.struct(e["cycle"], e["attempts_used"])))
-    flags = F.flatten(F.transform(entries, lambda e: F.filter(F.array(
-        F.struct(e["cycle"].alias("cycle"), F.lit("budget spent").alias("reason"),
-                 F.lit(True).alias("exhausted"), e["exhausted"].alias("times")),
-        F.struct(e["cycle"].alias("cycle"), F.lit("passed after retry").alias("reason"),
-                 F.lit(False).alias("exhausted"), e["resolved"].alias("times"))),
-        lambda f: f["times"] > 0)))
-    flags = F.transform(flags, lambda f: f.dropFields("times"))
-    chapter_rows = chapters.select("book_id", F.concat(
+    best = half_up(F.col("best_wer"), 4).cast("decimal(6,4)")
+    flags = F.transform("flags", lambda f: F.struct(f["cycle"], f["reason"], f["exhausted"]))
+    keep_nulls = {"ignoreNullFields": "false"}
+    chapter_rows = chapters.select("book_id", "chapter_id", F.concat(
         F.lit("chapter_"), "chapter_id").alias("entry"), F.to_json(F.struct(
-        "verdict", used.alias("attempts_used"),
-        F.floor(F.col("best_wer") * 10000 + 0.5).cast("bigint").alias("best_wer_e4"),
-        flags.alias("flags"))).alias("report"))
-    book_rows = chapters.groupBy("book_id").agg(
+        title.alias("title"), "verdict", _used(F.col("cycles")).alias("attempts_used"),
+        best.alias("best_wer"), flags.alias("flags")), keep_nulls).alias("report"))
+    expected, produced = F.col("chapters_expected"), F.col("episodes_synthesised")
+    book_rows = verdict_counts(chapters, "book_id").join(chapters.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("chapters_expected"),
-        F.count_if(F.col("verdict") == "clean").alias("clean"),
-        F.count_if(F.col("verdict") == "flagged").alias("flagged"),
-        F.count_if(F.col("verdict") == "unrecoverable").alias("unrecoverable"),
-    ).select("book_id", F.lit("summary").alias("entry"), F.to_json(F.struct(
-        "chapters_expected", F.struct("clean", "flagged", "unrecoverable")
-        .alias("verdict_counts"))).alias("report"))
+        F.count_if(synthesised).alias("episodes_synthesised")), "book_id").select(
+        "book_id", F.lit(None).cast("bigint").alias("chapter_id"), F.lit("summary").alias("entry"),
+        F.to_json(F.struct(
+            pipeline_status(expected, produced).alias("pipeline_status"), "episodes_synthesised",
+            "chapters_expected", F.struct("clean", "flagged", "unrecoverable").alias(
+                "verdict_counts"))).alias("report"))
     return chapter_rows.unionByName(book_rows)
 
 
+def report_documents(rows: DataFrame) -> DataFrame:
+    """One JSON document per book from its report rows."""
+    part = F.struct("chapter_id", F.concat(F.lit('"'), "entry", F.lit('":'), "report").alias("json"))
+    chapter = F.when(F.col("entry") != "summary", part)
+    chapters = F.array_join(F.transform(
+        F.array_sort(F.collect_list(chapter)), lambda e: e["json"]), ",")
+    summary = F.max(F.when(F.col("entry") == "summary", F.col("report")))
+    # The summary is an object; its closing brace gives way to the chapters.
+    return rows.groupBy("book_id").agg(F.concat(
+        F.substring(summary, F.lit(1), F.length(summary) - 1), F.lit(',"chapters":{'), chapters,
+        F.lit("}}")).alias("report"))
+
+
 def failure_gate(attempts: DataFrame, *by: str) -> DataFrame:
     """Share of failed attempts and whether it stops the run."""
     return attempts.groupBy(*by).agg(

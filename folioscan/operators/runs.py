@@ -130,18 +130,28 @@ def compare_summary(rows: DataFrame) -> DataFrame:
 
 
 def library_summary(reports: DataFrame) -> DataFrame:
-    """One row over the library: books by status, ratio range, short and incomplete books."""
+    """One row over the library: books by status, ratio range, counts of the lists below."""
     r = F.col("ratio")
     return reports.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "OK").alias("ok"),
         F.count_if(F.col("status") == "ISSUES").alias("with_issues"),
         F.count_if(F.col("status") == "ERROR").alias("errors"),
-        F.avg(F.floor(r * 1000 + 0.5)).alias("_avg"),
+        half_up(F.avg(r), 3).alias("avg_ratio"),
         F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"),
         F.count_if(r < 0.60).alias("short_books"),
-        F.count_if(F.col("matched") < F.col("total_source")).alias("incomplete_books"),
-    ).withColumn("avg_ratio", half_up(F.col("_avg") / 1000, 3)).drop("_avg")
+        F.count_if(F.col("matched") < F.col("total_source")).alias("incomplete_books"))
+
+
+def short_books(reports: DataFrame) -> DataFrame:
+    """Books of under 60 % of the expected length, shortest first."""
+    return reports.filter(F.col("ratio") < 0.60).select("book_id", "ratio").orderBy("ratio", "book_id")
+
+
+def incomplete_books(reports: DataFrame) -> DataFrame:
+    """Books that miss chapters, with how many they have."""
+    return reports.filter(F.col("matched") < F.col("total_source")).select(
+        "book_id", "matched", "total_source")
 
 
 def ratio_band(ratio: Column) -> Column:

@@ -32,7 +32,7 @@ _LEDGER = f"""{_ATT},
     l2 AS (SELECT *, NOT failed AND fb > 0 AS again, coalesce(CAST(sum(CAST(NOT failed AND fb > 0
         AS INT)) OVER (PARTITION BY book_id, chapter_id, cycle ORDER BY ts, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pb FROM l1),
-    led AS (SELECT book_id, chapter_id, cycle, event_id, attempt_no, failed, wer, best_wer,
+    led AS (SELECT book_id, chapter_id, cycle, ts, event_id, attempt_no, failed, wer, best_wer,
         CAST(least(fb + CAST(failed AS INT), 3) AS BIGINT) AS attempts_used,
         CAST(3 - least(fb + CAST(failed AS INT), 3) AS BIGINT) AS remaining,
         CASE WHEN failed AND fb < 3 THEN 'retry' WHEN failed AND fb = 3 THEN 'exhausted'
@@ -130,45 +130,77 @@ def pipeline_status(spark, d):
     ).withColumn("status", L.pipeline_status(F.col("expected"), F.col("produced")))
 
 
-_LISTED = f"""{_VER},
-    lst AS (SELECT book_id, chapter_id, list({{'cycle': cycle, 'used': attempts_used,
-        'gone': exhausted, 'back': resolved}} ORDER BY cycle) AS cycles FROM cyc
-        WHERE attempts_used > 0 OR exhausted > 0 OR resolved > 0 GROUP BY 1, 2)"""
+_FLAGS = f"""{_VER},
+    flg AS (SELECT book_id, chapter_id, cycle, ts, event_id, action = 'exhausted' AS gone,
+        CASE WHEN cycle = 'cycle_3_retry' THEN 'WER ' || {S.fixed2('wer')}
+          WHEN action = 'exhausted' THEN 'verdict garbage' ELSE 'verdict clean' END AS reason
+        FROM led WHERE action IN ('exhausted', 'resolved'))"""
+_REPORT = f"""{_FLAGS},
+    used AS (SELECT book_id, chapter_id, string_agg('"' || cycle || '":' || attempts_used, ','
+        ORDER BY cycle) AS used FROM cyc
+        WHERE attempts_used > 0 OR exhausted > 0 OR resolved > 0 GROUP BY 1, 2),
+    listed AS (SELECT book_id, chapter_id, string_agg('{{"cycle":"' || cycle || '","reason":"' ||
+        reason || '","exhausted":' || gone || '}}', ',' ORDER BY cycle, ts, event_id) AS flags
+        FROM flg GROUP BY 1, 2),
+    rows AS (SELECT book_id, chapter_id, 'chapter_' || chapter_id AS entry,
+        '{{"title":"Chapter ' || chapter_id || '","verdict":"' || verdict || '","attempts_used":{{'
+        || coalesce(used, '') || '}},"best_wer":' || coalesce(CAST(CAST(
+          {S.half_up('best_wer', 4)} AS DECIMAL(6, 4)) AS VARCHAR), 'null') || ',"flags":[' ||
+        coalesce(flags, '') || ']}}' AS report
+      FROM ver LEFT JOIN used USING (book_id, chapter_id) LEFT JOIN listed USING (book_id, chapter_id)
+      UNION ALL SELECT book_id, NULL, 'summary', '{{"pipeline_status":"' ||
+        CASE WHEN count(best_wer) = count(*) THEN 'complete' WHEN count(best_wer) = 0 THEN 'failed'
+          ELSE 'partial' END || '","episodes_synthesised":' || count(best_wer) ||
+        ',"chapters_expected":' || count(*) ||
+        ',"verdict_counts":{{"clean":' || count(*) FILTER (WHERE verdict = 'clean') ||
+        ',"flagged":' || count(*) FILTER (WHERE verdict = 'flagged') ||
+        ',"unrecoverable":' || count(*) FILTER (WHERE verdict = 'unrecoverable') || '}}}}'
+      FROM ver GROUP BY book_id)"""
+
+
+@query("flag_entries", f"""
+    WITH {_FLAGS} SELECT book_id, chapter_id, cycle, event_id, reason, gone AS exhausted FROM flg""")
+def flag_entries(spark, d):
+    return L.flag_entries(_ledger(spark, d)).drop("ts")
+
+
+def _per_chapter(spark, d):
+    ledger = _ledger(spark, d)
+    return L.per_chapter(L.cycle_summary(ledger), L.flag_entries(ledger))
 
 
 @query("flag_details", f"""
-    WITH {_LISTED} SELECT book_id, chapter_id, verdict, coalesce(array_to_string(list_transform(
-      list_filter(cycles, lambda e: e.gone > 0 OR e.back > 0), lambda e: concat_ws('; ',
-        CASE WHEN e.gone > 0 THEN e.cycle || ' (' || e.used || '/3 attempts exhausted)' END,
-        CASE WHEN e.back > 0 THEN e.cycle || ' (resolved)' END)), '; '), '') AS details
-    FROM ver LEFT JOIN lst USING (book_id, chapter_id)""")
+    WITH {_FLAGS},
+    lines AS (SELECT f.book_id, f.chapter_id, string_agg(cycle || ' (' || CASE WHEN gone
+        THEN attempts_used || '/3 attempts exhausted' ELSE 'resolved' END ||
+        CASE WHEN cycle = 'cycle_3_retry' THEN ', best WER ' || {S.fixed2('v.best_wer')} ELSE '' END
+        || ') — ' || reason, '; ' ORDER BY cycle, ts, event_id) AS details
+      FROM flg f JOIN cyc USING (book_id, chapter_id, cycle) JOIN ver v USING (book_id, chapter_id)
+      GROUP BY 1, 2)
+    SELECT book_id, chapter_id, verdict, coalesce(details, '') AS details
+    FROM ver LEFT JOIN lines USING (book_id, chapter_id)""")
 def flag_details(spark, d):
-    return L.per_chapter(_cycles(spark, d)).select(
-        "book_id", "chapter_id", "verdict", L.flag_details(F.col("cycles")).alias("details"))
-
-
-@query("quality_report_json", f"""
-    WITH {_LISTED},
-    j AS (SELECT book_id, chapter_id, verdict, best_wer, coalesce(array_to_string(list_transform(
-        cycles, lambda e: '"' || e.cycle || '":' || e.used), ','), '') AS used,
-      coalesce(array_to_string(list_filter(flatten(list_transform(cycles, lambda e: [
-        CASE WHEN e.gone > 0 THEN '{{"cycle":"' || e.cycle ||
-          '","reason":"budget spent","exhausted":true}}' ELSE '' END,
-        CASE WHEN e.back > 0 THEN '{{"cycle":"' || e.cycle ||
-          '","reason":"passed after retry","exhausted":false}}' ELSE '' END])),
-        lambda f: length(f) > 0), ','), '') AS flags
-      FROM ver LEFT JOIN lst USING (book_id, chapter_id))
-    SELECT book_id, 'chapter_' || chapter_id AS entry, '{{"verdict":"' || verdict || '","attempts_used":{{' || used || '}}'
-      || CASE WHEN best_wer IS NULL THEN '' ELSE ',"best_wer_e4":' ||
-        CAST(floor(best_wer * 10000 + 0.5) AS BIGINT) END || ',"flags":[' || flags || ']}}'
-      AS report FROM j
-    UNION ALL SELECT book_id, 'summary', '{{"chapters_expected":' || count(*) ||
-      ',"verdict_counts":{{"clean":' || count(*) FILTER (WHERE verdict = 'clean') ||
-      ',"flagged":' || count(*) FILTER (WHERE verdict = 'flagged') ||
-      ',"unrecoverable":' || count(*) FILTER (WHERE verdict = 'unrecoverable') || '}}}}'
-      FROM ver GROUP BY book_id""")
+    return _per_chapter(spark, d).select("book_id", "chapter_id", "verdict", L.flag_details(
+        F.col("flags"), F.col("cycles"), F.col("best_wer")).alias("details"))
+
+
+def _report(spark, d):
+    # An episode exists where the last cycle ran.
+    return L.quality_report(_per_chapter(spark, d), F.concat(
+        F.lit("Chapter "), F.col("chapter_id").cast("string")), F.col("best_wer").isNotNull())
+
+
+@query("quality_report_json", f"WITH {_REPORT} SELECT book_id, entry, report FROM rows")
 def quality_report_json(spark, d):
-    return L.quality_report(L.per_chapter(_cycles(spark, d)))
+    return _report(spark, d).select("book_id", "entry", "report")
+
+
+@query("quality_report_documents", f"""
+    WITH {_REPORT} SELECT book_id, rtrim(max(report) FILTER (WHERE entry = 'summary'), '}}') ||
+      '}},"chapters":{{' || string_agg('"' || entry || '":' || report, ',' ORDER BY chapter_id)
+      FILTER (WHERE entry <> 'summary') || '}}}}' AS report FROM rows GROUP BY book_id""")
+def quality_report_documents(spark, d):
+    return L.report_documents(_report(spark, d))
 
 
 @query("failure_gate", """

@@ -275,14 +275,25 @@ def first_issues(spark, d):
       min(ratio) AS min_ratio, max(ratio) AS max_ratio,
       count(*) FILTER (WHERE ratio < 0.60) AS short_books,
       count(*) FILTER (WHERE matched < total_source) AS incomplete_books,
-      {S.half_up('avg(floor(ratio * 1000.0::DOUBLE + 0.5)) / 1000', 3)} AS avg_ratio FROM rep""")
+      {S.half_up('avg(ratio)', 3)} AS avg_ratio FROM rep""")
 def library_summary(spark, d):
     return L.library_summary(reports(spark, d))
 
 
+@query("short_books", f"WITH {FULL} SELECT book_id, ratio FROM rep WHERE ratio < 0.60")
+def short_books(spark, d):
+    return L.short_books(reports(spark, d))
+
+
+@query("incomplete_books", f"""
+    WITH {FULL} SELECT book_id, matched, total_source FROM rep WHERE matched < total_source""")
+def incomplete_books(spark, d):
+    return L.incomplete_books(reports(spark, d))
+
+
 _LANG_CTE = f"""{FULL},
     lang AS (SELECT book_id, min(lang) AS lang FROM (SELECT book_id, lang, count(*) AS n,
-        row_number() OVER (PARTITION BY book_id ORDER BY count(*), lang) AS rn FROM facts
+        row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, lang) AS rn FROM facts
         GROUP BY book_id, lang) WHERE rn = 1 GROUP BY book_id)"""
 
 
@@ -294,10 +305,10 @@ _LANG_CTE = f"""{FULL},
       {S.half_up('avg(floor(match_pct * 10.0::DOUBLE + 0.5)) / 10', 1)} AS avg_match
     FROM rep JOIN lang USING (book_id) GROUP BY ROLLUP (lang)""")
 def match_summary_rollup(spark, d):
-    # A book's language here: the one it uses least.
+    # A book's language: the one it uses most, ties by code.
     facts, source, audio = sides(spark, d)
     per = facts.groupBy("book_id", "lang").agg(F.count(F.lit(1)).alias("n"))
-    lang = per.groupBy("book_id").agg(F.min(F.struct("n", "lang")).alias("m")).select(
+    lang = per.groupBy("book_id").agg(F.min(F.struct(-F.col("n"), "lang")).alias("m")).select(
         "book_id", "m.lang")
     return L.match_summary(R.verify_report(source, audio).join(lang, "book_id"), "lang")
 

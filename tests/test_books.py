@@ -110,13 +110,24 @@ def test_quality_report(spark):
     import json
     df = attempts(spark, {(1, L.K.CYCLES[0]): [True, False], (1, L.K.CYCLES[2]): [True] * 4,
                           (2, L.K.CYCLES[1]): [False]})
-    rows = L.quality_report(L.per_chapter(L.cycle_summary(L.retry_ledger(df)))).collect()
-    docs = {r.entry: json.loads(r.report) for r in rows}
-    assert docs["summary"] == {"chapters_expected": 2, "verdict_counts": {
-        "clean": 1, "flagged": 0, "unrecoverable": 1}}
-    assert list(docs["chapter_1"]["attempts_used"].items()) == [(L.K.CYCLES[0], 1), (L.K.CYCLES[2], 3)]
-    assert [f["exhausted"] for f in docs["chapter_1"]["flags"]] == [False, True]
-    assert docs["chapter_2"]["flags"] == [] and docs["chapter_2"]["attempts_used"] == {}
+    ledger = L.retry_ledger(df)
+    chapters = L.per_chapter(L.cycle_summary(ledger), L.flag_entries(ledger))
+    report = L.quality_report(chapters, F.concat(F.lit("T"), "chapter_id"), F.col("chapter_id") == 1)
+    docs = {r.entry: json.loads(r.report) for r in report.collect()}
+    assert docs["summary"] == {
+        "pipeline_status": "partial", "episodes_synthesised": 1, "chapters_expected": 2,
+        "verdict_counts": {"clean": 1, "flagged": 0, "unrecoverable": 1}}
+    first, second = docs["chapter_1"], docs["chapter_2"]
+    assert list(first) == ["title", "verdict", "attempts_used", "best_wer", "flags"]
+    assert list(first["attempts_used"].items()) == [(L.K.CYCLES[0], 1), (L.K.CYCLES[2], 3)]
+    assert [(f["exhausted"], f["reason"][:4]) for f in first["flags"]] == [(False, "verd"), (True, "WER ")]
+    assert second["flags"] == [] and second["attempts_used"] == {} and second["best_wer"] is None
+    whole = json.loads(L.report_documents(report).first().report)
+    assert whole == {**docs["summary"], "chapters": {"chapter_1": first, "chapter_2": second}}
+    told = {r.chapter_id: r.x for r in chapters.select("chapter_id", L.flag_details(
+        F.col("flags"), F.col("cycles"), F.col("best_wer")).alias("x")).collect()}
+    assert told[2] == "" and told[1].startswith(f"{L.K.CYCLES[0]} (resolved) — verdict clean; ")
+    assert "3/3 attempts exhausted, best WER 0." in told[1]
 
 
 def test_failure_streaks(spark):
