@@ -43,7 +43,7 @@ IDENTITY = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
+TOXIC_ROWS, CLEAN_ROWS = 2_500, 5_000
 SCALE = 400
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¿¡"
 
@@ -226,15 +226,17 @@ class Scorer:
         ends = (ends - ends[0]).astype(np.int64)
         words, at = distinct(lists.flatten())
         flat, offsets, row = self.table.rows(words)
+        # White space at an end leaves an empty piece there, which is no word.
+        real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.diff(np.concatenate([[0], np.cumsum(real[at])])[ends])
         at = row[at]
         hits = np.flatnonzero(offsets[at + 1] > offsets[at])
         found, sizes = ragged_take(flat, offsets, at[hits])
         text = np.repeat(np.searchsorted(ends, hits, "right") - 1, sizes)
         each, count = np.unique(text * len(self.weights) + found, return_counts=True)
         text = each // len(self.weights)
-        words = np.diff(ends)
-        z = self.bias + np.bincount(text, weights=self.weights[each % len(self.weights)] * strength(count, words[text]),
-                                    minlength=len(texts))
+        values = self.weights[each % len(self.weights)] * strength(count, counts[text])
+        z = self.bias + np.bincount(text, weights=values, minlength=len(texts))
         return 1 / (1 + np.exp(-z))
 
 
