@@ -73,7 +73,7 @@ class Pieces:
             order.append(np.flatnonzero(runs))
         if whole.any():
             ids = self.model.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1)
-            flats += [np.asarray(x, np.uint32) for x in ids]
+            flats.append(np.concatenate([np.asarray(x, np.uint32) for x in ids]))
             sizes[whole] = [len(x) for x in ids]
             order.append(np.flatnonzero(whole))
         if len(order) < 2 and not empty.any():
