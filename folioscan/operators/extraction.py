@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import html as H
 from ..functions import text as X
-from ..session import durable
+from ..session import durable, stored
 from .assemble import assemble
-from .ordered import Running, ordered
+from .ordered import Running, numbered, ordered
 
 
 def toc_names(toc: DataFrame) -> DataFrame:
@@ -66,6 +66,30 @@ def grouping_outcome(groups: DataFrame, toc: DataFrame, chapters: DataFrame) ->
         .otherwise("toc"))
 
 
+def book_chapters(items: DataFrame, toc: DataFrame) -> DataFrame:
+    """The chapters of each book, numbered and titled.
+
+    Items grouped along the table of contents where it fits the spine, without groups that are no
+    chapter; else the single items that pass the content filter. Columns: book_id, number, index,
+    method, title, strategy, html.
+    """
+    groups = durable(group_items(items, toc))
+    # Read for the outcome and for the chapters: written once.
+    merged = stored(with_visible(merge_items(items, groups)).withColumn(
+        "valid", H.valid_chapter(F.col("html"), F.col("visible"))), "merged")
+    method = durable(grouping_outcome(groups, toc, merged).select("book_id", "method"))
+    grouped = merged.filter("valid").select("book_id", F.col("group_no").alias("place"), "html").join(
+        method.filter("method = 'toc'"), "book_id")
+    single = items.join(method.filter("method = 'items'"), "book_id")
+    single = filter_with_fallback(single).select("book_id", F.col("ordinal").alias("place"), "html", "method")
+    found = stored(grouped.unionByName(single), "chapters")
+    places = numbered(found.select("book_id", "place"), ["book_id"], ["place"], "number")
+    title, strategy = H.infer_title(F.col("html"))
+    return found.join(places, ["book_id", "place"]).select(
+        "book_id", "number", (F.col("number") - 1).alias("index"), "method", title.alias("title"),
+        strategy.alias("strategy"), "html")
+
+
 def with_visible(items: DataFrame) -> DataFrame:
     return items.withColumn("visible", H.page_text(F.col("html")))
 

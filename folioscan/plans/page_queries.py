@@ -231,6 +231,48 @@ def toc_grouping(spark, d):
     return E.grouping_outcome(groups, toc, merged)
 
 
+# Books whose table of contents fits, is missing, or points elsewhere; every sixth book declares all
+# its pages lists of links.
+_BOOK_TOC = ("CASE book_id % 3 WHEN 0 THEN href WHEN 2 THEN 'elsewhere/' || href END")
+_BOOK_PAGES = ("CASE WHEN book_id % 6 = 1 THEN replace(html, '<body', '<body epub:type=\"x toc\"') "
+               f"ELSE {_DECLARED} END")
+_BOOK_NAMES = NAMES.replace(TOC, f"SELECT book_id, {_BOOK_TOC} AS href FROM ({TOC})")
+_BOOK_SPINE = f"SELECT book_id, ordinal, item_name, {_BOOK_PAGES} AS html FROM ({SPINE})"
+
+
+@query("book_chapters", f"""
+    WITH {_MERGED.replace(NAMES, _BOOK_NAMES).replace(SPINE, _BOOK_SPINE)},
+    c AS (WITH items AS (SELECT book_id, group_no AS ordinal, '' AS item_name, html FROM merged),
+        {_STATS} SELECT book_id, ordinal, html, {_VALID} AS valid FROM t),
+    h AS (SELECT book_id, count(*) FILTER (WHERE boundary) AS matches FROM g GROUP BY book_id),
+    z AS (SELECT book_id, count(*) AS toc_size FROM ({_BOOK_NAMES}) GROUP BY book_id),
+    o AS (SELECT h.book_id, CASE WHEN coalesce(toc_size, 0) = 0 THEN 'items'
+        WHEN matches < least(3, toc_size) THEN 'items'
+        WHEN (SELECT count(*) FROM c WHERE valid AND c.book_id = h.book_id) <= 1 AND toc_size > 2
+          THEN 'items' ELSE 'toc' END AS method FROM h LEFT JOIN z USING (book_id)),
+    f AS (WITH items AS (SELECT * FROM ({_BOOK_SPINE}) WHERE NOT {SKIPPED.format('item_name')}),
+        {_STATS} SELECT book_id, ordinal, html, length({S.strip('html')}) >= 100
+          AND length(visible) >= 80 AND NOT is_toc AND cjk <= 2 AND rights <= 2 AS strict,
+          length(visible) >= 20 AS loose FROM t),
+    s AS (SELECT *, bool_or(strict) OVER (PARTITION BY book_id) AS has_strict FROM f),
+    r AS (SELECT book_id, ordinal, html, method FROM c JOIN o USING (book_id)
+            WHERE valid AND method = 'toc'
+          UNION ALL SELECT book_id, ordinal, html, method FROM s JOIN o USING (book_id)
+            WHERE method = 'items' AND CASE WHEN has_strict THEN strict ELSE loose END),
+    k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ordinal) AS number FROM r)
+    SELECT book_id, number, number - 1 AS index, method, html, coalesce(
+      {_nodes(S.entities("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)"))}, 'Unknown') AS title,
+      'heading' AS strategy FROM k""")
+def book_chapters(spark, d):
+    book = F.col("book_id")
+    pages = V.spine_items(spark, d)
+    listed = pages.withColumn("html", F.replace("html", F.lit("<body"), F.lit('<body epub:type="x toc"')))
+    items = listed.filter(book % 6 == 1).unionByName(_declared(pages.filter(book % 6 != 1)))
+    toc = V.toc(spark, d).filter(book % 3 != 1).withColumn("href", F.when(
+        book % 3 == 0, F.col("href")).otherwise(F.concat(F.lit("elsewhere/"), "href")))
+    return E.book_chapters(items, toc)
+
+
 @query("realign_reextract", f"""
     WITH {_GROUPS}
     SELECT book_id, group_no, count(*) AS n_pieces,

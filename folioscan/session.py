@@ -49,6 +49,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once in the shared folder and go on from the files; for rows with texts."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later stages re-read files instead of re-running lineage."""
     spark = df.sparkSession
