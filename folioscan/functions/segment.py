@@ -201,6 +201,39 @@ def batches(parts: Column, limit: Column | int, unit: Column | str = "chars") ->
         acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
+def batch_totals(parts: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
+    """(requests, chars) of ``batches``, from sentence lengths; only oversized ones are cut."""
+    lim = F.lit(limit) if isinstance(limit, int) else limit
+    whole = lambda x: x.cast("bigint")
+
+    def measure(s: Column) -> Column:
+        cut = let(split_oversized(s, lim, unit), lambda p: F.struct(
+            whole(F.size(p)).alias("n"),
+            F.aggregate(p, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("c")))
+        return F.struct(whole(F.length(s)).alias("c"), whole(size_in(s, unit)).alias("size"),
+                        F.when(size_in(s, unit) > lim, cut).alias("cut"))
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("n"), zero.alias("c"), F.lit(None).cast("bigint").alias("cur"),
+                     zero.alias("size"))
+
+    def step(acc: Column, e: Column) -> Column:
+        empty = acc["cur"].isNull()
+        fits = e["cut"].isNull() & (empty | (acc["size"] + 1 + e["size"] <= lim))
+        n = acc["n"] + F.when(empty | fits, 0).otherwise(1)
+        c = acc["c"] + F.when(empty | fits, zero).otherwise(acc["cur"])
+        grown = fits & ~empty
+        return F.struct(
+            whole(n + F.coalesce(e["cut"]["n"], zero)).alias("n"),
+            whole(c + F.coalesce(e["cut"]["c"], zero)).alias("c"),
+            F.when(e["cut"].isNull(), F.when(grown, acc["cur"] + 1 + e["c"]).otherwise(e["c"])).alias("cur"),
+            F.when(grown, acc["size"] + 1 + e["size"]).otherwise(e["size"]).alias("size"))
+
+    return F.aggregate(F.transform(parts, measure), start, step, lambda acc: F.struct(
+        (acc["n"] + F.when(acc["cur"].isNull(), 0).otherwise(1)).alias("requests"),
+        (acc["c"] + F.coalesce(acc["cur"], zero)).alias("chars")))
+
+
 def chunk_fixed(c: Column, n: int = K.CHUNK_WORDS) -> Column:
     """Consecutive chunks of ``n`` words."""
     def cut(w: Column) -> Column:

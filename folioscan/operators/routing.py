@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.segment import batches, sentence_pipeline
+from ..functions.segment import batch_totals, sentence_pipeline
 from ..functions.text import strip
 from .ordered import numbered
 from .skew import lookup
@@ -73,13 +73,11 @@ def request_counts(docs: DataFrame, text: str, providers=K.PROVIDERS) -> DataFra
     """
     parts = docs.select(sentence_pipeline(F.col(text)).alias("s"))
     plans = F.array(*[F.struct(
-        F.lit(name).alias("provider"), batches(F.col("s"), limit, unit).alias("b"))
+        F.lit(name).alias("provider"), batch_totals(F.col("s"), limit, unit).alias("t"))
         for name, limit, unit in providers])
-    rows = parts.select(F.explode(plans).alias("p")).select(
-        "p.provider", F.size("p.b").alias("n"),
-        F.aggregate("p.b", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("c"))
-    return rows.groupBy("provider").agg(
-        F.sum("n").cast("bigint").alias("requests"), F.sum("c").cast("bigint").alias("chars"))
+    return parts.select(F.explode(plans).alias("p")).groupBy("p.provider").agg(
+        F.sum("p.t.requests").cast("bigint").alias("requests"),
+        F.sum("p.t.chars").cast("bigint").alias("chars"))
 
 
 def first_pairs(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:

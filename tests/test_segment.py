@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.functions import segment as G
 
@@ -156,3 +157,15 @@ def test_chunks(many):
 def test_shrink(one):
     assert [one(lambda a: G.shrink(4000, a), a=i) for i in (1, 2, 3, 30)] == [
         2000, 1333, 1000, 200]
+
+
+def test_batch_totals_are_those_of_the_batches(spark):
+    rnd = random.Random(8)
+    rows = [(i, ["ç" * rnd.randint(0, 9) + " x" * rnd.randint(0, 14) for _ in range(rnd.randint(0, 12))])
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, s array<string>")
+    for limit, unit in ((12, "chars"), (12, "bytes"), (300, "chars")):
+        both = df.select(G.batches(F.col("s"), limit, unit).alias("b"),
+                         G.batch_totals(F.col("s"), limit, unit).alias("t")).collect()
+        assert [(r.t.requests, r.t.chars) for r in both] == [
+            (len(r.b), sum(map(len, r.b))) for r in both]
