@@ -31,7 +31,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares at least 0.8 of its shingles of five words."""
     copies = setsketch.groups(docs, setsketch.Settings(width=5)).filter(
         F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    return docs.join(stored(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(copies, "copies").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

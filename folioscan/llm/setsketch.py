@@ -320,7 +320,8 @@ def groups(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id"
     members = stored(near.join(sizes, "root").select(
         F.col("root").alias("cluster"), "size", F.col("v").alias("doc_id")), "members")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = sets_of(members.join(texts, "doc_id").select("cluster", "size", "doc_id", "text"), settings)
+    # The same plan at every size: texts move once, to the members.
+    sets = sets_of(members.hint("merge").join(texts, "doc_id").select("cluster", "size", "doc_id", "text"), settings)
     blocks = F.ceil(F.col("size") / settings.block).cast("int")
     placed = sets.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), "_n").cast("int"))
     units = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
