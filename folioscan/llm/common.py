@@ -58,6 +58,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most ``n`` rows, drawn by the hash of some columns; a sample to fit a model on.
+
+    Rows are counted first, and all but about twice as many are dropped where they are read, so what is sorted does not
+    grow with the table.
+    """
+    total, wanted, scale = rows.count(), 2 * n + 200, 1 << 30
+    if total > wanted:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(1), *by), F.lit(scale)) < int(wanted / total * scale))
+    return rows.orderBy(F.xxhash64(*by), *by).limit(n)
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt: Column,
                   how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join many rows to a table with one row a key; a hot key's rows go to ``salts`` tasks.

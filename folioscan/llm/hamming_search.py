@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import drawn
 from .vectors import lists, matrix, usable
 
 _BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -156,7 +156,7 @@ def search(table: DataFrame, queries: Column, settings: Settings = Settings(), k
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(dims, key=lambda r: (r["n"], r["dim"]))
     rows = rows.filter(F.size("vector") == most["dim"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).select("vector")
+    sample = drawn(rows, settings.sample, "vec_id").select("vector")
     coder = learn(np.array([r["vector"] for r in sample.collect()], float), float(np.sqrt(most["square"])), settings)
     shards = -(-most["n"] // settings.shard)
     blocks = max(1, -(-most["asks"] // settings.queries))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drawn, stored
 from .components import components
 from .vectors import lists, matrix, usable
 
@@ -34,7 +34,7 @@ MARGIN = 1e-4
 
 def pivots(classes: DataFrame, count: int, dim: int) -> np.ndarray:
     """At most ``MOST_PIVOTS`` unit vectors, drawn by hash."""
-    rows = classes.filter(F.size("vector") == dim).orderBy(F.xxhash64("class_id"), "class_id").limit(count).collect()
+    rows = drawn(classes.filter(F.size("vector") == dim), count, "class_id").collect()
     got = np.array([r["vector"] for r in rows], float)
     return got / np.linalg.norm(got, axis=1, keepdims=True)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filled, text_slices
+from .common import drawn, filled, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind: string, start: int, end: int>>"
@@ -299,8 +299,8 @@ def fit_graph(g: Graph, y: np.ndarray, settings: Settings) -> Field:
 
 def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Field:
     """Fit on the driver, on tokens of at most ``sample`` documents drawn by hash of their id and text."""
-    drawn = docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn(
-        "_h", F.xxhash64("text")).orderBy("_h").limit(settings.sample).select("text")
+    some = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    chosen = drawn(some, settings.sample, "_key", "text").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
                     g.features.tobytes(), g.chain.tobytes(), g.skip.tobytes(), g.first.tobytes(),
                     np.array(y, np.int64).tobytes())], ["features", "chain", "skip", "start", "y"])
 
-    parts = drawn.mapInArrow(run, "features binary, chain binary, skip binary, start binary, y binary").collect()
+    parts = chosen.mapInArrow(run, "features binary, chain binary, skip binary, start binary, y binary").collect()
     read = lambda name, kind: [np.frombuffer(p[name], kind) for p in parts]
     ys = read("y", np.int64)
     shift = np.cumsum([0, *map(len, ys)])

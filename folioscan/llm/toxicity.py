@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable, distinct
-from .common import filled, ragged_take, text_slices
+from .common import drawn, filled, ragged_take, text_slices
 
 # Sets of terms that name groups; within a set each may stand for another.
 IDENTITY = (
@@ -120,7 +120,7 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
     def some(label: int, n: int) -> DataFrame:
-        return known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        return drawn(known.filter(F.col("toxic") == label), n, "doc_id")
 
     # At most toxic_rows + clean_rows rows are broadcast.
     chosen = F.broadcast(some(1, settings.toxic_rows).unionAll(some(0, settings.clean_rows)))

@@ -5,9 +5,8 @@ aligned by simple tree matching: roots of one kind match, and the best order-pre
 by dynamic programming over subtree scores. Aligning all pages of a host gives its wrapper: per node, on how many pages it
 was met and which texts recur there (a Misra-Gries summary, so it stays small however many pages there are). Wrappers
 align and merge like pages do; tasks merge their own pages first, and a host's partial wrappers are merged one after the
-other. A text
-counted at one node on at least six tenths of a host's pages is template; the summary never counts too high, and too low
-by a 65th of all texts at the node at most.
+other. A text counted at one node on at least six tenths of a host's pages is template; the summary never counts too high,
+and too low by a 65th of all texts at the node at most.
 
 Extraction leaves out template texts and elements that are never article: scripts, styles, forms, navigation, asides,
 footers, and anything named as advert, notice, sidebar or comment. Where a page marks its article or main part, only that
