@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from .common import ragged_take
 
-KEEP = 1_000_000
+KEEP = 1_500_000
 # White space of any definition; texts in which some touches other are encoded whole where white space makes tokens.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUNS = _WS + _WS
@@ -130,6 +130,13 @@ class ByteLevel:
         """Ids of all texts, one after the other, and the number of ids of each."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        try:
+            return self._encoded(texts)
+        finally:
+            # Buffers of this call would else stay with the allocator.
+            pa.default_memory_pool().release_unused()
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.spaced:
             return self._pieces(pc.ascii_split_whitespace(texts))
         runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False).astype(bool)

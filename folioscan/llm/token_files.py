@@ -32,7 +32,7 @@ from .elias_fano import EliasFano
 
 MAGIC = b"TOKIDS01"
 _HEAD = struct.Struct("<8sBQQQQqQ")
-IDS_PER_FILE = 8 << 20
+IDS_PER_FILE = 4 << 20
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -110,7 +110,7 @@ def write(docs: DataFrame, encoder: Callable[[], ByteLevel], end_id: int, vocabu
 
         count = 0
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", 10 << 20):
                 coder = coder or encoder()
                 ids, sizes = coder.encode(filled(piece.column("text")))
                 ends = np.cumsum(sizes)
