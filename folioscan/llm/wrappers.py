@@ -2,19 +2,18 @@
 
 A page becomes a tree of elements in which neighbouring siblings of one kind are folded into a repeated node. Two trees are
 aligned by simple tree matching: roots of one kind match, and the best order-preserving match of their children is found
-by dynamic programming over subtree scores. Aligning all pages of a host gives its wrapper: per node, on how many pages it
-was met and which texts recur there (a Misra-Gries summary, so it stays small however many pages there are). Wrappers
-align and merge like pages do; tasks merge their own pages first, and a host's partial wrappers are merged one after the
-other. A text counted at one node on at least six tenths of a host's pages is template; the summary never counts too high,
-and too low by a 65th of all texts at the node at most.
+by dynamic programming over subtree scores. Aligning all pages of a host gives its wrapper, a tree of slots. Wrappers align
+and merge like pages do; tasks merge their own pages first, and a host's partial wrappers are merged one after the other.
+Then every page is aligned with the whole wrapper, and Spark counts exactly on how many pages a node holds a text; a node is
+a slot, and also a path of kinds, since equal elements may align in more than one way. A text on at least six tenths of the
+pages that hold text at its node is template. Pages whose texts are all the same are copies and count as one.
 
 Extraction leaves out template texts and elements that are never article: scripts, styles, forms, navigation, asides,
 footers, and anything named as advert, notice, sidebar or comment. Where a page marks its article or main part, only that
 is read; the rest of its varying slots are its content, in page order, one line a block.
 
-Defined cases: null and empty html give an empty text; a null or odd url belongs to the host "" and is kept as it is; hosts
-of fewer than five pages have no template; template texts are kept where they would be more than half of a page's text;
-cut-off pages are read as far as they go; what is nested deeper than 200 elements is read as if it stood there without further tags; repeated rows and null ids stay rows of their own; an empty table gives no rows;
+Defined cases: null and empty html give an empty text; a null or odd url belongs to the host "" and is kept as it is; nodes
+that fewer than five different pages hold have no template; template texts are kept where they would be more than half of a page's text; cut-off pages are read as far as they go; what is nested deeper than 200 elements is read as if it stood there without further tags; repeated rows and null ids stay rows of their own; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -60,6 +59,8 @@ _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 DEEPEST = 200
 KEEP_TEXTS = 64
 LEAST_PAGES, SHARE = 5, 0.6
+# Elements that are a part of the page by themselves; other neighbours of a marked element go together.
+PARTS = frozenset("address center details div fieldset section table tbody td tr".split())
 
 
 @dataclass
@@ -176,6 +177,7 @@ class Slot:
     pages: int = 1
     texts: dict[int, int] = field(default_factory=dict)
     children: list["Slot"] = field(default_factory=list)
+    number: int = 0
 
 
 def text_hash(text: str) -> int:
@@ -194,16 +196,16 @@ def add_texts(into: dict[int, int], more: dict[int, int]) -> None:
                 del into[k]
 
 
-def slot(node: Node) -> Slot:
-    """A page's wrapper: runs of one kind of children are folded."""
+def slot(node: Node, texts: bool = True) -> Slot:
+    """A page's wrapper: runs of one kind of children are folded. Alignment needs no texts."""
     out = Slot(node.kind)
-    own = [c for c in node.children if isinstance(c, str) and not c.isspace()]
+    own = [c for c in node.children if isinstance(c, str) and not c.isspace()] if texts else []
     if own:
         out.texts = {text_hash(" ".join(own)): 1}
     for child in node.children:
         if isinstance(child, str) or child.tag in ("script", "style"):
             continue
-        made = slot(child)
+        made = slot(child, texts)
         if out.children and out.children[-1].kind == made.kind:
             fold(out.children[-1], made)
         else:
@@ -211,9 +213,15 @@ def slot(node: Node) -> Slot:
     return out
 
 
+def shape(s: Slot) -> tuple:
+    return s.kind, *map(shape, s.children)
+
+
 def fold(one: Slot, two: Slot) -> None:
     """Siblings of one kind on one page: the page counts once."""
     pages = one.pages
+    if not two.children and not two.texts:
+        return
     merge(one, two)
     for s in walk(one):
         s.pages = min(s.pages, pages)
@@ -304,7 +312,7 @@ def template(s: Slot) -> list[int]:
 
 
 def content(root: Node) -> list[Node]:
-    """The outermost article or main elements that hold text, else the whole page."""
+    """The outermost article or main elements, whether they hold text or not."""
     found: list[Node] = []
 
     def visit(node: Node, inside: bool) -> None:
@@ -320,49 +328,137 @@ def content(root: Node) -> list[Node]:
     return found
 
 
-def extract(html: str, constant: frozenset[int] | set[int]) -> str:
-    """The page's main text."""
+def number(s: Slot) -> Slot:
+    """Give the slots of a whole wrapper their numbers."""
+    for i, one in enumerate(walk(s)):
+        one.number = i
+    return s
+
+
+def place(wrapper: Slot, root: Node) -> dict[int, int]:
+    """Align a page with its host's wrapper: the number of each element's slot."""
+    found: dict[int, int] = {}
+
+    def visit(w: Slot, node: Node) -> None:
+        found[id(node)] = w.number
+        runs: list[list[Node]] = []
+        for c in node.children:
+            if isinstance(c, str) or c.tag in ("script", "style"):
+                continue
+            if runs and runs[-1][0].kind == c.kind:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+        if not runs:
+            return
+        if [r[0].kind for r in runs] == [c.kind for c in w.children]:
+            pairs = [(i, i) for i in range(len(runs))]
+        else:
+            pairs = match(w, slot(node, False))[1]
+        for i, j in pairs:
+            for c in runs[j]:
+                visit(w.children[i], c)
+
+    visit(wrapper, root)
+    return found
+
+
+@dataclass
+class Block:
+    """A line of a page: the nodes and hashes of its texts, whether a mark holds it, and else the part it belongs to."""
+
+    line: str
+    texts: list[tuple[tuple[str, ...], int]]
+    marked: bool
+    part: str
+
+
+def read(html: str, wrapper: Slot | None = None) -> list[Block]:
+    """All lines of a page that may be article. A node is known by its path of kinds and by its slot."""
     root = parse(html)
-    parts = {id(n) for n in content(root)}
-    blocks: list[tuple[str, bool]] = []
+    slots = place(wrapper, root) if wrapper else {}
+    marks = {id(n) for n in content(root)}
+    around: set[int] = set()
+
+    def holds(node: Node) -> bool:
+        found = [id(c) in marks or holds(c) for c in node.children if not isinstance(c, str)]
+        if any(found):
+            around.add(id(node))
+        return any(found)
+
+    if marks:
+        holds(root)
+    blocks: list[Block] = []
     held: list[str] = []
-    fixed = True
+    texts: list[tuple[tuple[str, ...], int]] = []
 
-    def close() -> None:
-        nonlocal fixed
+    def close(inside: bool, part: str) -> None:
         line = " ".join("".join(held).split())
         if line:
-            blocks.append((line, fixed))
+            blocks.append(Block(line, texts.copy(), inside, part))
         held.clear()
-        fixed = True
+        texts.clear()
 
-    def visit(node: Node, path: str, inside: bool) -> None:
-        nonlocal fixed
+    def visit(node: Node, path: str, inside: bool, part: str) -> None:
         path = f"{path}/{node.kind}"
-        inside = inside or not parts or id(node) in parts
+        names = (path, f"#{slots[id(node)]}") if id(node) in slots else (path,)
+        inside = inside or id(node) in marks
+        if id(node) in around:
+            part = names[-1] + " flow"
+        elif part.endswith(" flow") and node.tag in PARTS:
+            part = names[-1]
         own = [c for c in node.children if isinstance(c, str) and not c.isspace()]
-        same = bool(constant and own) and key(path, text_hash(" ".join(own))) in constant
+        mark = (names, text_hash(" ".join(own))) if own else None
         block = node.tag in BLOCK
         if block:
-            close()
+            close(*above[-1])
+        above.append((inside, part))
         for c in node.children:
             if isinstance(c, str):
-                if inside:
-                    held.append(c)
-                    fixed = fixed and (same or c.isspace())
+                held.append(c)
+                if mark and not c.isspace() and (not texts or texts[-1] is not mark):
+                    texts.append(mark)
             elif c.tag == "br" or c.tag == "hr":
                 held.append(" ")
-            elif not dropped(c, bool(parts) and inside):
-                visit(c, path, inside)
+            elif not dropped(c, bool(marks) and inside):
+                visit(c, path, inside, part)
             elif c.tag in BLOCK:
-                close()
+                close(inside, part)
+        above.pop()
         if block:
-            close()
+            close(inside, part)
+
+    above = [(False, " flow")]
+    visit(root, "", False, " flow")
+    close(False, " flow")
+    return blocks
+
+
+NODE = -1
+
+
+def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
+    """What a page says about its host: (node, key) for every text at its nodes, (node, node) for the nodes themselves."""
+    found = set()
+    for b in blocks:
+        for names, text in b.texts:
+            for name in names:
+                node = key(name, NODE)
+                found.add((node, node))
+                found.add((node, key(name, text)))
+    return found
+
 
-    visit(root, "", False)
-    close()
-    drop = sum(len(t) for t, f in blocks if f) * 2 <= sum(len(t) for t, _ in blocks)
-    return "\n".join(t for t, f in blocks if not (f and drop))
+def extract(html: str, constant: frozenset[int] | set[int], wrapper: Slot | None = None) -> str:
+    """The page's main text: its varying blocks, those of marked elements where there are any."""
+    blocks = read(html, wrapper)
+    left = [b for b in blocks if not constant or not all(
+        any(key(name, text) in constant for name in names) for names, text in b.texts)]
+    if 2 * sum(len(b.line) for b in left) < sum(len(b.line) for b in blocks):
+        left = blocks
+    if any(b.marked for b in blocks):
+        left = [b for b in left if b.marked]
+    return "\n".join(b.line for b in left)
 
 
 def host(url: Column) -> Column:
@@ -370,20 +466,28 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, most_hosts: int = 2_000) -> DataFrame:
-    """host and the keys of its template texts, for hosts that have some. ``pages``: host, html."""
+    """host, its wrapper and the keys of what is constant there. ``pages``: host, html."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Slot] = {}
+        seen: set[tuple[str, bytes]] = set()
 
         def rows() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([
                 pa.array(list(held), pa.string()), pa.array([pack(s) for s in held.values()], pa.binary())], ["host", "wrapper"])
             held.clear()
+            seen.clear()
             return out
 
         for batch in batches:
             for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                made = slot(parse(html or ""))
+                made = slot(parse(html or ""), False)
+                # A page built like one before it adds no slot.
+                built = (name, xxhash.xxh3_128_digest(repr(shape(made))))
+                if built in seen:
+                    continue
+                if len(seen) < 100_000:
+                    seen.add(built)
                 if name in held:
                     merge(held[name], made)
                 else:
@@ -397,10 +501,8 @@ def wrappers(pages: DataFrame, most_hosts: int = 2_000) -> DataFrame:
         at, held = None, None
 
         def rows() -> Iterator[pa.RecordBatch]:
-            keys = template(held) if held else []
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([keys], pa.list_(pa.int64()))], ["host", "keys"])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(held)], pa.binary())], ["host", "wrapper"])
 
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -411,9 +513,49 @@ def wrappers(pages: DataFrame, most_hosts: int = 2_000) -> DataFrame:
                     merge(held, unpack(data))
         yield from rows()
 
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for batch in batches:
+            for part in text_slices(batch, "html", 4 << 20):
+                out: list[tuple[int, int, int, int]] = []
+                for site, html, data in zip(*(part.column(c).to_pylist() for c in ("site", "html", "wrapper"))):
+                    blocks = read(html or "", known(data))
+                    payload = xxhash.xxh3_64_intdigest("\n".join(b.line for b in blocks)) >> 1
+                    out += [(site, node, k, payload) for node, k in evidence(blocks)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], ["site", "node", "key", "payload"])
+
     parts = pages.select("host", "html").mapInArrow(partial, "host string, wrapper binary")
-    return stored(parts.repartition("host").sortWithinPartitions("host").mapInArrow(
-        whole, "host string, keys array<long>"), "wrappers")
+    site = F.xxhash64("host").alias("site")
+    built = stored(parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(
+        whole, "host string, wrapper binary"), "wrappers")
+    # Pages that say the same are one. Rows are dealt by all columns first, so no host or node gathers in one task.
+    rows = pages.join(built, "host").select(site, "html", "wrapper").mapInArrow(
+        said, "site long, node long, key long, payload long").distinct()
+    counts = stored(rows.groupBy("site", "node", "key").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= SHARE * LEAST_PAGES), "counts")
+    nodes = counts.filter((F.col("key") == F.col("node")) & (F.col("n") >= LEAST_PAGES)).select(
+        "site", "node", F.col("n").alias("pages"))
+    keys = counts.filter(F.col("key") != F.col("node")).join(nodes, ["site", "node"]).filter(
+        F.col("n") >= SHARE * F.col("pages")).groupBy("site").agg(F.collect_set("key").alias("keys"))
+    return stored(built.withColumn("site", F.xxhash64("host")).join(keys, "site", "left").select("host", "wrapper", "keys"),
+                  "templates")
+
+
+class Known:
+    """Wrappers read from their bytes, the last few hundred kept."""
+
+    def __init__(self) -> None:
+        self.held: dict[bytes, Slot] = {}
+
+    def __call__(self, data: bytes | None) -> Slot | None:
+        if data is None:
+            return None
+        if data not in self.held:
+            if len(self.held) >= 200:
+                self.held.clear()
+            self.held[data] = number(unpack(data))
+        return self.held[data]
 
 
 def main_text(table: DataFrame, key_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -421,13 +563,14 @@ def main_text(table: DataFrame, key_column: str = "page_id", url: str = "url", h
     pages = table.select(F.col(key_column).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
                          host(F.col(url)).alias("host"))
     # Template keys are few; where their table is small it is broadcast by its measured size, else hosts are dealt out.
-    found = pages.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "keys")
+    found = pages.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "wrapper", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             for part in text_slices(batch, "html", 4 << 20):
-                texts = [extract(h, frozenset(k or ())) if h else "" for h, k in zip(
-                    part.column("html").to_pylist(), part.column("keys").to_pylist())]
+                texts = [extract(h, frozenset(k or ()), known(w)) if h else "" for h, k, w in zip(
+                    *(part.column(c).to_pylist() for c in ("html", "keys", "wrapper")))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -251,6 +251,22 @@ def test_wrappers_take_constant_texts_out(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def texts_of(spark, pages, url="http://a.org/"):
+    df = spark.createDataFrame([(i, url, p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    return [r.text for r in sorted(wrappers.main_text(df).collect(), key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("long", [40, 100])
+def test_a_notice_on_long_pages_is_template(spark, long):
+    def page(i):
+        lines = [f"<p>Line {i} {k} of the story.</p>" for k in range(long)]
+        lines.insert((7 * i) % long, "<p>Read our rules before you post.</p>")
+        return f"<body><div class='x'>{''.join(lines)}</div></body>"
+
+    got = texts_of(spark, [page(i) for i in range(30)])
+    assert got == ["\n".join(f"Line {i} {k} of the story." for k in range(long)) for i in range(30)]
+
+
 def test_merging_does_not_depend_on_who_starts():
     slots = [wrappers.slot(wrappers.parse(PAGE.replace("One", f"One {i}"))) for i in range(6)]
     whole = wrappers.slot(wrappers.parse(PAGE))
