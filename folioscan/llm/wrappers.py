@@ -9,8 +9,10 @@ a slot, and also a path of kinds, since equal elements may align in more than on
 pages that hold text at its node is template. Pages whose texts are all the same are copies and count as one.
 
 Extraction leaves out template texts and elements that are never article: scripts, styles, forms, navigation, asides,
-footers, and anything named as advert, notice, sidebar or comment. Where a page marks its article or main part, only that
-is read; the rest of its varying slots are its content, in page order, one line a block.
+footers, and anything named as advert, notice, sidebar or comment. The varying slots are the content, in page order, one line
+a block. An article or main element is a hint: where it holds varying text, a part of the page outside it is content only if
+it holds more text than the hint on six tenths of the host's pages that have the part. It is none if it holds less on as
+many; if the host tells neither, the page itself decides in the same way.
 
 Defined cases: null and empty html give an empty text; a null or odd url belongs to the host "" and is kept as it is; nodes
 that fewer than five different pages hold have no template; template texts are kept where they would be more than half of a page's text; cut-off pages are read as far as they go; what is nested deeper than 200 elements is read as if it stood there without further tags; repeated rows and null ids stay rows of their own; an empty table gives no rows;
@@ -434,11 +436,14 @@ def read(html: str, wrapper: Slot | None = None) -> list[Block]:
     return blocks
 
 
-NODE = -1
+NODE, WON, LOST, PART = -1, -2, -3, -4
 
 
 def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
-    """What a page says about its host: (node, key) for every text at its nodes, (node, node) for the nodes themselves."""
+    """What a page says about its host: (node, key) for every text at its nodes, (node, node) for the nodes themselves.
+
+    A part outside the marked elements counts as won or lost by whether it holds more text than they do.
+    """
     found = set()
     for b in blocks:
         for names, text in b.texts:
@@ -446,18 +451,39 @@ def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
                 node = key(name, NODE)
                 found.add((node, node))
                 found.add((node, key(name, text)))
+    marked = sum(len(b.line) for b in blocks if b.marked)
+    if marked:
+        sizes: dict[str, int] = {}
+        for b in blocks:
+            if not b.marked:
+                sizes[b.part] = sizes.get(b.part, 0) + len(b.line)
+        for part, n in sizes.items():
+            node = key(part, PART)
+            found.add((node, node))
+            found.add((node, key(part, WON if n > marked else LOST)))
     return found
 
 
 def extract(html: str, constant: frozenset[int] | set[int], wrapper: Slot | None = None) -> str:
-    """The page's main text: its varying blocks, those of marked elements where there are any."""
+    """The page's main text: its varying blocks.
+
+    Where marked elements hold some of them, another part counts only if it outweighs the mark on most pages of the host; what
+    the host does not tell, the page does.
+    """
     blocks = read(html, wrapper)
     left = [b for b in blocks if not constant or not all(
         any(key(name, text) in constant for name in names) for names, text in b.texts)]
     if 2 * sum(len(b.line) for b in left) < sum(len(b.line) for b in blocks):
         left = blocks
-    if any(b.marked for b in blocks):
-        left = [b for b in left if b.marked]
+    marked = sum(len(b.line) for b in left if b.marked)
+    if marked:
+        sizes: dict[str, int] = {}
+        for b in left:
+            if not b.marked:
+                sizes[b.part] = sizes.get(b.part, 0) + len(b.line)
+        good = {p for p, n in sizes.items()
+                if key(p, WON) in constant or (n > marked and key(p, LOST) not in constant)}
+        left = [b for b in left if b.marked or b.part in good]
     return "\n".join(b.line for b in left)
 
 

@@ -256,6 +256,21 @@ def texts_of(spark, pages, url="http://a.org/"):
     return [r.text for r in sorted(wrappers.main_text(df).collect(), key=lambda r: r.page_id)]
 
 
+def test_a_mark_without_the_article_does_not_hide_it(spark):
+    body = [f"<div class='story'><h2>Part {i}</h2><p>{f'The long story number {i} goes on. ' * 5}</p></div>" for i in range(10)]
+    want = [f"Part {i}\n" + " ".join([f"The long story number {i} goes on."] * 5) for i in range(10)]
+    for mark in ("<article><script>var a</script></article>", "<main> </main>", "<article><p>Read also our news</p></article>"):
+        assert texts_of(spark, [f"<body>{mark}{b}</body>" for b in body]) == want
+    # A teaser that differs from page to page, also on one page of a host whose articles are marked.
+    got = texts_of(spark, [f"<body><article><p>Related {i}</p></article>{b}</body>" for i, b in enumerate(body)])
+    assert all(w in g for w, g in zip(want, got))
+    recent = "<div class='recent'><p>Seen lately: {0}, and {0} again</p></div>"
+    long = [f"<body><article><p>{f'Text {i} of its own. ' * 20}</p></article>{recent.format(i)}</body>" for i in range(9)]
+    got = texts_of(spark, [*long, f"<body><article><p>Teaser</p></article>{body[3]}</body>",
+                           f"<body><article><p>Short.</p></article>{recent.format(77)}</body>"])
+    assert want[3] in got[9] and got[10] == "Short." and not any("lately" in g for g in got)
+
+
 @pytest.mark.parametrize("long", [40, 100])
 def test_a_notice_on_long_pages_is_template(spark, long):
     def page(i):
