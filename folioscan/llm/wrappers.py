@@ -15,7 +15,7 @@ it holds more text than the hint on six tenths of the host's pages that have the
 many; if the host tells neither, the page itself decides in the same way.
 
 Defined cases: null and empty html give an empty text; a null or odd url belongs to the host "" and is kept as it is; nodes
-that fewer than five different pages hold have no template; template texts are kept where they would be more than half of a page's text; cut-off pages are read as far as they go; what is nested deeper than 200 elements is read as if it stood there without further tags; repeated rows and null ids stay rows of their own; an empty table gives no rows;
+that fewer than five different pages hold have no template; a page of template alone has an empty text; cut-off pages are read as far as they go; what is nested deeper than 200 elements is read as if it stood there without further tags; repeated rows and null ids stay rows of their own; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -470,11 +470,8 @@ def extract(html: str, constant: frozenset[int] | set[int], wrapper: Slot | None
     Where marked elements hold some of them, another part counts only if it outweighs the mark on most pages of the host; what
     the host does not tell, the page does.
     """
-    blocks = read(html, wrapper)
-    left = [b for b in blocks if not constant or not all(
+    left = [b for b in read(html, wrapper) if not constant or not all(
         any(key(name, text) in constant for name in names) for names, text in b.texts)]
-    if 2 * sum(len(b.line) for b in left) < sum(len(b.line) for b in blocks):
-        left = blocks
     marked = sum(len(b.line) for b in left if b.marked)
     if marked:
         sizes: dict[str, int] = {}

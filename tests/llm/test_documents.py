@@ -282,6 +282,19 @@ def test_a_notice_on_long_pages_is_template(spark, long):
     assert got == ["\n".join(f"Line {i} {k} of the story." for k in range(long)) for i in range(30)]
 
 
+def test_template_is_counted_where_its_node_is_and_never_given_back(spark):
+    menu = "<div class='top'>Home, sport, weather and all the other pages of this site</div>"
+    pages = [f"<body>{menu}<article><p>Short {i}.</p></article></body>" for i in range(8)]
+    pages += [f"<body>{menu}<article></article></body>", f"<body>{menu}</body>"]
+    assert texts_of(spark, pages) == [f"Short {i}." for i in range(8)] + ["", ""]
+    two = [f"<body><div class='a'>Welcome to A</div><p>Own {i} text</p></body>" for i in range(6)]
+    two += [f"<body><table class='b'><tr><td>Welcome to B</td></tr></table><p>Other {i} text</p></body>" for i in range(6)]
+    assert texts_of(spark, two, None) == [f"Own {i} text" for i in range(6)] + [f"Other {i} text" for i in range(6)]
+    # Copies are one page, whatever their scripts say.
+    copies = [f"<body><script>track({i})</script><p>All alike</p><p>on every page</p></body>" for i in range(9)]
+    assert texts_of(spark, copies) == ["All alike\non every page"] * 9
+
+
 def test_merging_does_not_depend_on_who_starts():
     slots = [wrappers.slot(wrappers.parse(PAGE.replace("One", f"One {i}"))) for i in range(6)]
     whole = wrappers.slot(wrappers.parse(PAGE))
