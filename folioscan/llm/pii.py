@@ -2,8 +2,10 @@
 
 Patterns give the base spans (email, ip, card, phone); a match that fails its check is dropped. The field labels the tokens
 that hold a digit or ``@``; any other token is outside by rule, so runs of neighbouring tokens are separate chains. Equal or
-similar tokens of a document - same letters, or same seven and more digits however written - are joined by skip edges, and
-loopy message passing lets distant mentions share what each is sure of. A number whose pattern fails because another one
+similar tokens of a document - same letters, or same seven and more digits however written - are joined by skip edges to one
+hub, two hops from any mention to any other however many there are. A hub hands on what the surest other mention says (of
+two mentions that is the plain skip edge), so many vague mentions do not outvote a sure one. Loopy messages are passed until
+those of the document settle. A number whose pattern fails because another one
 follows it, or that is written once with and once without its prefix, is found that way.
 
 The field is fitted by pseudo-likelihood on a bounded sample of documents, with the base spans as labels; tokens inside
@@ -58,6 +60,7 @@ class Settings:
     outside: float = 3.0
     steps: int = 600
     rounds: int = 12
+    settled: float = 1e-4
     sure: float = 0.75
 
 
@@ -157,19 +160,23 @@ def shape(word: str) -> str:
 
 
 def likeness(word: str) -> str:
-    """Tokens with the same likeness share a skip edge."""
+    """Tokens with the same likeness share a hub."""
     digits = _NOT_DIGIT.sub("", word)
     return digits if len(digits) >= 7 and "@" not in word else word.strip("()[]<>").lower()
 
 
 @dataclass
 class Graph:
-    """Nodes of many documents: feature buckets, chain edges, skip edges, where chains start."""
+    """Nodes of many documents: feature buckets, chain edges, skip edges from mention to hub, where chains start, document.
+
+    A hub is named by the node after its last mention.
+    """
 
     features: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
     first: np.ndarray
+    doc: np.ndarray
 
 
 def graph(texts: list[str], found: list[list[tuple[int, int]]], buckets: int) -> Graph:
@@ -179,7 +186,7 @@ def graph(texts: list[str], found: list[list[tuple[int, int]]], buckets: int) ->
         words = [text[a:b] for a, b in spans]
         shapes = [shape(w) for w in words]
         joined = [i > 0 and not text[spans[i - 1][1]: spans[i][0]].strip(" \t.,;:!?\"'") for i in range(len(spans))]
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         for i, s in enumerate(shapes):
             before = shapes[i - 1] if joined[i] else "-"
             after = shapes[i + 1] if i + 1 < len(spans) and joined[i + 1] else "-"
@@ -188,13 +195,14 @@ def graph(texts: list[str], found: list[list[tuple[int, int]]], buckets: int) ->
             first.append(not joined[i])
             if joined[i]:
                 chain.append((n + i - 1, n + i))
-            like = likeness(words[i])
-            if like in last:
-                skip.append((n + last[like], n + i))
-            last[like] = i
+            alike.setdefault(likeness(words[i]), []).append(n + i)
+        for mentions in alike.values():
+            if len(mentions) > 1:
+                skip += [(i, mentions[-1] + 1) for i in mentions]
         n += len(spans)
     return Graph(np.array(features, np.int32).reshape(-1, 6), np.array(chain, np.int64).reshape(-1, 2),
-                 np.array(skip, np.int64).reshape(-1, 2), np.array(first, bool))
+                 np.array(skip, np.int64).reshape(-1, 2), np.array(first, bool),
+                 np.repeat(np.arange(len(found)), [len(f) for f in found]))
 
 
 def labels(spans: list[tuple[int, int]], base: list[Span], failed: list[tuple[int, int]]) -> list[int]:
@@ -222,33 +230,68 @@ class Field:
         e[np.ix_(g.first, inside)] = FAR
         return e
 
-    def marginals(self, g: Graph, rounds: int) -> np.ndarray:
-        """Loopy sum-product over chain and skip edges of all documents at once, damped."""
+    def marginals(self, g: Graph, rounds: int, settled: float = 1e-4) -> np.ndarray:
+        """Loopy sum-product over the chains and hubs of all documents at once, damped, until a document's messages settle.
+
+        A document is looked at every ``rounds`` rounds, so it does not depend on its neighbours when it is done. One that
+        still swings after four hundred rounds and four for each of its tokens is damped more and more.
+        """
         local = self.scores(g)
-        edges = np.concatenate([g.chain, g.skip])
-        if not len(edges):
-            return _softmax(local)
-        kinds = np.repeat([0, 1], [len(g.chain), len(g.skip)])
-        pair = np.stack([self.chain, self.skip])[kinds]
-        ahead, back = np.zeros((len(edges), LABELS)), np.zeros((len(edges), LABELS))
-        a, b = edges[:, 0], edges[:, 1]
-        for _ in range(rounds):
-            belief = local.copy()
-            np.add.at(belief, b, ahead)
-            np.add.at(belief, a, back)
-            to_b = _logsum((belief[a] - back)[:, :, None] + pair, 1)
-            to_a = _logsum((belief[b] - ahead)[:, None, :] + pair, 2)
-            ahead = 0.5 * ahead + 0.5 * (to_b - to_b.max(axis=1, keepdims=True))
-            back = 0.5 * back + 0.5 * (to_a - to_a.max(axis=1, keepdims=True))
+        total, n_docs = local.copy(), int(g.doc.max(initial=-1)) + 1
+        chain, (mention, name) = g.chain, g.skip.T
+        hub = np.unique(name, return_inverse=True)[1]
+        ahead, back = np.zeros((len(chain), LABELS)), np.zeros((len(chain), LABELS))
+        shared = np.zeros((len(mention), LABELS))
+        patience = 400 + 4 * np.bincount(g.doc, minlength=n_docs)
+        edges, ends = np.arange(len(chain)), np.arange(len(mention))
+        done = 0
+        while len(edges) or len(ends):
+            (a, b), m = chain[edges].T, mention[ends]
+            f, r, h = ahead[edges], back[edges], shared[ends]
+            # Hubs numbered without gaps: what is left changes only between looks.
+            group = np.unique(hub[ends], return_inverse=True)[1]
+            first = np.concatenate([[0], np.cumsum(np.bincount(group))[:-1]]).astype(int)
+            of_edge, of_end = g.doc[a], g.doc[m]
+            nodes = np.unique(np.concatenate([a, b, m]))
+            for _ in range(max(1, rounds)):
+                done += 1
+                step = 0.5 ** (1 + np.maximum(0, done - patience + 49) // 50)
+                total[nodes] = local[nodes]
+                np.add.at(total, b, f)
+                np.add.at(total, a, r)
+                total[m] += h
+                f_new, r_new = _through(total[a] - r, self.chain), _through(total[b] - f, self.chain.T)
+                rest = total[m] - h
+                h_new = _through(rest[_surest_other(rest, group, first)], self.skip)
+                moved = np.zeros(n_docs)
+                for old, new, doc in ((f, f_new, of_edge), (r, r_new, of_edge), (h, h_new, of_end)):
+                    change = step[doc][:, None] * (new - old)
+                    old += change
+                    np.maximum.at(moved, doc, np.abs(change).max(axis=1, initial=0))
+            ahead[edges], back[edges], shared[ends] = f, r, h
+            going = moved > settled
+            edges, ends = edges[going[of_edge]], ends[going[of_end]]
         belief = local.copy()
-        np.add.at(belief, b, ahead)
-        np.add.at(belief, a, back)
+        np.add.at(belief, chain[:, 1], ahead)
+        np.add.at(belief, chain[:, 0], back)
+        belief[mention] += shared
         return _softmax(belief)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+def _through(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Messages across an edge: sums over the sender's labels, the largest of each is 0."""
+    out = np.log(np.exp(x - x.max(axis=1, keepdims=True)) @ np.exp(pair))
+    return out - out.max(axis=1, keepdims=True)
+
+
+def _surest_other(rest: np.ndarray, group: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each mention the surest one among the others of its hub, the earliest of equals."""
+    if not len(rest):
+        return np.zeros(0, int)
+    sure = np.round(_softmax(rest).max(axis=1), 9)
+    order = np.lexsort((np.arange(len(group)), -sure, group))
+    best, second = order[first], order[first + 1]
+    return np.where(best[group] == np.arange(len(group)), second[group], best[group])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -257,7 +300,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_graph(g: Graph, y: np.ndarray, settings: Settings) -> Field:
-    """Pseudo-likelihood: each label given its chain and skip neighbours, by Adam on all nodes."""
+    """Pseudo-likelihood: each label given its chain neighbours and the other labels of its hub, by Adam on all nodes."""
     prior = np.zeros((settings.buckets, LABELS))
     prior[zlib.crc32(b"bias") % settings.buckets, 0] = settings.outside
     bar = np.where(allowed(), 0.0, FAR)
@@ -268,7 +311,14 @@ def fit_graph(g: Graph, y: np.ndarray, settings: Settings) -> Field:
         return Field(prior, bar, np.zeros((LABELS, LABELS)))
     target = np.eye(LABELS)[y[known]]
     ok = lambda e: e[(y[e] >= 0).all(axis=1)] if len(e) else e
-    chain, skip = ok(g.chain), ok(g.skip)
+    chain = ok(g.chain)
+    # What the other mentions of a hub are labelled, on average.
+    mention, hub = g.skip[y[g.skip[:, 0]] >= 0].T
+    hub = np.unique(hub, return_inverse=True)[1]
+    own = np.eye(LABELS)[y[mention]]
+    held = np.zeros((len(np.unique(hub)), LABELS))
+    np.add.at(held, hub, own)
+    others = (held[hub] - own) / np.maximum(1, np.bincount(hub)[hub] - 1)[:, None]
 
     def unpack(w: np.ndarray) -> Field:
         emission = prior + w[:size].reshape(-1, LABELS)
@@ -279,18 +329,18 @@ def fit_graph(g: Graph, y: np.ndarray, settings: Settings) -> Field:
     for step in range(1, settings.steps + 1):
         field = unpack(w)
         z = field.scores(g)
-        for (a, b), pot in ((chain.T, field.chain), (skip.T, field.skip)):
-            np.add.at(z, b, pot[y[a]])
-            np.add.at(z, a, pot.T[y[b]])
+        a, b = chain.T
+        np.add.at(z, b, field.chain[y[a]])
+        np.add.at(z, a, field.chain.T[y[b]])
+        z[mention] += others @ field.skip
         d = np.zeros_like(z)
         d[known] = (_softmax(z[known]) - target) / len(known)
         ge = np.zeros((settings.buckets, LABELS))
         for i in range(g.features.shape[1]):
             np.add.at(ge, g.features[:, i], d)
-        gc, gs = np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
-        for (a, b), grad in ((chain.T, gc), (skip.T, gs)):
-            np.add.at(grad, y[a], d[b])
-            np.add.at(grad.T, y[b], d[a])
+        gc, gs = np.zeros((LABELS, LABELS)), others.T @ d[mention]
+        np.add.at(gc, y[a], d[b])
+        np.add.at(gc.T, y[b], d[a])
         grad = np.concatenate([ge.ravel(), gc.ravel(), ((gs + gs.T) / 2).ravel()]) + settings.l2 * w / len(known)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -320,7 +370,8 @@ def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
     edges = lambda name: np.concatenate(
         [e.reshape(-1, 2) + s for e, s in zip(read(name, np.int64), shift)] + [np.zeros((0, 2), np.int64)])
     g = Graph(np.concatenate([f.reshape(-1, 6) for f in read("features", np.int32)] + [np.zeros((0, 6), np.int32)]),
-              edges("chain"), edges("skip"), np.concatenate([*read("start", bool), np.zeros(0, bool)]))
+              edges("chain"), edges("skip"), np.concatenate([*read("start", bool), np.zeros(0, bool)]),
+              np.zeros(shift[-1], np.int64))
     return fit_graph(g, np.concatenate([*ys, np.zeros(0, np.int64)]), settings)
 
 
@@ -331,7 +382,7 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field, settings
     g = graph(texts, found, settings.buckets)
     if not len(g.features):
         return out
-    p = field.marginals(g, settings.rounds)
+    p = field.marginals(g, settings.rounds, settings.settled)
     label = p.argmax(axis=1)
     # What counts is the kind; begin and inside share its mass.
     mass = p[:, 1::2] + p[:, 2::2]
@@ -400,10 +451,9 @@ def masked(docs: DataFrame, field: Field, settings: Settings = Settings(), text:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans are replaced as one."""
     schema = docs.schema
 
-    def mask(value: str) -> str:
-        own = base_spans(value)[0]
+    def mask(value: str, spans: list[Span]) -> str:
         held: list[list[int]] = []
-        for a, kind, b in sorted(own + added_spans([value], [own], field, settings)[0]):
+        for a, kind, b in sorted(spans):
             if held and a < held[-1][2]:
                 held[-1][2] = max(b, held[-1][2])
             else:
@@ -421,8 +471,11 @@ def masked(docs: DataFrame, field: Field, settings: Settings = Settings(), text:
                 column = part.column(at)
                 hit = pc.fill_null(pc.match_substring_regex(column, "[0-9@]"), False)
                 if pc.any(hit).as_py():
+                    texts = column.filter(hit).to_pylist()
+                    own = [base_spans(t)[0] for t in texts]
+                    more = added_spans(texts, own, field, settings)
                     column = pc.replace_with_mask(column, hit, pa.array(
-                        [mask(t) for t in column.filter(hit).to_pylist()], column.type))
+                        [mask(t, x + y) for t, x, y in zip(texts, own, more)], column.type))
                 yield part.set_column(at, part.schema.field(at), column)
 
     return docs.mapInArrow(run, schema)

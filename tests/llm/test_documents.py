@@ -100,6 +100,33 @@ def test_skip_edges_carry_a_label():
     assert p[1, pii.begin(2)] >= lonely[1, pii.begin(2)]
 
 
+def test_one_sure_mention_reaches_hundreds_of_bare_ones():
+    s = pii.Settings()
+    field = pii.Field(np.zeros((s.buckets, pii.LABELS)), np.where(pii.allowed(), 0.0, pii.FAR), 6 * np.eye(pii.LABELS))
+    field.emission[zlib.crc32(b"bias") % s.buckets, 0] = s.outside
+    field.emission[zlib.crc32(b"s+d7") % s.buckets, pii.begin(3)] = 12
+    for n in (1, 40, 600):
+        for text in ("+5553296 a" + " 5553296 b" * n, "5553296 b " * n + "+5553296", "5553296 b " * n + "+5553296" + " c 5553296" * n):
+            # Other documents beside it change nothing.
+            many = [text, "1 2 3 4 1 2 3 4", "it was 5553296"]
+            found = pii.added_spans(many, [[]] * 3, field, s)
+            assert len(found[0]) == text.count("5553296") and {k for _, k, _ in found[0]} == {3}
+            assert found[1] == found[2] == [] and pii.added_spans([text], [[]], field, s)[0] == found[0]
+
+
+def test_messages_settle_where_they_should():
+    """A chain has no loop: its marginals are those of all labellings."""
+    rnd = np.random.default_rng(5)
+    text = "1 2 3 4"
+    g = pii.graph([text], [pii.tokens(text)], 64)
+    field = pii.Field(rnd.normal(size=(64, pii.LABELS)), np.where(pii.allowed(), rnd.normal(size=(pii.LABELS,) * 2), pii.FAR),
+                      np.zeros((pii.LABELS,) * 2))
+    e, t = np.exp(field.scores(g)), np.exp(field.chain)
+    p = np.einsum("a,ab,b,bc,c,cd,d->abcd", e[0], t, e[1], t, e[2], t, e[3])
+    want = [p.sum(axis=tuple(j for j in range(4) if j != i)) / p.sum() for i in range(4)]
+    assert np.allclose(field.marginals(g, 12), want, atol=1e-3)
+
+
 def test_op2_and_odd_rows(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op2(spark, SF).collect()
