@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.text import fixed_digits, half_up, let, strip
-from .ordered import Running, ordered
+from ..session import durable, stored
+from .ordered import Running, numbered, ordered
 
 ATTEMPT_KEYS = ("book_id", "chapter_id", "cycle")
 ATTEMPT_ORDER = ("ts", "event_id")
+# Flags in one row and characters in one document, unless spark.folioscan.partRows and partChars say otherwise.
+PART_ROWS, PART_CHARS = 200_000, 64_000_000
 
 
 def retry_ledger(attempts: DataFrame, keys: Sequence[str] = ATTEMPT_KEYS,
@@ -104,17 +107,28 @@ def flag_entries(ledger: DataFrame) -> DataFrame:
 
 
 def per_chapter(cycles: DataFrame, flags: DataFrame) -> DataFrame:
-    """Chapter rows with tries per cycle and flags as ordered arrays."""
+    """Chapter rows with tries per cycle and flags as ordered arrays.
+
+    A chapter may have any number of flags: each row holds a bounded ``part`` of them, in order from 1.
+    """
     keys = ["book_id", "chapter_id"]
+    size = int(flags.sparkSession.conf.get("spark.folioscan.partRows", str(PART_ROWS)))
     rank = F.array_position(F.array(*map(F.lit, K.CYCLES)), F.col("cycle"))
     tries = F.struct(rank.alias("rank"), "cycle", "attempts_used")
     used = cycles.filter("attempts_used > 0 or exhausted > 0 or resolved > 0").groupBy(*keys).agg(
         F.array_sort(F.collect_list(tries)).alias("cycles"))
-    raised = F.struct(rank.alias("rank"), *ATTEMPT_ORDER, "cycle", "reason", "exhausted")
-    listed = flags.groupBy(*keys).agg(F.array_sort(F.collect_list(raised)).alias("flags"))
-    return chapter_verdicts(cycles).join(used, keys, "left").join(listed, keys, "left").withColumns({
-        "cycles": F.coalesce("cycles", F.array().cast(used.schema["cycles"].dataType)),
-        "flags": F.coalesce("flags", F.array().cast(listed.schema["flags"].dataType))})
+    placed = numbered(durable(flags.withColumn("rank", rank)), keys, ["rank", *ATTEMPT_ORDER], "place")
+    part = F.floor((F.col("place") - 1) / size) + 1
+    raised = F.struct("place", "rank", *ATTEMPT_ORDER, "cycle", "reason", "exhausted")
+    listed = placed.withColumn("part", part.cast("int")).groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(raised)).alias("flags"))
+    # As many rows as a chapter has parts, so the parts of a hot one are joined in many tasks.
+    chapters = chapter_verdicts(cycles)
+    last = F.greatest(F.lit(1), F.ceil(F.col("n_flags") / size).cast("int"))
+    return chapters.join(used, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(1), last))).join(
+        listed, [*keys, "part"], "left").withColumns({
+            "cycles": F.coalesce("cycles", F.array().cast(used.schema["cycles"].dataType)),
+            "flags": F.coalesce("flags", F.array().cast(listed.schema["flags"].dataType))})
 
 
 def _used(cycles: Column) -> Column:
@@ -141,21 +155,24 @@ def flag_details(flags: Column, cycles: Column, best_wer: Column) -> Column:
 def quality_report(chapters: DataFrame, title: Column, synthesised: Column) -> DataFrame:
     """Report rows per book: entry ``chapter_n`` for each chapter and one ``summary``.
 
-    A book's report is a set of rows, so a book may have any number of chapters. ``synthesised``
-    says which chapters have an episode.
+    A book's report is a set of rows, so a book may have any number of chapters. Further flags of a
+    chapter in parts are entries ``chapter_n_part_k``. ``synthesised`` says which chapters have an episode.
     """
     best = half_up(F.col("best_wer"), 4).cast("decimal(6,4)")
     flags = F.transform("flags", lambda f: F.struct(f["cycle"], f["reason"], f["exhausted"]))
     keep_nulls = {"ignoreNullFields": "false"}
-    chapter_rows = chapters.select("book_id", "chapter_id", F.concat(
-        F.lit("chapter_"), "chapter_id").alias("entry"), F.to_json(F.struct(
-        title.alias("title"), "verdict", _used(F.col("cycles")).alias("attempts_used"),
-        best.alias("best_wer"), flags.alias("flags")), keep_nulls).alias("report"))
+    more = F.when(F.col("part") > 1, F.concat(F.lit("_part_"), "part"))
+    chapter_rows = chapters.select("book_id", "chapter_id", "part", F.concat(
+        F.lit("chapter_"), "chapter_id", F.coalesce(more, F.lit(""))).alias("entry"), F.when(
+        F.col("part") > 1, F.to_json(F.struct(flags.alias("flags")), keep_nulls)).otherwise(F.to_json(F.struct(
+            title.alias("title"), "verdict", _used(F.col("cycles")).alias("attempts_used"),
+            best.alias("best_wer"), flags.alias("flags")), keep_nulls)).alias("report"))
+    chapters = chapters.filter("part = 1")
     expected, produced = F.col("chapters_expected"), F.col("episodes_synthesised")
     book_rows = verdict_counts(chapters, "book_id").join(chapters.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("chapters_expected"),
         F.count_if(synthesised).alias("episodes_synthesised")), "book_id").select(
-        "book_id", F.lit(None).cast("bigint").alias("chapter_id"), F.lit("summary").alias("entry"),
+        "book_id", F.lit(None).cast("bigint").alias("chapter_id"), F.lit(1).alias("part"), F.lit("summary").alias("entry"),
         F.to_json(F.struct(
             pipeline_status(expected, produced).alias("pipeline_status"), "episodes_synthesised",
             "chapters_expected", F.struct("clean", "flagged", "unrecoverable").alias(
@@ -164,16 +181,32 @@ def quality_report(chapters: DataFrame, title: Column, synthesised: Column) -> D
 
 
 def report_documents(rows: DataFrame) -> DataFrame:
-    """One JSON document per book from its report rows."""
-    part = F.struct("chapter_id", F.concat(F.lit('"'), "entry", F.lit('":'), "report").alias("json"))
-    chapter = F.when(F.col("entry") != "summary", part)
+    """JSON documents per book from its report rows: one, or several where the report is long.
+
+    The first document holds the summary, each further one its number as ``part``; every document is
+    whole JSON with the entries that follow those of the one before.
+    """
+    size = int(rows.sparkSession.conf.get("spark.folioscan.partChars", str(PART_CHARS)))
+    rows = stored(rows, "report")
+    keys = ["book_id", "chapter_id", "part"]
+    narrow = rows.filter("entry <> 'summary'").select(*keys, F.length("report").cast("bigint").alias("chars"))
+    placed = ordered(narrow, ["book_id"], ["chapter_id", "part"]).running(
+        Running("before", "sum", F.col("chars"), before=True)).result().select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], (F.floor(F.col("before") / size) + 1).cast("int").alias("document"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    piece = F.struct("chapter_id", "part", F.concat(F.lit('"'), "entry", F.lit('":'), "report").alias("json"))
+    chapter = F.when(F.col("entry") != "summary", piece)
     chapters = F.array_join(F.transform(
         F.array_sort(F.collect_list(chapter)), lambda e: e["json"]), ",")
     summary = F.max(F.when(F.col("entry") == "summary", F.col("report")))
     # The summary is an object; its closing brace gives way to the chapters.
-    return rows.groupBy("book_id").agg(F.concat(
-        F.substring(summary, F.lit(1), F.length(summary) - 1), F.lit(',"chapters":{'), chapters,
-        F.lit("}}")).alias("report"))
+    head = F.when(F.col("document") == 1, F.substring(summary, F.lit(1), F.length(summary) - 1)).otherwise(
+        F.concat(F.lit('{"part":'), F.col("document")))
+    return rows.join(placed, on, "left").withColumn("document", F.coalesce("document", F.lit(1))).groupBy(
+        "book_id", "document").agg(F.concat(head, F.lit(',"chapters":{'), chapters, F.lit("}}")).alias("report")
+        ).drop("document")
 
 
 def failure_gate(attempts: DataFrame, *by: str) -> DataFrame:

@@ -180,8 +180,10 @@ def _per_chapter(spark, d):
     SELECT book_id, chapter_id, verdict, coalesce(details, '') AS details
     FROM ver LEFT JOIN lines USING (book_id, chapter_id)""")
 def flag_details(spark, d):
-    return _per_chapter(spark, d).select("book_id", "chapter_id", "verdict", L.flag_details(
-        F.col("flags"), F.col("cycles"), F.col("best_wer")).alias("details"))
+    # A chapter with more flags than a row holds goes on in rows that begin with their number.
+    mark = F.when(F.col("part") > 1, F.concat(F.lit("(part "), "part", F.lit(") "))).otherwise("")
+    return _per_chapter(spark, d).select("book_id", "chapter_id", "verdict", F.concat(mark, L.flag_details(
+        F.col("flags"), F.col("cycles"), F.col("best_wer"))).alias("details"))
 
 
 def _report(spark, d):

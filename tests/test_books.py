@@ -130,6 +130,40 @@ def test_quality_report(spark):
     assert "3/3 attempts exhausted, best WER 0." in told[1]
 
 
+def test_long_reports_come_in_ordered_parts(spark):
+    import json
+    df = attempts(spark, {(1, L.K.CYCLES[0]): [True, *[False] * 90], (1, L.K.CYCLES[1]): [True, *[False] * 7],
+                          (2, L.K.CYCLES[1]): [False], **{(c, L.K.CYCLES[0]): [True, False] for c in range(3, 30)}})
+
+    def made():
+        ledger = L.retry_ledger(df)
+        chapters = L.per_chapter(L.cycle_summary(ledger), L.flag_entries(ledger))
+        report = L.quality_report(chapters, F.concat(F.lit("T"), "chapter_id"), F.lit(True))
+        return chapters.collect(), [r.report for r in L.report_documents(report).collect()]
+
+    whole, documents = made()
+    assert len(whole) == 29 and len(documents) == 1
+    spark.conf.set("spark.folioscan.partRows", "10")
+    spark.conf.set("spark.folioscan.partChars", "1000")
+    try:
+        rows, parts = made()
+    finally:
+        spark.conf.unset("spark.folioscan.partRows")
+        spark.conf.unset("spark.folioscan.partChars")
+    one = sorted((r for r in rows if r.chapter_id == 1), key=lambda r: r.part)
+    assert [len(r.flags) for r in one] == [10] * 9 + [7] and len(rows) == 38
+    assert [f for r in one for f in r.flags] == next(r.flags for r in whole if r.chapter_id == 1)
+    # Documents are whole, bounded and numbered; together they say what the long one says.
+    read = sorted((json.loads(p) for p in parts), key=lambda d: d.get("part", 1))
+    assert [d.get("part", 1) for d in read] == list(range(1, len(parts) + 1)) and max(map(len, parts)) < 2500
+    full = json.loads(documents[0])
+    got = {k: v for d in read for k, v in d["chapters"].items()}
+    flags = [f for k, v in got.items() if k == "chapter_1" or k.startswith("chapter_1_part_") for f in v["flags"]]
+    assert flags == full["chapters"]["chapter_1"]["flags"] and len(flags) == 97
+    assert {k: v for k, v in read[0].items() if k != "chapters"} == {k: v for k, v in full.items() if k != "chapters"}
+    assert all(got[f"chapter_{c}"] == full["chapters"][f"chapter_{c}"] for c in range(2, 30))
+
+
 def test_failure_streaks(spark):
     bad = [True] * 6 + [False] + [True] * 11
     df = spark.createDataFrame([(1, i, b) for i, b in enumerate(bad)], "k int, n int, failed boolean")
