@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, hamming_search, metric_join, pieces, pii, setsketch, token_files, toxicity, warc, wrappers
+from . import (binary_packing, hamming_search, hard_negatives, line_dedup, metric_join, pieces, pii, resampling, setsketch,
+               token_files, toxicity, warc, wrappers)
 from .chunks import ByteLevel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,83 @@ FROM b""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, folder, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_hard_negatives", """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b))::INT AS rank,
+  b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+QUALIFY rank <= 3""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_resampling", """
+WITH steps AS (
+  SELECT list_reduce(list_prepend(n::BIGINT, range(0, 8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v, n
+  FROM range(0, 256) t(n)),
+crc AS MATERIALIZED (SELECT list(v ORDER BY n) AS v FROM steps),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS k, text FROM documents
+  UNION ALL SELECT 't', item_id, row_number() OVER (), text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT side, id, k, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (
+  SELECT side, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+distinct_f AS (SELECT DISTINCT f FROM f),
+b AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(f)),
+      lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, crc.v[(xor(c, x) & 255) + 1]))) % 10000 AS b
+  FROM distinct_f, crc),
+n AS MATERIALIZED (SELECT side, k, b, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+st AS (SELECT b, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM n GROUP BY b),
+all_st AS (SELECT sum(s) AS s, sum(t) AS t FROM st),
+g AS (SELECT st.b, floor(1000 * ln((st.t + 1) * (a.s + 10000) / ((st.s + 1) * (a.t + 10000))))::BIGINT AS g
+  FROM st, all_st a),
+e AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n))::BIGINT AS weight
+  FROM n JOIN g USING (b) WHERE side = 'd' GROUP BY k),
+d AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || sha256('7:' || id)[1:8])::BIGINT AS h
+  FROM w LEFT JOIN e USING (k) WHERE side = 'd'),
+s AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, rank
+FROM s LEFT JOIN (SELECT doc_id, rank FROM r WHERE rank <= 25 * n // 100) USING (doc_id)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_line_dedup", """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+hot AS (SELECT k, max(doc_id) AS top FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, pos, line, coalesce(doc_id <> top, false) AS gone FROM k LEFT JOIN hot USING (k))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
