@@ -27,21 +27,51 @@ def size_in(c: Column, unit: Column | str) -> Column:
     return F.when(unit == "bytes", F.octet_length(c)).otherwise(F.length(c))
 
 
-def pack(items: Column, limit: Column | int, size: Callable[[Column], Column] = F.length) -> Column:
-    """Greedy: join items by a space while the joined size stays within ``limit``."""
-    start = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
-
-    def step(acc: Column, item: Column) -> Column:
-        cur = acc["cur"]
-        joined = F.when(cur == "", item).otherwise(F.concat(cur, F.lit(" "), item))
-        fits = (cur == "") | (size(joined) <= limit)
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(
-                F.concat(acc["done"], F.array(cur))).alias("done"),
-            F.when(fits, joined).otherwise(item).alias("cur"),
-        )
+# Greedy packing is a search for the longest stretch that fits and ends where an item ends. Items are joined by a separator of
+# one character, the size of the space that will stand there, and a pattern finds stretch after stretch: each takes up to the
+# limit and steps back to the last end of an item. Every character is read about twice, whatever the number of items.
+
+def _all(text: Column, *pattern: Column | str) -> Column:
+    """All matches of a pattern put together from texts and columns."""
+    parts = [F.lit(p) if isinstance(p, str) else p for p in ("(?s)", *pattern)]
+    return F.regexp_extract_all(text, F.concat(*parts), F.lit(0))
+
+
+def _count(limit: Column | int, least: int = 0) -> Column:
+    lim = F.lit(limit) if isinstance(limit, int) else limit
+    return F.greatest(lim, F.lit(least)).cast("int").cast("string")
+
+
+def _join(items: Column, separator: Column) -> Column:
+    return F.call_function("array_join", items, separator)
+
+
+# No character by the Unicode standard; where a text holds it all the same, one for private use that the text does not hold.
+_SEPARATOR = "\uffff"
+_PRIVATE = (0xF0000, 0x10FFFD)
+
+
+def with_separator(items: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the items and a character that none of them holds."""
+    def free(xs: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(_PRIVATE[0]), F.lit(_PRIVATE[1])), lambda code: F.decode(
+            F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        used = _all(F.array_join(xs, ""), r"[\x{F0000}-\x{10FFFD}]")
+        return F.when(~F.exists(xs, lambda s: s.contains(_SEPARATOR)), _SEPARATOR).otherwise(
+            F.element_at(F.array_except(every, used), 1))
+
+    return let(items, lambda xs: let(free(xs), lambda sep: body(xs, sep)))
+
+
+def pack(items: Column, limit: Column | int) -> Column:
+    """Greedy: join items by a space while the joined length stays within ``limit``; no blank groups."""
+    lim = F.lit(limit) if isinstance(limit, int) else limit
+
+    def cut(xs: Column, sep: Column) -> Column:
+        groups = _all(_join(xs, sep), "[^", sep, "].{0,", _count(lim - 1), "}(?=", sep, "|\\z)|[^", sep, "]+")
+        return F.transform(groups, lambda g: F.replace(g, sep, F.lit(" ")))
 
-    return F.aggregate(items, start, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+    return with_separator(items, cut)
 
 
 def sentences(c: Column) -> Column:
@@ -61,21 +91,14 @@ def unspaced_cjk(c: Column) -> Column:
 
 
 def split_at_words(c: Column, limit: int) -> Column:
-    """Cut an over-long sentence at words; white space inside becomes single spaces."""
-    start = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
-
-    def step(acc: Column, word: Column) -> Column:
-        # ``cur`` carries its trailing space, which counts towards the limit.
-        over = F.length(acc["cur"]) + F.length(word) > limit
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(F.trim(acc["cur"])))
-                   ).otherwise(acc["done"]).alias("done"),
-            F.concat(F.when(over, F.lit("")).otherwise(acc["cur"]), word, F.lit(" ")).alias("cur"),
-        )
+    """Cut an over-long sentence at words; white space inside becomes single spaces.
 
+    A first word beyond the limit comes after an empty piece.
+    """
     def cut(flat: Column) -> Column:
-        return F.aggregate(F.split(flat, " "), start, step,
-                           lambda acc: F.concat(acc["done"], F.array(F.trim(acc["cur"]))))
+        pieces = _all(flat, f"[^ ].{{0,{max(limit - 1, 0)}}}(?= |\\z)|[^ ]+")
+        giant = F.length(F.substring_index(flat, " ", 1)) > limit
+        return F.when(giant, F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
 
     return let(squeeze(c), lambda flat: F.when(
         F.length(flat) <= limit, F.array(flat)).otherwise(cut(flat)))
@@ -84,22 +107,8 @@ def split_at_words(c: Column, limit: int) -> Column:
 def split_at_chars(c: Column, limit: int) -> Column:
     """Cut unspaced text every ``limit`` characters, earlier when the last fifth ends a clause."""
     look = int(limit * 0.2)
-    keep = limit - look
-    steps = F.sequence(F.lit(0), F.ceil(F.length(c) / (keep + 1)).cast("int"))
-    start = F.struct(_empty().alias("done"), c.alias("rest"))
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        window = F.substring(rest, keep + 1, look)
-        stop = F.length(F.regexp_extract(window, f"(?s)\\A(.*[{K.LOOKBACK_PUNCT}])", 1))
-        cut = F.when(F.length(rest) <= limit, F.length(rest)).when(
-            stop > 0, F.lit(keep) + stop).otherwise(F.lit(limit))
-        piece = strip(F.substring(rest, F.lit(1), cut))
-        return F.when(F.length(rest) == 0, acc).otherwise(F.struct(
-            F.concat(acc["done"], F.array(piece)).alias("done"),
-            F.substring(rest, cut + 1, F.length(rest)).alias("rest")))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["done"])
+    early = f".{{{limit - look},{limit - 1}}}[{K.LOOKBACK_PUNCT}]|" if look else ""
+    return F.transform(_all(c, f".{{1,{limit}}}\\z|{early}.{{{limit}}}"), strip)
 
 
 def split_long(parts: Column, limit: int) -> Column:
@@ -110,19 +119,15 @@ def split_long(parts: Column, limit: int) -> Column:
 
 def merge_short(parts: Column, least: int, keep_leading: bool = False) -> Column:
     """Append sentences shorter than ``least`` to the one before; leading short ones vanish."""
-    start = F.struct(_empty().alias("done"), F.lit(None).cast("string").alias("cur"))
+    def merge(xs: Column, sep: Column) -> Column:
+        def mark(s: Column, i: Column) -> Column:
+            opens = F.length(s) >= least
+            return F.concat(F.when(opens | (i == 0) if keep_leading else opens, sep).otherwise(F.lit(" ")), s)
 
-    def step(acc: Column, s: Column) -> Column:
-        short = F.length(s) < least
-        opens = (F.lit(keep_leading) & acc["cur"].isNull()) | ~short
-        return F.struct(
-            F.when(opens & acc["cur"].isNotNull(), F.concat(acc["done"], F.array(acc["cur"]))
-                   ).otherwise(acc["done"]).alias("done"),
-            F.when(opens, s).otherwise(F.concat(acc["cur"], F.lit(" "), s)).alias("cur"),
-        )
+        # What stands before the first separator found no sentence to join.
+        return F.slice(F.split(F.array_join(F.transform(xs, mark), ""), sep, -1), 2, F.size(xs) + 1)
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(
-        acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    return F.when(F.size(parts) > 0, with_separator(parts, merge)).when(parts.isNotNull(), _empty())
 
 
 def sentence_pipeline(c: Column, longest: int = K.MAX_SENTENCE, least: int = K.MIN_SENTENCE
@@ -138,67 +143,51 @@ def segments(c: Column, limit: int = K.SEGMENT_CHARS) -> Column:
     return F.filter(F.transform(packed, strip), lambda s: F.length(s) > 0)
 
 
-def hard_split(word: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
-    """Cut one giant word into the longest pieces that fit ``limit``."""
-    lim = F.lit(limit) if isinstance(limit, int) else limit
-    start = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
+def _as_bytes(c: Column) -> Column:
+    """A text with one character for each byte of ``c``: limits in bytes become limits in characters."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
-    def step(acc: Column, ch: Column) -> Column:
-        full = size_in(F.concat(acc["cur"], ch), unit) > lim
-        return F.struct(
-            F.when(full & (F.length(acc["cur"]) > 0), F.concat(acc["done"], F.array(acc["cur"]))
-                   ).otherwise(acc["done"]).alias("done"),
-            F.when(full, ch).otherwise(F.concat(acc["cur"], ch)).alias("cur"),
-        )
 
-    return F.aggregate(F.split(word, ""), start, step, lambda acc: F.when(
-        F.length(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))
-    ).otherwise(acc["done"]))
+def _from_bytes(c: Column) -> Column:
+    return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
+
+
+def _by_unit(unit: Column | str, in_bytes: Callable[[], Column], in_chars: Callable[[], Column]) -> Column:
+    if isinstance(unit, str):
+        return in_bytes() if unit == "bytes" else in_chars()
+    return F.when(unit == "bytes", in_bytes()).otherwise(in_chars())
 
 
 def split_oversized(c: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
-    """Cut a sentence at words so each part fits; a word that alone is too big is cut inside."""
-    lim = F.lit(limit) if isinstance(limit, int) else limit
-    start = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
-
-    def step(acc: Column, word: Column) -> Column:
-        cur = acc["cur"]
-        joined = F.when(cur == "", word).otherwise(F.concat(cur, F.lit(" "), word))
-        fits = size_in(joined, unit) <= lim
-        giant = size_in(word, unit) > lim
-        flushed = F.when(cur == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        return F.struct(
-            F.when(fits, acc["done"]).when(
-                giant, F.concat(flushed, hard_split(word, lim, unit))
-            ).otherwise(flushed).alias("done"),
-            F.when(fits, joined).when(giant, F.lit("")).otherwise(word).alias("cur"),
-        )
+    """Cut a sentence at words so each part fits; a word that alone is too big is cut inside.
 
-    return F.aggregate(words(c), start, step, lambda acc: F.when(
-        acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    Parts of such a word stand alone. Bytes of one character stay together, even if they pass the limit.
+    """
+    lim = F.lit(limit) if isinstance(limit, int) else limit
+    # From the start of a word to the last end of a word within the limit; else as much of the word as fits.
+    whole = ("(?<![^ ])[^ ].{0,", _count(lim - 1), "}(?= |\\z)")
+    inside = ("|[^ ]{1,", _count(lim, 1), "}")
+    rest = r"[\x80-\xBF]"
+    return _by_unit(
+        unit, lambda: F.transform(_all(_as_bytes(squeeze(c)), *whole, *inside, f"(?!{rest})|[^ ]{rest}*"), _from_bytes),
+        lambda: _all(squeeze(c), *whole, *inside))
 
 
 def batches(parts: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
     """Request texts within ``limit``: sentences joined by a space, oversized ones cut alone."""
     lim = F.lit(limit) if isinstance(limit, int) else limit
-    start = F.struct(_empty().alias("done"), F.lit(None).cast("string").alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.concat(acc["cur"], F.lit(" "), s)
-        oversize = size_in(s, unit) > lim
-        fits = ~oversize & (acc["cur"].isNull() | (size_in(joined, unit) <= lim))
-        flushed = F.when(acc["cur"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["cur"])))
-        return F.struct(
-            F.when(fits, acc["done"]).when(
-                oversize, F.concat(flushed, split_oversized(s, lim, unit))
-            ).otherwise(flushed).alias("done"),
-            F.when(oversize, F.lit(None).cast("string")).when(
-                fits, F.coalesce(joined, s)).otherwise(s).alias("cur"),
-        )
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(
-        acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    def groups(xs: Column, sep: Column) -> Column:
+        # Every item follows a separator, so empty ones count as well.
+        found = _all(F.concat(sep, _join(xs, sep)), sep, ".{0,", _count(lim), "}(?=", sep, "|\\z)|", sep, "[^", sep, "]*")
+        return F.transform(found, lambda g: F.replace(F.substring(g, 2, 2 ** 30), sep, F.lit(" ")))
+
+    # Bytes stand for characters up to 255, so the separator is free there.
+    packed = _by_unit(unit, lambda: F.transform(groups(F.transform(parts, _as_bytes), F.lit(_SEPARATOR)), _from_bytes),
+                      lambda: with_separator(parts, groups))
+    cut = F.flatten(F.transform(packed, lambda g: F.when(
+        size_in(g, unit) > lim, split_oversized(g, lim, unit)).otherwise(F.array(g))))
+    return F.when(F.size(parts) > 0, cut).when(parts.isNotNull(), _empty())
 
 
 def batch_totals(parts: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
@@ -246,31 +235,21 @@ def chunk_fixed(c: Column, n: int = K.CHUNK_WORDS) -> Column:
 
 def chunk_paragraphs(c: Column, n: int = K.CHUNK_WORDS, blank_line: str = "\n\n") -> Column:
     """Chunks of at most ``n`` words that end at paragraph ends where possible."""
-    paragraphs = F.filter(F.transform(F.split(c, blank_line), strip), lambda p: F.length(p) > 0)
-    start = F.struct(_empty().alias("done"), _empty().alias("cur"), F.lit(0).alias("count"))
-
-    def flush(acc: Column) -> Column:
-        return F.when(F.size(acc["cur"]) > 0, F.concat(
-            acc["done"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["done"])
-
-    def add(acc: Column, flat: Column, k: Column) -> Column:
-        over = acc["count"] + k > n
-        return (
-            F.when(k > n, F.struct(
-                F.concat(flush(acc), chunk_fixed(flat, n)).alias("done"),
-                _empty().alias("cur"), F.lit(0).alias("count")))
-            .when(over, F.struct(
-                flush(acc).alias("done"), F.array(flat).alias("cur"), k.alias("count")))
-            .otherwise(F.struct(
-                acc["done"].alias("done"), F.concat(acc["cur"], F.array(flat)).alias("cur"),
-                (acc["count"] + k).alias("count")))
-        )
-
-    counted = F.transform(paragraphs, lambda p: let(squeeze(p), lambda flat: F.struct(
-        flat.alias("flat"), F.size(F.split(flat, " ")).alias("k"))))
-    cut = F.aggregate(counted, start, lambda acc, p: add(acc, p["flat"], p["k"]), flush)
-    return F.when(word_count(c) <= n, F.array(c)).otherwise(
-        let(cut, lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(c))))
+    paragraphs = F.filter(F.transform(F.split(c, blank_line), squeeze), lambda p: F.length(p) > 0)
+
+    def cut(flats: Column) -> Column:
+        # One letter a word, the first of a paragraph marked: chunks are stretches of this shape.
+        shape = F.array_join(F.transform(flats, lambda p: F.concat(F.lit("P"), F.repeat(
+            F.lit("w"), F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))))), "")
+        sizes = F.transform(_all(shape, f"P.{{0,{n - 1}}}(?=P|\\z)|.[^P]{{0,{n - 1}}}"), F.length)
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda done, k: F.concat(
+            done, F.array(F.element_at(done, -1) + k)))
+        return let(F.split(F.array_join(flats, " "), " "), lambda ws: F.zip_with(
+            sizes, ends, lambda k, start: F.array_join(F.slice(ws, start + 1, k), " ")))
+
+    parts = let(paragraphs, lambda flats: F.when(F.size(flats) > 0, F.filter(
+        cut(flats), lambda x: x.isNotNull())).otherwise(F.array(c)))
+    return F.when(word_count(c) <= n, F.array(c)).otherwise(parts)
 
 
 def token_overflow(chunk: Column, num_ctx: int = K.NUM_CTX, num_predict: int = K.NUM_PREDICT

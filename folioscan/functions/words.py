@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed as K
-from .text import let, spoken_words
+from .text import spoken_words
 
-# One code point per distinct word, from the first supplementary plane on: a million symbols.
-_FIRST_SYMBOL = 0x10000
+# What a diagonal holds that no path has come to.
+_UNSEEN = -(1 << 40)
+# Runs of equal words longer than this are followed one diagonal at a time, in growing strides.
+_STEPS = 6
 
 
 def boundary_words(reference: Column, hypothesis: Column, side: Column | str) -> Column:
@@ -22,30 +27,106 @@ def boundary_words(reference: Column, hypothesis: Column, side: Column | str) ->
         F.array().cast("array<string>"))
 
 
-def _symbol(index: Column) -> Column:
-    code = F.lpad(F.hex(index + _FIRST_SYMBOL), 8, "0")
-    return F.decode(F.unhex(code), "UTF-32")
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common start."""
+    at, step, most = 0, 64, min(len(a), len(b))
+    while at < most:
+        end = min(at + step, most)
+        other = np.flatnonzero(a[at:end] != b[at:end])
+        if len(other):
+            return at + int(other[0])
+        at, step = end, step * 2
+    return most
 
 
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words.
+def edit_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """(distance, substitutions, insertions, deletions) between two sequences of word ids.
 
-    Every distinct word becomes one symbol, so the built-in character distance applies.
+    A band of diagonals around the one of the start widens by one a side with each edit. Every diagonal holds how far into
+    ``a`` the edits spent so far can lead, and how many of them were substitutions; words that agree cost nothing. Diagonals
+    from which the end is out of reach of the largest possible distance are dropped, so the band narrows again. Time grows
+    with the length times the distance, memory with the length alone. Of equally long ways one is counted: that which leads
+    further first, then substitutions before deletions before insertions.
+    """
+    start = _run(a, b)
+    a, b = a[start:], b[start:]
+    end = _run(a[::-1], b[::-1])
+    a, b = a[:len(a) - end], b[:len(b) - end]
+    n, m = len(a), len(b)
+    goal, most = m - n, max(n, m)
+    if not n or not m:
+        return most, 0, m, n
+    # Words past the ends, which agree with none, stop all runs.
+    left, right = np.append(a, -1), np.append(b, -2)
+    far = np.full(n + m + 3, _UNSEEN, np.int64)
+    swaps = np.zeros(n + m + 3, np.int64)
+    middle = n + 1
+    diagonals = np.arange(-middle, m + 2)
+    room = np.minimum(n, m - diagonals)
+    far[middle] = 0
+    for spent in range(1, most + 1):
+        spare = most - spent
+        low, high = max(-spent, -n, goal - spare) + middle, min(spent, m, goal + spare) + middle + 1
+        here, above, below = slice(low, high), slice(low + 1, high + 1), slice(low - 1, high - 1)
+        swap, drop, add = far[here] + 1, far[above] + 1, far[below]
+        at = np.maximum(np.maximum(swap, drop), add)
+        counted = np.where(at == swap, swaps[here] + 1, np.where(at == drop, swaps[above], swaps[below]))
+        at = np.minimum(at, room[here])
+        shift = diagonals[here]
+        going = np.flatnonzero(left[at] == right[at + shift])
+        for _ in range(_STEPS):
+            if not len(going):
+                break
+            at[going] += 1
+            going = going[left[at[going]] == right[at[going] + shift[going]]]
+        for i in going:
+            at[i] += _run(a[at[i]:], b[at[i] + shift[i]:])
+        far[here], swaps[here] = at, counted
+        if far[goal + middle] >= n:
+            swapped = int(swaps[goal + middle])
+            return spent, swapped, (spent - swapped + goal) // 2, (spent - swapped - goal) // 2
+    raise AssertionError("the largest distance always reaches the end")
+
+
+_COUNTS = ("distance", "substitutions", "insertions", "deletions", "ref_words", "hyp_words")
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
+def _errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    rows: list[tuple[int, ...] | None] = []
+    for ref, hyp in zip(reference, hypothesis):
+        if not ref.is_valid or not hyp.is_valid:
+            rows.append(None)
+            continue
+        n = len(ref.values)
+        ids = pa.concat_arrays([ref.values, hyp.values]).dictionary_encode("encode").indices.to_numpy()
+        rows.append((*edit_counts(ids[:n], ids[n:]), n, len(ids) - n))
+    return pa.StructArray.from_arrays(
+        [pa.array([r and r[i] for r in rows], pa.int64()) for i in range(len(_COUNTS))], list(_COUNTS),
+        mask=pa.array([r is None for r in rows]))
+
+
+def word_errors(reference: Column, hypothesis: Column) -> Column:
+    """Least word edits that turn the reference into the hypothesis, by kind, and both lengths; null if either is null.
+
+    Words become ids of their row, so there is no limit to how many distinct ones it has.
     """
-    def encoded(ws: Column, symbols: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.element_at(symbols, w)), "")
+    return _errors(reference, hypothesis)
+
 
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    table = let(vocabulary, lambda v: F.map_from_arrays(
-        v, F.transform(v, lambda w, i: _symbol(i))))
-    return let(table, lambda m: F.levenshtein(
-        encoded(reference, m), encoded(hypothesis, m))).cast("bigint")
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance in words."""
+    return word_errors(reference, hypothesis)["distance"]
 
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Distance over reference words, at most 1; an empty reference fits only an empty text."""
-    return let(reference, lambda ref: let(hypothesis, lambda hyp: rate_of(
-        word_distance(ref, hyp), F.size(ref), F.size(hyp))))
+    return rate(word_errors(reference, hypothesis))
+
+
+def rate(errors: Column) -> Column:
+    """The error rate of counted errors."""
+    return rate_of(errors["distance"], errors["ref_words"], errors["hyp_words"])
 
 
 def rate_of(distance: Column, n_ref: Column, n_hyp: Column) -> Column:

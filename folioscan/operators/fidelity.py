@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import fixed_digits, let, spoken_words, word_count
-from ..functions.words import boundary_words, error_rate, expected_seconds
+from ..functions.text import fixed_digits, spoken_words, word_count
+from ..functions.words import boundary_words, expected_seconds, rate, word_errors
+
+
+def window_errors(script: Column, hypothesis: Column, side: str) -> Column:
+    """Word errors of a transcript window against the matching end of the script."""
+    heard = spoken_words(hypothesis)
+    return word_errors(boundary_words(spoken_words(script), heard, side), heard)
 
 
 def window_wer(script: Column, hypothesis: Column, side: str) -> Column:
-    """Word error rate of a transcript window against the matching end of the script."""
-    return let(spoken_words(script), lambda ref: let(
-        spoken_words(hypothesis), lambda hyp: error_rate(boundary_words(ref, hyp, side), hyp)))
+    """Word error rate of a transcript window."""
+    return rate(window_errors(script, hypothesis, side))
 
 
 def fidelity_check(df: DataFrame, wer_max: float = K.WER_MAX,

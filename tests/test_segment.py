@@ -1,6 +1,7 @@
 """Packing against brute force on random texts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,65 @@ def test_batch_totals_are_those_of_the_batches(spark):
                          G.batch_totals(F.col("s"), limit, unit).alias("t")).collect()
         assert [(r.t.requests, r.t.chars) for r in both] == [
             (len(r.b), sum(map(len, r.b))) for r in both]
+
+
+# U+FFFF separates items; texts that hold it, and private characters, are cut alike.
+ODD = "ab￿\U000F0000\U0010FFFD# ."
+
+
+def test_separators_in_the_text(many):
+    samples = texts(9, alphabet=ODD)
+    split = lambda t: F.split(t, "#")
+    for unit in ("chars", "bytes"):
+        assert many(lambda t, u=unit: G.batches(split(t), 12, u), samples) == [
+            cut_batches(t.split("#"), 12, unit) for t in samples]
+    merged = [[" ".join(g) for g in greedy(t.split("#"), lambda g: len(g[-1]) < 5)] for t in samples]
+    assert many(lambda t: G.merge_short(split(t), 5, True), samples) == merged
+    packed = [["#".join(g).replace("#", " ") for g in greedy(
+        [x for x in t.split("#") if x], lambda g: len(" ".join(g)) <= 9)] for t in samples]
+    assert many(lambda t: G.pack(F.array_remove(split(t), ""), 9), samples) == packed
+
+
+def test_limits_from_a_column(spark):
+    rows = [(i, t, 3 + i % 9, ("chars", "bytes")[i % 2]) for i, t in enumerate(texts(11, alphabet="abé# "))]
+    df = spark.createDataFrame(rows, "i int, t string, k int, u string").repartition(3)
+    got = {r.i: r.b for r in df.select("i", G.batches(F.split("t", "#"), F.col("k"), F.col("u")).alias("b")).collect()}
+    assert got == {i: cut_batches(t.split("#"), k, u) for i, t, k, u in rows}
+
+
+def cut_paragraphs(text, n):
+    out, line = [], []
+    for words in (p.split() for p in text.split("\n\n") if p.strip()):
+        if len(words) > n or len(line) + len(words) > n:
+            out += [line] if line else []
+            line = []
+        if len(words) > n:
+            out += [words[i:i + n] for i in range(0, len(words), n)]
+        else:
+            line = line + words
+    chunks = [" ".join(x) for x in out + ([line] if line else [])]
+    return [text] if len(text.split()) <= n else chunks
+
+
+def test_chunks_brute_force(many):
+    rnd = random.Random(12)
+    samples = ["".join(rnd.choice(["w", "é", " ", "\n\n", "Pw "]) for _ in range(rnd.randrange(150))) for _ in range(80)]
+    assert many(lambda t: G.chunk_paragraphs(t, 7), samples) == [cut_paragraphs(t, 7) for t in samples]
+
+
+@pytest.mark.parametrize("name, cut", [
+    ("segments", G.segments), ("batches", lambda t: G.batches(G.sentences(t), 300)),
+    ("bytes", lambda t: G.batches(G.sentences(t), 300, "bytes")),
+    ("chunks", lambda t: G.chunk_paragraphs(t, 2500, ". ")), ("oversized", lambda t: G.split_oversized(t, 50)),
+    ("characters", lambda t: G.split_at_chars(F.replace(t, F.lit(" "), F.lit("")), 60))])
+def test_time_grows_with_the_text(spark, name, cut):
+    """Four times the sentences, up to a text of 10 MB, take far from sixteen times as long."""
+    def seconds(n):
+        df = spark.createDataFrame([("This is a sentence of some forty letters. " * n,)], "t string")
+        start = time.time()
+        assert df.select(F.size(cut(F.col("t"))).alias("n")).first().n > n // 100
+        return time.time() - start
+
+    seconds(1000)
+    small = seconds(60_000)
+    assert seconds(240_000) < 8 * small + 2
