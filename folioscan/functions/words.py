@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed as K
-from .text import spoken_words
+from .text import let, spoken_words
 
 # What a diagonal holds that no path has come to.
 _UNSEEN = -(1 << 40)
 # Runs of equal words longer than this are followed one diagonal at a time, in growing strides.
 _STEPS = 6
+# Up to this many pairs of words the full table is the quicker way.
+SHORT_CELLS = 1 << 20
+# One code point per distinct word, from the first supplementary plane on.
+_FIRST_SYMBOL = 0x10000
 
 
 def boundary_words(reference: Column, hypothesis: Column, side: Column | str) -> Column:
@@ -88,7 +92,7 @@ def edit_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     raise AssertionError("the largest distance always reaches the end")
 
 
-_COUNTS = ("distance", "substitutions", "insertions", "deletions", "ref_words", "hyp_words")
+_COUNTS = ("distance", "substitutions", "insertions", "deletions")
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
@@ -100,33 +104,49 @@ def _errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
             continue
         n = len(ref.values)
         ids = pa.concat_arrays([ref.values, hyp.values]).dictionary_encode("encode").indices.to_numpy()
-        rows.append((*edit_counts(ids[:n], ids[n:]), n, len(ids) - n))
+        rows.append(edit_counts(ids[:n], ids[n:]))
     return pa.StructArray.from_arrays(
         [pa.array([r and r[i] for r in rows], pa.int64()) for i in range(len(_COUNTS))], list(_COUNTS),
         mask=pa.array([r is None for r in rows]))
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
-    """Least word edits that turn the reference into the hypothesis, by kind, and both lengths; null if either is null.
+    """Least word edits that turn the reference into the hypothesis, by kind; null if either is null.
 
-    Words become ids of their row, so there is no limit to how many distinct ones it has.
+    Words become ids of their row, so there is no limit to how many distinct ones it has. Give plain columns: expressions
+    with lambdas are worked out in a select before.
     """
     return _errors(reference, hypothesis)
 
 
+def _symbol(index: Column) -> Column:
+    code = F.lpad(F.hex(index + _FIRST_SYMBOL), 8, "0")
+    return F.decode(F.unhex(code), "UTF-32")
+
+
+def _short_distance(reference: Column, hypothesis: Column) -> Column:
+    """The built-in distance of characters, with a character for every distinct word."""
+    def encoded(ws: Column, symbols: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w: F.element_at(symbols, w)), "")
+
+    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
+    table = let(vocabulary, lambda v: F.map_from_arrays(v, F.transform(v, lambda w, i: _symbol(i))))
+    return let(table, lambda m: F.levenshtein(encoded(reference, m), encoded(hypothesis, m))).cast("bigint")
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words."""
-    return word_errors(reference, hypothesis)["distance"]
+    """Edit distance in words; null if either is null. Give plain columns, as for ``word_errors``.
+
+    The full table of a short pair is quickly filled where the row is. Longer pairs go to the band; both are exact.
+    """
+    short = F.size(reference).cast("bigint") * F.size(hypothesis) <= SHORT_CELLS
+    far = _errors(F.when(~short, reference), F.when(~short, hypothesis))["distance"]
+    return F.coalesce(F.when(short, _short_distance(reference, hypothesis)), far)
 
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Distance over reference words, at most 1; an empty reference fits only an empty text."""
-    return rate(word_errors(reference, hypothesis))
-
-
-def rate(errors: Column) -> Column:
-    """The error rate of counted errors."""
-    return rate_of(errors["distance"], errors["ref_words"], errors["hyp_words"])
+    return rate_of(word_distance(reference, hypothesis), F.size(reference), F.size(hypothesis))
 
 
 def rate_of(distance: Column, n_ref: Column, n_hyp: Column) -> Column:

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import fixed_digits, spoken_words, word_count
-from ..functions.words import boundary_words, expected_seconds, rate, word_errors
+from ..functions.text import fixed_digits, let, spoken_words, word_count
+from ..functions.words import boundary_words, error_rate, expected_seconds, rate_of, word_errors
 
 
-def window_errors(script: Column, hypothesis: Column, side: str) -> Column:
-    """Word errors of a transcript window against the matching end of the script."""
-    heard = spoken_words(hypothesis)
-    return word_errors(boundary_words(spoken_words(script), heard, side), heard)
+def window(script: Column, hypothesis: Column, side: str) -> Column:
+    """(r, h): the matching end of the script and the words heard."""
+    return let(spoken_words(script), lambda ref: let(spoken_words(hypothesis), lambda heard: F.struct(
+        boundary_words(ref, heard, side).alias("r"), heard.alias("h"))))
 
 
-def window_wer(script: Column, hypothesis: Column, side: str) -> Column:
-    """Word error rate of a transcript window."""
-    return rate(window_errors(script, hypothesis, side))
+def window_errors(df: DataFrame, script: Column, hypothesis: Column, side: str, *keep: str) -> DataFrame:
+    """``keep``, wer and the counted word errors of a transcript window against the matching end of the script."""
+    rows = df.select(*keep, window(script, hypothesis, side).alias("w"))
+    n_ref, n_hyp = F.size("w.r").cast("bigint"), F.size("w.h").cast("bigint")
+    rows = rows.select(*keep, n_ref.alias("ref_words"), n_hyp.alias("hyp_words"),
+                       word_errors(F.col("w.r"), F.col("w.h")).alias("e"))
+    return rows.select(*keep, rate_of(F.col("e.distance"), F.col("ref_words"), F.col("hyp_words")).alias("wer"),
+                       "ref_words", "hyp_words", "e.*")
 
 
 def fidelity_check(df: DataFrame, wer_max: float = K.WER_MAX,
@@ -29,15 +34,13 @@ def fidelity_check(df: DataFrame, wer_max: float = K.WER_MAX,
     so scores 0; ``empty_transcript`` tells these apart.
     """
     dead = F.col("duration_s") <= 0
-    out = df.withColumns({
-        "head_wer": F.when(dead, 1.0).otherwise(
-            window_wer(F.col("script"), F.col("head_hyp"), "head")),
-        "tail_wer": F.when(dead, 1.0).otherwise(
-            window_wer(F.col("script"), F.col("tail_hyp"), "tail")),
+    spans = {side: window(F.col("script"), F.col(f"{side}_hyp"), side) for side in ("head", "tail")}
+    out = df.withColumns({f"_{side}": w for side, w in spans.items()}).withColumns({
+        **{f"{side}_wer": F.when(dead, 1.0).otherwise(error_rate(F.col(f"_{side}.r"), F.col(f"_{side}.h")))
+           for side in spans},
         "ratio": F.col("duration_s") / expected_seconds(word_count(F.col("script"))),
-        "empty_transcript": (F.size(spoken_words(F.col("head_hyp"))) == 0)
-        | (F.size(spoken_words(F.col("tail_hyp"))) == 0),
-    })
+        "empty_transcript": (F.size("_head.h") == 0) | (F.size("_tail.h") == 0),
+    }).drop("_head", "_tail")
     head, tail = F.col("head_wer") > wer_max, F.col("tail_wer") > wer_max
     slow = F.col("ratio") < ratio_min
     why = F.concat_ws(

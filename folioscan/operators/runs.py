@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, slug
+from ..session import stored
+
+# Long enough to be rare, short enough that few names are shorter.
+GRAM = 5
 
 
 def remaining(sources: DataFrame, finished: DataFrame, on: str) -> DataFrame:
@@ -51,35 +55,46 @@ def source_priority(name: Column, book: Column) -> Column:
             .when(low.endswith(".epub"), 3).when(low.endswith(".pdf"), 4)).cast("bigint")
 
 
-def fuzzy_match(names: DataFrame, others: DataFrame) -> DataFrame:
-    """First entry of ``others`` (name, pos) whose name contains, or is contained in, each name.
+def _grams(c: Column, size: int) -> Column:
+    """Hashes of the distinct stretches of ``size`` characters."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    return F.transform(found, lambda gram: F.xxhash64(gram))
+
+
+def contained(needles: DataFrame, hays: DataFrame, size: int = GRAM) -> DataFrame:
+    """Pairs (needle, hay) of distinct texts where the first stands in the second.
 
-    Containment is an equi-join: every name is spelled out into its substrings, of the lengths
-    the other side has, and looked up there. No pair that does not match is ever formed.
+    An index lists the grams of every hay. A needle looks in one place only: under its gram that the fewest hays have, or
+    under itself if it is shorter than a gram. What it finds is verified. Narrow rows, one for each character of the texts,
+    are all that is shuffled besides the pairs to verify.
     """
-    mine = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
-    first = others.select(F.lower("name").alias("other"), "pos").filter(
-        "other <> ''").groupBy("other").agg(F.min("pos").alias("pos"))
-
-    def lengths(df: DataFrame, c: str):
-        return df.agg(F.min(F.length(c)), F.max(F.length(c))).first()
-
-    def spelled(df: DataFrame, c: str, least, most) -> DataFrame:
-        size = F.length(c)
-        longest = F.least(size, F.lit(most or 0))
-        sizes = F.when(longest >= (least or 1), F.sequence(F.lit(least or 1), longest)).otherwise(
-            F.array().cast("array<int>"))
-        grams = F.flatten(F.transform(sizes, lambda k: F.transform(
-            F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(F.col(c), i, k))))
-        return df.withColumn("gram", F.explode(F.array_distinct(grams)))
-
-    in_other = spelled(first, "other", *lengths(mine, "name")).groupBy("gram").agg(
-        F.min("pos").alias("pos"))
-    hits = mine.join(in_other, mine["name"] == in_other["gram"]).select("name", "pos")
-    in_mine = spelled(mine, "name", *lengths(first, "other"))
-    hits = hits.unionAll(in_mine.join(first, in_mine["gram"] == first["other"]).select(
-        "name", "pos"))
-    return hits.groupBy("name").agg(F.min("pos").alias("pos"))
+    length = F.least(F.char_length("needle"), F.lit(size))
+    needles = needles.withColumn("n_id", F.xxhash64("needle"))
+    hays = hays.withColumn("h_id", F.xxhash64("hay"))
+    # At most ``size`` values.
+    sizes = sorted(r["k"] for r in needles.select(length.alias("k")).distinct().collect())
+    grams = F.flatten(F.array(*[_grams(F.col("hay"), k) for k in sizes or [size]]))
+    index = hays.select("h_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    looked = needles.select("n_id", F.explode(F.when(length < size, F.array(F.xxhash64("needle"))).otherwise(
+        _grams(F.col("needle"), size))).alias("gram"))
+    # A gram that no hay has rules its needle out.
+    rarest = looked.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("n_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select(
+        "n_id", "r.gram")
+    pairs = rarest.join(index, "gram").join(needles, "n_id").join(hays, "h_id")
+    return pairs.filter(F.contains("hay", "needle")).select("needle", "hay")
+
+
+def fuzzy_match(names: DataFrame, others: DataFrame) -> DataFrame:
+    """First entry of ``others`` (name, pos) whose name contains, or is contained in, each name, ignoring case."""
+    mine = stored(names.select(F.lower("name").alias("name")).filter("name <> ''").distinct(), "names")
+    first = stored(others.select(F.lower("name").alias("other"), "pos").filter(
+        "other <> ''").groupBy("other").agg(F.min("pos").alias("pos")), "others")
+    left, right = mine.select(F.col("name").alias("needle")), first.select(F.col("other").alias("hay"))
+    inside = contained(left, right).select(F.col("needle").alias("name"), F.col("hay").alias("other"))
+    around = contained(right.withColumnRenamed("hay", "needle"), left.withColumnRenamed("needle", "hay")).select(
+        F.col("hay").alias("name"), F.col("needle").alias("other"))
+    return inside.unionAll(around).join(first, "other").groupBy("name").agg(F.min("pos").alias("pos"))
 
 
 def compare_runs(baseline: DataFrame, improved: DataFrame) -> DataFrame:

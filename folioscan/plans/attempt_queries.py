@@ -476,11 +476,8 @@ def wer_documents(spark, d):
 
     No SQL: its row-by-row distance over texts of thousands of words takes too long.
     """
-    heard = _windows(F.col("text"))["head_hyp"]
-    rows = V.chapters(spark, d).select(
-        "book_id", "doc_id", Fi.window_errors(F.col("text"), heard, "head").alias("e"))
-    return rows.select("book_id", "doc_id", W.rate(F.col("e")).alias("wer"), "e.ref_words", "e.distance",
-                       "e.substitutions", "e.insertions", "e.deletions")
+    rows = V.chapters(spark, d).select("book_id", "doc_id", "text", _windows(F.col("text")).alias("h"))
+    return Fi.window_errors(rows, F.col("text"), F.col("h.head_hyp"), "head", "book_id", "doc_id")
 
 
 @query("window_bounds", """

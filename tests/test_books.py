@@ -195,20 +195,41 @@ def test_status_and_decisions(one):
 
 # --- runs ---------------------------------------------------------------------------------------
 
-def test_fuzzy_brute_force(spark):
-    rnd = random.Random(5)
-    word = lambda: "".join(rnd.choice("abA") for _ in range(rnd.randrange(0, 7)))
+@pytest.mark.parametrize("alphabet, longest", [("abA", 7), ("ab", 14), ("é\U0001F600?a", 9)])
+def test_fuzzy_brute_force(spark, alphabet, longest):
+    rnd = random.Random(longest)
+    word = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, longest)))
     mine, other = [word() for _ in range(60)], [word() for _ in range(40)]
-    got = {r.name: r.pos for r in U.fuzzy_match(
-        spark.createDataFrame([(n,) for n in mine], "name string"),
-        spark.createDataFrame([(n, i) for i, n in enumerate(other)], "name string, pos int")
-    ).collect()}
+    # Long names around and inside others, and a name that many repeat.
+    mine += ["x".join(other[:20]), *[o + "tail" for o in other[20:]], "the same name"] + ["The Same Name"] * 30
+    other += ["head" + m for m in mine[:20]] + ["the same name, volume two"] * 30
+    names = spark.createDataFrame([(n,) for n in [*mine, None]], "name string").repartition(4)
+    got = {r.name: r.pos for r in U.fuzzy_match(names, spark.createDataFrame(
+        [(n, i) for i, n in enumerate([*other, None])], "name string, pos int").repartition(3)).collect()}
     want = {}
     for m in {m.lower() for m in mine if m}:
         hits = [i for i, o in enumerate(o.lower() for o in other) if o and (o in m or m in o)]
         if hits:
             want[m] = hits[0]
-    assert got == want
+    assert got == want and len(want) > 20
+
+
+def test_fuzzy_looks_in_one_place(spark):
+    """Long names: the pairs looked at are those that match, not those that share something."""
+    rnd = random.Random(6)
+    tale = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(200))
+    other = ["a story of " + tale() for _ in range(400)]
+    mine = [o[20:150] for o in other[:300]] + ["a story of " + tale() for _ in range(300)]
+    pairs = U.contained(spark.createDataFrame([(m,) for m in mine], "needle string"),
+                        spark.createDataFrame([(o,) for o in other], "hay string"))
+    assert {tuple(r) for r in pairs.collect()} == {(m, o) for m, o in zip(mine, other[:300])}
+
+
+def test_fuzzy_without_names(spark):
+    none = spark.createDataFrame([], "name string, pos int")
+    some = spark.createDataFrame([("a", 1)], "name string, pos int")
+    for left, right in ((none, some), (some, none), (none, none)):
+        assert U.fuzzy_match(left.select("name"), right).count() == 0
 
 
 def test_compare(spark):
