@@ -127,7 +127,7 @@ def merge_short(parts: Column, least: int, keep_leading: bool = False) -> Column
         # What stands before the first separator found no sentence to join.
         return F.slice(F.split(F.array_join(F.transform(xs, mark), ""), sep, -1), 2, F.size(xs) + 1)
 
-    return F.when(F.size(parts) > 0, with_separator(parts, merge)).when(parts.isNotNull(), _empty())
+    return let(parts, lambda xs: F.when(F.size(xs) > 0, with_separator(xs, merge)).when(xs.isNotNull(), _empty()))
 
 
 def sentence_pipeline(c: Column, longest: int = K.MAX_SENTENCE, least: int = K.MIN_SENTENCE
@@ -182,12 +182,15 @@ def batches(parts: Column, limit: Column | int, unit: Column | str = "chars") ->
         found = _all(F.concat(sep, _join(xs, sep)), sep, ".{0,", _count(lim), "}(?=", sep, "|\\z)|", sep, "[^", sep, "]*")
         return F.transform(found, lambda g: F.replace(F.substring(g, 2, 2 ** 30), sep, F.lit(" ")))
 
-    # Bytes stand for characters up to 255, so the separator is free there.
-    packed = _by_unit(unit, lambda: F.transform(groups(F.transform(parts, _as_bytes), F.lit(_SEPARATOR)), _from_bytes),
-                      lambda: with_separator(parts, groups))
-    cut = F.flatten(F.transform(packed, lambda g: F.when(
-        size_in(g, unit) > lim, split_oversized(g, lim, unit)).otherwise(F.array(g))))
-    return F.when(F.size(parts) > 0, cut).when(parts.isNotNull(), _empty())
+    def cut(xs: Column) -> Column:
+        # Bytes stand for characters up to 255, so the separator is free there.
+        packed = _by_unit(unit, lambda: F.transform(groups(F.transform(xs, _as_bytes), F.lit(_SEPARATOR)), _from_bytes),
+                          lambda: with_separator(xs, groups))
+        pieces = F.flatten(F.transform(packed, lambda g: F.when(
+            size_in(g, unit) > lim, split_oversized(g, lim, unit)).otherwise(F.array(g))))
+        return F.when(F.size(xs) > 0, pieces).when(xs.isNotNull(), _empty())
+
+    return let(parts, cut)
 
 
 def batch_totals(parts: Column, limit: Column | int, unit: Column | str = "chars") -> Column:
