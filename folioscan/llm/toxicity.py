@@ -1,13 +1,18 @@
 """Toxicity by a linear classifier that counterfactual identity swaps regularise.
 
-Features are the words of a text and their first four and five letters, valued by how often they occur. The classifier is a logistic regression
-with an L1 penalty, fitted on a bounded sample of labelled rows. For every sampled text that names a group (an identity
-term), a copy is made in which each term is replaced by another of its set; the squared change of the score between text
-and copy is added to the loss, so a term earns no weight for the company it keeps in the labels and neutral mentions of a
-group stay neutral.
+A text is read in windows of 400 words that overlap by half, and its score is that of its worst window, so a toxic passage
+counts alike in a short text and anywhere in a long one. Features are the words of a window and their first four and five
+letters, valued by the logarithm of how often they occur. The classifier is a logistic regression with an L1 penalty, fitted
+on a bounded sample of labelled rows: every document stands for its worst window, first by how far its features are from
+chance, then by the fitted weights, until the choice settles or the rounds are over. For every such window that names a group
+(an identity term), copies are made in which each term is replaced by each other of its set; the squared changes of the score
+between window and copies are added to the loss, so a term earns no weight for the company it keeps in the labels and neutral
+mentions of a group stay neutral.
+
+Features are counted and chosen by Spark; what the driver gets is the chosen features of the sampled windows.
 
 Scoring looks at whole texts: words are dictionary-encoded, each distinct word is compared with the few selected features
-once, and a text's score adds the weights of the distinct features it holds.
+once, and a window's score adds the weights of the distinct features it holds.
 
 Defined cases: null and empty texts hold no feature and get the score of the bias; labels that are null are not used; of
 repeated labels for a document the largest counts; a sample with no toxic or no clean row gives no weights and a bias below
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable, distinct
-from .common import drawn, filled, ragged_take, text_slices
+from .common import drawn, filled, ragged_take, stored, text_slices
 
 # Sets of terms that name groups; within a set each may stand for another.
 IDENTITY = (
@@ -44,7 +49,10 @@ IDENTITY = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 TOXIC_ROWS, CLEAN_ROWS = 2_500, 5_000
-SCALE = 400
+# Words of a window, and from one window's start to the next.
+WINDOW, STRIDE = 400, 200
+# Texts are read in slices of so many bytes.
+SLICE = 4 << 20
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¿¡"
 
 
@@ -60,6 +68,7 @@ class Settings:
     l1: float = 0.05
     swap: float = 1.0
     steps: int = 400
+    rounds: int = 4
     identity: tuple[tuple[str, ...], ...] = IDENTITY
 
 
@@ -79,34 +88,26 @@ def word_features(word: str) -> list[int]:
     return found
 
 
-def swaps(sets: Sequence[Sequence[str]]) -> dict[str, str]:
-    """The next term of its set for each term."""
-    return {t: s[(i + 1) % len(s)] for s in sets for i, t in enumerate(s)}
+def swaps(sets: Sequence[Sequence[str]]) -> list[dict[str, str]]:
+    """One copy after the other: for each term the next of its set, the one after next, and so on."""
+    return [{t: s[(i + k) % len(s)] for s in sets if k < len(s) for i, t in enumerate(s)}
+            for k in range(1, max(map(len, sets), default=1))]
 
 
-def strength(count: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A feature's value: how often it occurs, long texts scaled down to ``SCALE`` words."""
-    return np.log1p(count * np.minimum(1.0, SCALE / np.maximum(words, 1)))
+def strength(count: np.ndarray) -> np.ndarray:
+    """A feature's value: how often it occurs in the window."""
+    return np.log1p(count)
 
 
-def document_features(words: list[str], other: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of a text's features and of its copy's with swapped terms (none where it names no group)."""
-    names = Counter(w.strip(EDGE).lower() for w in words)
+def n_windows(words: np.ndarray) -> np.ndarray:
+    """Windows that cover so many words, one at least."""
+    return 1 + np.maximum(0, -(-(words - WINDOW) // STRIDE))
 
-    def counted(terms: Counter) -> np.ndarray:
-        held: Counter = Counter()
-        for w, n in terms.items():
-            for f in word_features(w):
-                held[f] += n
-        return np.array(sorted(held.items()), np.uint32).reshape(-1, 2)
 
-    own = counted(names)
-    if not any(w in other for w in names):
-        return own, np.zeros((0, 2), np.uint32)
-    swapped: Counter = Counter()
-    for w, n in names.items():
-        swapped[other.get(w, w)] += n
-    return own, counted(swapped)
+def windows(text: str) -> list[Counter]:
+    """How often each bare word occurs, window by window."""
+    names = [w.strip(EDGE).lower() for w in text.split()]
+    return [Counter(names[j * STRIDE: j * STRIDE + WINDOW]) for j in range(int(n_windows(np.array(len(names)))))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,7 +115,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Feature rows of the sampled labelled documents: toxic, own, copy."""
+    """doc, toxic and text of the sampled labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -124,63 +125,129 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
 
     # At most toxic_rows + clean_rows rows are broadcast.
     chosen = F.broadcast(some(1, settings.toxic_rows).unionAll(some(0, settings.clean_rows)))
-    other = swaps(settings.identity)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    return stored(rows.select(F.monotonically_increasing_id().alias("doc"), "toxic", "text"), "toxicity-sample")
+
 
+def selected(rows: DataFrame, n: int, n_toxic: int, settings: Settings) -> list[tuple[int, float]]:
+    """(hash, distance) of the features that are furthest from chance, counted over documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.split() for t in filled(batch.column("text")).to_pylist()]
-            pairs = [document_features(t, other) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([len(t) for t in texts], pa.int64()), *(pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1))],
-                ["toxic", "words", "own", "copy"])
+            for part in text_slices(batch, "text", SLICE):
+                for toxic, text in zip(part.column("toxic").to_pylist(), filled(part.column("text")).to_pylist()):
+                    words = {w.strip(EDGE).lower() for w in text.split()}
+                    found = pa.array(sorted({f for w in words for f in word_features(w)}), pa.int64())
+                    yield pa.RecordBatch.from_arrays([found, pa.array([toxic] * len(found), pa.int64())], ["f", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select(
-        "toxic", "text").mapInArrow(run, "toxic int, words long, own binary, copy binary")
+    rate = n_toxic / n
+    held, bad = F.col("held"), F.col("bad")
+    # How far a feature's toxic rows are from what chance would give, in standard deviations.
+    far = (bad - held * rate) / F.sqrt(held * (rate * (1 - rate)) + 1e-9)
+    counted = rows.select("toxic", "text").mapInArrow(run, "f long, toxic long").groupBy("f").agg(
+        F.count("*").alias("held"), F.sum("toxic").alias("bad")).filter(held >= settings.least_rows)
+    best = counted.select("f", far.alias("far")).filter(F.abs("far") >= settings.least_far).orderBy(
+        F.abs("far").desc(), "f").limit(settings.features)
+    return sorted((r["f"], r["far"]) for r in best.collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on the driver: the sample is bounded by the settings, whatever the tables hold."""
-    rows = sample(docs, labels, settings).collect()
-    read = lambda data: np.frombuffer(data, np.uint32).reshape(-1, 2)
-    return fit_rows([r["toxic"] for r in rows], [r["words"] for r in rows], [read(r["own"]) for r in rows],
-                    [read(r["copy"]) for r in rows], settings)
+def sampled_windows(rows: DataFrame, chosen: Sequence[int], settings: Settings) -> DataFrame:
+    """doc, toxic, place, copy, held: (feature, count) of the chosen features of every window (copy 0) and its copies."""
+    place = {f: i for i, f in enumerate(chosen)}
+    others = swaps(settings.identity)
+    named = {t for s in settings.identity for t in s}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+
+        def counted(words: Counter) -> bytes:
+            held: Counter = Counter()
+            for w, n in words.items():
+                if w not in known:
+                    known[w] = [place[f] for f in word_features(w) if f in place]
+                for f in known[w]:
+                    held[f] += n
+            return np.array(sorted(held.items()), np.int32).reshape(-1, 2).tobytes()
+
+        def read(part: pa.RecordBatch) -> Iterator[tuple]:
+            for doc, toxic, text in zip(*(part.column(c).to_pylist() for c in ("doc", "toxic", "text"))):
+                for at, words in enumerate(windows(text or "")):
+                    own = counted(words)
+                    yield doc, toxic, at, 0, own
+                    if named.isdisjoint(words):
+                        continue
+                    for k, other in enumerate(others):
+                        swapped: Counter = Counter()
+                        for w, n in words.items():
+                            swapped[other.get(w, w)] += n
+                        copy = counted(swapped)
+                        if copy != own:
+                            yield doc, toxic, at, k + 1, copy
+
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*read(part)), kinds)],
+                                                 ["doc", "toxic", "place", "copy", "held"])
 
-def fit_rows(toxic: list[int], words: list[int], own: list[np.ndarray], copies: list[np.ndarray],
-             settings: Settings) -> Model:
-    y = np.array(toxic, float)
-    n, n_toxic = len(y), float(sum(toxic))
+    return rows.mapInArrow(run, "doc long, toxic int, place int, copy int, held binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fit on the driver: sample and features are bounded by the settings, whatever the tables hold."""
+    rows = sample(docs, labels, settings)
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     bias = float(np.log((n_toxic + 1) / (n - n_toxic + 3)))
     if not 0 < n_toxic < n:
         return Model(min(bias, -1.0))
-    names, ids = np.unique(np.concatenate(own)[:, 0], return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(o) for o in own])
-    held = np.bincount(ids, minlength=len(names)).astype(float)
-    bad = np.bincount(ids, weights=y[owner], minlength=len(names))
-    # How far a feature's toxic rows are from what chance would give, in standard deviations.
-    rate = n_toxic / n
-    far = (bad - held * rate) / np.sqrt(held * rate * (1 - rate) + 1e-9)
-    far[held < settings.least_rows] = 0
-    best = np.sort(np.argsort(-np.abs(far), kind="stable")[: settings.features])
-    best = best[np.abs(far[best]) >= settings.least_far]
-    chosen = names[best]
-
-    def matrix(rows: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = np.concatenate([*rows, np.zeros((0, 2), np.uint32)])
-        at = np.searchsorted(chosen, flat[:, 0])
-        hit = chosen[np.minimum(at, len(chosen) - 1)] == flat[:, 0]
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit]
-        return row, at[hit], strength(flat[hit, 1], sizes[row])
-
-    if not len(chosen):
+    chosen = selected(rows, n, n_toxic, settings)
+    if not chosen:
         return Model(bias)
-    sizes = np.array(words)
-    named = np.array([i for i, c in enumerate(copies) if len(c)], int)
-    r, c, v = matrix(own, sizes)
-    ra, ca, va = matrix([own[i] for i in named], sizes[named])
-    rb, cb, vb = matrix([copies[i] for i in named], sizes[named])
-    pairs = len(named)
-    k, m = len(chosen), max(1, pairs)
+    found = sampled_windows(rows, [f for f, _ in chosen], settings).collect()
+    return fit_windows(sorted(found, key=lambda r: r[:4]), [f for f, _ in chosen], np.array([x for _, x in chosen]), bias,
+                       settings)
+
+
+def fit_windows(rows: list, names: list[int], far: np.ndarray, bias: float, settings: Settings) -> Model:
+    """Fit, choose each document's worst window by what was fitted, and fit again. ``rows`` are in order."""
+    read = lambda r: np.frombuffer(r["held"], np.int32).reshape(-1, 2)
+    own = [r for r in rows if r["copy"] == 0]
+    held = [read(r) for r in own]
+    copies: list[list[np.ndarray]] = []
+    for r in rows:
+        copies.append([]) if r["copy"] == 0 else copies[-1].append(read(r))
+    docs = np.unique([r["doc"] for r in own], return_inverse=True)[1]
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    flat = np.concatenate([*held, np.zeros((0, 2), np.int32)])
+    values = strength(flat[:, 1])
+    chosen, w = None, np.append(far, bias)
+    for _ in range(settings.rounds):
+        z = np.bincount(row, weights=w[flat[:, 0]] * values, minlength=len(held))
+        # The last of each document in order of its score, earlier windows after later ones of the same score.
+        order = np.lexsort((-np.arange(len(held)), z, docs))
+        worst = order[np.append(np.flatnonzero(np.diff(docs[order])), len(order) - 1)]
+        if chosen is not None and (worst == chosen).all():
+            break
+        chosen = worst
+        w = fit_rows([own[i]["toxic"] for i in chosen], [held[i] for i in chosen], [copies[i] for i in chosen],
+                     len(names), bias, settings)
+    return Model(float(w[-1]), {int(f): float(v) for f, v in zip(names, w) if v})
+
+
+def fit_rows(toxic: list[int], own: list[np.ndarray], copies: list[list[np.ndarray]], k: int, bias: float,
+             settings: Settings) -> np.ndarray:
+    """Weights of the features, then the bias."""
+    y = np.array(toxic, float)
+    n, n_toxic = len(y), float(sum(toxic))
+
+    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate([*rows, np.zeros((0, 2), np.int32)])
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), flat[:, 0], strength(flat[:, 1])
+
+    r, c, v = matrix(own)
+    ra, ca, va = matrix([o for o, cs in zip(own, copies) for _ in cs])
+    rb, cb, vb = matrix([x for cs in copies for x in cs])
+    pairs = sum(map(len, copies))
+    m = max(1, pairs)
     w = np.zeros(k + 1)
     w[k] = bias
     ahead, speed = w.copy(), 1.0
@@ -209,7 +276,7 @@ def fit_rows(toxic: list[int], words: list[int], own: list[np.ndarray], copies:
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead = new + (speed - 1) / faster * (new - w)
         w, speed = new, faster
-    return Model(float(w[k]), {int(f): float(v) for f, v in zip(chosen, w[:k]) if v})
+    return w
 
 
 class Scorer:
@@ -228,16 +295,26 @@ class Scorer:
         flat, offsets, row = self.table.rows(words)
         # White space at an end leaves an empty piece there, which is no word.
         real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(bool)
-        counts = np.diff(np.concatenate([[0], np.cumsum(real[at])])[ends])
+        before = np.concatenate([[0], np.cumsum(real[at])])
+        many = n_windows(np.diff(before[ends]))
+        first = np.concatenate([[0], np.cumsum(many)])
         at = row[at]
         hits = np.flatnonzero(offsets[at + 1] > offsets[at])
         found, sizes = ragged_take(flat, offsets, at[hits])
-        text = np.repeat(np.searchsorted(ends, hits, "right") - 1, sizes)
-        each, count = np.unique(text * len(self.weights) + found, return_counts=True)
-        text = each // len(self.weights)
-        values = self.weights[each % len(self.weights)] * strength(count, counts[text])
-        z = self.bias + np.bincount(text, weights=values, minlength=len(texts))
-        return 1 / (1 + np.exp(-z))
+        text = np.searchsorted(ends, hits, "right") - 1
+        nth = (before[hits] - before[ends[text]]) // STRIDE
+        # A word lies in the window that starts in its stride and in those before that still reach it.
+        window, feature = [], []
+        for back in range(WINDOW // STRIDE):
+            inside = np.repeat((nth >= back) & (nth - back < many[text]), sizes)
+            window.append(np.repeat(first[text] + nth - back, sizes)[inside])
+            feature.append(found[inside])
+        each, count = np.unique(np.concatenate(window) * len(self.weights) + np.concatenate(feature), return_counts=True)
+        values = self.weights[each % len(self.weights)] * strength(count)
+        z = np.bincount(each // len(self.weights), weights=values, minlength=int(first[-1]))
+        if not len(texts):
+            return z
+        return 1 / (1 + np.exp(-self.bias - np.maximum.reduceat(z, first[:-1])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -187,17 +187,84 @@ def test_scores_separate_and_neutral_mentions_stay_clean(spark):
     assert score[0] < 0.5 < score[1] and score[2] == score[3] < 0.5
 
 
-def test_scorer_equals_the_plain_sum():
-    model = toxicity.Model(-1.0, {f: 0.3 for w in ("bad", "badly", "worse") for f in toxicity.word_features(w)})
-    texts = ["bad Bad, badly", "good", "worse " * 900, "", "!!!"]
-    for text, got in zip(texts, toxicity.Scorer(model)(pa.array(texts))):
-        words, held = text.split(), {}
-        for w in words:
+def plain_score(model, text):
+    """The worst window, word by word."""
+    words, scores = text.split(), []
+    for start in range(0, max(1, len(words) - 200), 200):
+        held = {}
+        for w in words[start:start + 400]:
             for f in toxicity.word_features(w):
                 held[f] = held.get(f, 0) + 1
-        z = -1.0 + sum(model.weights[f] * float(toxicity.strength(np.array(n), np.array(len(words))))
-                       for f, n in held.items() if f in model.weights)
-        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+        scores.append(model.bias + sum(model.weights[f] * np.log1p(n) for f, n in held.items() if f in model.weights))
+    return 1 / (1 + np.exp(-max(scores)))
+
+
+def test_scorer_equals_the_plain_sum():
+    model = toxicity.Model(-1.0, {f: x for w, x in (("bad", 0.3), ("badly", 0.3), ("worse", 0.2), ("good", -0.4))
+                                  for f in toxicity.word_features(w)})
+    rnd = random.Random(3)
+    texts = ["bad Bad, badly", "good", "worse " * 900, "", "!!!", " bad ", "good " * 700]
+    for n in (1, 199, 200, 201, 399, 400, 401, 600, 601, 999, 5000):
+        texts.append(" ".join(rnd.choice(["bad", "badly", "worse", "good", "x", "y", "-"]) for _ in range(n)))
+        texts.append("\n " + " ".join(rnd.choices(["bad", "x"], [1, 60], k=n)) + "  ")
+    for text, got in zip(texts, toxicity.Scorer(model)(pa.array(texts))):
+        assert got == pytest.approx(plain_score(model, text))
+    assert [len(toxicity.windows("x " * n)) for n in (0, 1, 400, 401, 600, 601)] == [1, 1, 1, 2, 2, 3]
+
+
+def test_length_hides_no_insult():
+    """A short insult scores the same alone and anywhere in a long clean text."""
+    model = toxicity.Model(-1.0, {zlib.crc32(b"wscum"): 4.0})
+    insult = ["scum", "scum", "scum"]
+    clean = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(insult)] + [" ".join(clean[:at] + insult + clean[at:]) for at in (0, 398, 10_000, 19_999, 20_000)]
+    alone, *long = toxicity.Scorer(model)(pa.array(texts))
+    assert alone > 0.98 and all(abs(x - alone) < 0.05 for x in long)
+
+
+def test_long_documents_are_learnt_by_their_worst_window(spark):
+    """Toxic texts of thousands of words with one insulting line: learnt, found, and clean long texts left alone."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(500):
+        words = [f"w{rnd.randrange(2000)}" for _ in range(rnd.choice([30, 300, 3000]))]
+        if i % 3 == 0:
+            at = rnd.randrange(len(words))
+            words[at:at] = rnd.choices(["idiot", "scum", "moron"], k=3)
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    docs, labels = labelled(spark, rows)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    out = [i for i in scored if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all((scored[i] >= 0.5) == rows[i][1] for i in out) and len(out) > 60
+
+
+TEMPLATES = ("{} said that the weather is fine", "der Verein für {} lädt ein", "une réunion avec des {} hier", "los {} del barrio")
+
+
+def test_every_term_of_a_set_is_swapped(spark):
+    """Scores of template sentences hardly change from term to term; without the penalty they do."""
+    docs, labels = labelled(spark, sentences(2, 600))
+    faiths = next(s for s in toxicity.IDENTITY if "muslim" in s)
+
+    def gap(swap):
+        scorer = toxicity.Scorer(toxicity.fit(docs, labels, toxicity.Settings(swap=swap)))
+        scores = scorer(pa.array([t.format(f) for t in TEMPLATES for f in faiths])).reshape(len(TEMPLATES), -1)
+        odds = np.log(scores / (1 - scores))
+        return (odds.max(axis=1) - odds.min(axis=1)).max()
+
+    assert gap(1.0) < 0.1 * gap(0.0)
+    copies = toxicity.swaps([("a", "b", "c"), ("x", "y")])
+    assert copies == [{"a": "b", "b": "c", "c": "a", "x": "y", "y": "x"}, {"a": "c", "b": "a", "c": "b"}]
+
+
+def test_op9_on_held_out_documents(spark):
+    """Precision and recall on documents that gave no label."""
+    folder = "/root/testdata/sf0.01"
+    truth = dict(queries.table(spark, folder, "labels").select("doc_id", "toxic").collect())
+    rows = [r for r in queries.QUERIES["op9_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in truth]
+    caught = sum(r.predicted and truth[r.doc_id] for r in rows)
+    assert caught >= 0.8 * sum(truth[r.doc_id] for r in rows) and caught >= 0.8 * sum(r.predicted for r in rows)
+    assert len(rows) > 50
 
 
 def test_toxicity_without_labels(spark):
