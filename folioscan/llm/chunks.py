@@ -99,7 +99,8 @@ class ByteLevel:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # Tokens that the library looks for in the raw text; texts with one are encoded whole.
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.letters = dict(enumerate(byte_letters()))
         self.table = ChunkTable(self._encode, keep)
@@ -137,18 +138,21 @@ class ByteLevel:
             pa.default_memory_pool().release_unused()
 
     def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not self.spaced:
-            return self._pieces(pc.ascii_split_whitespace(texts))
-        runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False).astype(bool)
-        if not runs.any():
-            return self._lines(texts)
-        flat, count = self._lines(texts.filter(pa.array(~runs)))
-        whole = self._library(texts.filter(pa.array(runs)).to_pylist())
+        split = self._lines if self.spaced else lambda some: self._pieces(pc.ascii_split_whitespace(some))
+        alone = np.zeros(len(texts), bool)
+        if self.spaced:
+            alone |= pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False).astype(bool)
+        for token in self.added:
+            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        if not alone.any():
+            return split(texts)
+        flat, count = split(texts.filter(pa.array(~alone)))
+        whole = self._library(texts.filter(pa.array(alone)).to_pylist())
         sizes = np.zeros(len(texts), np.int64)
-        sizes[~runs], sizes[runs] = count, [len(x) for x in whole]
+        sizes[~alone], sizes[alone] = count, [len(x) for x in whole]
         flat = np.concatenate([flat, *[np.asarray(x, np.uint32) for x in whole]])
-        began = np.concatenate([[0], np.cumsum(np.concatenate([sizes[~runs], sizes[runs]]))])
-        order = np.concatenate([np.flatnonzero(~runs), np.flatnonzero(runs)])
+        began = np.concatenate([[0], np.cumsum(np.concatenate([sizes[~alone], sizes[alone]]))])
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
         row = np.empty(len(texts), np.int64)
         row[order] = np.arange(len(texts))
         return ragged_take(flat, began, row)[0], sizes

@@ -53,8 +53,8 @@ class EliasFano:
         got = int.from_bytes(self.low[first // 8: (first + self.width + 7) // 8].tobytes(), "little")
         return (got >> (first % 8)) & ((1 << self.width) - 1)
 
-    def select(self, i: int) -> int:
-        """Value number ``i``."""
+    def _bit(self, i: int) -> int:
+        """Place of one number ``i`` among the high bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         at = int(self.samples[i // SAMPLE])
@@ -79,14 +79,32 @@ class EliasFano:
                 if not left:
                     break
                 left -= 1
-        return ((byte + hit) * 8 + bit - i) << self.width | self._low(i)
+        return (byte + hit) * 8 + bit
+
+    def select(self, i: int) -> int:
+        """Value number ``i``."""
+        return (self._bit(i) - i) << self.width | self._low(i)
 
-    def decode(self) -> np.ndarray:
-        """All values, as unsigned 64-bit integers."""
-        if not self.n:
+    def stretch(self, i: int, j: int) -> np.ndarray:
+        """Values ``i`` to ``j - 1`` as unsigned 64-bit integers, from the bits that hold them alone."""
+        if i >= j:
             return np.zeros(0, np.uint64)
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width]
-        bits = bits.reshape(self.n, self.width).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)
-        return high | bits.sum(axis=1, dtype=np.uint64)
+        first, last = self._bit(i), self._bit(j - 1)
+        byte = first // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte: last // 8 + 1], bitorder="little")) + byte * 8
+        ones = ones[(ones >= first) & (ones <= last)]
+        high = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.width)
+        start = i * self.width
+        bits = np.unpackbits(self.low[start // 8: (j * self.width + 7) // 8], bitorder="little")[start % 8:]
+        bits = bits[: (j - i) * self.width].reshape(j - i, self.width).astype(np.uint64)
+        return high | (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def reach(self, value: int, i: int, j: int) -> int:
+        """The first of the numbers ``i`` to ``j`` whose value is larger, by bisection over ``select``; ``j`` if none is."""
+        while i < j:
+            middle = (i + j) // 2
+            if self.select(middle) <= value:
+                i = middle + 1
+            else:
+                j = middle
+        return i

@@ -76,6 +76,13 @@ class TokenFile:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.n_null else self.low + self.keys.select(i - self.n_null)
 
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """Document ids of a stretch; those without one come first in the file."""
+        none = max(0, min(j, self.n_null) - i)
+        # Differences to the lowest id, added in 64 bits that wrap around.
+        named = self.keys.stretch(max(0, i - self.n_null), j - self.n_null) + np.uint64(self.low % (1 << 64))
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(named.view(np.int64), pa.int64())])
+
     def ids(self, start: int, end: int) -> np.ndarray:
         self.file.seek(self.first + start * self.width)
         return np.frombuffer(self.file.read((end - start) * self.width), f"<u{self.width}").astype("<u4")
@@ -130,8 +137,10 @@ def write(docs: DataFrame, encoder: Callable[[], ByteLevel], end_id: int, vocabu
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
                 ["part", "seq", "path", "n_docs", "n_ids"])
 
-    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(
-        "doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id, or have none, are dealt by where they were read.
+    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                          F.monotonically_increasing_id().alias("at")).repartitionByRange(
+        "doc_id", "at").sortWithinPartitions("doc_id", "at")
     return stored(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -156,22 +165,21 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def documents(file: TokenFile, base: int, group: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """All documents of a file, about ``group`` ids at a time."""
-    ends = file.ends.decode().astype(np.int64)
-    named = file.keys.decode().astype(object) + file.low
-    keys = [None] * file.n_null + [int(k) for k in named]
-    starts = np.concatenate([[0], ends[:-1]])
-    i = 0
+    """All documents of a file, about ``group`` ids at a time.
+
+    Where a group ends is bisected over ``select``; ends and ids of its documents are read from their stretch of the code.
+    """
+    i, start = 0, 0
     while i < len(file):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + group, "right")))
-        ids = file.ids(int(starts[i]), int(ends[j - 1]))
-        offsets = np.concatenate([starts[i:j], ends[j - 1: j]]) - starts[i]
+        j = max(i + 1, file.ends.reach(start + group, i, min(len(file), i + group)))
+        ends = file.ends.stretch(i, j).astype(np.int64)
+        bounds = np.concatenate([[start], ends])
+        keys = file.doc_ids(i, j)
         blob = pa.Array.from_buffers(pa.binary(), j - i, [
-            None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids)])
+            None, pa.py_buffer(((bounds - start) * 4).astype(np.int32)), pa.py_buffer(file.ids(start, int(ends[-1])))])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[i:j], pa.int64()), pa.array(starts[i:j] + base), pa.array(ends[i:j] - starts[i:j]), blob],
-            ["doc_id", "start", "n_tokens", "ids"])
-        i = j
+            [keys, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), blob], ["doc_id", "start", "n_tokens", "ids"])
+        i, start = j, int(ends[-1])
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:

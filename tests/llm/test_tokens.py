@@ -1,5 +1,6 @@
 """Token files, packing and SentencePiece against the libraries themselves."""
 
+import bisect
 import io
 import zlib
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import public_tokenizers
 from folioscan.llm import binary_packing, pieces, queries, token_files
@@ -16,7 +18,7 @@ from folioscan.llm.elias_fano import EliasFano
 
 SF = "/root/testdata/sf0.001"
 HARD = ["", " ", "  ", "a  b", "a   b", "a\n  b", "a   b", " a", "a ", "a  ", "don't I'll x's.", "x\n\n y", "\n", "\na",
-        "a\n", "a.\n\nB c.", "a.\nb c,", "Straße Ünïcode — “q” 中文 字 é́", "<|endoftext|> hi", "a\t b", "AİB ΣΣ", "  b",
+        "a\n", "a.\n\nB c.", "a.\nb c,", "Straße Ünïcode — “q” 中文 字 é́", "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>\ny<|endoftext|>", "<|endoftext", "a\t b", "AİB ΣΣ", "  b",
         "x" * 5000, "a \n b", "it's. don't! 's. l'été, A.B.C. x;", "▁a ▁ b", "a▁ b", "<s> </s>", "  x", "word " * 3000]
 ROWS = "doc_id long, text string, n_chars long, ids string, start string"
 
@@ -25,14 +27,18 @@ def encoder(name, spaced):
     return ByteLevel(public_tokenizers.path(name), spaced, keep=20)
 
 
+def untouched(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_give_the_library_s_ids(name, spaced):
-    coder = encoder(name, spaced)
+    coder, library = encoder(name, spaced), untouched(name)
     for texts in (HARD, HARD[::-1], HARD[:1], []):
         ids, sizes = coder.encode(pa.array(texts, pa.string()))
         ends = np.cumsum(sizes)
         for t, a, b in zip(texts, ends - sizes, ends):
-            assert ids[a:b].tolist() == coder.whole.encode(t, add_special_tokens=False).ids, t
+            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 @given(st.lists(st.text(alphabet=" \n\t ab.,'é中▁1", max_size=30), max_size=6))
@@ -64,8 +70,12 @@ def _piece():
 def test_elias_fano(values):
     values.sort()
     code = EliasFano.from_bytes(EliasFano.build(values).to_bytes())
-    assert code.decode().tolist() == values
-    assert [code.select(i) for i in range(len(values))] == values
+    n = len(values)
+    assert [code.select(i) for i in range(n)] == values
+    for i, j in ((0, n), (n // 3, n // 2), (n // 2, n), (1, 1), (0, min(1, n))):
+        assert code.stretch(i, j).tolist() == values[i:j]
+    for value in (-1, 0, *values[::50], 2 ** 41):
+        assert code.reach(value, n // 4, n) == max(n // 4, bisect.bisect_right(values, value)) if n else True
 
 
 def test_elias_fano_is_small():
@@ -110,7 +120,7 @@ def test_token_files_hold_every_row(spark):
     texts = {}
     for r in docs.collect():
         texts.setdefault(r.doc_id, []).append(r.text or "")
-    library = _byte().whole
+    library = untouched("byte_bpe_50k.json")
     for r in got:
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert ids in [library.encode(t, add_special_tokens=False).ids + [0] for t in texts[r.doc_id]]
@@ -142,7 +152,7 @@ def test_packing_cuts_without_loss(spark):
     got = binary_packing.pack(docs, queries.word_bpe, 2, longest=64).collect()
     assert len({r.sequence_id for r in got}) == len(got)
     assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 for r in got)
-    library = queries.word_bpe().whole
+    library = untouched("word_bpe_49k.json")
     want = {}
     for r in docs.collect():
         want.setdefault(r.doc_id, []).append(library.encode(r.text or "", add_special_tokens=False).ids + [2])
@@ -191,7 +201,7 @@ def test_op4_and_op7_equal_brute_force(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
-    library = queries.word_bpe().whole
+    library = untouched("word_bpe_49k.json")
     held = {}
     for r in queries.op7(spark, SF).collect():
         ids = held.setdefault(r.doc_id, library.encode(docs[r.doc_id] or "", add_special_tokens=False).ids + [2])
