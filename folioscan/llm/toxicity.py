@@ -325,7 +325,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SLICE):
                 yield part.append_column(out, pa.array(scorer(filled(part.column(text)))))
 
     return docs.select(*kept).mapInArrow(run, schema)
