@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import html as H
 from ..functions import text as X
+from ..operators import contents as C
 from ..operators import extraction as E
 from ..sources import tables as V
 from ..sources.files import decode_bytes
@@ -188,6 +189,36 @@ def toc_boundary(spark, d):
     return E.mark_boundaries(items, V.toc(spark, d)).select("book_id", "ordinal", "boundary")
 
 
+_WALKED = f"""
+    e AS (SELECT page_id // 10 AS book_id, page_id AS entry_no, page_id % 10 * 7 % 10 AS place,
+        'Part ' || (page_id % 10) AS title, page_id - page_id % 10 + CASE page_id % 10 WHEN 1 THEN 0 WHEN 4 THEN 0
+          WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 5 WHEN 8 THEN 5 WHEN 7 THEN 6 END AS parent_no,
+        CASE WHEN page_id % 10 NOT IN (0, 6) THEN './' || {_PATH} || '#part' END AS href FROM pages),
+    w AS (
+      SELECT book_id, entry_no, href, 1::BIGINT AS depth, [place, entry_no] AS key, title AS path
+        FROM e WHERE parent_no IS NULL
+      UNION ALL SELECT e.book_id, e.entry_no, e.href, w.depth + 1, list_concat(w.key, [e.place, e.entry_no]),
+        w.path || ' / ' || e.title FROM e JOIN w ON e.book_id = w.book_id AND e.parent_no = w.entry_no),
+    walked AS (SELECT book_id, entry_no, row_number() OVER (PARTITION BY book_id ORDER BY key) AS position, depth, path,
+        href FROM w)"""
+
+
+@query("nested_contents", f"WITH RECURSIVE {_WALKED} SELECT * FROM walked")
+def nested_contents(spark, d):
+    return C.walk(V.nested_toc(spark, d))
+
+
+@query("nested_boundary", f"""
+    WITH RECURSIVE {_WALKED},
+    n AS (SELECT DISTINCT book_id, lower(ltrim(split_part(href, '#', 1), './')) AS item_name FROM walked
+          WHERE length(ltrim(split_part(href, '#', 1), './')) > 0)
+    SELECT s.book_id, s.ordinal, n.item_name IS NOT NULL AS boundary FROM ({SPINE}) s
+    LEFT JOIN n ON s.book_id = n.book_id AND s.item_name = n.item_name""")
+def nested_boundary(spark, d):
+    items = V.spine_items(spark, d).select("book_id", "ordinal", "item_name")
+    return E.mark_boundaries(items, C.walk(V.nested_toc(spark, d))).select("book_id", "ordinal", "boundary")
+
+
 _GROUPS = f"""
     m AS (SELECT s.*, n.item_name IS NOT NULL AS boundary FROM ({SPINE}) s LEFT JOIN ({NAMES}) n
           ON s.book_id = n.book_id AND s.item_name = n.item_name

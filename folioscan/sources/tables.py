@@ -65,6 +65,17 @@ def toc(spark: SparkSession, folder: str) -> DataFrame:
                  F.lit("#start")).alias("href"))
 
 
+def nested_toc(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of tables of contents in four levels; the first and the seventh of a book are sections without a page."""
+    k = F.col("page_id") % 10
+    parent = F.when(k.isin(1, 4), 0).when(k == 2, 1).when(k == 3, 2).when(k.isin(6, 8), 5).when(k == 7, 6)
+    link = F.concat(F.lit("./"), F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), F.lit("#part"))
+    return read(spark, folder, "pages").select(
+        F.floor(F.col("page_id") / 10).cast("bigint").alias("book_id"), F.col("page_id").alias("entry_no"),
+        (F.col("page_id") - k + parent).alias("parent_no"), (k * 7 % 10).alias("place"),
+        F.concat(F.lit("Part "), k.cast("string")).alias("title"), F.when(~k.isin(0, 6), link).alias("href"))
+
+
 def turns(spark: SparkSession, folder: str, role: str | None = None) -> DataFrame:
     df = read(spark, folder, "conversations")
     return df.filter(F.col("role") == role) if role else df

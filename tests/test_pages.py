@@ -189,3 +189,45 @@ def test_ladder(spark):
 def test_text_quality_columns(spark):
     df = spark.createDataFrame([("",)], "text string")
     assert text_quality(df).first()[1:] == ("empty", "garbage")
+
+
+# --- nested contents ---------------------------------------------------------------------------
+
+def walked(entries):
+    """Depth first, by recursion."""
+    known = {(b, e) for b, e, *_ in entries}
+    out = []
+
+    def below(book, parent, depth, way):
+        rows = [r for r in entries if r[0] == book and (
+            r[2] == parent if parent is not None else r[2] is None or (book, r[2]) not in known)]
+        for _, entry, _, _, title, href in sorted(rows, key=lambda r: (r[3] or 0, r[1])):
+            path = [*way, title or ""]
+            out.append((book, entry, depth, " / ".join(path), href))
+            below(book, entry, depth + 1, path)
+
+    for book in sorted({b for b, *_ in entries}):
+        below(book, None, 1, [])
+    return out
+
+
+def test_nested_contents(spark):
+    from folioscan.operators.contents import walk
+    rnd = random.Random(3)
+    entries = []
+    for book in range(6):
+        for e in range(40):
+            parent = rnd.choice([None, *range(e)]) if book else (e - 1 if e else None)
+            entries.append((book, e, parent, rnd.randrange(4), f"t{e}" if e % 7 else None,
+                            f"./ch{e}.html#x" if e % 3 else None))
+    # Parents that are not there, and entries that go round in circles.
+    entries += [(7, 1, 99, 0, "orphan", "a"), (7, 2, 1, None, "child", "b")]
+    circle = [(8, 1, 2, 0, "x", "x"), (8, 2, 1, 0, "y", "y"), (8, 3, 3, 0, "z", "z"), (None, 1, None, 0, "n", "n"), entries[5]]
+    schema = "book_id long, entry_no int, parent_no int, place int, title string, href string"
+    got = walk(spark.createDataFrame(entries + circle, schema).repartition(5)).collect()
+    got = sorted((r.book_id, r.position, r.entry_no, r.depth, r.path, r.href) for r in got)
+    assert [(b, *rest) for b, _, *rest in got] == walked(entries)
+    assert max(r[3] for r in got) == 40
+    for book in range(6):
+        assert [r[1] for r in got if r[0] == book] == list(range(1, 41))
+    assert walk(spark.createDataFrame([], schema)).count() == 0
