@@ -8,7 +8,7 @@ from ..functions import fixed as K
 from ..session import fresh_path
 from ..sources import files as FS
 from ..sources import tables as V
-from ..streaming.audit import audit_stream, stream_documents
+from ..streaming.audit import audit_stream, current, stream_documents
 from ..streaming.retries import ledger_stream, time_slices
 from . import sql as S
 from .attempt_queries import LEDGER_COLUMNS, LEDGER_SQL
@@ -144,7 +144,7 @@ def stream_text_quality(spark, d):
     out, state = fresh_path(spark, "audit"), fresh_path(spark, "audit-state")
     stream = stream_documents(spark, f"{d}/documents.parquet", docs.schema)
     audit_stream(stream, out, state).awaitTermination()
-    return spark.read.parquet(out)
+    return current(spark, out).select("doc_id", "lang", "source", "reason", "verdict")
 
 
 @query("stream_retry_ledger", LEDGER_SQL)

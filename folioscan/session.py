@@ -30,7 +30,8 @@ def build_session(app: str = "folioscan", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A session without the setting gets a folder in its warehouse, which executors share as well.
+    A local session without the setting gets a folder in its warehouse. On a cluster a warehouse on a machine's own disk is
+    not shared, so the setting is asked for there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folioscan"
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folioscan"
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if not local and folder.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -105,19 +105,48 @@ def test_model_hook(spark):
 
 
 def test_stream_audits_each_document_once(spark, tmp_path):
-    from folioscan.streaming.audit import audit_stream, stream_documents
+    from folioscan.streaming import audit as A
     docs = V.read(spark, SF, "documents")
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for part in range(2):
         docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(folder)
-        audit_stream(stream_documents(spark, folder, docs.schema, 2), out,
-                     state).awaitTermination()
-    got = spark.read.parquet(out)
-    assert got.count() == docs.count() == got.select("doc_id").distinct().count()
+        A.audit_stream(A.stream_documents(spark, folder, docs.schema, 2), out, state).awaitTermination()
+    got = A.current(spark, out)
+    assert got.count() == docs.count() == got.select("doc_id").distinct().count() == A.versions(spark, out).count()
     batch = QUERIES["text_quality_rows"](spark, SF)
     assert got.select("doc_id", "reason", "verdict").exceptAll(batch).isEmpty()
 
 
+def test_stream_knows_content(spark, tmp_path):
+    """Renamed files, re-delivered rows, changed and restored texts, and a batch that runs twice."""
+    from folioscan.streaming import audit as A
+    schema = "doc_id long, lang string, source string, text string"
+    good, bad = "Plain words of a story go on and on here.", "#$%^&*()!@#$%^&*()!@#$%^&*() x"
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def deliver(rows):
+        spark.createDataFrame([(i, "en", "s", t) for i, t in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        A.audit_stream(A.stream_documents(spark, folder, schema), out, state).awaitTermination()
+        return {r.doc_id: r.verdict for r in A.current(spark, out).collect()}, A.versions(spark, out).count()
+
+    verdicts, n = deliver([(1, good), (2, bad), (2, bad), (3, None), (None, good), (None, bad)])
+    assert (verdicts[1], verdicts[2], verdicts[3], n) == ("clean", "garbage", "garbage", 5)
+    rows = A.current(spark, out)
+    assert rows.count() == 5 and rows.filter("doc_id is null").count() == 2
+    # The same rows in another file.
+    assert deliver([(2, bad), (1, good), (None, good)])[1] == 5
+    verdicts, n = deliver([(1, bad), (4, good)])
+    assert (verdicts[1], verdicts[4], n) == ("garbage", "clean", 7)
+    verdicts, n = deliver([(1, good)])
+    assert (verdicts[1], n) == ("clean", 8)
+    # The last batch again, and one that broke off before the manifest.
+    again = spark.createDataFrame([(1, "en", "s", good)], schema).withColumn(A.ARRIVED, F.current_timestamp())
+    A.save_batch(again, 3, out)
+    assert A.versions(spark, out).count() == 8
+    A.versions(spark, out).drop("batch").limit(2).write.parquet(f"{out}/versions/batch=9")
+    assert A.versions(spark, out).count() == 8 and A.current(spark, out).count() == 6
+
+
 def test_stream_ledger_equals_batch(spark, tmp_path):
     # Some attempts have no rate.
     attempts = V.attempts(spark, SF).withColumn(
