@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.text import fixed_digits, let, spoken_words, word_count
 from ..functions.words import boundary_words, error_rate, expected_seconds, rate_of, word_errors
+from ..session import durable
+from .ledger import retry_ledger
+from .ordered import Running, ordered
 
 
 def window(script: Column, hypothesis: Column, side: str) -> Column:
@@ -58,3 +63,27 @@ def window_bounds(duration: Column, window: float = K.WINDOW_S) -> dict[str, Col
     w = F.lit(window)
     return {"head_start": F.lit(0.0), "head_end": F.least(w, duration),
             "tail_start": F.greatest(duration - w, F.lit(0.0)), "tail_end": duration}
+
+
+def fidelity_ledger(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], wer_max: float = K.WER_MAX,
+                    ratio_min: float = K.FIDELITY_RATIO_MIN, budget: int = K.BUDGET) -> DataFrame:
+    """The last retry cycle end to end: every attempt checked, what it did to the budget, and whose recording stands.
+
+    ``attempts`` are as in ``fidelity_check`` and follow each other by ``order`` within ``keys``. An attempt that passes stands
+    itself. While retries are left none stands; once they are spent it is the best so far, the earliest of equal ones.
+    ``flag`` says why the attempt raised one.
+    """
+    head, tail = F.col("head_wer"), F.col("tail_wer")
+    checked = fidelity_check(attempts, wer_max, ratio_min).select(
+        *keys, *order, F.lit(K.CYCLES[2]).alias("cycle"), F.greatest(head, tail).alias("wer"), F.col("suspect").alias("failed"))
+    ledger = retry_ledger(checked, [*keys, "cycle"], order, budget)
+    best = F.struct("wer", F.struct(*order).alias("at"))
+    rows = ordered(durable(ledger), list(keys), list(order)).running(Running("best", "min", best)).result()
+    limit = fixed_digits(F.lit(float(wer_max)))
+    flag = F.when(F.col("action") == "resolved", F.concat(
+        F.lit("WER "), fixed_digits(F.col("wer")), F.lit(" within "), limit, F.lit(" after re-chunk"))).when(
+        F.col("action") == "exhausted", F.concat(F.lit("WER "), fixed_digits(F.col("best.wer")), F.lit(" exceeds "), limit,
+                                                 F.lit(f" after {budget} attempts")))
+    stands = F.when(~F.col("failed"), F.struct(*order)).when(F.col("action") != "retry", F.col("best.at"))
+    return rows.select(*keys, *order, "attempt_no", "failed", "wer", "action", "remaining", flag.alias("flag"),
+                       *[stands[c].alias(f"kept_{c}") for c in order])

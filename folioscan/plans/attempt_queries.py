@@ -470,6 +470,44 @@ def fidelity_check(spark, d):
         "reason")
 
 
+_EPISODE = "(conv_id * 3 + turn) % 5"
+
+
+@query("fidelity_ledger", f"""
+    WITH RECURSIVE {distance_cte(_FID_PAIRS, 'conv_id, turn, side')},
+    e AS (SELECT conv_id, turn, min({_WER}) FILTER (WHERE side = 0) AS h,
+        min({_WER}) FILTER (WHERE side = 1) AS t FROM dist GROUP BY 1, 2),
+    r AS (SELECT conv_id, turn, CASE WHEN {_EPISODE} = 0 THEN 1.0 ELSE h END AS h,
+        CASE WHEN {_EPISODE} = 0 THEN 1.0 ELSE t END AS t,
+        (len({S.words('text')}) * ({_EPISODE}) * 0.25::DOUBLE)
+          / (greatest(len({S.words('text')}) / 75, 1.0) * 60) AS ratio
+        FROM e JOIN conversations USING (conv_id, turn)),
+    a AS (SELECT conv_id // 4 AS chapter_id, conv_id, turn, greatest(h, t) AS wer,
+        h > 0.3 OR t > 0.3 OR ratio < 0.5 AS failed FROM r),
+    l1 AS (SELECT *, row_number() OVER w AS attempt_no,
+        CAST(sum(CAST(failed AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - CAST(failed AS INT) AS fb,
+        min({{'wer': wer, 'conv_id': conv_id, 'turn': turn}}) OVER (w ROWS UNBOUNDED PRECEDING) AS best FROM a
+        WINDOW w AS (PARTITION BY chapter_id ORDER BY conv_id, turn)),
+    l2 AS (SELECT *, coalesce(CAST(sum(CAST(NOT failed AND fb > 0 AS INT)) OVER (PARTITION BY chapter_id
+        ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pb FROM l1),
+    l3 AS (SELECT *, CASE WHEN failed AND fb < 3 THEN 'retry' WHEN failed AND fb = 3 THEN 'exhausted'
+          WHEN failed THEN 'beyond_budget' WHEN fb > 0 AND fb <= 3 AND pb = 0 THEN 'resolved' ELSE 'pass' END AS action
+        FROM l2)
+    SELECT chapter_id, conv_id, turn, attempt_no, failed, wer, action,
+      CAST(3 - least(fb + CAST(failed AS INT), 3) AS BIGINT) AS remaining,
+      CASE action WHEN 'resolved' THEN 'WER ' || {S.fixed2('wer')} || ' within 0.30 after re-chunk'
+        WHEN 'exhausted' THEN 'WER ' || {S.fixed2('best.wer')} || ' exceeds 0.30 after 3 attempts' END AS flag,
+      CASE WHEN NOT failed THEN conv_id WHEN action <> 'retry' THEN best.conv_id END AS kept_conv_id,
+      CASE WHEN NOT failed THEN turn WHEN action <> 'retry' THEN best.turn END AS kept_turn FROM l3""")
+def fidelity_ledger(spark, d):
+    """Four conversations are the attempts at one chapter."""
+    episode = (F.col("conv_id") * 3 + F.col("turn")) % 5
+    rows = V.spread(V.turns(spark, d, "assistant")).select(
+        F.floor(F.col("conv_id") / 4).cast("bigint").alias("chapter_id"), "conv_id", "turn", F.col("text").alias("script"),
+        _windows(F.col("text")).alias("h"), (X.word_count(F.col("text")) * episode * F.lit(0.25)).alias("duration_s"))
+    return Fi.fidelity_ledger(rows.select("*", "h.head_hyp", "h.tail_hyp"), ["chapter_id"], ["conv_id", "turn"])
+
+
 @query("wer_documents")
 def wer_documents(spark, d):
     """Whole documents against a transcript of their first half that lost every 7th word.

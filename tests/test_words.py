@@ -140,3 +140,24 @@ def test_fidelity(spark):
     assert (out[3].suspect, out[3].empty_transcript) == (False, True)
     assert out[4].reason == "head WER 1.00, tail WER 1.00, duration ratio 0.00"
     assert out[5].reason == "duration ratio 0.10"
+
+
+def test_fidelity_ledger(spark):
+    """Three retries, the best recording restored; a pass after a retry is resolved once."""
+    from folioscan.operators.fidelity import fidelity_ledger
+    text = "a b c d e f g h i j"
+    heard = {0.0: "a b c d e", 0.4: "a b c x y", 0.6: "a b x y z", 1.0: "v w x y z"}
+
+    def chapter(no, rates):
+        return [(no, i, text, heard[w], "h i j", 60.0) for i, w in enumerate(rates)]
+
+    rows = chapter(1, [0.6, 0.4, 1.0, 0.4, 1.0]) + chapter(2, [0.4, 0.0, 0.4, 0.0]) + chapter(3, [0.0])
+    df = spark.createDataFrame(rows, "c int, n int, script string, head_hyp string, tail_hyp string, duration_s double")
+    got = {}
+    for r in sorted(fidelity_ledger(df, ["c"], ["n"]).collect(), key=lambda r: (r.c, r.n)):
+        got.setdefault(r.c, []).append((r.action, r.remaining, r.kept_n, r.flag))
+    assert got[1] == [("retry", 2, None, None), ("retry", 1, None, None), ("retry", 0, None, None),
+                      ("exhausted", 0, 1, "WER 0.40 exceeds 0.30 after 3 attempts"), ("beyond_budget", 0, 1, None)]
+    assert got[2] == [("retry", 2, None, None), ("resolved", 2, 1, "WER 0.00 within 0.30 after re-chunk"),
+                      ("retry", 1, None, None), ("pass", 1, 3, None)]
+    assert got[3] == [("pass", 3, 0, None)]
