@@ -82,16 +82,15 @@ def scan_scripts(spark, d):
 
 
 @query("chapter_titles_json", """
-    WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ts FROM documents
-               WHERE doc_id % 7 > 2)
+    WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ts FROM documents)
     SELECT doc_id, CAST(generate_subscripts(ts, 1) AS BIGINT) AS pos, unnest(ts) AS title
     FROM t""")
 def chapter_titles_json(spark, d):
-    # Saved title lists, one per document, three in seven of them damaged.
-    n = F.col("doc_id") % 7
-    saved = F.when(n == 0, '{"title": "x"}').when(n == 1, '["open').when(
-        n == 2, "[1, 2]").otherwise(F.to_json(F.split("text", "\n")))
-    docs = V.chapters(spark, d).select("doc_id", saved.alias("titles"))
+    # Every document's list of titles, and damaged ones of each beside it, which give nothing.
+    whole = F.to_json(F.split("text", "\n"))
+    saved = F.array(whole, F.concat(F.lit('{"title": '), whole, F.lit("}")), F.concat(F.lit("["), whole),
+                    F.lit('["open'), F.lit("[1, 2]"))
+    docs = V.chapters(spark, d).select("doc_id", F.explode(saved).alias("titles"))
     return docs.select("doc_id", F.posexplode(FS.load_titles(F.col("titles"))).alias(
         "i", "title")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), "title")
 

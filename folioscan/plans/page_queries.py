@@ -86,12 +86,11 @@ _DECLARED = ("CASE ordinal % 5 WHEN 0 THEN replace(html, '<body', '<body epub:ty
              "ELSE html END")
 
 
-def _declared(items):
-    return items.withColumn("html", F.when(F.col("ordinal") % 5 == 0, F.replace(
-        "html", F.lit("<body"), F.lit('<body epub:type="x toc"'))).when(
-        F.col("ordinal") % 5 == 1, F.replace(
-            "html", F.lit("<body"), F.lit('<body epub:type="bodymatter"'))
-    ).otherwise(F.col("html")))
+def _declared(page):
+    """Every fifth page declares itself a list of links, every fifth a chapter."""
+    kind = F.col("ordinal") % 5
+    return F.when(kind == 0, F.replace(page, F.lit("<body"), F.lit('<body epub:type="x toc"'))).when(
+        kind == 1, F.replace(page, F.lit("<body"), F.lit('<body epub:type="bodymatter"'))).otherwise(page)
 
 
 def _count(pattern: str, x: str = "html") -> str:
@@ -125,7 +124,7 @@ _STATS = rf"""
       CAST(inside AS BIGINT) AS inside_links, CAST(hrefs - inside AS BIGINT) AS outside_links
     FROM t""")
 def looks_like_toc(spark, d):
-    pages = E.with_visible(_declared(V.spine_items(spark, d)))
+    pages = E.with_visible(V.spine_items(spark, d).withColumn("html", _declared(F.col("html"))))
     stats = H.link_stats(F.col("html"))
     return pages.select(
         "ordinal", H.looks_like_toc(F.col("html"), F.lower("visible")).alias("is_toc"),
@@ -158,7 +157,7 @@ _VALID = f"""CASE WHEN length({S.strip('html')}) < 100 THEN false
     WITH items AS (SELECT book_id, ordinal, item_name, {_DECLARED} AS html FROM ({SPINE})), {_STATS}
     SELECT ordinal, {_VALID} AS valid FROM t""")
 def valid_chapters(spark, d):
-    pages = E.with_visible(_declared(V.spine_items(spark, d)))
+    pages = E.with_visible(V.spine_items(spark, d).withColumn("html", _declared(F.col("html"))))
     return pages.select("ordinal", H.valid_chapter(F.col("html"), F.col("visible")).alias("valid"))
 
 
@@ -172,7 +171,7 @@ def valid_chapters(spark, d):
     SELECT book_id, ordinal, has_strict FROM g
     WHERE CASE WHEN has_strict THEN strict ELSE loose END""")
 def filter_with_fallback(spark, d):
-    return E.filter_with_fallback(_declared(V.spine_items(spark, d))).select(
+    return E.filter_with_fallback(V.spine_items(spark, d).withColumn("html", _declared(F.col("html")))).select(
         "book_id", "ordinal", "has_strict")
 
 
@@ -297,10 +296,11 @@ _BOOK_SPINE = f"SELECT book_id, ordinal, item_name, {_BOOK_PAGES} AS html FROM (
 def book_chapters(spark, d):
     book = F.col("book_id")
     pages = V.spine_items(spark, d)
-    listed = pages.withColumn("html", F.replace("html", F.lit("<body"), F.lit('<body epub:type="x toc"')))
-    items = listed.filter(book % 6 == 1).unionByName(_declared(pages.filter(book % 6 != 1)))
-    toc = V.toc(spark, d).filter(book % 3 != 1).withColumn("href", F.when(
-        book % 3 == 0, F.col("href")).otherwise(F.concat(F.lit("elsewhere/"), "href")))
+    listed = F.replace("html", F.lit("<body"), F.lit('<body epub:type="x toc"'))
+    items = pages.withColumn("html", F.when(book % 6 == 1, listed).otherwise(_declared(F.col("html"))))
+    # Books whose entries point nowhere have rows without a link.
+    toc = V.toc(spark, d).withColumn("href", F.when(book % 3 == 0, F.col("href")).when(
+        book % 3 == 2, F.concat(F.lit("elsewhere/"), "href")))
     return E.book_chapters(items, toc)
 
 
