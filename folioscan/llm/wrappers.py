@@ -8,9 +8,12 @@ Then every page is aligned with the whole wrapper, and Spark counts exactly on h
 a slot, and also a path of kinds, since equal elements may align in more than one way. A text on at least six tenths of the
 pages that hold text at its node is template. Pages whose texts are all the same are copies and count as one.
 
-Extraction leaves out template texts and elements that are never article: scripts, styles, forms, navigation, asides,
-footers, and anything named as advert, notice, sidebar or comment. The varying slots are the content, in page order, one line
-a block. An article or main element is a hint: where it holds varying text, a part of the page outside it is content only if
+Extraction leaves out template texts and what is never article: scripts, styles, forms, and elements whose names say that they
+are adverts or comments, which vary from page to page as articles do, so that counts cannot tell them apart. Other names and
+tags (navigation, aside, footer, sidebar, share and the like) are a prior: such a part is left out unless its text varies and
+outweighs the rest of the page on six tenths of the host's pages that have it. What a host does not tell, the page does, for
+parts named by a class only. A name is the last word of a class or id but for words of form (``site-footer-inner``); remarks
+such as ``no-sidebar`` or ``has-banner`` name nothing. The varying slots are the content, in page order, one line a block. An article or main element is a hint: where it holds varying text, a part of the page outside it is content only if
 it holds more text than the hint on six tenths of the host's pages that have the part. It is none if it holds less on as
 many; if the host tells neither, the page itself decides in the same way.
 
@@ -27,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -48,12 +52,20 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}),
 }
-DROPPED = frozenset("script style noscript template head nav aside footer form button select textarea iframe object svg "
-                    "canvas audio video dialog menu input title".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|menu|nav|"
-                   r"navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|social|"
-                   r"sponsor\w*|subscribe|widgets?)(?:$|[\s_-])", re.I).search
-ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
+NEVER = frozenset("script style noscript template head form button select textarea iframe object svg canvas audio video "
+                  "dialog input title".split())
+LIKELY = frozenset("nav aside footer menu".split())
+NEVER_NAMES = re.compile(r"ads?|advert\w*|comments?|consent|cookies?|disqus|newsletter|popup|sponsor\w*|subscribe").fullmatch
+LIKELY_NAMES = re.compile(r"banner|breadcrumbs?|footer|menu|nav|navbar|navigation|notices?|pagination|promo\w*|related|share|"
+                          r"sharing|sidebar|social").fullmatch
+# Words after a name that leave it what it is, and words before a name that only remark on it.
+FORMS = frozenset("area aside author bar bars block body bottom box button buttons col column container content cell form frame "
+                  "group holder icon icons image inner item items label left link links list main media meta nav news outer "
+                  "panel policy post posts reply respond right row section side signup slot space stories text this thread "
+                  "title top unit widget widgets wrap wrapper zone".split())
+REMARKS = frozenset("no not non has have with without is hide show under above".split())
+NEVER_ROLES = frozenset("search alert dialog form menu menubar".split())
+LIKELY_ROLES = frozenset("navigation banner contentinfo complementary".split())
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""").finditer
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -61,6 +73,9 @@ _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 DEEPEST = 200
 KEEP_TEXTS = 64
 LEAST_PAGES, SHARE = 5, 0.6
+# Children of nodes up to this width are matched in the best order, those of wider ones within a band of it.
+WIDE = 64
+MERGES = 32
 # Elements that are a part of the page by themselves; other neighbours of a marked element go together.
 PARTS = frozenset("address center details div fieldset section table tbody td tr".split())
 
@@ -162,13 +177,49 @@ def parse(html: str) -> Node:
     return root
 
 
-def dropped(node: Node, inside: bool) -> bool:
-    """Never article. The header of an article is its own; other headers are not."""
-    if node.tag in DROPPED or node.hidden or node.role in ROLES:
-        return True
-    if node.tag == "header" and not inside:
-        return True
-    return bool(node.names and node.tag not in ("body", "html", "article", "main") and NAMED(node.names))
+KEPT, DROPPED, BY_TAG, BY_NAME = range(4)
+
+
+@lru_cache(100_000)
+def named(names: str) -> int:
+    """What classes and ids say: the last word of each that is no word of form."""
+    found = KEPT
+    for token in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if not words or words[0] in REMARKS:
+            continue
+        while len(words) > 1 and (words[-1] in FORMS or words[-1][0].isdigit()):
+            words.pop()
+        if NEVER_NAMES(words[-1]):
+            return DROPPED
+        if LIKELY_NAMES(words[-1]) or words[0] in ("widget", "widgets"):
+            found = BY_NAME
+    return found
+
+
+def prior(node: Node, inside: bool) -> int:
+    """Whether a part is article before the host is asked: kept, never, or unlikely by its tag or by its name."""
+    if node.tag in NEVER or node.hidden or node.role in NEVER_ROLES:
+        return DROPPED
+    by_name = named(node.names) if node.names and node.tag not in ("body", "html", "article", "main") else KEPT
+    if by_name == DROPPED:
+        return DROPPED
+    if node.tag in LIKELY or node.role in LIKELY_ROLES or (node.tag == "header" and not inside and not titles(node)):
+        return BY_TAG
+    return by_name
+
+
+def titles(header: Node) -> bool:
+    """A header that holds a heading, and nothing to go on to or to fill in, is the head of its text."""
+    heading, stack = False, [header]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                if c.tag in ("nav", "form", "ul", "ol", "menu", "input") or c.role in LIKELY_ROLES:
+                    return False
+                heading = heading or c.tag in ("h1", "h2")
+                stack.append(c)
+    return heading
 
 
 @dataclass
@@ -243,6 +294,9 @@ def match(one: Slot, two: Slot) -> tuple[int, list[tuple[int, int]]]:
     a, b = one.children, two.children
     if not a or not b:
         return 1, []
+    if len(a) * len(b) > WIDE * WIDE:
+        pairs = beside(a, b)
+        return 1 + sum(match(a[i], b[j])[0] for i, j in pairs), pairs
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     score = [[0] * len(b) for _ in a]
     for i, x in enumerate(a):
@@ -261,6 +315,20 @@ def match(one: Slot, two: Slot) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
+def beside(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+    """Match the children of wide nodes in a time that follows their number: equal ends, then the next of a kind in a band."""
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i].kind != b[i].kind), n)
+    tail = next((i for i in range(n - head) if a[-1 - i].kind != b[-1 - i].kind), n - head)
+    pairs, j, last = [(i, i) for i in range(head)], head, len(b) - tail
+    for i in range(head, len(a) - tail):
+        k = next((k for k in range(j, min(j + WIDE, last)) if b[k].kind == a[i].kind), None)
+        if k is not None:
+            pairs.append((i, k))
+            j = k + 1
+    return pairs + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+
+
 def merge(one: Slot, two: Slot) -> None:
     """Align ``two`` with ``one`` and add it; children without a partner keep their place between those with one."""
     one.pages += two.pages
@@ -323,7 +391,7 @@ def content(root: Node) -> list[Node]:
                 continue
             if c.tag in ("article", "main") and not c.hidden:
                 found.append(c)
-            elif not dropped(c, inside):
+            elif prior(c, inside) == KEPT:
                 visit(c, inside)
 
     visit(root, False)
@@ -367,12 +435,18 @@ def place(wrapper: Slot, root: Node) -> dict[int, int]:
 
 @dataclass
 class Block:
-    """A line of a page: the nodes and hashes of its texts, whether a mark holds it, and else the part it belongs to."""
+    """A line of a page: the nodes and hashes of its texts, whether a mark holds it, and else the part it belongs to.
+
+    ``unlikely`` is the prior of the part, ``number`` tells such parts of a page apart; ``linked`` characters are in links.
+    """
 
     line: str
     texts: list[tuple[tuple[str, ...], int]]
     marked: bool
     part: str
+    unlikely: int = KEPT
+    number: int = 0
+    linked: int = 0
 
 
 def read(html: str, wrapper: Slot | None = None) -> list[Block]:
@@ -395,41 +469,70 @@ def read(html: str, wrapper: Slot | None = None) -> list[Block]:
     texts: list[tuple[tuple[str, ...], int]] = []
 
     def close(inside: bool, part: str) -> None:
+        nonlocal linked
         line = " ".join("".join(held).split())
         if line:
-            blocks.append(Block(line, texts.copy(), inside, part))
+            blocks.append(Block(line, [] if apart else texts.copy(), inside, part, apart, number, min(linked, len(line))))
+        linked = 0
         held.clear()
         texts.clear()
 
+    def unlikely(c: Node, path: str, kind: int) -> None:
+        """The lines of a part that is left out unless the host overrules; what stands around an inline one is one line."""
+        nonlocal held, texts, apart, number, linked
+        before = held, texts, linked
+        held, texts, apart, linked = [], [], kind, 0
+        number += 1
+        part = f"{path}/{c.kind} unlikely"
+        above.append((False, part))
+        visit(c, path, False, part)
+        close(False, part)
+        above.pop()
+        apart = KEPT
+        held, texts, linked = before
+
     def visit(node: Node, path: str, inside: bool, part: str) -> None:
+        nonlocal linked
         path = f"{path}/{node.kind}"
         names = (path, f"#{slots[id(node)]}") if id(node) in slots else (path,)
-        inside = inside or id(node) in marks
-        if id(node) in around:
+        inside = inside or (not apart and id(node) in marks)
+        if apart:
+            pass
+        elif id(node) in around:
             part = names[-1] + " flow"
         elif part.endswith(" flow") and node.tag in PARTS:
             part = names[-1]
         own = [c for c in node.children if isinstance(c, str) and not c.isspace()]
-        mark = (names, text_hash(" ".join(own))) if own else None
+        mark = (names, text_hash(" ".join(own))) if own and not apart else None
         block = node.tag in BLOCK
         if block:
             close(*above[-1])
         above.append((inside, part))
+        before = len(held)
         for c in node.children:
             if isinstance(c, str):
                 held.append(c)
                 if mark and not c.isspace() and (not texts or texts[-1] is not mark):
                     texts.append(mark)
-            elif c.tag == "br" or c.tag == "hr":
+                continue
+            if c.tag == "br" or c.tag == "hr":
                 held.append(" ")
-            elif not dropped(c, bool(marks) and inside):
+                continue
+            kind = prior(c, bool(marks) and inside)
+            if kind == KEPT or (apart and kind != DROPPED):
                 visit(c, path, inside, part)
-            elif c.tag in BLOCK:
+                continue
+            if c.tag in BLOCK:
                 close(inside, part)
+            if kind != DROPPED:
+                unlikely(c, path, kind)
+        if node.tag == "a":
+            linked += sum(map(len, held[before:]))
         above.pop()
         if block:
             close(inside, part)
 
+    apart, number, linked = KEPT, 0, 0
     above = [(False, " flow")]
     visit(root, "", False, " flow")
     close(False, " flow")
@@ -445,6 +548,12 @@ def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
     A part outside the marked elements counts as won or lost by whether it holds more text than they do.
     """
     found = set()
+    likely = [b for b in blocks if not b.unlikely]
+    for part, (_, size, _, text) in unlikely_parts(blocks).items():
+        node = key(part[0], PART)
+        found |= {(node, node), (node, key(part[0], WON if size > sum(len(b.line) for b in likely) else LOST)),
+                  (node, key(part[0], text))}
+    blocks = likely
     for b in blocks:
         for names, text in b.texts:
             for name in names:
@@ -464,23 +573,47 @@ def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
     return found
 
 
+def unlikely_parts(blocks: list[Block]) -> dict[tuple[str, int], tuple[int, int, int, int]]:
+    """Prior, size, characters in links and hash of the text of each part that the prior leaves out."""
+    lines: dict[tuple[str, int], list[Block]] = {}
+    for b in blocks:
+        if b.unlikely:
+            lines.setdefault((b.part, b.number), []).append(b)
+    return {part: (some[0].unlikely, sum(len(b.line) for b in some), sum(b.linked for b in some),
+                   text_hash("\n".join(b.line for b in some))) for part, some in lines.items()}
+
+
+def overruled(blocks: list[Block], constant: frozenset[int] | set[int]) -> set[tuple[str, int]]:
+    """Parts that are article against their prior."""
+    rest, found = sum(len(b.line) for b in blocks if not b.unlikely), set()
+    for part, (kind, size, linked, text) in unlikely_parts(blocks).items():
+        if key(part[0], text) in constant:
+            continue
+        own = kind == BY_NAME and size > rest and 2 * linked < size and key(part[0], LOST) not in constant
+        if own or (key(part[0], WON) in constant and 2 * linked < size):
+            found.add(part)
+    return found
+
+
 def extract(html: str, constant: frozenset[int] | set[int], wrapper: Slot | None = None) -> str:
     """The page's main text: its varying blocks.
 
     Where marked elements hold some of them, another part counts only if it outweighs the mark on most pages of the host; what
     the host does not tell, the page does.
     """
-    left = [b for b in read(html, wrapper) if not constant or not all(
-        any(key(name, text) in constant for name in names) for names, text in b.texts)]
+    blocks = read(html, wrapper)
+    given = overruled(blocks, constant)
+    left = [b for b in blocks if ((b.part, b.number) in given if b.unlikely else not constant or not all(
+        any(key(name, text) in constant for name in names) for names, text in b.texts))]
     marked = sum(len(b.line) for b in left if b.marked)
     if marked:
         sizes: dict[str, int] = {}
         for b in left:
-            if not b.marked:
+            if not b.marked and not b.unlikely:
                 sizes[b.part] = sizes.get(b.part, 0) + len(b.line)
         good = {p for p, n in sizes.items()
                 if key(p, WON) in constant or (n > marked and key(p, LOST) not in constant)}
-        left = [b for b in left if b.marked or b.part in good]
+        left = [b for b in left if b.marked or b.unlikely or b.part in good]
     return "\n".join(b.line for b in left)
 
 
@@ -543,14 +676,19 @@ def wrappers(pages: DataFrame, most_hosts: int = 2_000) -> DataFrame:
                 out: list[tuple[int, int, int, int]] = []
                 for site, html, data in zip(*(part.column(c).to_pylist() for c in ("site", "html", "wrapper"))):
                     blocks = read(html or "", known(data))
-                    payload = xxhash.xxh3_64_intdigest("\n".join(b.line for b in blocks)) >> 1
+                    payload = xxhash.xxh3_64_intdigest("\n".join(
+                        b.line for b in blocks if not b.unlikely) or "\n".join(b.line for b in blocks)) >> 1
                     out += [(site, node, k, payload) for node, k in evidence(blocks)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], ["site", "node", "key", "payload"])
 
     parts = pages.select("host", "html").mapInArrow(partial, "host string, wrapper binary")
     site = F.xxhash64("host").alias("site")
-    built = stored(parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(
+    # Partial wrappers of a host merge in many tasks first, so the last one merges few, whatever the number of tasks.
+    deal = F.pmod(F.xxhash64("wrapper"), F.lit(MERGES)).cast("int")
+    some = parts.repartition("host", deal).sortWithinPartitions("host", "wrapper").mapInArrow(
+        whole, "host string, wrapper binary")
+    built = stored(some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(
         whole, "host string, wrapper binary"), "wrappers")
     # Pages that say the same are one. Rows are dealt by all columns first, so no host or node gathers in one task.
     rows = pages.join(built, "host").select(site, "html", "wrapper").mapInArrow(

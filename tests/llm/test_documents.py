@@ -5,6 +5,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -502,3 +503,59 @@ def test_pipeline_odd_rows(spark, tmp_path):
             stage(spark, left, SF).write.parquet(path)
             left = spark.read.parquet(path)
         assert left.select("doc_id").distinct().count() == (3 if start is docs else 0)
+
+
+ARTICLE = "The harbour was quiet that morning, and nobody saw the boat come in. " * 8
+
+
+@pytest.mark.parametrize("names", [
+    "elementor-widget elementor-widget-theme-post-content", "content-area no-sidebar", "entry no-comments", "post has-banner",
+    "share-price-report", "with-ad wide", "layout right-sidebar"])
+@pytest.mark.parametrize("around", ["{}", "<article>{}</article>"])
+def test_names_that_only_remark_keep_the_article(names, around):
+    inner = around.format(f'<div class="{names}"><p>{ARTICLE}</p></div>')
+    page = f'<body><nav><a href="/">Home</a></nav>{inner}<div class="site-footer-inner">Imprint</div></body>'
+    assert wrappers.extract(page, frozenset()) == ARTICLE.strip()
+
+
+@pytest.mark.parametrize("names", [
+    "ad", "ad-slot-300x250", "post-comments-list", "sidebar-left", "site-footer-inner", "share-buttons", "cookie-notice",
+    "related-posts", "widget_recent_entries", "main-navigation"])
+def test_names_of_other_parts_leave_them_out(names):
+    page = f'<body><div class="post"><p>{ARTICLE}</p></div><div class="{names}"><p>Something else.</p></div></body>'
+    assert wrappers.extract(page, frozenset()) == ARTICLE.strip()
+    assert wrappers.extract(f'<p>one <span class="{names}">two</span> three</p>', frozenset()) == "one three"
+
+
+def test_header_of_a_post_is_its_own():
+    assert wrappers.extract('<div class="post"><header><h1>The title</h1></header><p>x</p></div>', frozenset()) == "The title\nx"
+    site = '<body><header><h1>Site</h1><ul><li><a href="/a">A</a></ul></header><p>x</p>'
+    assert wrappers.extract(site, frozenset()) == "x"
+
+
+def test_the_host_overrules_a_prior_but_not_for_template(spark):
+    rows = []
+    for i in range(12):
+        story = f"<p>{ARTICLE}{i}</p>"
+        rows.append((i, "http://a.example/x", f"<body><p>Teaser {i}</p><aside>{story}</aside></body>"))
+        rows.append((100 + i, "http://b.example/x", f"<body><p>Text {i}</p><aside><p>{ARTICLE}</p></aside></body>"))
+        rows.append((200 + i, "http://c.example/x", f'<body><p>Text {i}</p><div class="comments">{story}</div></body>'))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = [r.text for r in sorted(wrappers.main_text(df).collect(), key=lambda r: r.page_id)]
+    assert got[:12] == [f"Teaser {i}\n{ARTICLE}{i}" for i in range(12)]
+    assert got[12:24] == got[24:] == [f"Text {i}" for i in range(12)]
+
+
+def test_wide_pages_align_in_linear_time():
+    def page(n, every):
+        return wrappers.slot(wrappers.parse("<dl>" + "".join(
+            f"<dt>{i}<dd>{i}" + ("<hr>" if i % every == 0 else "") for i in range(n)) + "</dl>"), False)
+
+    one, two = page(10_000, 7), page(9_900, 11)
+    start = time.perf_counter()
+    wrappers.merge(one, two)
+    assert time.perf_counter() - start < 5
+    a, b = [[wrappers.Slot(k) for k in "xy" * 50 + m + "xy" * 50] for m in ("abcz", "azc")]
+    pairs = wrappers.beside(a, b)
+    assert len(pairs) == 203 and all(a[i].kind == b[j].kind for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
