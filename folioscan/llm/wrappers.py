@@ -548,12 +548,12 @@ def evidence(blocks: list[Block]) -> set[tuple[int, int]]:
     A part outside the marked elements counts as won or lost by whether it holds more text than they do.
     """
     found = set()
-    likely = [b for b in blocks if not b.unlikely]
+    whole = sum(len(b.line) for b in blocks)
     for part, (_, size, _, text) in unlikely_parts(blocks).items():
         node = key(part[0], PART)
-        found |= {(node, node), (node, key(part[0], WON if size > sum(len(b.line) for b in likely) else LOST)),
+        found |= {(node, node), (node, key(part[0], WON if 2 * size > whole else LOST)),
                   (node, key(part[0], text))}
-    blocks = likely
+    blocks = [b for b in blocks if not b.unlikely]
     for b in blocks:
         for names, text in b.texts:
             for name in names:
@@ -585,11 +585,11 @@ def unlikely_parts(blocks: list[Block]) -> dict[tuple[str, int], tuple[int, int,
 
 def overruled(blocks: list[Block], constant: frozenset[int] | set[int]) -> set[tuple[str, int]]:
     """Parts that are article against their prior."""
-    rest, found = sum(len(b.line) for b in blocks if not b.unlikely), set()
+    whole, found = sum(len(b.line) for b in blocks), set()
     for part, (kind, size, linked, text) in unlikely_parts(blocks).items():
         if key(part[0], text) in constant:
             continue
-        own = kind == BY_NAME and size > rest and 2 * linked < size and key(part[0], LOST) not in constant
+        own = kind == BY_NAME and 2 * size > whole and 2 * linked < size and key(part[0], LOST) not in constant
         if own or (key(part[0], WON) in constant and 2 * linked < size):
             found.add(part)
     return found
