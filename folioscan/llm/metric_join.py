@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import drawn, stored
 from .components import components
-from .vectors import lists, matrix, usable
+from .vectors import kind_of, lists, matrix, usable
 
 BLOCK = 8192
-MOST_PIVOTS = 256
+MOST_PIVOTS = 4096
+DISTANCES = 1 << 22
 MARGIN = 1e-4
 
 
@@ -36,7 +37,13 @@ def pivots(classes: DataFrame, count: int, dim: int) -> np.ndarray:
     """At most ``MOST_PIVOTS`` unit vectors, drawn by hash."""
     rows = drawn(classes.filter(F.size("vector") == dim), count, "class_id").collect()
     got = np.array([r["vector"] for r in rows], float)
-    return got / np.linalg.norm(got, axis=1, keepdims=True)
+    return units_of(got)
+
+
+def units_of(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by the largest component first, so that no square overflows or vanishes."""
+    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def visits(unit: np.ndarray, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +60,11 @@ def visits(unit: np.ndarray, points: np.ndarray, radius: float) -> tuple[np.ndar
     return home, near
 
 
+def how_many(n: int, block: int) -> int:
+    """Several pivots for small tables already, and cells of about one block up to ``MOST_PIVOTS`` of them."""
+    return max(1, min(MOST_PIVOTS, max(-(-n // block), round(n ** 0.25))))
+
+
 def place(classes: DataFrame, points: dict[int, np.ndarray], radius: float) -> DataFrame:
     """Rows of cells: dim, cell, visitor, class_id, n, vector."""
 
@@ -60,23 +72,27 @@ def place(classes: DataFrame, points: dict[int, np.ndarray], radius: float) -> D
         for batch in batches:
             sizes = np.diff(batch.column("vector").offsets.to_numpy())
             for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                raw = matrix(part.column("vector"))
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                home, near = visits(unit, points[int(dim)], radius)
-                row, cell = np.nonzero(near)
-                rows = np.concatenate([np.arange(len(home)), row])
-                for start in range(0, len(rows), 20_000):
-                    some = rows[start: start + 20_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(some), dim, np.int32)),
-                        pa.array(np.concatenate([home, cell])[start: start + 20_000].astype(np.int32)),
-                        pa.array(np.arange(start, start + len(some)) >= len(home)),
-                        part.column("class_id").take(pa.array(some)), part.column("n").take(pa.array(some)),
-                        lists(raw[some])], ["dim", "cell", "visitor", "class_id", "n", "vector"])
-
+                same = batch.filter(pa.array(sizes == dim))
+                step = max(1, DISTANCES // len(points[int(dim)]))
+                for at in range(0, same.num_rows, step):
+                    part = same.slice(at, step)
+                    raw = matrix(part.column("vector"))
+                    unit = units_of(raw)
+                    home, near = visits(unit, points[int(dim)], radius)
+                    row, cell = np.nonzero(near)
+                    rows = np.concatenate([np.arange(len(home)), row])
+                    for start in range(0, len(rows), 20_000):
+                        some = rows[start: start + 20_000]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(some), dim, np.int32)),
+                            pa.array(np.concatenate([home, cell])[start: start + 20_000].astype(np.int32)),
+                            pa.array(np.arange(start, start + len(some)) >= len(home)),
+                            part.column("class_id").take(pa.array(some)), part.column("n").take(pa.array(some)),
+                            lists(raw[some], kind)], ["dim", "cell", "visitor", "class_id", "n", "vector"])
+
+    kind = kind_of(classes, "vector")
     return classes.select("class_id", "n", "vector").mapInArrow(
-        run, "dim int, cell int, visitor boolean, class_id long, n long, vector array<float>")
+        run, f"dim int, cell int, visitor boolean, class_id long, n long, vector {kind}")
 
 
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -97,6 +113,8 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def links(raw: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Weighted link counts and joint labels of all rows, from the pairs of ``left`` and ``right`` rows."""
+    # A power of two changes no digit and keeps squares in range.
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
     norm = np.linalg.norm(raw, axis=1)
     unit = (raw / norm[:, None]).astype(np.float32)
     within = np.array_equal(left, right)
@@ -158,7 +176,7 @@ def range_join(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector
                block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table``."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind_of(table, vector)).alias("vector"))
     # 128 bits name a vector.
     rows = rows.withColumn("h1", F.when(usable(F.col("vector")), F.xxhash64("vector"))).withColumn(
         "h2", F.xxhash64(F.lit(7), "vector"))
@@ -166,7 +184,7 @@ def range_join(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector
     classes = stored(rows.filter("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("vector").alias("vector")), "vector-classes")
     dims = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}
-    points = {d: pivots(classes, max(1, min(MOST_PIVOTS, -(-n // block))), d) for d, n in dims.items()}
+    points = {d: pivots(classes, how_many(n, block), d) for d, n in dims.items()}
     placed = stored(place(classes, points, radius), "cells")
     # One row per cell: at most MOST_PIVOTS for each length of vectors.
     sizes = placed.groupBy("dim", "cell").agg(

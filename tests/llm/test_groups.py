@@ -209,3 +209,55 @@ def test_op8_recall(spark):
     got = queries.op8(spark, SF).collect()
     hit = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got)
     assert len(got) == 20 * len(want) and hit >= 0.9 * len(got)
+
+
+def test_clustered_queries_are_answered_by_probing(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 32))
+    vectors = np.concatenate([c + 0.06 * rng.normal(size=(250, 32)) for c in centres])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.concatenate([vectors, rng.normal(size=(20, 32)) * 0.1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = range(0, len(vectors), 20)
+    want = exact(list(range(len(vectors))), vectors, asked, 20)
+    # Small units, so that the buckets of the clusters are split.
+    for settings in (hamming_search.Settings(), hamming_search.Settings(unit=64, pairs=1000)):
+        got = hamming_search.search(df, F.col("vec_id") % 20 == 0, settings).collect()
+        assert len(got) == len({(r.query_id, r.vec_id) for r in got}) == 20 * len(asked)
+        assert len({r.query_id for r in got if r.probed}) >= 0.9 * len(asked)
+        assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got) >= 0.9 * len(got)
+        scores = {q: dict(v) for q, v in want.items()}
+        assert all(r.score == pytest.approx(scores[r.query_id][r.vec_id], abs=1e-12) for r in got if r.vec_id in scores[r.query_id])
+
+
+def test_wide_probes_find_every_code_within_the_radius():
+    rng = np.random.default_rng(9)
+    settings = hamming_search.Settings(k=1000, pairs=50)
+    code = rng.integers(0, 256, (300, 3)).astype(np.int32)
+    code[100:] = code[:200] ^ (1 << rng.integers(0, 8, (200, 3))) * rng.integers(0, 2, (200, 3))
+    code = code.astype(np.int32)
+    ids, vector = np.arange(300), rng.normal(size=(300, 4))
+    masks = [0, *(1 << b for b in range(8))]
+    found, counts = [], np.zeros(300, int)
+    for part in range(3):
+        rows = {"value": code[:, part], "id": ids, "code": code, "vector": vector}
+        asked = {k: np.repeat(v, 9, axis=0) for k, v in rows.items()}
+        asked["value"] = asked["value"] ^ np.tile(masks, 300)
+        for query, near_id, _, codes in hamming_search.meet(part, rows, asked, 5, settings):
+            found += list(zip(query.tolist(), near_id.tolist()))
+            np.add.at(counts, query, codes)
+    apart = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2)
+    want = {(a, b) for a, b in np.argwhere(apart <= 5).tolist() if a != b}
+    assert len(found) == len(set(found)) and set(found) == want and counts.sum() == len(want)
+
+
+def test_doubles_keep_their_digits_and_range(spark):
+    # Cosine just above the threshold in doubles, just below it as floats; equal vectors too large for floats.
+    c = 0.9 + 2.4e-10
+    rows = [(1, [1.0, 0.0]), (2, [c, float(np.sqrt(1 - c * c))]), (3, [0.0, -1e39]), (4, [0.0, -1e39]), (5, [0.0, -1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.range_join(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+    top = hamming_search.search(df.filter("vec_id > 1"), F.col("vec_id") == 3).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(top, key=lambda r: r.rank)][:1] == [(1, 4)]
+    assert [metric_join.how_many(n, 8192) for n in (1, 2000, 50_000, 10 ** 6, 10 ** 9)] == [1, 7, 15, 123, 4096]
