@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.html import heading_class
 from ..operators import quality as Q
 from ..operators.assemble import assemble, split_rows
+from ..operators.long_texts import text_parts
 from ..sources import tables as V
 from . import sql as S
 from .registry import query
@@ -319,6 +320,20 @@ def reassemble_chunks(spark, d):
     return assemble(chunks, ["doc_id"], ["pos"], "text", " ")
 
 
+@query("language_volumes", f"""
+    WITH b AS (SELECT lang, doc_id, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY lang ORDER BY doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before {DOCS} WHERE text IS NOT NULL)
+    SELECT lang, min(before) AS start, count(*) AS n_pieces,
+      CAST(length(string_agg(text, chr(10) ORDER BY doc_id)) AS BIGINT) AS n_chars,
+      sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS text_sha256
+    FROM b GROUP BY lang, before // 100000""")
+def language_volumes(spark, d):
+    # All texts of a language, far longer than a value should be, as parts.
+    docs = _docs(spark, d).select("lang", "doc_id", "text")
+    return text_parts(docs, ["lang"], ["doc_id"], "text", "\n", 100_000).select(
+        "lang", "start", "n_pieces", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 _HEADING_CASE = "CASE " + " ".join(
     f"WHEN regexp_matches(line, '(?{'i' if n in K.CASELESS_HEADINGS else ''}s)\\A(?:{p})') "
     f"THEN '{n}'" for n, p in K.HEADING_PATTERNS.items()) + " ELSE 'none' END"
