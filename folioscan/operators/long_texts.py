@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .assemble import assemble
 from .ordered import Running, ordered
 
 PART_CHARS = 16_000_000
@@ -33,9 +32,10 @@ def text_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: s
         Running("_before", "sum", F.col("_size"), before=True)).result().select(*names, F.col("_before").cast("bigint"))
     starts = starts.toDF(*(f"_{n}" for n in names), "_before")
     placed = rows.join(starts, _same(names)).withColumn("_part", F.floor(F.col("_before") / limit))
-    first = placed.groupBy(*keys, "_part").agg(F.min("_before").alias("start")).toDF(*(f"_{k}" for k in keys), "__part", "start")
-    glued = assemble(placed, [*keys, "_part"], order, text, sep)
-    return glued.join(first, _same([*keys, "_part"])).select(
+    pieces = F.array_sort(F.collect_list(F.struct("_before", *order, text)))
+    return placed.groupBy(*keys, "_part").agg(
+        F.min("_before").alias("start"), F.count(F.lit(1)).alias("n_pieces"),
+        F.array_join(F.transform(pieces, lambda r: r[text]), sep).alias(text)).select(
         *keys, "start", "n_pieces", F.length(text).cast("bigint").alias("n_chars"), text)
 
 
