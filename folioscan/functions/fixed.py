@@ -85,6 +85,13 @@ TITLE_TOKENS = (
     "|book-title|section-title|calibre_heading|sgc-toc-level"
 )
 
+# Where titles are looked for without headings: nodes, lines and blocks at the start of the body.
+TITLE_EARLY_NODES, TITLE_EARLY_LINES, TITLE_EARLY_BLOCKS = 10, 10, 5
+TITLE_EMPHASIS_CHARS, TITLE_LINE_CHARS, TITLE_LINE_WORDS = 150, 80, 12
+# Elements that have no end tag and no content.
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+                 "track", "wbr")
+
 # First that fits names the kind of heading.
 HEADING_PATTERNS = {
     "chapter": rf"(chapter|ch\.?)\s+([\divxlcdm]+|{NUMBER_WORDS})[\s.:—\-]*.*",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import fixed as K
 from .text import let, squeeze, strip, word_count
+from .tree import title_sources
 
 # What is left open hides the rest of the page.
 HIDDEN = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
@@ -20,8 +21,6 @@ HIDDEN = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*
 # A letter follows the sign, and quoted values may hold ">". Anything else is text.
 TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 GAP = "<x>"
-# Possessive, which Java matches in a loop: a leaf may hold any number of inline tags.
-NO_TAG_NAME = r"[^<]*+(?:<(?!/?(?:{names})\b)[^<]*+)*+"
 
 
 def _table(entries: dict) -> Column:
@@ -252,72 +251,21 @@ def heading_class(c: Column) -> Column:
     return kinds.otherwise("none")
 
 
-def _first_text(fragments: Column, keep) -> Column:
-    texts = F.filter(F.transform(fragments, page_text), lambda t: F.length(t) > 0)
-    hits = F.filter(texts, keep)
-    return F.when(F.size(hits) > 0, F.element_at(hits, 1))
-
-
-def _element_text(tail: Column) -> Column:
-    """Text of the element whose start tag opens ``tail``: up to the end tag that closes it."""
-    name = F.regexp_extract(tail, r"\A<([A-Za-z][A-Za-z0-9]*)", 1)
-    rest = F.regexp_replace(tail, rf"\A{TAG}", "")
-    # Every part but the first begins with a start or end tag of the same name.
-    parts = F.split(rest, F.concat(F.lit(r"(?i)(?=</?"), name, F.lit(r"[\s/>])")))
-
-    def step(state: Column, part: Column) -> Column:
-        own = F.lower(F.left(part, F.length(name) + 2))
-        depth = state["depth"] + F.when(own == F.lower(F.concat(F.lit("</"), name)), -1).when(
-            F.startswith(own, F.lower(F.concat(F.lit("<"), name))), 1).otherwise(0)
-        return F.when(state["depth"] <= 0, state).otherwise(F.struct(
-            depth.cast("int").alias("depth"),
-            F.when(depth > 0, F.concat(state["text"], part)).otherwise(state["text"]).alias("text")))
-
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-    return page_text(F.aggregate(parts, start, step)["text"])
-
-
-def _named_text(html: Column) -> Column:
-    """Text of the first element with a class or id that speaks of a title, if it has any."""
-    start = (r"(?is)<[a-z][a-z0-9]*\b[^>]*?\b(?:class|id)\s*=\s*[\"'](?:[^\"'>]*[\s_\-.])?"
-             rf"(?:{K.TITLE_TOKENS})(?:[\s_\-.][^\"'>]*)?[\"']")
-    parts = F.split(html, rf"(?={start})")
-    count = F.size(parts)
-    # Once a text is found, later elements are not looked at.
-    numbers = F.when(count > 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.when(html.rlike(start), F.aggregate(numbers, F.lit(""), lambda found, i: F.when(
-        (found != "") | ~F.get(parts, i - 1).rlike(rf"\A{start}"), found).otherwise(
-        _element_text(F.array_join(F.slice(parts, i, count), ""))))).otherwise("")
-
-
-def _leaves(body: Column, names: str, limit: int) -> Column:
-    """Inner HTML of the first ``limit`` named elements; empty for those that nest others."""
-    inner = NO_TAG_NAME.format(names="p|div|span")
-    pattern = rf"(?is)<({names})\b[^>]*>(?:({inner})</\1\s*>)?"
-    return F.slice(F.regexp_extract_all(body, F.lit(pattern), F.lit(2)), 1, limit)
+def _first(texts: Column, keep) -> Column:
+    return F.get(F.filter(texts, keep), F.lit(0))
 
 
 def title_strategies(html: Column) -> dict[str, Column]:
-    """Title found by each strategy, in order of trust; null where a strategy finds none."""
-    body = body_of(html)
-    heading = page_text(
-        F.regexp_extract(body, r"(?is)<(h[1-6]|hgroup|header)\b[^>]*>(.*?)</\1\s*>", 2))
-    head_title = page_text(
-        F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-    blocks = F.array_join(F.slice(F.regexp_extract_all(
-        body, F.lit(r"(?is)<(p|div|section|article|blockquote)\b[^>]*>(.*?)</\1\s*>"),
-        F.lit(0)), 1, 10), "")
-    strong = F.regexp_extract_all(
-        blocks, F.lit(r"(?is)<(strong|b|em)\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
+    """Title found by each strategy, in order of trust; null where a strategy finds none or a surer one has."""
+    parts = title_sources(html)
     return {
-        "heading": F.coalesce(F.nullif(heading, F.lit("")), F.nullif(head_title, F.lit(""))),
-        "attribute": F.nullif(_named_text(html), F.lit("")),
-        "emphasis": _first_text(strong, lambda t: (
-            (F.length(t) < 150) & ~t.endswith(".") & (heading_class(t) != "none"))),
-        "pattern": _first_text(_leaves(body, "p|div|span", 10),
-                               lambda t: heading_class(t) != "none"),
-        "short_line": _first_text(_leaves(body, "p|div", 5), lambda t: (
-            (F.length(t) < 80) & ~t.rlike(r"[.!?,;:]\z") & (word_count(t) <= 12))),
+        "heading": parts["heading"],
+        "attribute": parts["named"],
+        "emphasis": _first(parts["emphasis"], lambda t: ~t.endswith(".") & (heading_class(t) != "none")),
+        "pattern": _first(parts["lines"], lambda t: heading_class(t) != "none"),
+        "short_line": _first(parts["blocks"], lambda t: (
+            (F.length(t) < K.TITLE_LINE_CHARS) & ~t.rlike(r"[.!?,;:]\z")
+            & (word_count(t) <= K.TITLE_LINE_WORDS))),
     }
 
 
