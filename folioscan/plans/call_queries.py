@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..operators import answers as A
 from ..operators import quality as Q
 from ..operators import routing as R
+from ..session import fresh_path
 from ..sources import tables as V
 from . import sql as S
 from .registry import query
@@ -131,6 +133,26 @@ def answer_calls(spark, d):
     return R.answer_calls(requests, answers)
 
 
+def _stand_in(calls):
+    """A model that marks the language, and refuses a batch with a prompt of a fifth length."""
+    if (calls["prompt"].str.len() % 5 == 0).any():
+        raise ValueError("refused")
+    return "[" + calls["language"] + "] " + calls["prompt"]
+
+
+@query("kept_answers", f"""{_REQUESTS},
+    c AS (SELECT prompt, language, min(conv_id // 4 % 2) AS late FROM q WHERE language <> 'en' GROUP BY 1, 2)
+    SELECT prompt, language, CASE WHEN length(prompt) % 5 > 0 THEN '[' || language || '] ' || prompt END AS answer,
+      CASE WHEN length(prompt) % 5 > 0 THEN CAST(late + 1 AS BIGINT) END AS run_no,
+      CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError' END AS error_class FROM c""")
+def kept_answers(spark, d):
+    """Half of the conversations in a first run, all of them in a second one that asks only for what is new."""
+    store = A.open_answers(spark, fresh_path(spark, "answers"))
+    requests = _requests(spark, d).filter("language <> 'en'")
+    A.answer_new(requests.filter("conv_id div 4 % 2 = 0"), store, _stand_in, 1)
+    return A.answer_new(requests, store, _stand_in, 2)
+
+
 def _provider(name: str, limit: int, unit: str) -> str:
     size = "strlen" if unit == "bytes" else "length"
     return _batch_cte(str(limit), size, tag=f"_{name}")
