@@ -22,7 +22,8 @@ KEYS = ("prompt", "language")
 BATCH_CALLS = 64
 ATTEMPTS = 3
 
-Model = Callable[[pd.DataFrame], Sequence[str | None]]
+# Replies in the order of the calls. An exception in a reply's place is the failure of that call alone.
+Model = Callable[[pd.DataFrame], Sequence[str | Exception | None]]
 
 
 class WrongCount(Exception):
@@ -70,27 +71,30 @@ def unanswered(calls: DataFrame, store: AnswerStore, keys: Sequence[str] = KEYS)
 def _replies(calls: pd.DataFrame, model: Model, attempts: int) -> list[tuple[str | None, str | None]]:
     """(answer, class of failure) of each call.
 
-    A batch that fails is cut in halves, so one bad call costs no other its answer; a call alone is tried ``attempts`` times.
-    A blank reply fails alone. The model is asked at most twice as often as there are calls, and ``attempts`` times for each
-    that fails.
+    Calls that failed by themselves, or got a blank reply, are tried again together, ``attempts`` times in all. A batch that
+    raises is cut in halves until what raises stands alone, so one bad call costs no other its answer. The model is asked at
+    most twice for each call and attempt.
     """
-    for left in range(attempts if len(calls) == 1 else 1, 0, -1):
-        try:
-            replies = list(model(calls))
-            if len(replies) != len(calls):
-                raise WrongCount(f"{len(replies)} replies to {len(calls)} calls")
-            if len(calls) == 1 and not (replies[0] or "").strip():
-                raise EmptyReply
-        except Exception as failure:  # noqa: BLE001 - whatever a model's client raises becomes a row
-            if len(calls) == 1 and left == 1:
-                return [(None, type(failure).__name__)]
-            continue
-        found: list[tuple[str | None, str | None]] = []
-        for i, reply in enumerate(replies):
-            found += [(reply, None)] if (reply or "").strip() else _replies(calls.iloc[i:i + 1], model, attempts)
-        return found
-    half = len(calls) // 2
-    return _replies(calls.iloc[:half], model, attempts) + _replies(calls.iloc[half:], model, attempts)
+    try:
+        replies = list(model(calls))
+        if len(replies) != len(calls):
+            raise WrongCount(f"{len(replies)} replies to {len(calls)} calls")
+    except Exception as failure:  # noqa: BLE001 - whatever a model's client raises becomes a row
+        if len(calls) > 1:
+            half = len(calls) // 2
+            return _replies(calls.iloc[:half], model, attempts) + _replies(calls.iloc[half:], model, attempts)
+        replies = [failure]
+    found: list[tuple[str | None, str | None]] = []
+    for reply in replies:
+        if isinstance(reply, Exception):
+            found.append((None, type(reply).__name__))
+        else:
+            found.append((reply, None) if (reply or "").strip() else (None, EmptyReply.__name__))
+    again = [i for i, (answer, _) in enumerate(found) if answer is None]
+    if again and attempts > 1:
+        for i, outcome in zip(again, _replies(calls.iloc[again], model, attempts - 1)):
+            found[i] = outcome
+    return found
 
 
 def ask(calls: DataFrame, model: Model, keys: Sequence[str] = KEYS, batch: int = BATCH_CALLS,

@@ -134,10 +134,9 @@ def answer_calls(spark, d):
 
 
 def _stand_in(calls):
-    """A model that marks the language, and refuses a batch with a prompt of a fifth length."""
-    if (calls["prompt"].str.len() % 5 == 0).any():
-        raise ValueError("refused")
-    return "[" + calls["language"] + "] " + calls["prompt"]
+    """A model that marks the language, and fails on every fifth length."""
+    return [f"[{language}] {prompt}" if len(prompt) % 5 else ValueError("refused")
+            for prompt, language in zip(calls["prompt"], calls["language"])]
 
 
 @query("kept_answers", f"""{_REQUESTS},

@@ -108,3 +108,17 @@ def test_no_calls_and_missing_parts(spark, tmp_path):
     rows = spark.createDataFrame([(None, "fr"), ("", "fr"), ("x", None), ("x", "")], CALLS)
     got = A.answer_new(rows, store, lambda c: ["yes"] * len(c), 1)
     assert got.count() == 4 and got.filter("answer = 'yes'").count() == 4
+
+
+def test_calls_that_fail_by_themselves():
+    """They are tried again together and cost the others nothing."""
+    batches = []
+
+    def model(calls):
+        batches.append(list(calls["prompt"]))
+        return [ValueError() if p % 5 == 0 else LookupError() if p == 7 and len(batches) < 3 else str(p)
+                for p in calls["prompt"]]
+
+    got = A._replies(pd.DataFrame({"prompt": range(10)}), model, 3)
+    assert got == [(None, "ValueError") if p % 5 == 0 else (str(p), None) for p in range(10)]
+    assert batches == [list(range(10)), [0, 5, 7], [0, 5, 7]]
