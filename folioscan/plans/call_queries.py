@@ -142,14 +142,17 @@ def _stand_in(calls):
 @query("kept_answers", f"""{_REQUESTS},
     c AS (SELECT prompt, language, min(conv_id // 4 % 2) AS late FROM q WHERE language <> 'en' GROUP BY 1, 2)
     SELECT prompt, language, CASE WHEN length(prompt) % 5 > 0 THEN '[' || language || '] ' || prompt END AS answer,
-      CASE WHEN length(prompt) % 5 > 0 THEN CAST(late + 1 AS BIGINT) END AS run_no,
+      CASE WHEN length(prompt) % 5 > 0 THEN CAST(late + 1 AS BIGINT) ELSE 0 END AS run_no,
       CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError' END AS error_class FROM c""")
 def kept_answers(spark, d):
-    """Half of the conversations in a first run, all of them in a second one that asks only for what is new."""
+    """Half of the conversations in a first run, all of them in a second one that asks only for what is new.
+
+    The run that got an answer is 0 where none did.
+    """
     store = A.open_answers(spark, fresh_path(spark, "answers"))
     requests = _requests(spark, d).filter("language <> 'en'")
     A.answer_new(requests.filter("conv_id div 4 % 2 = 0"), store, _stand_in, 1)
-    return A.answer_new(requests, store, _stand_in, 2)
+    return A.answer_new(requests, store, _stand_in, 2).fillna(0, "run_no")
 
 
 def _provider(name: str, limit: int, unit: str) -> str:
