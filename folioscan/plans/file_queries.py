@@ -48,19 +48,16 @@ def _script_store(spark, d) -> str:
         F.lit("episode_"), number, F.lit("_script.txt"))).otherwise(
         F.concat(F.lit("notes_"), number, F.lit(".txt")))
     path = fresh_path(spark, "scripts")
-    rows = V.turns(spark, d).select(
-        F.concat(F.lit("book"), "conv_id", F.lit("_"), name).alias("file"),
-        F.col("text").alias("value"))
-    # Rows of a file meet in one task, so every file is written once.
-    rows.repartition("file").write.partitionBy("file").text(path)
+    FS.write_texts(V.turns(spark, d).select(F.coalesce(
+        F.concat(F.lit("book"), "conv_id", F.lit("_"), name), F.lit("unnamed")).alias("name"), "text"), path)
     return path
 
 
 def _saved(spark, d):
-    texts = FS.read_texts(spark, _script_store(spark, d), "part-*")
+    texts = FS.read_texts(spark, _script_store(spark, d))
     return texts.select(
-        F.regexp_extract("path", r"file=book(\d+)_", 1).cast("bigint").alias("book_id"),
-        F.regexp_extract("path", r"file=book\d+_([^/]*)/", 1).alias("name"),
+        F.regexp_extract("path", r"/book(\d+)_[^/]*$", 1).cast("bigint").alias("book_id"),
+        F.regexp_extract("path", r"/book\d+_([^/]*)$", 1).alias("name"),
         "path", F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from ..operators.ordered import numbered
 REPORT_SCHEMA = (
     "source string, status string, ratio double, matched bigint, total_source bigint, "
     "issues_count bigint")
+# Files in one folder of saved texts; a task lists and writes whole folders.
+SHELF_FILES = 1000
 
 
 def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +43,46 @@ def read_texts(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
                                        F.col("value").alias("text"))
 
 
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """One file for every name among ``rows`` (name, text), below ``folder``; rows of one name are its lines.
+
+    Each task writes its files itself under their own names, many to a folder, so nothing is left for the driver to move
+    file by file. A file gets its name once it is whole; a task that runs again writes the same files again.
+    """
+    shelves = max(1, math.ceil(rows.count() / SHELF_FILES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        filesystem, root = FileSystem.from_uri(folder)
+        attempt, shelf, name, out, written = TaskContext.get().taskAttemptId(), None, None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                filesystem.move(f"{root}/{shelf:06d}/_{attempt}-{name}", f"{root}/{shelf:06d}/{name}")
+
+        for batch in batches:
+            for at, called, text in zip(*batch.columns):
+                if (at.as_py(), called.as_py()) != (shelf, name):
+                    close()
+                    if at.as_py() != shelf:
+                        filesystem.create_dir(f"{root}/{at.as_py():06d}", recursive=True)
+                    shelf, name = at.as_py(), called.as_py()
+                    out = filesystem.open_output_stream(f"{root}/{shelf:06d}/_{attempt}-{name}")
+                    written += 1
+                out.write(text.as_buffer() or b"")
+                out.write(b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    shelf = F.pmod(F.xxhash64("name"), F.lit(shelves)).cast("int")
+    named = rows.select(shelf.alias("shelf"), "name", "text")
+    # Rows of a file meet in one task, one after the other.
+    dealt = named.repartition("shelf").sortWithinPartitions("shelf", "name")
+    dealt.mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+
+
 def read_scripts(texts: DataFrame) -> DataFrame:
     """Saved scripts: the episode number comes from the name; other files are skipped."""
     number = F.regexp_extract("path", r"episode_(\d+)_script\.txt", 1).try_cast("int")

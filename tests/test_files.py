@@ -31,6 +31,30 @@ def test_scripts(spark, tmp_path):
     assert [(r.episode_no, r.text) for r in got] == [(2, "two\nlines\n")]
 
 
+def test_saved_texts(spark, tmp_path, monkeypatch):
+    """Each name is one file with its rows as lines, and many files lie in one folder."""
+    monkeypatch.setattr(FS, "SHELF_FILES", 40)
+    rows = [(f"book1_episode_{n:03d}_script.txt", f"té\n{n}") for n in range(200)]
+    odd = [("twice.txt", "a"), ("twice.txt", "a"), ("null.txt", None), ("empty.txt", "")]
+    folder = tmp_path / "texts"
+    FS.write_texts(spark.createDataFrame(rows + odd, "name string, text string").repartition(8), folder.as_uri())
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in FS.read_texts(spark, folder.as_uri()).collect()}
+    want = {n: f"{t}\n" for n, t in rows} | {"twice.txt": "a\na\n", "null.txt": "\n", "empty.txt": "\n"}
+    assert got == want
+    files = [p for p in folder.rglob("*") if p.is_file()]
+    assert len(files) == len(want) and len({p.parent for p in files}) <= 6
+
+
+def test_script_store_has_few_folders(spark):
+    """A folder for every file took seconds a thousand files, most of it one by one in the driver."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from folioscan.plans.file_queries import _script_store
+    folder = Path(urlparse(_script_store(spark, SF)).path)
+    assert len([p for p in folder.rglob("*") if p.is_dir()]) <= 1 + V.turns(spark, SF).count() // FS.SHELF_FILES
+
+
 @pytest.mark.parametrize("saved, titles", [
     ('["a", "b"]', ["a", "b"]), ("[1, 2]", []), ('{"a": 1}', []), ('["a"', []), ("[]", []),
     ('["a", null]', []), ('["a", 1]', []), ("", [])])
