@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,6 +19,10 @@ _UNSEEN = -(1 << 40)
 _STEPS = 6
 # Up to this many pairs of words the full table is the quicker way.
 SHORT_CELLS = 1 << 20
+# Pairs with more words than this are counted one by one; shorter ones share bands of so many cells.
+_LONG_WORDS, _BAND_CELLS = 8192, 1 << 18
+# Words whose ids are found together.
+_ID_WORDS = 1 << 19
 # One code point per distinct word, from the first supplementary plane on.
 _FIRST_SYMBOL = 0x10000
 
@@ -92,22 +98,117 @@ def edit_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     raise AssertionError("the largest distance always reaches the end")
 
 
+def _together(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``edit_counts`` of many pairs of like size without common starts and ends: a row of the band for each pair."""
+    n, m = (np.array([len(pair[side]) for pair in pairs], np.int32)[:, None] for side in (0, 1))
+    # The words of all pairs in a row; after each pair's a word that agrees with none.
+    left, right = (np.concatenate([x for pair in pairs for x in (pair[side], [stop])]).astype(np.int32)
+                   for side, stop in ((0, -1), (1, -2)))
+    left_at, right_at = (np.cumsum(np.append([[0]], size[:-1] + 1, 0), 0, dtype=np.int32) for size in (n, m))
+    counts = np.zeros((len(pairs), 4), np.int64)
+    middle = int(n.max()) + 1
+    far = np.full((len(pairs), middle + int(m.max()) + 2), -(1 << 30), np.int32)
+    swaps = np.zeros_like(far)
+    far[:, middle] = 0
+    goal, most, row = m - n, np.maximum(n, m), np.arange(len(pairs))
+    open_ = np.ones(len(pairs), bool)
+    spent = 0
+    while open_.any():
+        spent += 1
+        spare = most - spent
+        low = np.maximum(np.maximum(-spent, -n), goal - spare)
+        high = np.where(open_[:, None], np.minimum(np.minimum(spent, m), goal + spare), low - 1)
+        first, last = int(low[open_].min()), int(high[open_].max())
+        shift = np.arange(first, last + 1, dtype=np.int32)
+        start, stop = first + middle, last + middle + 1
+        here, above, below = far[:, start:stop], far[:, start + 1:stop + 1], far[:, start - 1:stop - 1]
+        inside = (shift >= low) & (shift <= high)
+        swap, drop = here + 1, above + 1
+        at = np.maximum(np.maximum(swap, drop), below)
+        counted = np.where(at == swap, swaps[:, start:stop] + 1, np.where(
+            at == drop, swaps[:, start + 1:stop + 1], swaps[:, start - 1:stop - 1]))
+        at = np.where(inside, np.minimum(at, np.minimum(n, m - shift)), n)
+        i = (left_at + at).ravel()
+        j = (right_at + np.where(inside, at + shift, m)).ravel()
+        before = i.copy()
+        going, steps = np.flatnonzero(left[i] == right[j]), 0
+        while len(going) and (steps < _STEPS or len(going) > 16):
+            i[going] += 1
+            j[going] += 1
+            going, steps = going[left[i[going]] == right[j[going]]], steps + 1
+        for cell in going:
+            k = cell // len(shift)
+            i[cell] += _run(left[i[cell]:left_at[k, 0] + n[k, 0]], right[j[cell]:right_at[k, 0] + m[k, 0]])
+        at += (i - before).reshape(at.shape)
+        np.copyto(here, at, where=inside)
+        np.copyto(swaps[:, start:stop], counted, where=inside)
+        lines = np.arange(len(far))
+        ended = np.flatnonzero(open_ & (far[lines, (goal + middle).ravel()] >= n.ravel()))
+        if len(ended):
+            swapped = swaps[ended, goal[ended, 0] + middle].astype(np.int64)
+            net = goal[ended, 0]
+            counts[row[ended]] = np.stack([np.full(len(ended), spent), swapped, (spent - swapped + net) // 2,
+                                           (spent - swapped - net) // 2], 1)
+            open_[ended] = False
+            if 4 * open_.sum() <= 3 * len(open_):
+                n, m, goal, most, row, left_at, right_at, far, swaps, open_ = (
+                    x[open_] for x in (n, m, goal, most, row, left_at, right_at, far, swaps, open_))
+    return counts
+
+
+def many_edit_counts(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``edit_counts`` of each pair, one line each; pairs of like size go through their bands together."""
+    counts = np.zeros((len(pairs), 4), np.int64)
+    short = []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) + len(b) > _LONG_WORDS:
+            counts[k] = edit_counts(a, b)
+            continue
+        start = _run(a, b)
+        a, b = a[start:], b[start:]
+        end = _run(a[::-1], b[::-1])
+        a, b = a[:len(a) - end], b[:len(b) - end]
+        if len(a) and len(b):
+            short.append((len(a) + len(b), k, a, b))
+        else:
+            counts[k] = max(len(a), len(b)), 0, len(b), len(a)
+    short.sort(key=lambda pair: pair[:2], reverse=True)
+    while short:
+        group, short = short[:(size := max(1, _BAND_CELLS // (short[0][0] + 3)))], short[size:]
+        counts[[k for _, k, _, _ in group]] = _together([(a, b) for _, _, a, b in group])
+    return counts
+
+
 _COUNTS = ("distance", "substitutions", "insertions", "deletions")
 
 
+def _counted(lists: Sequence[pa.Array]) -> np.ndarray:
+    """Counts of reference and hypothesis lists that follow each other in turn."""
+    ids = pa.concat_arrays(lists).dictionary_encode("encode").indices.to_numpy()
+    parts = np.split(ids, np.cumsum([len(words) for words in lists])[:-1])
+    return many_edit_counts([*zip(parts[::2], parts[1::2])])
+
+
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
 def _errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    rows: list[tuple[int, ...] | None] = []
-    for ref, hyp in zip(reference, hypothesis):
-        if not ref.is_valid or not hyp.is_valid:
-            rows.append(None)
-            continue
-        n = len(ref.values)
-        ids = pa.concat_arrays([ref.values, hyp.values]).dictionary_encode("encode").indices.to_numpy()
-        rows.append(edit_counts(ids[:n], ids[n:]))
+    known = np.array([r.is_valid and h.is_valid for r, h in zip(reference, hypothesis)], bool)
+    rows = np.zeros((len(known), len(_COUNTS)), np.int64)
+    held: list[pa.Array] = []
+    places: list[int] = []
+    size = 0
+    for i in np.flatnonzero(known):
+        pair = [reference[int(i)].values, hypothesis[int(i)].values]
+        words = len(pair[0]) + len(pair[1])
+        if held and size + words > _ID_WORDS:
+            rows[places] = _counted(held)
+            held, places, size = [], [], 0
+        held += pair
+        places.append(i)
+        size += words
+    if held:
+        rows[places] = _counted(held)
     return pa.StructArray.from_arrays(
-        [pa.array([r and r[i] for r in rows], pa.int64()) for i in range(len(_COUNTS))], list(_COUNTS),
-        mask=pa.array([r is None for r in rows]))
+        [pa.array(rows[:, i], mask=~known) for i in range(len(_COUNTS))], list(_COUNTS), mask=pa.array(~known))
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
