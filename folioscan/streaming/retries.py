@@ -1,20 +1,23 @@
-"""Retry ledger over a stream of attempts: the state of a chapter is its budget and best rate."""
+"""Retry ledger over a stream of attempts: the state of a chapter is its budget and best rate.
+
+A micro-batch runs as one job over all its chapters. What a chapter used before stands ahead of its attempts as one row of the
+state, and values run on from there. The ledger rows of a batch and the state it leaves lie in folders of its number; a batch
+that is run again sees the state of the batch before it and overwrites its own folders, so it leaves the same rows.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as K
 from ..operators.ledger import ATTEMPT_KEYS
+from ..operators.ordered import Running, ordered
 from ..session import fresh_path
 
 OUTPUT = (
@@ -23,47 +26,51 @@ OUTPUT = (
     "best_wer double")
 # Rows of a backlog one run of the stream should take.
 SLICE_ROWS = 5_000_000
-STATE = "attempts long, failures long, passed long, best double"
+STATE = "book_id long, chapter_id long, cycle string, attempts long, failures long, passed long, best double"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-             ) -> Iterator[pd.DataFrame]:
-    """One chapter and cycle: attempts of a micro-batch in time order after those before it."""
-    parts = list(batches)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-    at = np.lexsort((rows["event_id"].to_numpy(), rows["ts"].to_numpy()))
-    column = {c: rows[c].to_numpy()[at] for c in ("ts", "event_id", "failed", "wer")}
-    n0, fail0, pass0, best0 = state.get if state.exists else (0, 0, 0, np.inf)
-    failed = column["failed"].astype(bool)
-    after = fail0 + np.cumsum(failed)
-    before = after - failed
-    good_again = ~failed & (before > 0)
-    passed = pass0 + np.cumsum(good_again)
-    resolved = good_again
-    if key[2] == K.CYCLES[2]:
-        resolved = good_again & (before <= K.BUDGET) & (passed - good_again == 0)
-    action = np.select(
-        [failed & (before < K.BUDGET), failed & (before == K.BUDGET), failed, resolved],
-        ["retry", "exhausted", "beyond_budget", "resolved"], "pass")
-    # A missing rate is passed over, as in the batch ledger.
-    best = np.fmin(np.fmin.accumulate(column["wer"].astype(float)), best0)
-    used = np.minimum(after, K.BUDGET)
-    state.update((int(n0 + len(at)), int(after[-1]), int(passed[-1]), float(best[-1])))
-    yield pd.DataFrame({
-        "book_id": key[0], "chapter_id": key[1], "cycle": key[2], "ts": column["ts"],
-        "event_id": column["event_id"], "attempt_no": n0 + 1 + np.arange(len(at)),
-        "failed": failed, "wer": column["wer"], "attempts_used": used,
-        "remaining": K.BUDGET - used, "action": action,
-        "best_wer": np.where(np.isinf(best), np.nan, best)})
+def save_batch(batch: DataFrame, number: int, out: str) -> None:
+    """What the attempts of a micro-batch did, in time order after those before it, and the state they leave."""
+    spark = batch.sparkSession
+    states = spark.read.schema(f"{STATE}, batch long").parquet(f"{out}/_state").filter(F.col("batch") < number)
+    state = states.filter(F.col("batch") == states.agg(F.max("batch")).first()[0]).drop("batch")
+    # A missing rate is passed over, as in the batch ledger; an attempt of unknown outcome did not fail.
+    new = batch.select(
+        *ATTEMPT_KEYS, F.lit(True).alias("new"), "ts", "event_id", F.coalesce("failed", F.lit(False)).alias("failed"),
+        F.nanvl("wer", F.lit(None).cast("double")).alias("wer"), F.lit(1).cast("long").alias("attempts"),
+        F.coalesce("failed", F.lit(False)).cast("long").alias("failures"), F.lit(0).cast("long").alias("passed"))
+    old = state.withColumnRenamed("best", "wer").withColumn("new", F.lit(False))
+    failed, before, earlier = F.col("failed"), F.col("after") - F.col("failures"), F.col("passes_before")
+    good_again = F.col("new") & ~failed & (before > 0)
+    order = [F.col("new"), F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    run = ordered(new.unionByName(old, allowMissingColumns=True), ATTEMPT_KEYS, order).running(
+        Running("attempt_no", "sum", F.col("attempts")), Running("after", "sum", F.col("failures")),
+        Running("best_wer", "min", F.col("wer"))).running(
+        Running("passes_before", "sum", F.when(F.col("new"), good_again.cast("long")).otherwise(F.col("passed")), before=True))
+    resolved = good_again & (~F.col("cycle").eqNullSafe(K.CYCLES[2]) | ((before <= K.BUDGET) & (earlier == 0)))
+    action = (F.when(failed & (before < K.BUDGET), "retry").when(failed & (before == K.BUDGET), "exhausted")
+              .when(failed, "beyond_budget").when(resolved, "resolved").otherwise("pass"))
+    used = F.least("after", F.lit(K.BUDGET).cast("long"))
+    folder = f"{out}/batch={number}"
+    run.result().filter("new").select(
+        *ATTEMPT_KEYS, "ts", "event_id", "attempt_no", "failed", "wer", used.alias("attempts_used"),
+        (K.BUDGET - used).alias("remaining"), action.alias("action"), "best_wer").write.mode("overwrite").parquet(folder)
+    # A pass after a failure is one where some of the budget is used.
+    left = spark.read.schema(OUTPUT).parquet(folder).select(
+        *ATTEMPT_KEYS, F.lit(1).alias("attempts"), failed.cast("long").alias("failures"),
+        (~failed & (F.col("attempts_used") > 0)).cast("long").alias("passed"), F.col("wer").alias("best"))
+    state.unionByName(left).groupBy(*ATTEMPT_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("attempts", "failures", "passed")], F.min("best").alias("best")).write.mode(
+        "overwrite").parquet(f"{out}/_state/batch={number}")
 
 
 def ledger_stream(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append what every new attempt did. Files must arrive in time order."""
-    ledger = attempts.groupBy(*ATTEMPT_KEYS).applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return (ledger.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+    spark = attempts.sparkSession
+    spark.createDataFrame([], OUTPUT).write.mode("ignore").parquet(f"{out}/batch=-1")
+    spark.createDataFrame([], STATE).write.mode("ignore").parquet(f"{out}/_state/batch=-1")
+    return (attempts.writeStream.foreachBatch(lambda batch, number: save_batch(batch, number, out))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def time_slices(df: DataFrame, ts: str, rows: int = SLICE_ROWS, least: int = 2

@@ -185,3 +185,33 @@ def test_stream_ledger_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out).select(batch.columns)
     assert got.count() == batch.count()
     assert got.exceptAll(batch).isEmpty()
+
+
+def test_stream_ledger_batch_again(spark, tmp_path):
+    """Missing keys, outcomes, times and rates; a batch that runs twice; a chapter hot in one batch."""
+    from folioscan.streaming.retries import OUTPUT, STATE, save_batch
+    out, schema = str(tmp_path / "out"), "book_id long, chapter_id long, cycle string, ts timestamp, event_id long, failed boolean, wer double"
+    spark.createDataFrame([], STATE).write.parquet(f"{out}/_state/batch=-1")
+    rows = [(1, 10, K.CYCLES[2], n, n, n in (2, 5, 31, 44, 47), None if n % 4 else 1 / (n + 1)) for n in range(50)]
+    rows += [(None, None, c, n, n, n % 3 == 0 if n else None, None) for c in (None, K.CYCLES[0]) for n in range(4)]
+    events = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+    parts = [events.filter("event_id < 3"), events.filter("event_id >= 3 and event_id < 30"), events.filter("event_id >= 30")]
+    for number, part in enumerate(parts):
+        save_batch(part, number, out)
+    save_batch(parts[2], 2, out)
+    known = events.withColumn("failed", F.coalesce("failed", F.lit(False)))
+    batch = L.retry_ledger(known).select(spark.createDataFrame([], OUTPUT).columns)
+    got = spark.read.parquet(out).select(batch.columns)
+    assert got.count() == batch.count() == len(rows)
+    assert got.exceptAll(batch).isEmpty()
+    state = spark.read.parquet(f"{out}/_state/batch=2").filter("book_id = 1").collect()
+    assert [(r.attempts, r.failures, r.best) for r in state] == [(50, 5, 1 / 49)]
+
+
+def test_stream_ledger_has_no_call_for_each_chapter(spark, tmp_path):
+    """A Python call for each chapter and run took most of the time."""
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    V.attempts(spark, SF).limit(50).write.parquet(folder)
+    stream = ledger_stream(spark.readStream.schema(V.attempts(spark, SF).schema).parquet(folder), out, state)
+    stream.awaitTermination()
+    assert not stream.lastProgress["stateOperators"] and spark.read.parquet(out).count() == 50
