@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -13,12 +15,21 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions.text import marker_title, stem_title, strip
 from ..operators.ordered import numbered
+from ..session import fresh_path
 
 REPORT_SCHEMA = (
     "source string, status string, ratio double, matched bigint, total_source bigint, "
     "issues_count bigint")
 # Files in one folder of saved texts; a task lists and writes whole folders.
 SHELF_FILES = 1000
+LISTED = "at string not null, name string not null, folder boolean not null, length bigint not null"
+# What a task lists or reads, and what it hands on at once.
+TASK_FILES, TASK_BYTES = 1000, 64 << 20
+BATCH_FILES, BATCH_BYTES = 1000, 4 << 20
+# Names that Spark's readers pass over.
+HIDDEN = r"(?s)^(?:\.|_(?!.*=))|\._COPYING_\z"
+CODECS = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
+ONLY_SPARK = r"\.(?:deflate|lz4|snappy)\z"
 
 
 def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,12 +48,116 @@ def number_inputs(files: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """One row per file with its whole text; a file is one chapter or script."""
+    """One row per file with its whole text; a file is one chapter or script.
+
+    Tasks list the folders and open the files, so the driver holds neither the names nor a split for each of them. Where only
+    Spark reaches the store or unpacks a file, its own reader takes over, whose list of files is the driver's.
+    """
+    from pyarrow.fs import FileSystem
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    # As Spark writes paths, without slashes for a host that is not there.
+    root = target.makeQualified(store.getUri(), store.getWorkingDirectory()).toUri().toString().replace(":///", ":/")
+    try:
+        FileSystem.from_uri(root)
+    except (OSError, ValueError, NotImplementedError):
+        return _spark_texts(spark, folder, glob)
+    if not store.exists(target):
+        raise FileNotFoundError(root)
+    wanted = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    files = list_files(spark, root).filter(F.col("name").rlike(rf"\A(?:{wanted})\z"))
+    if not files.filter(F.col("name").rlike(ONLY_SPARK)).isEmpty():
+        return _spark_texts(spark, folder, glob)
+    return open_texts(files, root)
+
+
+def _spark_texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(
         folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
                                        F.col("value").alias("text"))
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files (at, name, length) at any depth below the URI ``root``, without hidden and empty ones, as Spark's readers take them.
+
+    One level of folders after the other is listed by tasks into a table.
+    """
+    from pyarrow.fs import FileSystem, FileType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        filesystem, _ = FileSystem.from_uri(root)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = filesystem.get_file_info(FileSelector(at))
+                for i in range(0, len(found), 10_000):
+                    part = found[i:i + 10_000]
+                    yield pa.RecordBatch.from_pydict({
+                        "at": pa.array([f.path for f in part], pa.string()),
+                        "name": pa.array([f.base_name for f in part], pa.string()),
+                        "folder": pa.array([f.type == FileType.Directory for f in part], pa.bool_()),
+                        "length": pa.array([f.size or 0 for f in part], pa.int64())})
+
+    filesystem, base = FileSystem.from_uri(root)
+    top = filesystem.get_file_info(base)
+    path, depth = fresh_path(spark, "listing"), 0
+    level = spark.createDataFrame([(base, top.base_name, top.type == FileType.Directory, top.size or 0)], LISTED)
+    level.write.parquet(f"{path}/level=0")
+    folders = int(top.type == FileType.Directory)
+    while folders:
+        below = level.filter("folder").select("at").repartition(_tasks(spark, folders)).mapInArrow(run, LISTED)
+        depth += 1
+        below.filter(~F.col("name").rlike(HIDDEN)).write.parquet(f"{path}/level={depth}")
+        level = spark.read.schema(LISTED).parquet(f"{path}/level={depth}")
+        folders = level.filter("folder").count()
+    return spark.read.schema(LISTED).parquet(path).filter("not folder and length > 0").select("at", "name", "length")
+
+
+def open_texts(files: DataFrame, root: str) -> DataFrame:
+    """Path, as Spark writes it, and whole text of ``files`` (at, length) below the URI ``root``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        filesystem, base = FileSystem.from_uri(root)
+        paths, texts, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "text": pa.array(texts, pa.binary())})
+
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                text = _whole(filesystem, at)
+                paths.append(root if at == base else f"{root.rstrip('/')}/{_encoded(at[len(base):].lstrip('/'))}")
+                texts.append(text)
+                size += len(text)
+                if len(paths) >= BATCH_FILES or size >= BATCH_BYTES:
+                    yield rows()
+                    paths, texts, size = [], [], 0
+        yield rows()
+
+    total = files.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
+    dealt = files.select("at").repartition(_tasks(files.sparkSession, total.n, total.length or 0))
+    return dealt.mapInArrow(run, "path string not null, text binary").select("path", F.col("text").cast("string").alias("text"))
+
+
+def _tasks(spark: SparkSession, files: int, length: int = 0) -> int:
+    most = max(spark.sparkContext.defaultParallelism, math.ceil(files / TASK_FILES), math.ceil(length / TASK_BYTES))
+    return max(1, min(files, most))
+
+
+def _whole(filesystem, at: str) -> bytes:
+    """Content of a file, unpacked as its ending says."""
+    with filesystem.open_input_stream(at, compression=CODECS.get(at[at.rfind("."):])) as f:
+        return f.read()
+
+
+def _encoded(path: str) -> str:
+    """A path in a URI as Java writes it: letters of any script stay."""
+    return re.sub(r"""[\x00-\x20"#%<>?\[\\\]^`{|}\x7f-\x9f]|\s""", lambda m: quote(m[0]), path)
+
+
 def write_texts(rows: DataFrame, folder: str) -> None:
     """One file for every name among ``rows`` (name, text), below ``folder``; rows of one name are its lines.
 

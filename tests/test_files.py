@@ -45,6 +45,49 @@ def test_saved_texts(spark, tmp_path, monkeypatch):
     assert len(files) == len(want) and len({p.parent for p in files}) <= 6
 
 
+def test_texts_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver held every file's name and a split for it, and failed with a million of them."""
+    monkeypatch.setattr(FS, "TASK_FILES", 20, raising=False)
+    monkeypatch.setattr(FS, "BATCH_FILES", 7, raising=False)
+    for n in range(300):
+        place = tmp_path / f"texts/{n % 30}" / ("deep" if n % 2 else "")
+        place.mkdir(parents=True, exist_ok=True)
+        (place / f"{n}.txt").write_text(f"text {n}\n")
+    got = FS.read_texts(spark, str(tmp_path / "texts"))
+    assert len(got.inputFiles()) < 30
+    assert sorted(r.text for r in got.collect()) == sorted(f"text {n}\n" for n in range(300))
+
+
+def test_texts_as_sparks_own_reader_gives_them(spark, tmp_path):
+    """Odd names and contents, hidden and packed files: what tasks read is what Spark's reader gave."""
+    import bz2
+    import gzip
+    import zlib
+
+    folder = tmp_path / "odd texts"
+    files = {
+        "a b.txt": b"x", "empty.txt": b"", "p%20q.txt": b"1", "h#?&+=.txt": b"2", "é\u00a0ü\u3000.txt": "é\r\n".encode(),
+        "[x]{y}.txt": b"3", "q'\"<>|^`\\.txt": b"4", "m~!@$*(),;.txt": b"5", "bom.txt": b"\xef\xbb\xbfz", "bad.txt": b"\xff\xfea\0",
+        "_hidden.txt": b"6", ".hidden.txt": b"6", "_k=1.txt": b"7", "c._COPYING_": b"6", "_hidden/z.txt": b"6", ".hidden/z.txt": b"6",
+        "_k=2/z.txt": b"8", "sub é/deep/z.txt": b"9", "g.txt.gz": gzip.compress(b"one\n") + gzip.compress(b"two\n"),
+        "g.bz2": bz2.compress(b"b"), "own/g.deflate": zlib.compress(b"d")}
+    for name, content in files.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(content)
+    (folder / "none").mkdir()
+
+    def rows(texts):
+        return sorted((r.path, bytes(r.text)) for r in texts.select("path", F.col("text").cast("binary")).collect())
+
+    for place, glob in ((folder, "*"), (folder, "*.{txt,gz}"), (folder, "[a-c]*"), (folder, "nothing*"), (folder / "none", "*"),
+                        (folder / "a b.txt", "*"), (folder, "[!g]*"), (folder, "*[!e]")):
+        own = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(
+            str(place), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        assert rows(FS.read_texts(spark, str(place), glob)) == rows(own)
+    with pytest.raises(FileNotFoundError):
+        FS.read_texts(spark, str(tmp_path / "missing"))
+
+
 def test_script_store_has_few_folders(spark):
     """A folder for every file took seconds a thousand files, most of it one by one in the driver."""
     from pathlib import Path
