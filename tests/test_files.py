@@ -58,6 +58,18 @@ def test_texts_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r.text for r in got.collect()) == sorted(f"text {n}\n" for n in range(300))
 
 
+@pytest.mark.parametrize("query, role", [("scan_scripts", "assistant"), ("scan_text_files", None)])
+def test_saved_texts_are_not_the_drivers(spark, tmp_path, query, role):
+    """Every text is read again, and the plan holds no list of the files."""
+    turns = spark.range(400).selectExpr("id div 8 as conv_id", "id % 8 as turn", "if(id % 2 = 0, 'user', 'assistant') as role",
+                                        "concat('line\\n', id, if(id % 3 = 0, '\\n', '')) as text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES[query](spark, str(tmp_path))
+    assert len(got.inputFiles()) < 50
+    want = V.turns(spark, str(tmp_path), role).select("conv_id", "text")
+    assert sorted(got.select("book_id", "text").collect()) == sorted(want.collect())
+
+
 def test_texts_as_sparks_own_reader_gives_them(spark, tmp_path):
     """Odd names and contents, hidden and packed files: what tasks read is what Spark's reader gave."""
     import bz2
